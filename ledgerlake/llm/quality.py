@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlake.llm.common import table, utf8
 
@@ -41,7 +42,7 @@ POLICIES: dict[str, tuple[str, ...]] = {
     "v2": tuple(RULES),
 }
 
-MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_lines bigint, n_dup_lines bigint, n_repeat_words bigint, n_letter_words bigint, n_exclaimed bigint"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letter_words", "n_exclaimed")
 
 
 def mask(policy: str) -> int:
@@ -79,10 +80,10 @@ def _measure(raw: bytes) -> tuple[int, ...]:
     return len(words), chars, sum(raw.count(c) for c in SYMBOLS.encode()), len(lines), len(lines) - len(set(lines)), _repeated(ids), letters, exclaimed
 
 
-@F.pandas_udf(MEASURES)
+@F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in MEASURES]))
 def measured(raw: pd.Series) -> pd.DataFrame:
     rows = [_measure(x or b"") for x in raw]
-    return pd.DataFrame(rows, columns=[part.split()[0] for part in MEASURES.split(", ")], dtype="int64")
+    return pd.DataFrame(rows, columns=list(MEASURES), dtype="int64")
 
 
 def failure_bits(m: str) -> Column:
