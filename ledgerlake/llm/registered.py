@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import quality, tokenfile
+from ledgerlake.llm import chat, mixing, quality, tokenfile
 
 
 def queries() -> dict:
     return {
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_token_files": tokenfile.op3_token_files,
+        "op7_chat_formatting": chat.op7_chat_formatting,
+        "op9_mixing": mixing.op9_mixing,
     }
 
 
 def oracle_sql() -> dict:
     return {
         "op2_quality_rules": quality.OP2_SQL,
+        "op7_chat_formatting": chat.OP7_SQL,
+        "op9_mixing": mixing.OP9_SQL,
     }
