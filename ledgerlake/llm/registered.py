@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import chat, mixing, quality, tokenfile
+from ledgerlake.llm import chat, mixing, pii, quality, secret_scan, tokenfile
 
 
 def queries() -> dict:
     return {
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_token_files": tokenfile.op3_token_files,
+        "op6_pii": pii.op6_pii,
         "op7_chat_formatting": chat.op7_chat_formatting,
         "op9_mixing": mixing.op9_mixing,
+        "op10_secret_scans": secret_scan.op10_secret_scans,
     }
 
 
