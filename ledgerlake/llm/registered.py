@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import chat, mixing, pii, quality, secret_scan, tokenfile
+from ledgerlake.llm import chat, mixing, pii, quality, secret_scan, token_trees, tokenfile
 
 
 def queries() -> dict:
     return {
+        "op1_token_counts": token_trees.op1_token_counts,
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_token_files": tokenfile.op3_token_files,
         "op6_pii": pii.op6_pii,
