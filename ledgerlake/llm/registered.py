@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import chat, mixing, pii, quality, secret_scan, token_trees, tokenfile
+from ledgerlake.llm import chat, language, mixing, pii, quality, secret_scan, token_trees, tokenfile
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_token_files": tokenfile.op3_token_files,
         "op6_pii": pii.op6_pii,
         "op7_chat_formatting": chat.op7_chat_formatting,
+        "op8_language_id": language.op8_language_id,
         "op9_mixing": mixing.op9_mixing,
         "op10_secret_scans": secret_scan.op10_secret_scans,
     }
