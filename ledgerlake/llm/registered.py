@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import chat, language, mixing, pii, quality, secret_scan, token_trees, tokenfile
+from ledgerlake.llm import chat, decontaminate, language, mixing, pii, quality, secret_scan, token_trees, tokenfile
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_token_counts": token_trees.op1_token_counts,
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_token_files": tokenfile.op3_token_files,
+        "op4_decontamination": decontaminate.op4_decontamination,
         "op6_pii": pii.op6_pii,
         "op7_chat_formatting": chat.op7_chat_formatting,
         "op8_language_id": language.op8_language_id,
@@ -21,6 +22,7 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op2_quality_rules": quality.OP2_SQL,
+        "op4_decontamination": decontaminate.OP4_SQL,
         "op7_chat_formatting": chat.OP7_SQL,
         "op9_mixing": mixing.OP9_SQL,
     }
