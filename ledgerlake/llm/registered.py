@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import chat, decontaminate, language, mixing, pii, quality, secret_scan, token_trees, tokenfile
+from ledgerlake.llm import chat, decontaminate, language, mixing, neardup, pii, quality, secret_scan, token_trees, tokenfile
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_token_files": tokenfile.op3_token_files,
         "op4_decontamination": decontaminate.op4_decontamination,
+        "op5_near_duplicates": neardup.op5_near_duplicates,
         "op6_pii": pii.op6_pii,
         "op7_chat_formatting": chat.op7_chat_formatting,
         "op8_language_id": language.op8_language_id,
