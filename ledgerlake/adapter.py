@@ -110,5 +110,5 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ctes(*names: str) -> str:
-    """The same frames as the beginning of a DuckDB query: WITH tx AS (...), ..."""
-    return "WITH " + ", ".join(f"{n} AS ({re.sub(r'[{](\w+)[}]', r'\1', _fill(FRAMES[n], False))})" for n in names)
+    """The same frames as the beginning of a DuckDB query: WITH RECURSIVE tx AS (...), ..."""
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({re.sub(r'[{](\w+)[}]', r'\1', _fill(FRAMES[n], False))})" for n in names)
