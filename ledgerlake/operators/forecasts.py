@@ -80,7 +80,7 @@ def interest_forecast(tx: DataFrame, accounts: DataFrame) -> DataFrame:
     trend = regression(last, ["account_id"], F.col("amount")).select("account_id", "n", F.coalesce("slope", F.lit(0.0)).alias("slope"))
     cards = accounts.where("account_type = 'creditCard' AND apr_percent IS NOT NULL").join(trend, "account_id")
     expected = F.greatest(F.lit(0.0), F.abs("balance").cast("double") - F.col("slope"))
-    return cards.select("account_id", "user_id", "n", F.round(expected, 4).alias("expected_balance"), F.round(expected * F.col("apr_percent").cast("double") / 100, 3).alias("annual_interest"))
+    return cards.select("account_id", "user_id", "n", F.round(expected, 4).alias("expected_balance"), F.round(expected * F.col("apr_percent").cast("double") / 100, 6).alias("annual_interest"))
 
 
 def discretionary(tx: DataFrame, as_of: str, least: int = 200) -> DataFrame:

@@ -60,7 +60,7 @@ def _(tx):
 @register("x07_interest_forecast", "account_id l, user_id l, n l, expected_balance f, annual_interest f", "tx accounts", """
 WITH l AS (SELECT * FROM tx QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY transaction_date DESC, transaction_id DESC) <= 12), x AS (SELECT account_id, CAST(amount AS DOUBLE) AS y, row_number() OVER (PARTITION BY account_id ORDER BY transaction_date, transaction_id) - 1 AS x FROM l),
 g AS (SELECT account_id, count(*) AS n, CASE WHEN count(*) > 1 THEN regr_slope(y, x) ELSE 0 END AS slope FROM x GROUP BY 1)
-SELECT account_id, user_id, n, round(greatest(0, CAST(abs(balance) AS DOUBLE) - slope), 4) AS expected_balance, round(greatest(0, CAST(abs(balance) AS DOUBLE) - slope) * CAST(apr_percent AS DOUBLE) / 100, 3) AS annual_interest FROM accounts JOIN g USING (account_id) WHERE account_type = 'creditCard' AND apr_percent IS NOT NULL""")
+SELECT account_id, user_id, n, round(greatest(0, CAST(abs(balance) AS DOUBLE) - slope), 4) AS expected_balance, round(greatest(0, CAST(abs(balance) AS DOUBLE) - slope) * CAST(apr_percent AS DOUBLE) / 100, 6) AS annual_interest FROM accounts JOIN g USING (account_id) WHERE account_type = 'creditCard' AND apr_percent IS NOT NULL""")
 def _(tx, accounts):
     return P.interest_forecast(tx, accounts)
 
