@@ -41,8 +41,8 @@ def parse_amount(c: Column) -> Column:
     x = F.regexp_replace(x, r"[()+-]", "")
     european = x.rlike(r"^\d{1,3}(\.\d{3})*,\d{1,2}$") | x.rlike(r"^\d+,\d{1,2}$")
     plain = F.when(european, F.replace(F.replace(x, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(x, F.lit(","), F.lit("")))
-    value = F.round(F.try_to_number(F.when(plain.rlike(r"^\d{1,15}(\.\d*)?$|^\.\d+$"), plain), F.lit("999999999999999D999999")).cast("decimal(24,6)"), 2)
-    capped = F.least(value, F.lit("999999999.99").cast("decimal(24,2)"))
+    value = F.round(plain.try_cast("decimal(24,6)"), 2)
+    capped = F.when(value.isNotNull(), F.least(value, F.lit("999999999.99").cast("decimal(24,2)")))
     return F.when(negative, -capped).otherwise(capped).cast("decimal(19,2)")
 
 
