@@ -93,16 +93,20 @@ def _parts(inner: str) -> list[str]:
 
 
 class Bounded(dict):
-    """A per-task memo of `make(key)` that starts afresh beyond `most` keys: it bounds memory and changes no result."""
+    """A per-task memo of `make(key)`. Beyond `most` keys the older half goes: it bounds memory and changes no result."""
 
-    def __init__(self, make: Callable, most: int = 400_000):
+    def __init__(self, make: Callable, most: int = 500_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 

@@ -43,15 +43,39 @@ CHECKSUM_FLAG = 0x80
 _DOC = np.dtype([("doc_id", "<i8"), ("has_id", "<u4"), ("frame", "<u4"), ("n_tokens", "<u8")])
 
 
+#: Characters that a run of letters may be followed by up to the next blank; such a run is a pre-token of its own.
+_TAIL = b".,;:!?*$%&#"
+
+
 def encoder(path: str):
-    """bytes of a text -> its ids as little-endian uint32 bytes. Tokens never reach over blanks, and a blank gives none, so
-    each piece between spaces and newlines is encoded once by the tokenizers library and remembered."""
+    """bytes of a text -> its ids as little-endian uint32 bytes.
+
+    Tokens never reach over blanks, and a blank gives none, so each piece between spaces and newlines is encoded once by
+    the tokenizers library and remembered: its normalizer, its pre-tokenizer and its model in turn, without the offsets that a
+    whole encoding keeps. Pieces of plain letters need the model alone; case and a closing run of punctuation are set aside first.
+    """
+    from array import array
+
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    model, normalizer, pre = tokenizer.model, tokenizer.normalizer, tokenizer.pre_tokenizer
+
+    def packed(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
 
     def piece(raw: bytes) -> bytes:
-        return np.array(tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        if b"<|" in raw:  # may hold a special token
+            return packed(tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        if raw.isascii() and raw != (low := raw.lower()):
+            return memo[low]
+        stem = raw.rstrip(_TAIL)
+        if stem.isalpha():
+            if stem != raw:
+                return memo[stem] + memo[raw[len(stem) :]]
+            return packed([t.id for t in model.tokenize(raw.decode())])
+        normal = normalizer.normalize_str(raw.decode("utf-8", "replace"))
+        return packed([t.id for p, _ in pre.pre_tokenize_str(normal) for t in model.tokenize(p)])
 
     memo = Bounded(piece)
 
@@ -184,7 +208,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 def read_token_files(files: DataFrame, wanted: set | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids (bytes) from the files, whole or only the `wanted` documents."""
     base = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = files.select("path", base.alias("base")).repartition("path")
+    # A fixed number of partitions: the few bytes of this list must not let the files' readers be merged into one task.
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = files.select("path", base.alias("base")).repartition(n, "path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
