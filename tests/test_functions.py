@@ -90,3 +90,14 @@ def test_merchants(spark):
     assert one(spark, text.merchant_key(F.lit(" Ab-C 1! "))) == "abc1"
     assert text.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4) and text.jaro_winkler("", "a") == 0
     assert one(spark, text.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(1.0)))) == pytest.approx(0.7071, abs=1e-4)
+
+
+def test_workbooks(spark, tmp_path):
+    import zipfile
+
+    sheet = '<worksheet xmlns="x"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1"><v>2.5</v></c></row><row r="3"><c r="B3" t="inlineStr"><is><t>in</t></is></c></row></sheetData></worksheet>'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", '<sst xmlns="x"><si><t>Da</t><t>te</t></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+    rows = files.read_any(spark, str(tmp_path / "b.xlsx")).collect()
+    assert [(r.sheet, r.row_no, r["cells"]) for r in rows] == [("sheet1", 1, ["Date", "", "2.5"]), ("sheet1", 3, ["", "in"])]
