@@ -39,6 +39,15 @@ def save(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Written tables of short rows (some tens of bytes) are broadcast up to so many rows; beyond, both sides are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of short rows, broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables that save() wrote and that nothing needs any more."""
     for df in frames:
@@ -93,9 +102,9 @@ def _parts(inner: str) -> list[str]:
 
 
 class Bounded(dict):
-    """A per-task memo of `make(key)`. Beyond `most` keys the older half goes: it bounds memory and changes no result."""
+    """A memo of `make(key)`. Beyond `most` new keys the older half goes: it bounds memory and changes no result."""
 
-    def __init__(self, make: Callable, most: int = 500_000):
+    def __init__(self, make: Callable, most: int = 100_000):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
@@ -110,6 +119,17 @@ class Bounded(dict):
         return value
 
 
+def per_worker(key: str, make: Callable):
+    """An object that a Python worker keeps between its tasks. Functions travel by value, so their globals end with a task."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_kept_between_tasks", types.ModuleType("_kept_between_tasks")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def temp_name(path: str) -> str:
     """Where an attempt writes before it renames: attempts of one task don't meet."""
     return f"{path}.{os.getpid()}-{uuid.uuid4().hex[:8]}.tmp"

@@ -6,10 +6,10 @@ band are candidates. At the similarity asked for, a pair shares no band with a p
 
 Links are confirmed on full sets, and no bucket is turned into all its pairs:
 1. stars: each class of a bucket is compared with the bucket's least class. The links found give first components.
-2. rest: buckets that still hold several components. The classes outside a bucket's largest component are compared with the whole
-   bucket, in tiles of bounded size inside tasks, by signatures; pairs of different components that may be similar enough
-   come out, at each pair's first common band. The best pair of each class and component is confirmed first, then all that
-   still join different components.
+2. rest: buckets that still hold several components. Their classes get a longer signature, and those outside a bucket's largest
+   component are compared with the whole bucket, in tiles of bounded size inside tasks; pairs of different components
+   that may be similar enough come out, each at its first common band only. The best pair of each class and component is
+   confirmed first, then all that still join different components.
 What the rest finds is merged with the first components, so no candidate link between components is lost.
 
 Rows are found again by doc_id. Defined results: a null or empty text has an empty set, is linked with nothing and is kept; a
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import Bounded, discard, map_batches, save, table, utf8
+from ledgerlake.llm.common import Bounded, bounded, discard, map_batches, save, table, utf8
 from ledgerlake.llm.components import components
 
 WORDS = 5
@@ -36,17 +36,16 @@ WORDS = 5
 PERCENT = 75
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
-#: Pairs whose signatures agree in less than this share of places are not confirmed: five deviations below PERCENT.
-LEAST_AGREEMENT = 0.55
+#: The longer signature of the classes in mixed buckets. Pairs that agree in less than this share of its places are not
+#: confirmed: five deviations below PERCENT.
+LONG_HASHES, LEAST_AGREEMENT = 1024, 0.68
 #: Classes of a tile: a task compares at most TILE classes of other components with SLICE classes of a bucket at once.
 TILE, SLICE = 512, 4096
-#: Tables of (id, id) rows of up to so many rows (16 bytes each) are broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.default_rng(20_240_501)
 _PLACE = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64)
+_A = _rng.integers(1, 1 << 63, HASHES + LONG_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(1, 1 << 63, HASHES + LONG_HASHES, dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -76,11 +75,12 @@ def shingles(raw: bytes, memo: dict) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def minima(found: np.ndarray) -> np.ndarray:
-    """The least value of each universal hash over a set."""
-    best = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(found), 2048):
-        best = np.minimum(best, (found[i : i + 2048, None] * _A + _B).min(axis=0))
+def minima(found: np.ndarray, first: int = 0, last: int = HASHES) -> np.ndarray:
+    """The least value of universal hashes first to last over a set."""
+    a, b = _A[first:last], _B[first:last]
+    best = np.full(last - first, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(found), 256):
+        best = np.minimum(best, (found[i : i + 256, None] * a + b).min(axis=0))
     return best >> np.uint64(16)
 
 
@@ -125,33 +125,33 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_batches(slim, start, "doc_id bigint, n bigint, class binary, bands array<bigint>, signature binary")
 
 
-def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table of short rows, broadcast if it is small enough."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
-def confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of the written pairs (u, v; least doc_ids of classes) whose full sets are similar enough.
-
-    Sets are made again from the texts of the documents concerned, and each u's set goes to its v's.
-    """
-    digests = classes.select(F.col("rep").alias("id"), "class")
-    ends = save(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct().join(digests, "id"), "pair-ends")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), utf8().alias("raw")).join(bounded(ends), "id")
+def _of_classes(docs: DataFrame, ids: DataFrame, classes: DataFrame, make, column: str) -> DataFrame:
+    """id, `column`: make(set) of each class in `ids` (id: its least doc_id), made again from that document's text."""
+    wanted = bounded(save(ids.join(classes.select(F.col("rep").alias("id"), "class"), "id"), "wanted"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), utf8().alias("raw")).join(wanted, "id")
 
     def start():
         memo = word_hashes()
 
         def step(batch):
-            sets = []
+            out = []
             for raw, of in zip(batch.column("raw"), batch.column("class"), strict=True):
                 found = shingles(raw.as_py() or b"", memo)
-                sets.append(found.tobytes() if digest(found) == of.as_py() else None)
-            return {"id": batch.column("id"), "set": sets}
+                out.append(make(found) if digest(found) == of.as_py() else None)
+            return {"id": batch.column("id"), column: out}
 
         return step
 
-    sets = map_batches(texts, start, "id bigint, set binary").where("set IS NOT NULL")
+    return map_batches(texts, start, f"id bigint, {column} binary").where(F.col(column).isNotNull())
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the written pairs (u, v; least doc_ids of classes) whose full sets are similar enough.
+
+    Sets are made again from the texts of the documents concerned, and each u's set goes to its v's.
+    """
+    ends = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    sets = _of_classes(docs, ends, classes, lambda found: found.tobytes(), "set")
     few = bounded(pairs)
     left = sets.join(few.select(F.col("u").alias("id"), F.col("v").alias("other")), "id").select(F.col("other").alias("v"), F.col("id").alias("u"), F.col("set").alias("a"))
     targets = save(pairs.select(F.col("v").alias("id")).distinct(), "pair-targets")
@@ -167,7 +167,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     out = save(left.join(right, "v").select("u", "v", "a", "b").mapInArrow(compare, "u bigint, v bigint").distinct(), "confirmed")
-    discard(docs.sparkSession, ends, targets)
+    discard(docs.sparkSession, targets)
     return out
 
 
@@ -176,31 +176,40 @@ def _sizes_fit(a, b):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def _rest_pairs(multi: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+def _rest_pairs(docs: DataFrame, classes: DataFrame, multi: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
     """u, v, cu, cv, agreement: pairs of different components that share a bucket and whose signatures agree enough."""
-    labelled = multi.join(labels.withColumnRenamed("node", "u0"), F.col("node") == F.col("u0"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    labelled = multi.join(labels.withColumnRenamed("node", "u0"), F.col("node") == F.col("u0"), "left").select("key", "band", "node", "n", F.coalesce("component", "node").alias("component"))
     labelled = save(labelled, "bucket-components")
     counts = labelled.groupBy("key", "component").agg(F.count("*").alias("k"))
     mixed = counts.groupBy("key").agg(F.count("*").alias("n_components"), F.sum("k").alias("k"), F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("k_main")).where("n_components > 1")
     mixed = save(mixed.select("key", "main", F.ceil((F.col("k") - F.col("k_main")) / TILE).cast("int").alias("tiles"), F.ceil(F.col("k") / SLICE).cast("int").alias("slices")), "mixed-buckets")
     rows = labelled.join(bounded(mixed), "key")
-    ends = rows.join(reps.select(F.col("rep").alias("node"), "signature"), "node")
+    rows = save(rows, "mixed-rows")
+    long = _of_classes(docs, rows.select(F.col("node").alias("id")).distinct(), classes, lambda found: minima(found, HASHES, HASHES + LONG_HASHES).astype(np.uint8).tobytes(), "long")
+    both = save(long.join(reps.select(F.col("rep").alias("id"), "signature"), "id").select(F.col("id").alias("node"), "signature", "long").dropDuplicates(["node"]), "long-signatures")
+    ends = rows.join(both, "node")
     minor = F.col("component") != F.col("main")
     tile = F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles")).cast("int")
     part = F.pmod(F.xxhash64("node", F.lit(2)), F.col("slices")).cast("int")
     # A class outside the main component stands in its tile opposite every slice; every class stands in its slice opposite every tile.
-    as_minor = ends.where(minor).select("key", tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("part"), F.lit(True).alias("minor"), "node", "n", "component", "signature")
-    as_any = ends.select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), part.alias("part"), F.lit(False).alias("minor"), "node", "n", "component", "signature")
+    as_minor = ends.where(minor).select("key", tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("part"), F.lit(True).alias("minor"), "band", "node", "n", "component", "signature", "long")
+    as_any = ends.select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), part.alias("part"), F.lit(False).alias("minor"), "band", "node", "n", "component", "signature", "long")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         out = []
         mine, every = group[group.minor], group[~group.minor]
         if len(mine) and len(every):
-            sig = np.stack([np.frombuffer(s, np.uint8) for s in every.signature])
+            band = int(group.band.iloc[0])
+            bands = np.stack([np.frombuffer(x, f"V{ROWS}") for x in every.signature]).view(f"<u{ROWS}")
+            long = np.stack([np.frombuffer(x, np.uint8) for x in every.long])
             node, n, comp = every.node.to_numpy(), every.n.to_numpy(), every.component.to_numpy()
-            for u, nu, cu, su in zip(mine.node, mine.n, mine.component, mine.signature, strict=True):
-                other = np.flatnonzero((comp != cu) & (100 * np.minimum(n, nu) >= PERCENT * np.maximum(n, nu)))
-                same = (sig[other] == np.frombuffer(su, np.uint8)).mean(axis=1) if len(other) else np.zeros(0)
+            for u, nu, cu, su, lu in zip(mine.node, mine.n, mine.component, mine.signature, mine.long, strict=True):
+                fits = (comp != cu) & (100 * np.minimum(n, nu) >= PERCENT * np.maximum(n, nu))
+                other = np.flatnonzero(fits)
+                if band and len(other):  # pairs that meet in an earlier band are left to it
+                    earlier = (bands[other, :band] == np.frombuffer(su, f"<u{ROWS}")[:band]).any(axis=1)
+                    other = other[~earlier]
+                same = np.count_nonzero(long[other] == np.frombuffer(lu, np.uint8), axis=1) / LONG_HASHES
                 for k in np.flatnonzero(same >= LEAST_AGREEMENT):
                     v = int(node[other[k]])
                     out.append((min(u, v), max(u, v), float(same[k])))
@@ -223,14 +232,14 @@ def links(docs: DataFrame, sigs: DataFrame, classes: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     reps = sigs.join(classes, "class").where(F.col("doc_id") == F.col("rep")).select("rep", "n", "bands", "signature").dropDuplicates(["rep"])
     reps = save(reps, "class-signatures")
-    entries = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("node"), "n")
+    entries = reps.select(F.posexplode("bands").alias("band", "key"), F.col("rep").alias("node"), "n")
     shared = entries.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("k")).where("k > 1").select("key", "hub")
     multi = save(entries.join(shared, "key"), "buckets")
     stars = multi.where(F.col("node") != F.col("hub.node")).where(_sizes_fit(F.col("n"), F.col("hub.n")))
     stars = save(stars.select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct(), "stars")
     confirmed = confirm(docs, stars, classes)
     labels = save(components(confirmed), "components")
-    pairs = _rest_pairs(multi.select("key", "node", "n"), labels, reps)
+    pairs = _rest_pairs(docs, classes, multi.select("key", "band", "node", "n"), labels, reps)
     discard(spark, multi, stars)
     first = True
     while True:

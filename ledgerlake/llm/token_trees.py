@@ -40,7 +40,7 @@ class Counter:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb"))}
         encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.split = regex.compile(pattern)
-        self.count = Bounded(lambda piece: len(encoding.encode_ordinary(piece)))
+        self.count = Bounded(lambda piece: len(encoding.encode_ordinary(piece)), 400_000)
 
     def leaves(self, text: str) -> tuple[list[int], list[int]]:
         """Characters and tokens of each run of PER_LEAF pre-tokens."""
