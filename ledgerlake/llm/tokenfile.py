@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import Bounded, new_path, save, table, temp_name, utf8
+from ledgerlake.llm.common import Bounded, new_path, per_worker, save, table, temp_name, utf8
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -77,7 +77,7 @@ def encoder(path: str):
         normal = normalizer.normalize_str(raw.decode("utf-8", "replace"))
         return packed([t.id for p, _ in pre.pre_tokenize_str(normal) for t in model.tokenize(p)])
 
-    memo = Bounded(piece)
+    memo = Bounded(piece, 200_000)
 
     def encode(raw: bytes) -> bytes:
         return b"".join([memo[w] for w in raw.replace(b"\n", b" ").split(b" ")])
@@ -184,7 +184,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode, end = encoder(tokenizer_path), struct.pack("<I", end_id)
+        encode, end = per_worker(f"encoder {tokenizer_path}", lambda: encoder(tokenizer_path)), struct.pack("<I", end_id)
         fs, root = filesystem(folder)
         path = f"{root}/{job}-{part:06d}.zst"
         attempt, writer, sink = temp_name(path), None, None
