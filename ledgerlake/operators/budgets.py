@@ -23,8 +23,7 @@ def budget_rows(budgets: DataFrame, tx: DataFrame, start: Column, end: Column, d
     b = budgets.withColumns({"cycle_start": start, "cycle_end": end})
     same = (F.col("user_id") == F.col("t_user")) & (F.col("category") == F.col("t_category")) & F.col("transaction_date").between(F.col("cycle_start"), F.col("cycle_end"))
     if gate:
-        mine, theirs = F.lower(F.trim(F.coalesce("currency_code", F.lit("")))), F.lower(F.trim(F.coalesce("t_currency", F.lit(""))))
-        same = same & ~F.col("pending") & ((mine == "") | (theirs == "") | (mine == theirs))
+        same = same & posted_in(F.col("t_currency"))
     return b.join(rows, same, "left")
 
 

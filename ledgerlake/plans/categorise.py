@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ledgerlake.adapter import AS_OF  # noqa: F401
 from ledgerlake.operators import categorise as C
 from ledgerlake.registry import register
 

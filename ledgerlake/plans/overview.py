@@ -101,7 +101,7 @@ def _(accounts):
 
 
 @register("f39_fingerprints", "user_id l, fingerprint s", "imports", """
-SELECT user_id, left(sha1(CASE WHEN max(successful) FILTER (successful > 0) IS NOT NULL THEN '1' ELSE '0' END || CASE WHEN max(failed) FILTER (failed > 5) IS NOT NULL THEN '1' ELSE '0' END || '|' || CASE WHEN count(*) = 0 THEN 'none' WHEN count(*) < 10 THEN 'few' WHEN count(*) < 50 THEN 'some' ELSE 'many' END), 12) AS fingerprint FROM imports GROUP BY user_id""".replace("sha1(", "sha1("))
+SELECT user_id, left(sha1(CASE WHEN max(successful) FILTER (successful > 0) IS NOT NULL THEN '1' ELSE '0' END || CASE WHEN max(failed) FILTER (failed > 5) IS NOT NULL THEN '1' ELSE '0' END || '|' || CASE WHEN count(*) = 0 THEN 'none' WHEN count(*) < 10 THEN 'few' WHEN count(*) < 50 THEN 'some' ELSE 'many' END), 12) AS fingerprint FROM imports GROUP BY user_id""")
 def _(imports):
     g = imports.groupBy("user_id").agg(F.max(F.when(F.col("successful") > 0, 1)).alias("a"), F.max(F.when(F.col("failed") > 5, 1)).alias("b"), F.count("*").alias("n"))
     return g.select("user_id", K.format_fingerprint({"a": F.col("a"), "b": F.col("b")}, F.col("n")).alias("fingerprint"))
