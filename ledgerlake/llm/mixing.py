@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import BLANKS, save, table
+from ledgerlake.llm.common import BLANKS, bounded, save, table
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -93,6 +93,8 @@ def cuts(drawn: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHARE_
         .where((F.col("base") <= F.col("rest")) & (F.col("base") + F.col("bin_size") > F.col("rest")))
         .select("of", F.col("bin").alias("cross_bin"), "base", "rest")
     )
+    # A row a source: broadcast, so that only the rows of the crossing bins are dealt out by source.
+    crossing = bounded(save(crossing, "mix-crossing"))
     order = Window.partitionBy("source").orderBy("__key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = rows.join(crossing, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("cross_bin")))
     inside = near.withColumn("before", F.col("base") + F.sum("__size").over(order) - F.col("__size")).where(2 * F.col("before") + F.col("__size") <= 2 * F.col("rest"))
@@ -112,7 +114,7 @@ def _times(cut: str) -> Column:
 def mix_report(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs(doc_id, text, source)."""
     drawn = save(_drawn(docs.select("doc_id", "text", "source"), seed).drop("text"), "mix-drawn")
-    cut = cuts(drawn, **how).select("__of", F.struct("*").alias("__cut"))
+    cut = bounded(save(cuts(drawn, **how).select("__of", F.struct("*").alias("__cut")), "mix-cuts"))
     joined = drawn.join(cut, F.col("source").eqNullSafe(F.col("__of")))
     return joined.select("doc_id", F.col("__size").alias("size"), F.col("__cut.source_size").alias("source_size"), F.col("__cut.target").alias("target"), (_times("__cut") * F.col("__size")).alias("taken"))
 
@@ -120,7 +122,7 @@ def mix_report(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
 def mix(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """The rows of docs as often as the mix takes them, with exactly their own columns."""
     slim = save(_drawn(docs.select("doc_id", "text", "source"), seed).drop("text"), "mix-drawn")
-    cut = cuts(slim, **how).select("__of", F.struct("epochs", "cross_bin", "last").alias("__cut"))
+    cut = bounded(save(cuts(slim, **how).select("__of", F.struct("epochs", "cross_bin", "last").alias("__cut")), "mix-cuts"))
     joined = _drawn(docs, seed).join(cut, F.col("source").eqNullSafe(F.col("__of")))
     return joined.withColumn("__again", F.explode(F.array_repeat(F.lit(1), _times("__cut").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
