@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import map_batches, save, table, utf8
+from ledgerlake.llm.common import bounded, map_batches, save, table, utf8
 
 BUCKETS = 1 << 14
 #: Labelled rows of a language that fitting may use at most.
@@ -93,7 +93,8 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("lang").cast("string").alias("lang"), F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 40)).alias("h"), utf8().alias("raw"))
     bound = known.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("of"), F.least(F.lit(1.0), 1.2 * sample / F.col("n") + 100 / F.col("n")).alias("share"))
-    near = known.join(bound, F.col("lang") == F.col("of")).where(F.col("h") < F.col("share") * float(1 << 40))
+    # A row a language: broadcast, so that no text is shuffled but the sample's.
+    near = known.join(bounded(save(bound, "language-shares"), 100_000), F.col("lang") == F.col("of")).where(F.col("h") < F.col("share") * float(1 << 40))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "raw"))
     return near.withColumn("r", rank).where(F.col("r") <= sample).select("lang", "raw")
 
