@@ -58,6 +58,18 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Rows of a batch between Spark and Python: texts are long, and a worker holds a batch of them several times over.
+BATCH_ROWS = 1000
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """Let the session hand texts to Python in batches of BATCH_ROWS, unless it has smaller ones; returns df."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name)) <= 0 or int(conf.get(name)) > BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def utf8(name: str = "text") -> Column:
     """A text column as its UTF-8 bytes, which Python workers get without decoding; null stays null."""
     return F.col(name).cast("string").cast("binary")
@@ -65,7 +77,7 @@ def utf8(name: str = "text") -> Column:
 
 def map_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
     """mapInArrow over `df`. start() runs once a task and returns what turns a batch into columns (name -> values)."""
-    spark = df.sparkSession
+    spark = bound_batches(df).sparkSession
     fields = spark.createDataFrame([], schema).schema
     names = fields.fieldNames()
     types = [_arrow(f.dataType.simpleString()) for f in fields]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import save, table, utf8
+from ledgerlake.llm.common import bound_batches, save, table, utf8
 
 WINDOW = 13
 BLOCK_WORDS = 1 << 19
@@ -96,7 +96,7 @@ def build_index(docs: DataFrame, vocabulary: list[bytes] | None = None) -> DataF
         if listed:
             yield flush()
 
-    return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("raw")).mapInArrow(build, INDEX), "postings")
+    return save(bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("raw")).mapInArrow(build, INDEX), "postings")
 
 
 class Block:

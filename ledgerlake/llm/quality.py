@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.common import table, utf8
+from ledgerlake.llm.common import bound_batches, table, utf8
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -96,7 +96,7 @@ def failure_bits(m: str) -> Column:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, every measurement and `failures` (a bit for each rule) for each row of docs(doc_id, text); no shuffle."""
-    return docs.select("doc_id", measured(utf8()).alias("m")).select("doc_id", "m.*", failure_bits("m").alias("failures"))
+    return bound_batches(docs).select("doc_id", measured(utf8()).alias("m")).select("doc_id", "m.*", failure_bits("m").alias("failures"))
 
 
 def passes(policy: str = "v1", failures: Column | None = None) -> Column:
@@ -121,7 +121,7 @@ def ablations(book: DataFrame, policy: str = "v1") -> DataFrame:
 
 def filter_documents(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The rows of docs that pass the policy, with exactly their own columns."""
-    return docs.withColumn("__m", measured(utf8())).where(passes(policy, failure_bits("__m"))).drop("__m")
+    return bound_batches(docs).withColumn("__m", measured(utf8())).where(passes(policy, failure_bits("__m"))).drop("__m")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import Bounded, new_path, per_worker, save, table, temp_name, utf8
+from ledgerlake.llm.common import Bounded, bound_batches, new_path, per_worker, save, table, temp_name, utf8
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -176,7 +176,7 @@ FILES = "path string, part int, n_docs bigint, n_tokens bigint"
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """Encode docs(doc_id, text) in ascending order of doc_id into files under `folder`, and return the list of files."""
-    ordered = docs.select("doc_id", utf8().alias("raw")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "raw")
+    ordered = bound_batches(docs).select("doc_id", utf8().alias("raw")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "raw")
     job = uuid.uuid4().hex[:8]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
