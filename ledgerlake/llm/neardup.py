@@ -99,30 +99,28 @@ def digest(found: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), class (digest of the set), bands, signature (a byte of each minimum), for each row of docs."""
+    """doc_id, n (set size), class (digest of the set), bands (a 64-bit key each), for each row of docs."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("raw"))
 
     def start():
         memo = word_hashes()
 
         def step(batch):
-            out = {k: [] for k in ("n", "class", "bands", "signature")}
+            out = {k: [] for k in ("n", "class", "bands")}
             for raw in batch.column("raw"):
                 found = shingles(raw.as_py() or b"", memo)
                 out["n"].append(len(found))
                 if len(found):
-                    best = minima(found)
                     out["class"].append(digest(found))
-                    out["bands"].append(band_keys(best))
-                    out["signature"].append(best.astype(np.uint8).tobytes())
+                    out["bands"].append(band_keys(minima(found)))
                 else:
-                    for k in ("class", "bands", "signature"):
+                    for k in ("class", "bands"):
                         out[k].append(None)
             return {"doc_id": batch.column("doc_id")} | out
 
         return step
 
-    return map_batches(slim, start, "doc_id bigint, n bigint, class binary, bands array<bigint>, signature binary")
+    return map_batches(slim, start, "doc_id bigint, n bigint, class binary, bands array<bigint>")
 
 
 def _of_classes(docs: DataFrame, ids: DataFrame, classes: DataFrame, make, column: str) -> DataFrame:
@@ -186,29 +184,29 @@ def _rest_pairs(docs: DataFrame, classes: DataFrame, multi: DataFrame, labels: D
     rows = labelled.join(bounded(mixed), "key")
     rows = save(rows, "mixed-rows")
     long = _of_classes(docs, rows.select(F.col("node").alias("id")).distinct(), classes, lambda found: minima(found, HASHES, HASHES + LONG_HASHES).astype(np.uint8).tobytes(), "long")
-    both = save(long.join(reps.select(F.col("rep").alias("id"), "signature"), "id").select(F.col("id").alias("node"), "signature", "long").dropDuplicates(["node"]), "long-signatures")
-    ends = rows.join(both, "node")
+    both = save(long.join(reps.select(F.col("rep").alias("id"), "bands"), "id").select(F.col("id").alias("node"), "bands", "long").dropDuplicates(["node"]), "long-signatures")
+    # Buckets are made by these keys: only an equal key, not a likeness of minima, says that a pair meets in an earlier band.
+    ends = rows.join(both, "node").withColumn("earlier", F.slice("bands", F.lit(1), F.col("band")))
     minor = F.col("component") != F.col("main")
     tile = F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles")).cast("int")
     part = F.pmod(F.xxhash64("node", F.lit(2)), F.col("slices")).cast("int")
     # A class outside the main component stands in its tile opposite every slice; every class stands in its slice opposite every tile.
-    as_minor = ends.where(minor).select("key", tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("part"), F.lit(True).alias("minor"), "band", "node", "n", "component", "signature", "long")
-    as_any = ends.select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), part.alias("part"), F.lit(False).alias("minor"), "band", "node", "n", "component", "signature", "long")
+    as_minor = ends.where(minor).select("key", tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("part"), F.lit(True).alias("minor"), "band", "node", "n", "component", "earlier", "long")
+    as_any = ends.select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), part.alias("part"), F.lit(False).alias("minor"), "band", "node", "n", "component", "earlier", "long")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         out = []
         mine, every = group[group.minor], group[~group.minor]
         if len(mine) and len(every):
             band = int(group.band.iloc[0])
-            bands = np.stack([np.frombuffer(x, f"V{ROWS}") for x in every.signature]).view(f"<u{ROWS}")
+            keys = np.stack(every.earlier.to_list())
             long = np.stack([np.frombuffer(x, np.uint8) for x in every.long])
             node, n, comp = every.node.to_numpy(), every.n.to_numpy(), every.component.to_numpy()
-            for u, nu, cu, su, lu in zip(mine.node, mine.n, mine.component, mine.signature, mine.long, strict=True):
+            for u, nu, cu, ku, lu in zip(mine.node, mine.n, mine.component, mine.earlier, mine.long, strict=True):
                 fits = (comp != cu) & (100 * np.minimum(n, nu) >= PERCENT * np.maximum(n, nu))
                 other = np.flatnonzero(fits)
                 if band and len(other):  # pairs that meet in an earlier band are left to it
-                    earlier = (bands[other, :band] == np.frombuffer(su, f"<u{ROWS}")[:band]).any(axis=1)
-                    other = other[~earlier]
+                    other = other[~(keys[other] == ku).any(axis=1)]
                 same = np.count_nonzero(long[other] == np.frombuffer(lu, np.uint8), axis=1) / LONG_HASHES
                 for k in np.flatnonzero(same >= LEAST_AGREEMENT):
                     v = int(node[other[k]])
@@ -230,7 +228,7 @@ def _unjoined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def links(docs: DataFrame, sigs: DataFrame, classes: DataFrame) -> DataFrame:
     """node, component over classes (by their least doc_id), from confirmed links."""
     spark = docs.sparkSession
-    reps = sigs.join(classes, "class").where(F.col("doc_id") == F.col("rep")).select("rep", "n", "bands", "signature").dropDuplicates(["rep"])
+    reps = sigs.join(classes, "class").where(F.col("doc_id") == F.col("rep")).select("rep", "n", "bands").dropDuplicates(["rep"])
     reps = save(reps, "class-signatures")
     entries = reps.select(F.posexplode("bands").alias("band", "key"), F.col("rep").alias("node"), "n")
     shared = entries.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("k")).where("k > 1").select("key", "hub")

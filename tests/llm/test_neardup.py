@@ -114,6 +114,27 @@ def test_a_pair_at_the_threshold_is_rarely_missed():
     assert missed == 0
 
 
+def test_no_candidate_is_left_to_a_band_it_does_not_share(spark):
+    rng = random.Random(5)
+    docs = []
+    for k in range(2500):  # pairs just above the threshold: 40 words, 3 of the 36 shingles changed at either end
+        words = [f"p{k}w{i}" for i in range(40)]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([f"x{rng.random()}"] * 2 + words[2:38] + [f"y{rng.random()}"] * 2))]
+    memo = N.word_hashes()
+    found = {i: N.shingles(t.encode(), memo) for i, t in docs}
+    keys = {i: N.band_keys(N.minima(s)) for i, s in found.items()}
+    wanted = {(i, i + 1) for i in range(0, len(docs), 2) if (keys[i] == keys[i + 1]).any()}
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    sigs = N.save(N.signatures(df), "signatures")
+    classes = N.save(sigs.groupBy("class").agg(N.F.min("doc_id").alias("rep")), "classes")
+    reps = N.save(sigs.join(classes, "class").withColumnRenamed("doc_id", "id").drop("id"), "class-signatures")
+    entries = reps.select(N.F.posexplode("bands").alias("band", "key"), N.F.col("rep").alias("node"), "n")
+    none = spark.createDataFrame([], "node bigint, component bigint")
+    got = {(r.u, r.v) for r in N._rest_pairs(df, classes, entries, none, reps).collect()}
+    assert len(wanted) > 2000
+    assert wanted == got
+
+
 @pytest.mark.parametrize("n", [0, 1, 4, 5, 6])
 def test_short_texts(n):
     assert len(N.shingles(b" ".join([b"w%d" % i for i in range(n)]), N.word_hashes())) == max(min(n, 1), n - 4)
