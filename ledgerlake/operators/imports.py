@@ -8,15 +8,28 @@ from pyspark.sql import functions as F
 from ledgerlake.functions.text import levenshtein_similarity
 
 
-def duplicates(new: DataFrame, known: DataFrame, least: float = 0.90, reach: int = 3) -> DataFrame:
-    """new_id, known_id, kind, score: EXACT (same day, amount and description), SAME_ID, or SIMILAR from 0.90 on.
+#: Days around a user's new rows in which known rows are looked at.
+AROUND = 35
 
-    Candidates share the user and a day within `reach` (days are exploded on the new side), so the join is on equality.
+
+def duplicates(new: DataFrame, known: DataFrame, least: float = 0.90) -> DataFrame:
+    """new_id, known_id, kind, score: EXACT (same day, amount and description), SAME_ID, or SIMILAR from `least` on.
+
+    Candidates are a user's known rows from AROUND days before the first to AROUND days after the last new row. Rows of one feed id
+    are joined on it at any distance; others on the user and buckets of days, as far as the score can still be `least`.
     """
+    reach = max(0, int((1 - least + 0.00005) / 0.02))  # equal amounts and texts score 1 - 0.02 a day, rounded to 4 digits
+    bucket = lambda day, by=0: F.floor((F.unix_date(F.col(day)) + by) / (reach + 1))
     n = new.select("user_id", F.col("transaction_id").alias("new_id"), F.col("amount").alias("n_amount"), F.col("transaction_date").alias("n_date"), F.lower(F.trim("description")).alias("n_text"), F.col("plaid_transaction_id").alias("n_feed"))
-    days = n.withColumn("day", F.explode(F.sequence(F.date_add("n_date", -reach), F.date_add("n_date", reach))))
     k = known.select(F.col("user_id").alias("k_user"), F.col("transaction_id").alias("known_id"), F.col("amount").alias("k_amount"), F.col("transaction_date").alias("k_date"), F.lower(F.trim("description")).alias("k_text"), F.col("plaid_transaction_id").alias("k_feed"))
-    pairs = days.join(k, (F.col("user_id") == F.col("k_user")) & (F.col("day") == F.col("k_date"))).where("new_id <> known_id")
+    span = n.groupBy(F.col("user_id").alias("k_user")).agg(F.date_add(F.min("n_date"), -AROUND).alias("first"), F.date_add(F.max("n_date"), AROUND).alias("last"))
+    k = k.join(span, "k_user").where(F.col("k_date").between(F.col("first"), F.col("last"))).drop("first", "last")
+    near = n.withColumn("bucket", F.explode(F.sequence(bucket("n_date", -reach), bucket("n_date", reach))))
+    near = near.join(k.withColumn("k_bucket", bucket("k_date")), (F.col("user_id") == F.col("k_user")) & (F.col("bucket") == F.col("k_bucket"))).where(F.abs(F.datediff("n_date", "k_date")) <= reach)
+    # The least known id is returned: of each feed id the two least do, as one may be the new row itself.
+    of_feed = k.where("k_feed IS NOT NULL").withColumn("r", F.dense_rank().over(Window.partitionBy("k_user", "k_feed").orderBy("known_id"))).where("r <= 2").drop("r")
+    fed = n.join(of_feed, (F.col("user_id") == F.col("k_user")) & (F.col("n_feed") == F.col("k_feed")))
+    pairs = near.drop("bucket", "k_bucket").unionByName(fed).where("new_id <> known_id")
     exact = (F.col("n_date") == F.col("k_date")) & (F.abs("n_amount") == F.abs("k_amount")) & (F.col("n_text") == F.col("k_text"))
     same_id = F.coalesce(F.col("n_feed") == F.col("k_feed"), F.lit(False))
     off = F.abs(F.abs("n_amount") - F.abs("k_amount")).cast("double") / F.greatest(F.abs("n_amount"), F.abs("k_amount")).cast("double")
