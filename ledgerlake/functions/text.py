@@ -33,6 +33,11 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def lengths_fit(a: Column, b: Column, share: float) -> Column:
+    """The shorter text has at least this share of the longer one's length; a Levenshtein similarity of `share` needs that."""
+    return F.least(F.length(a), F.length(b)) >= F.greatest(F.length(a), F.length(b)) * (share - 1e-9)
+
+
 def token_jaccard(a: Column, b: Column) -> Column:
     x, y = F.array_distinct(F.split(F.lower(a), r"\s+")), F.array_distinct(F.split(F.lower(b), r"\s+"))
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlake.functions.dates import day
 from ledgerlake.functions.filters import between, not_deleted
 from ledgerlake.functions.money import money, total, total_if
-from ledgerlake.functions.text import jaro_winkler, merchant_key
+from ledgerlake.functions.text import jaro_winkler_similarity, lengths_fit, merchant_key
 
 
 def insights_summary(found: dict[str, DataFrame], savings: DataFrame) -> DataFrame:
@@ -47,20 +47,23 @@ def alternatives(subscriptions: DataFrame, offers: list[tuple[str, str, str]]) -
 def merchant_clusters(tx: DataFrame, least: float = 0.90) -> DataFrame:
     """A user's merchant keys in clusters: in order of name, each key that no cluster has yet takes those from 0.90 on by Jaro-Winkler.
 
-    One pass, as in the source system; a merged key draws no further ones. Names, not rows, form a group, blocked by the first letter.
+    One pass, as in the source system; a merged key draws no further ones. Alike names are found by a join, and only they form a user's group.
     """
-    names = tx.where("merchant_name IS NOT NULL").select("user_id", merchant_key(F.col("merchant_name")).alias("merchant")).distinct().withColumn("block", F.substring("merchant", 1, 1))
+    names = tx.where("merchant_name IS NOT NULL").select("user_id", merchant_key(F.col("merchant_name")).alias("merchant")).distinct()
+    # A prefix adds at most 0.4 of what Jaro leaves, and Jaro is at most (2 + shorter / longer) / 3.
+    share = 3 * (least - 0.4) / 0.6 - 2
+    pairs = names.withColumnRenamed("merchant", "head").join(names, "user_id").where(F.col("head") < F.col("merchant")).where(lengths_fit(F.col("head"), F.col("merchant"), share))
+    pairs = pairs.where(jaro_winkler_similarity(F.col("head"), F.col("merchant")) >= least).select("user_id", "head", "merchant")
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, out = sorted(pdf.merchant), []
-        while left:
-            head = left.pop(0)
-            mine = [m for m in left if jaro_winkler(head, m) >= least]
-            out += [(head, m) for m in (head, *mine)]
-            left = [m for m in left if m not in mine]
-        return pd.DataFrame({"user_id": pdf.user_id.iloc[0], "cluster": [c for c, _ in out], "merchant": [m for _, m in out]})
-
-    return names.groupBy("user_id", "block").applyInPandas(cluster, "user_id bigint, cluster string, merchant string")
+        taken = {}
+        for head, name in sorted(zip(pdf["head"], pdf["merchant"], strict=True)):
+            if head not in taken:
+                taken.setdefault(name, head)
+        return pd.DataFrame({"user_id": pdf.user_id.iloc[0], "cluster": list(taken.values()), "merchant": list(taken)})
+
+    taken = pairs.groupBy("user_id").applyInPandas(cluster, "user_id bigint, cluster string, merchant string")
+    return names.join(taken, ["user_id", "merchant"], "left").select("user_id", F.coalesce("cluster", "merchant").alias("cluster"), "merchant")
 
 
 def match_accounts(detected: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlake.functions.dates import UNUSED_DAYS, day, next_payment, roll_forward
 from ledgerlake.functions.filters import between, not_deleted
 from ledgerlake.functions.money import cents_median, money, total
-from ledgerlake.functions.text import levenshtein_similarity, merchant_key
+from ledgerlake.functions.text import lengths_fit, levenshtein_similarity, merchant_key
 from ledgerlake.operators.recurrence import frequency, gaps
 
 #: What makes a charge a candidate, what rules it out, and the rows that each frequency needs.
@@ -69,12 +69,12 @@ def lifecycle(subscriptions: DataFrame, as_of: str) -> DataFrame:
 def matched_payments(subscriptions: DataFrame, tx: DataFrame, least: float = 0.8, off: str = "0.05") -> DataFrame:
     """Expenses of a user whose merchant is like the subscription's and whose amount is within 5 %.
 
-    Merchants, not rows, are compared: distinct names of a user against the user's subscriptions, blocked by the name's first letter.
+    Merchants, not rows, are compared: distinct names of a user against the user's subscriptions, where the lengths allow it.
     """
-    subs = subscriptions.select("subscription_id", "user_id", merchant_key(F.col("merchant_name")).alias("key"), F.col("amount").alias("price")).withColumn("block", F.substring("key", 1, 1))
+    subs = subscriptions.select("subscription_id", "user_id", merchant_key(F.col("merchant_name")).alias("key"), F.col("amount").alias("price"))
     rows = tx.where((F.col("amount") < 0) & F.col("merchant_name").isNotNull()).withColumn("name", merchant_key(F.col("merchant_name")))
-    names = rows.select("user_id", "name").distinct().withColumn("block", F.substring("name", 1, 1))
-    alike = subs.join(names, ["user_id", "block"]).where(levenshtein_similarity(F.col("key"), F.col("name")) >= least).select("subscription_id", "user_id", "name", "price")
+    names = rows.select("user_id", "name").distinct()
+    alike = subs.join(names, "user_id").where(lengths_fit(F.col("key"), F.col("name"), least)).where(levenshtein_similarity(F.col("key"), F.col("name")) >= least).select("subscription_id", "user_id", "name", "price")
     paid = rows.select("user_id", "name", "transaction_id", "transaction_date", F.abs("amount").alias("spent"))
     close = F.abs(F.col("spent") - F.col("price")) <= F.col("price") * F.lit(off).cast("decimal(5,2)")
     return alike.join(paid, ["user_id", "name"]).where(close)

@@ -83,16 +83,14 @@ WITH a AS (SELECT DISTINCT merchant_name AS a FROM tx WHERE merchant_name IS NOT
 SELECT a, b, round(1 - levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE), 6) AS similarity, round(len(list_intersect(list_distinct(string_split(lower(a), ' ')), list_distinct(string_split(lower(b), ' ')))) / CAST(len(list_distinct(list_concat(string_split(lower(a), ' '), string_split(lower(b), ' ')))) AS DOUBLE), 6) AS jaccard FROM a JOIN b ON a[1] = b[1]""")
 def _(tx, subscriptions):
     a, b = tx.where("merchant_name IS NOT NULL").select(F.col("merchant_name").alias("a")).distinct(), subscriptions.select(F.col("merchant_name").alias("b")).distinct()
-    pairs = a.withColumn("first", F.substring("a", 1, 1)).join(b.withColumn("first", F.substring("b", 1, 1)), "first")
-    return pairs.select("a", "b", F.round(X.levenshtein_similarity(F.col("a"), F.col("b")), 6).alias("similarity"), F.round(X.token_jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+    return a.crossJoin(b).select("a", "b", F.round(X.levenshtein_similarity(F.col("a"), F.col("b")), 6).alias("similarity"), F.round(X.token_jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
 @register("f08_jaro_winkler", "a s, b s, similarity f", "tx subscriptions", """
 WITH a AS (SELECT DISTINCT merchant_name AS a FROM tx WHERE merchant_name IS NOT NULL), b AS (SELECT DISTINCT merchant_name AS b FROM subscriptions) SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS similarity FROM a JOIN b ON a[1] = b[1]""")
 def _(tx, subscriptions):
     a, b = tx.where("merchant_name IS NOT NULL").select(F.col("merchant_name").alias("a")).distinct(), subscriptions.select(F.col("merchant_name").alias("b")).distinct()
-    pairs = a.withColumn("first", F.substring("a", 1, 1)).join(b.withColumn("first", F.substring("b", 1, 1)), "first")
-    return pairs.select("a", "b", F.round(X.jaro_winkler_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    return a.crossJoin(b).select("a", "b", F.round(X.jaro_winkler_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
 @register("f38_statement_check", "account_id l, result s", "accounts", """

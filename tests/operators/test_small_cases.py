@@ -4,7 +4,8 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlake.operators import aggregates, anomalies, budgets, imports, recurrence, subscriptions
+from ledgerlake.functions.text import jaro_winkler
+from ledgerlake.operators import aggregates, anomalies, budgets, imports, overview, recurrence, subscriptions
 from ledgerlake.sources import tables
 from ledgerlake.streaming import activity
 
@@ -119,6 +120,32 @@ def test_import_matches_at_every_distance(spark):
     assert "n" not in {r.transaction_id for r in imports.import_rows(new, known).collect()}
 
 
+def test_fuzzy_merchants_differ_in_the_first_letter_too(spark):
+    subs = spark.createDataFrame([("s", 1, "New York Times", D("10")), ("t", 1, "The New York Times", D("99")), ("u", 2, "Finity", D("10"))], "subscription_id string, user_id bigint, merchant_name string, amount decimal(19,2)")
+    rows = tx(spark, {"merchant_name": "The New York Times"}, {"merchant_name": "York"}, {"merchant_name": "Xfinity", "user_id": 2}, {"merchant_name": "Xfinity", "user_id": 3})
+    assert sorted((r.subscription_id, r.name) for r in subscriptions.matched_payments(subs, rows).collect()) == [("s", "thenewyorktimes"), ("u", "xfinity")]
+
+
+def test_merchant_clusters_are_those_of_one_pass(spark):
+    import random
+
+    rng, users = random.Random(3), {}
+    for user in range(6):
+        base = ["".join(rng.choice("abcd") for _ in range(rng.choice([6, 9, 14]))) for _ in range(5)]
+        users[user] = {n[:k] + rng.choice(["", "a", "b"]) + n[k + rng.choice([0, 1]) :] for n in base for k in (0, 0, 1, 4, 5, 6)} | {"xfinitytelevision", "finitytelevision"}
+    want, other_letter = [], 0
+    for user, names in users.items():
+        left = sorted(names)
+        while left:
+            head = left[0]
+            mine = [m for m in left if m == head or jaro_winkler(head, m) >= 0.90]
+            other_letter += sum(m[0] != head[0] for m in mine)
+            want += [(user, head, m) for m in mine]
+            left = [m for m in left if m not in mine]
+    got = overview.merchant_clusters(tx(spark, *[{"user_id": u, "merchant_name": n} for u, names in users.items() for n in names])).collect()
+    assert other_letter and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_appending_twice_adds_nothing(spark, tmp_path):
     path = str(tmp_path / "t")
     for _ in range(2):
