@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), one of our own is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session of one machine may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file:///tmp/checkpoints/ledgerlake"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -88,10 +90,24 @@ def map_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], di
             cols = step(batch)
             arrays = [c if isinstance(c := cols[n], pa.Array | pa.ChunkedArray) else pa.array(c, t) for n, t in zip(names, types, strict=True)]
             yield from pa.table(dict(zip(names, arrays, strict=True))).to_batches()
+        del step
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """At a task's end: a Python worker lives as long as its executor, and what it has freed goes back to the machine."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _arrow(kind: str) -> pa.DataType:
     plain = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_()}
     if kind in plain:

@@ -6,16 +6,19 @@ band are candidates. At the similarity asked for, a pair shares no band with a p
 
 Links are confirmed on full sets, and no bucket is turned into all its pairs:
 1. stars: each class of a bucket is compared with the bucket's least class. The links found give first components.
-2. rest: buckets that still hold several components. Their classes get a longer signature, and those outside a bucket's largest
-   component are compared with the whole bucket, in tiles of bounded size inside tasks; pairs of different components
-   that may be similar enough come out, each at its first common band only. The best pair of each class and component is
-   confirmed first, then all that still join different components.
-What the rest finds is merged with the first components, so no candidate link between components is lost.
-
-Rows are found again by doc_id. Defined results: a null or empty text has an empty set, is linked with nothing and is kept; a
-row without a doc_id is linked with nothing, has no component and is kept; texts under one doc_id are one document (their classes
-are linked); repeated rows are each returned by near_duplicates() and one of them is kept by deduplicate(); ties do
-not occur, as the least doc_id decides; an empty table gives no rows. Only doc_id and text are read; deduplicate() keeps all.
+2. Buckets that still hold several components. Their classes get a long signature of one bit a hash, and those outside a bucket's
+   largest component are compared with the whole bucket, in tiles of bounded size inside tasks.
+   a. Each of them names one partner in a tile: of those that are clearly similar the least, else the best. Classes that are
+      alike name the same partner, so a group of copies beside a bucket's least class comes together through as many pairs as it has rows.
+   b. Over what is then still apart, all pairs that may be similar enough are confirmed, each at its first common band.
+So no candidate link between components is lost.
+
+Nodes are classes: the least doc_id of a class, or a number from 2^62 on where another class has that doc_id too (ids must lie
+below). Rows are found again by doc_id. Defined results: a null or empty text has an empty set, is linked with nothing and is
+kept; a row without a doc_id is linked with nothing, has no component and is kept; texts under one doc_id are one document (their
+classes are linked); repeated rows are each returned by near_duplicates() and one of them is kept by deduplicate(); ties do not
+occur, as the least doc_id decides; an empty table gives no rows. Only doc_id and text are read; deduplicate() keeps all columns,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,75 +26,81 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import Bounded, bounded, discard, map_batches, save, table, utf8
+from ledgerlake.llm.common import bounded, discard, give_back, map_batches, save, table, utf8
 from ledgerlake.llm.components import components
+from ledgerlake.llm.words import groups, hashes, mix, places, runs
 
 WORDS = 5
 #: Linked when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
-#: The longer signature of the classes in mixed buckets. Pairs that agree in less than this share of its places are not
-#: confirmed: five deviations below PERCENT.
-LONG_HASHES, LEAST_AGREEMENT = 1024, 0.68
+#: The long signature of the classes in mixed buckets has one bit for each of so many hashes. Sets of similarity s agree in
+#: (1 + s) / 2 of the bits. Below LEAST_BITS (similarity 0.64, more than five deviations below PERCENT) a pair is not confirmed;
+#: from CLEAR_BITS on (0.86, five above) it is clearly similar. FIRST_BITS of the first FIRST_WORDS words are asked for first.
+LONG_HASHES, LEAST_BITS, CLEAR_BITS = 1024, 840, 952
+FIRST_WORDS, FIRST_BITS = 4, 192
 #: Classes of a tile: a task compares at most TILE classes of other components with SLICE classes of a bucket at once.
-TILE, SLICE = 512, 4096
+TILE, SLICE = 512, 2048
+#: Shingles whose hash minima are taken together.
+RUN = 1 << 15
 
 _rng = np.random.default_rng(20_240_501)
 _PLACE = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_A = _rng.integers(1, 1 << 63, HASHES + LONG_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(1, 1 << 63, HASHES + LONG_HASHES, dtype=np.uint64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit words that spreads every bit."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def word_hashes():
-    """A per-task memo: word -> 64-bit hash."""
-    import xxhash
-
-    return Bounded(xxhash.xxh3_64_intdigest)
-
-
-def shingles(raw: bytes, memo: dict) -> np.ndarray:
-    """The sorted distinct hashes of a text's 5-word shingles; of the whole sequence where there are fewer words."""
-    words = raw.lower().split()
-    h = np.array([memo[w] for w in words], np.uint64)
-    if not len(h):
-        return h
-    n = min(WORDS, len(h))
-    total = np.full(len(h) - n + 1, n, np.uint64)
-    for k in range(n):
-        total += h[k : len(h) - n + 1 + k] * _PLACE[k]
-    return np.unique(_mix(total))
-
-
-def minima(found: np.ndarray, first: int = 0, last: int = HASHES) -> np.ndarray:
-    """The least value of universal hashes first to last over a set."""
-    a, b = _A[first:last], _B[first:last]
-    best = np.full(last - first, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(found), 256):
-        best = np.minimum(best, (found[i : i + 256, None] * a + b).min(axis=0))
-    return best >> np.uint64(16)
+_A = _rng.integers(1, 1 << 31, HASHES + LONG_HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(1, 1 << 32, HASHES + LONG_HASHES, dtype=np.uint32)
+
+
+def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """For each text of a binary column the sorted distinct hashes of its shingles; of all its words where there are fewer."""
+    for data, offsets in groups(column):
+        begins, ends, counts = places(data, offsets)
+        yield from runs(hashes(data, begins, ends), counts, WORDS, _PLACE)
+
+
+def shingles(raw: bytes) -> np.ndarray:
+    return next(shingle_sets(pa.array([raw], pa.binary())))
+
+
+def minima(sets: list[np.ndarray], first: int = 0, last: int = HASHES) -> np.ndarray:
+    """The least value of universal hashes first to last (a x + b modulo 2^32) over each set; a row a set, none of them empty."""
+    out = np.empty((len(sets), last - first), np.uint32)
+    i = 0
+    while i < len(sets):
+        j, held = i, 0
+        while j < len(sets) and (j == i or held + len(sets[j]) <= RUN):
+            held += len(sets[j])
+            j += 1
+        x = (np.concatenate(sets[i:j]) >> np.uint64(32)).astype(np.uint32)
+        at = np.cumsum([0] + [len(s) for s in sets[i : j - 1]])
+        h = np.empty_like(x)
+        for k in range(first, last):
+            np.multiply(x, _A[k], out=h)
+            np.add(h, _B[k], out=h)
+            out[i:j, k - first] = np.minimum.reduceat(h, at)
+        i = j
+    return out
 
 
 def band_keys(best: np.ndarray) -> np.ndarray:
-    bands = best.reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=np.uint64)
+    """A 64-bit key for each band of each row of minima."""
+    bands = best.reshape(len(best), BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), bands.shape[:2])
     for k in range(ROWS):
-        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + bands[:, k])
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, k])
     return key.view(np.int64)
 
 
+def long_bits(sets: list[np.ndarray]) -> list[bytes]:
+    """One bit of each of LONG_HASHES minima, as bytes."""
+    best = minima(sets, HASHES, HASHES + LONG_HASHES)
+    return [row.tobytes() for row in np.packbits((best * np.uint32(0x9E3779B1)) >> np.uint32(31) > 0, axis=1)]
+
+
 def digest(found: np.ndarray) -> bytes:
     import hashlib
 
@@ -103,66 +112,66 @@ def signatures(docs: DataFrame) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("raw"))
 
     def start():
-        memo = word_hashes()
-
         def step(batch):
-            out = {k: [] for k in ("n", "class", "bands")}
-            for raw in batch.column("raw"):
-                found = shingles(raw.as_py() or b"", memo)
-                out["n"].append(len(found))
-                if len(found):
-                    out["class"].append(digest(found))
-                    out["bands"].append(band_keys(minima(found)))
-                else:
-                    for k in ("class", "bands"):
-                        out[k].append(None)
-            return {"doc_id": batch.column("doc_id")} | out
+            sets = list(shingle_sets(batch.column("raw")))
+            full = [s for s in sets if len(s)]
+            none = pa.array([not len(s) for s in sets], pa.bool_())
+            lengths = np.array([BANDS if len(s) else 0 for s in sets], np.int32)
+            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            keys = band_keys(minima(full)).ravel()
+            return {
+                "doc_id": batch.column("doc_id"),
+                "n": [len(s) for s in sets],
+                "class": [digest(s) if len(s) else None for s in sets],
+                "bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys, pa.int64()), mask=none),
+            }
 
         return step
 
     return map_batches(slim, start, "doc_id bigint, n bigint, class binary, bands array<bigint>")
 
 
-def _of_classes(docs: DataFrame, ids: DataFrame, classes: DataFrame, make, column: str) -> DataFrame:
-    """id, `column`: make(set) of each class in `ids` (id: its least doc_id), made again from that document's text."""
-    wanted = bounded(save(ids.join(classes.select(F.col("rep").alias("id"), "class"), "id"), "wanted"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), utf8().alias("raw")).join(wanted, "id")
+def _of_classes(docs: DataFrame, nodes: DataFrame, classes: DataFrame, make, column: str) -> DataFrame:
+    """node, `column`: make([set, ...]) of each class in `nodes`, from the text of its least doc_id."""
+    wanted = save(nodes.join(classes, "node").select("node", "rep", "class"), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), utf8().alias("raw")).join(bounded(wanted), "rep")
 
     def start():
-        memo = word_hashes()
-
         def step(batch):
-            out = []
-            for raw, of in zip(batch.column("raw"), batch.column("class"), strict=True):
-                found = shingles(raw.as_py() or b"", memo)
-                out.append(make(found) if digest(found) == of.as_py() else None)
-            return {"id": batch.column("id"), column: out}
+            sets = list(shingle_sets(batch.column("raw")))
+            right = [i for i, of in enumerate(batch.column("class").to_pylist()) if digest(sets[i]) == of]
+            made: list = [None] * len(sets)
+            for i, value in zip(right, make([sets[i] for i in right]) if right else (), strict=True):
+                made[i] = value
+            return {"node": batch.column("node"), column: made}
 
         return step
 
-    return map_batches(texts, start, f"id bigint, {column} binary").where(F.col(column).isNotNull())
+    return map_batches(texts, start, f"node bigint, {column} binary").where(F.col(column).isNotNull())
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of the written pairs (u, v; least doc_ids of classes) whose full sets are similar enough.
+    """Those of the written pairs (u, v: nodes) whose full sets are similar enough.
 
     Sets are made again from the texts of the documents concerned, and each u's set goes to its v's.
     """
-    ends = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    sets = _of_classes(docs, ends, classes, lambda found: found.tobytes(), "set")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = _of_classes(docs, ends, classes, lambda found: [s.tobytes() for s in found], "set")
     few = bounded(pairs)
-    left = sets.join(few.select(F.col("u").alias("id"), F.col("v").alias("other")), "id").select(F.col("other").alias("v"), F.col("id").alias("u"), F.col("set").alias("a"))
-    targets = save(pairs.select(F.col("v").alias("id")).distinct(), "pair-targets")
-    right = sets.join(bounded(targets), "id").select(F.col("id").alias("v"), F.col("set").alias("b"))
+    left = sets.join(few.select(F.col("u").alias("node"), F.col("v").alias("other")), "node").select(F.col("other").alias("v"), F.col("node").alias("u"), F.col("set").alias("a"))
+    targets = save(pairs.select(F.col("v").alias("node")).distinct(), "pair-targets")
+    right = sets.join(bounded(targets), "node").select(F.col("node").alias("v"), F.col("set").alias("b"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * common >= PERCENT * (len(a) + len(b) - common))
+                both = np.sort(np.concatenate([a, b]))
+                common = np.count_nonzero(both[1:] == both[:-1])
+                keep.append(100 * common >= PERCENT * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     out = save(left.join(right, "v").select("u", "v", "a", "b").mapInArrow(compare, "u bigint, v bigint").distinct(), "confirmed")
     discard(docs.sparkSession, targets)
@@ -174,17 +183,88 @@ def _sizes_fit(a, b):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def _rest_pairs(docs: DataFrame, classes: DataFrame, multi: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """u, v, cu, cv, agreement: pairs of different components that share a bucket and whose signatures agree enough."""
-    labelled = multi.join(labels.withColumnRenamed("node", "u0"), F.col("node") == F.col("u0"), "left").select("key", "band", "node", "n", F.coalesce("component", "node").alias("component"))
+def _column(found: pa.Table, name: str, dtype, width: int = 1) -> np.ndarray:
+    """A column without nulls as an array; lists and bytes of one length as rows."""
+    whole = found.column(name).combine_chunks()
+    whole = whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+    if pa.types.is_binary(whole.type) or pa.types.is_large_binary(whole.type):
+        return np.frombuffer(b"".join(whole.to_pylist()), dtype).reshape(len(whole), width)
+    if pa.types.is_list(whole.type) or pa.types.is_large_list(whole.type):
+        return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), width)
+    return whole.to_numpy(zero_copy_only=False)
+
+
+def _agreeing(every: np.ndarray, one: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of `among` agree with `one` in LEAST_BITS at least, and in how many. every: (words, classes)."""
+
+    def count(begin: int, end: int, at: np.ndarray) -> np.ndarray:
+        same = np.zeros(len(at), np.int32)
+        for w in range(begin, end):
+            same += 64 - np.bitwise_count(every[w][at] ^ one[w]).astype(np.int32)
+        return same
+
+    first = count(0, FIRST_WORDS, among)
+    near = first >= FIRST_BITS
+    among, first = among[near], first[near]
+    same = first + count(FIRST_WORDS, len(every), among)
+    near = same >= LEAST_BITS
+    return among[near], same[near]
+
+
+_PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _partners(of_all: bool):
+    """What a tile gives: all its pairs at their first common band, or one partner of each class outside the main component."""
+
+    def compare(found: pa.Table) -> pa.Table:
+        us, vs = [], []
+        minor = _column(found, "minor", bool)
+        mine, every = found.filter(pa.array(minor)), found.filter(pa.array(~minor))
+        if len(mine) and len(every):
+            band = int(found.column("band")[0].as_py())
+            node, n, comp = (_column(every, c, np.int64) for c in ("node", "n", "component"))
+            bits = np.ascontiguousarray(_column(every, "long", np.uint64, LONG_HASHES // 64).T)
+            keys, my_keys = _column(every, "earlier", np.int64, band), _column(mine, "earlier", np.int64, band)
+            my_bits = _column(mine, "long", np.uint64, LONG_HASHES // 64)
+            for i, (u, nu, cu) in enumerate(zip(*(_column(mine, c, np.int64).tolist() for c in ("node", "n", "component")), strict=True)):
+                fits = np.flatnonzero((comp != cu) & (100 * np.minimum(n, nu) >= PERCENT * np.maximum(n, nu)))
+                other, same = _agreeing(bits, my_bits[i], fits)
+                if of_all:
+                    other = other[~(keys[other] == my_keys[i]).any(axis=1)] if band else other
+                elif len(other):
+                    clear = other[same >= CLEAR_BITS]
+                    best = other[same == same.max()]
+                    other = [clear[np.argmin(node[clear])] if len(clear) else best[np.argmin(node[best])]]
+                for k in other:
+                    v = int(node[k])
+                    us.append(min(u, v))
+                    vs.append(max(u, v))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())}, _PAIRS)
+
+    return compare
+
+
+def _mixed(multi: DataFrame, labels: DataFrame) -> DataFrame:
+    """The bucket rows (key, band, node, n, component) of buckets with several components, with the bucket's main one and its tiles."""
+    labelled = multi.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "band", "node", "n", F.coalesce("component", "node").alias("component"))
     labelled = save(labelled, "bucket-components")
     counts = labelled.groupBy("key", "component").agg(F.count("*").alias("k"))
     mixed = counts.groupBy("key").agg(F.count("*").alias("n_components"), F.sum("k").alias("k"), F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("k_main")).where("n_components > 1")
     mixed = save(mixed.select("key", "main", F.ceil((F.col("k") - F.col("k_main")) / TILE).cast("int").alias("tiles"), F.ceil(F.col("k") / SLICE).cast("int").alias("slices")), "mixed-buckets")
-    rows = labelled.join(bounded(mixed), "key")
-    rows = save(rows, "mixed-rows")
-    long = _of_classes(docs, rows.select(F.col("node").alias("id")).distinct(), classes, lambda found: minima(found, HASHES, HASHES + LONG_HASHES).astype(np.uint8).tobytes(), "long")
-    both = save(long.join(reps.select(F.col("rep").alias("id"), "bands"), "id").select(F.col("id").alias("node"), "bands", "long").dropDuplicates(["node"]), "long-signatures")
+    rows = save(labelled.join(bounded(mixed), "key"), "mixed-rows")
+    discard(multi.sparkSession, labelled, mixed)
+    return rows
+
+
+def _long_signatures(docs: DataFrame, classes: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """node, bands, long of the classes in the mixed buckets."""
+    long = _of_classes(docs, rows.select("node").distinct(), classes, long_bits, "long")
+    return save(long.join(reps.select("node", "bands"), "node").dropDuplicates(["node"]), "long-signatures")
+
+
+def _rest_pairs(rows: DataFrame, both: DataFrame, of_all: bool) -> DataFrame:
+    """u, v: pairs of different components that share a bucket and whose long signatures agree enough; written."""
     # Buckets are made by these keys: only an equal key, not a likeness of minima, says that a pair meets in an earlier band.
     ends = rows.join(both, "node").withColumn("earlier", F.slice("bands", F.lit(1), F.col("band")))
     minor = F.col("component") != F.col("main")
@@ -193,95 +273,72 @@ def _rest_pairs(docs: DataFrame, classes: DataFrame, multi: DataFrame, labels: D
     # A class outside the main component stands in its tile opposite every slice; every class stands in its slice opposite every tile.
     as_minor = ends.where(minor).select("key", tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("part"), F.lit(True).alias("minor"), "band", "node", "n", "component", "earlier", "long")
     as_any = ends.select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), part.alias("part"), F.lit(False).alias("minor"), "band", "node", "n", "component", "earlier", "long")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        mine, every = group[group.minor], group[~group.minor]
-        if len(mine) and len(every):
-            band = int(group.band.iloc[0])
-            keys = np.stack(every.earlier.to_list())
-            long = np.stack([np.frombuffer(x, np.uint8) for x in every.long])
-            node, n, comp = every.node.to_numpy(), every.n.to_numpy(), every.component.to_numpy()
-            for u, nu, cu, ku, lu in zip(mine.node, mine.n, mine.component, mine.earlier, mine.long, strict=True):
-                fits = (comp != cu) & (100 * np.minimum(n, nu) >= PERCENT * np.maximum(n, nu))
-                other = np.flatnonzero(fits)
-                if band and len(other):  # pairs that meet in an earlier band are left to it
-                    other = other[~(keys[other] == ku).any(axis=1)]
-                same = np.count_nonzero(long[other] == np.frombuffer(lu, np.uint8), axis=1) / LONG_HASHES
-                for k in np.flatnonzero(same >= LEAST_AGREEMENT):
-                    v = int(node[other[k]])
-                    out.append((min(u, v), max(u, v), float(same[k])))
-        return pd.DataFrame(out, columns=["u", "v", "agreement"])
-
-    found = as_minor.unionByName(as_any).groupBy("key", "tile", "part").applyInPandas(compare, "u bigint, v bigint, agreement double")
+    found = as_minor.unionByName(as_any).groupBy("key", "tile", "part").applyInArrow(_partners(of_all), "u bigint, v bigint")
     return save(found.distinct(), "rest-pairs")
 
 
-def _unjoined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are still in different components, with those."""
-    for end in ("u", "v"):
-        of = labels.select(F.col("node").alias("of"), F.col("component").alias(f"c{end}"))
-        pairs = pairs.join(of, F.col(end) == F.col("of"), "left").drop("of").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    return pairs.where("cu <> cv")
-
-
 def links(docs: DataFrame, sigs: DataFrame, classes: DataFrame) -> DataFrame:
-    """node, component over classes (by their least doc_id), from confirmed links."""
+    """node, component over classes, from confirmed links."""
     spark = docs.sparkSession
-    reps = sigs.join(classes, "class").where(F.col("doc_id") == F.col("rep")).select("rep", "n", "bands").dropDuplicates(["rep"])
+    reps = sigs.join(classes, "class").where(F.col("doc_id") == F.col("rep")).select("node", "n", "bands").dropDuplicates(["node"])
     reps = save(reps, "class-signatures")
-    entries = reps.select(F.posexplode("bands").alias("band", "key"), F.col("rep").alias("node"), "n")
+    entries = reps.select(F.posexplode("bands").alias("band", "key"), "node", "n")
     shared = entries.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("k")).where("k > 1").select("key", "hub")
     multi = save(entries.join(shared, "key"), "buckets")
     stars = multi.where(F.col("node") != F.col("hub.node")).where(_sizes_fit(F.col("n"), F.col("hub.n")))
     stars = save(stars.select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct(), "stars")
     confirmed = confirm(docs, stars, classes)
     labels = save(components(confirmed), "components")
-    pairs = _rest_pairs(docs, classes, multi.select("key", "band", "node", "n"), labels, reps)
-    discard(spark, multi, stars)
-    first = True
-    while True:
-        open_pairs = _unjoined(pairs, labels)
-        if first:  # the best partner of each class in each other component
-            best = Window.partitionBy("u", "cv").orderBy(F.desc("agreement"), "v")
-            open_pairs = open_pairs.withColumn("r", F.row_number().over(best)).where("r = 1")
-        chosen = save(open_pairs.select("u", "v"), "chosen")
-        if not chosen.isEmpty():
-            confirmed = save(confirmed.unionByName(confirm(docs, chosen, classes)), "confirmed")
+    rows = _mixed(multi.select("key", "band", "node", "n"), labels)
+    both = _long_signatures(docs, classes, rows, reps)
+    discard(spark, multi, stars, reps)
+    for of_all in (False, True):
+        pairs = _rest_pairs(rows, both, of_all)
+        if not pairs.isEmpty():
+            confirmed = save(confirmed.unionByName(confirm(docs, pairs, classes)), "confirmed")
             labels = save(components(confirmed), "components")
-        if not first:
-            return labels
-        first = False
+        if not of_all:
+            before, rows = rows, _mixed(rows.select("key", "band", "node", "n"), labels)
+            discard(spark, before)
+        discard(spark, pairs)
+    discard(spark, rows, both, confirmed)
+    return labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
+    spark = docs.sparkSession
     sigs = save(signatures(docs), "signatures")
     classes = save(sigs.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "classes")
-    members = save(sigs.select("doc_id", "n", "class").join(classes, "class", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "members")
-    labels = links(docs, sigs, classes)
+    first = F.row_number().over(Window.partitionBy("rep").orderBy("class")) == 1
+    nodes = save(classes.withColumn("node", F.when(first, F.col("rep")).otherwise(F.lit(1 << 62) + F.monotonically_increasing_id())), "nodes")
+    members = save(sigs.select("doc_id", "n", "class").join(nodes, "class", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "members")
+    labels = links(docs, sigs, nodes)
+    discard(spark, sigs, classes, nodes)
     # Different texts under one doc_id are one document: their components are linked too.
-    several = members.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u <> v").select("u", "v")
-    several = save(several, "one-document")
+    several = members.where("node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v")
+    several = save(members.select("doc_id", "node").join(several.select("doc_id", "u"), "doc_id").select("u", F.col("node").alias("v")).where("u <> v").distinct(), "one-document")
     if not several.isEmpty():
         labels = save(components(several.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))), "components")
-    component = F.coalesce("component", "rep", "doc_id")
-    joined = members.join(labels, F.col("rep") == F.col("node"), "left")
+    discard(spark, several)
+    component = F.coalesce("component", "node", "doc_id")
+    joined = members.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates (that of the least doc_id), with exactly the columns of docs."""
     found = save(near_duplicates(docs), "near-duplicates")
-    dropped = save(found.where("NOT kept").select(F.col("doc_id").alias("__dropped")).distinct(), "dropped")
-    kept = docs.join(bounded(dropped), F.col("doc_id").cast("long") == F.col("__dropped"), "left_anti")
-    again = save(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "repeated")
+    dropped = save(found.where("NOT kept").select(F.col("doc_id").alias("of")).distinct(), "dropped")
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("words"))
+    kept = packed.join(bounded(dropped), F.col("id") == F.col("of"), "left_anti")
+    again = save(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("of")), "repeated")
+    discard(docs.sparkSession, found)
     if again.isEmpty():
-        return kept
-    is_again = F.col("doc_id").cast("long") == F.col("__again")
-    one = Window.partitionBy(F.col("doc_id").cast("long")).orderBy(F.length("text").desc(), "text")
-    first = kept.join(bounded(again), is_again, "left_semi").withColumn("__r", F.row_number().over(one)).where("__r = 1").drop("__r")
-    return kept.join(bounded(again), is_again, "left_anti").unionByName(first)
+        return kept.select("row.*")
+    one = Window.partitionBy("id").orderBy(F.length("words").desc(), "words")
+    first = kept.join(bounded(again), F.col("id") == F.col("of"), "left_semi").withColumn("place", F.row_number().over(one)).where("place = 1")
+    return kept.join(bounded(again), F.col("id") == F.col("of"), "left_anti").select("row.*").union(first.select("row.*"))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

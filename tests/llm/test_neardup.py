@@ -110,7 +110,8 @@ def test_a_pair_at_the_threshold_is_rarely_missed():
         common = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
         a = np.concatenate([common, rng.integers(0, 1 << 63, 50, dtype=np.uint64)])
         b = np.concatenate([common, rng.integers(0, 1 << 63, 50, dtype=np.uint64)])
-        missed += not (N.band_keys(N.minima(a)) == N.band_keys(N.minima(b))).any()
+        left, right = N.band_keys(N.minima([a, b]))
+        missed += not (left == right).any()
     assert missed == 0
 
 
@@ -120,21 +121,65 @@ def test_no_candidate_is_left_to_a_band_it_does_not_share(spark):
     for k in range(2500):  # pairs just above the threshold: 40 words, 3 of the 36 shingles changed at either end
         words = [f"p{k}w{i}" for i in range(40)]
         docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([f"x{rng.random()}"] * 2 + words[2:38] + [f"y{rng.random()}"] * 2))]
-    memo = N.word_hashes()
-    found = {i: N.shingles(t.encode(), memo) for i, t in docs}
-    keys = {i: N.band_keys(N.minima(s)) for i, s in found.items()}
+    keys = {i: N.band_keys(N.minima([N.shingles(t.encode())]))[0] for i, t in docs}
     wanted = {(i, i + 1) for i in range(0, len(docs), 2) if (keys[i] == keys[i + 1]).any()}
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     sigs = N.save(N.signatures(df), "signatures")
-    classes = N.save(sigs.groupBy("class").agg(N.F.min("doc_id").alias("rep")), "classes")
-    reps = N.save(sigs.join(classes, "class").withColumnRenamed("doc_id", "id").drop("id"), "class-signatures")
-    entries = reps.select(N.F.posexplode("bands").alias("band", "key"), N.F.col("rep").alias("node"), "n")
+    nodes = N.save(sigs.groupBy("class").agg(N.F.min("doc_id").alias("rep")).withColumn("node", N.F.col("rep")), "nodes")
+    reps = N.save(sigs.join(nodes, "class").select("node", "n", "bands"), "class-signatures")
+    entries = reps.select(N.F.posexplode("bands").alias("band", "key"), "node", "n")
     none = spark.createDataFrame([], "node bigint, component bigint")
-    got = {(r.u, r.v) for r in N._rest_pairs(df, classes, entries, none, reps).collect()}
+    rows = N._mixed(entries, none)
+    found = N._rest_pairs(rows, N._long_signatures(df, nodes, rows, reps), True)
+    got = {(r.u, r.v) for r in found.collect()}
     assert len(wanted) > 2000
     assert wanted == got
 
 
 @pytest.mark.parametrize("n", [0, 1, 4, 5, 6])
 def test_short_texts(n):
-    assert len(N.shingles(b" ".join([b"w%d" % i for i in range(n)]), N.word_hashes())) == max(min(n, 1), n - 4)
+    assert len(N.shingles(b" ".join([b"w%d" % i for i in range(n)]))) == max(min(n, 1), n - 4)
+
+
+def test_shingles_of_odd_texts_equal_brute_force():
+    rng = random.Random(11)
+    pieces = [b"a", b"B", b"b", b" ", b" ", b"\n", b"\t", "\u00e9".encode(), b"xyz"]
+    texts = [None, b"", b" \n", b"A b", b"w" * 70_000 + b" a b c d e f", b"q " * 50_000] + [b"".join(rng.choice(pieces) for _ in range(rng.randrange(60))) for _ in range(2000)]
+    sets = list(N.shingle_sets(N.pa.concat_arrays([N.pa.array([b"cut off"]), N.pa.array(texts, N.pa.binary())]).slice(1)))
+    by_set = {}
+    for text, found in zip(texts, sets, strict=True):
+        wanted = brute_set((text or b"").decode())
+        assert len(found) == len(wanted)
+        assert by_set.setdefault(wanted, found.tobytes()) == found.tobytes()
+    assert len(set(by_set.values())) == len(by_set)
+
+
+def test_texts_under_the_least_doc_id_of_both_keep_their_own_links(spark):
+    one, two = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    docs = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join(one + ["x"])), (3, " ".join(two + ["y"])), (4, " ".join(two))]
+    assert {r[0]: r[2] for r in run(spark, docs)} == {1: 1, 2: 1, 3: 1, 4: 1}
+
+
+def test_a_group_beside_the_least_class_of_its_bucket(spark):
+    """A line that all share makes one bucket; its least document is like none of the 300 near copies."""
+    rng = random.Random(12)
+    base = [f"g{i}" for i in range(200)]
+    docs = [(0, " ".join(base[:5] + [f"z{i}" for i in range(200)]))]
+    for k in range(1, 301):
+        w = list(base)
+        w[rng.randrange(5, 200)] = f"r{k}"
+        docs.append((k, " ".join(w)))
+    assert run(spark, docs) == brute(docs)
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    schema = "doc_id bigint, text string, __dropped string, __again string, __r string, of string, row string, id string"
+    docs = [(i, t, "d", "a", "r", "o", "w", "i") for i, t in [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A b c d e f g"), (3, "p q r s t u")]]
+    kept = N.deduplicate(spark.createDataFrame(docs, schema))
+    assert kept.columns == [c.split()[0] for c in schema.split(", ")]
+    assert sorted(map(tuple, kept.collect())) == [docs[0], docs[3]]
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"l{i}" for i in range(300_000))
+    assert {r[0]: (r[1], r[2]) for r in run(spark, [(1, text), (2, text + " more"), (3, "x y z")])} == {1: (299_996, 1), 2: (299_997, 1), 3: (1, 3)}
