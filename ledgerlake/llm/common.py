@@ -130,16 +130,19 @@ def _parts(inner: str) -> list[str]:
 
 
 class Bounded(dict):
-    """A memo of `make(key)`. Beyond `most` new keys the older half goes: it bounds memory and changes no result."""
+    """A memo of `make(key)`. Beyond `most` new keys the older half goes, and longer keys than `longest` are not kept: it bounds
+    memory and changes no result."""
 
-    def __init__(self, make: Callable, most: int = 100_000):
+    def __init__(self, make: Callable, most: int = 100_000, longest: int = 64):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            if len(key) > self.longest:
+                return value
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -147,17 +150,6 @@ class Bounded(dict):
         return value
 
 
-def per_worker(key: str, make: Callable):
-    """An object that a Python worker keeps between its tasks. Functions travel by value, so their globals end with a task."""
-    import sys
-    import types
-
-    kept = sys.modules.setdefault("_kept_between_tasks", types.ModuleType("_kept_between_tasks")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
-
-
 def temp_name(path: str) -> str:
     """Where an attempt writes before it renames: attempts of one task don't meet."""
     return f"{path}.{os.getpid()}-{uuid.uuid4().hex[:8]}.tmp"

@@ -7,11 +7,12 @@ format: for each frame its compressed and its raw size and a checksum (the low 3
 then a footer. A reader takes the tail of a file, finds a document's frame, checks and decompresses that frame only.
 
 Writing is deterministic in (documents, partitioning): an attempt writes to a name of its own and renames it, so a lost
-executor's task just runs again. Files cover ascending ranges of doc_id; `files` lists them with their token counts, and
+executor's task just runs again. A task begins a new file after FILE_IDS ids. Files cover ascending ranges of doc_id; `files` lists them with their token counts, and
 a prefix sum over that small list gives each file its first token's place.
 
 Defined results: a null or empty text is one document with only the end id; null doc_ids come first; rows that repeat a
-doc_id are documents of their own, ordered by text; an empty table gives no file and no rows.
+doc_id are documents of their own, ordered by their first 32 bytes, then by a hash; an empty table gives no file and no rows.
+Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import Bounded, bound_batches, new_path, per_worker, save, table, temp_name, utf8
+from ledgerlake.llm.common import Bounded, bound_batches, give_back, new_path, save, table, temp_name, utf8
+from ledgerlake.llm.words import CHECK, EXACT, groups, hashes, places
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -42,46 +44,126 @@ CHECKSUM_FLAG = 0x80
 _DOC = np.dtype([("doc_id", "<i8"), ("has_id", "<u4"), ("frame", "<u4"), ("n_tokens", "<u8")])
 
 
-#: Characters that a run of letters may be followed by up to the next blank; such a run is a pre-token of its own.
-_TAIL = b".,;:!?*$%&#"
-
-
-def encoder(path: str):
-    """bytes of a text -> its ids as little-endian uint32 bytes.
-
-    Tokens never reach over blanks, and a blank gives none, so each piece between spaces and newlines is encoded once by
-    the tokenizers library and remembered: its normalizer, its pre-tokenizer and its model in turn, without the offsets that a
-    whole encoding keeps. Pieces of plain letters need the model alone; case and a closing run of punctuation are set aside first.
+#: Closing punctuation that is a pre-token of its own after a letter or digit.
+_TAIL = np.zeros(256, bool)
+_TAIL[list(b".,;:!?*$%&#")] = True
+_LONGEST_TAIL = 4
+_LETTER = np.zeros(256, bool)
+_LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")] = True
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+#: Pieces remembered in a task (twice as many at most), and the longest piece that is.
+_MEMO, _LONGEST = 100_000, 64
+#: Bytes of text whose words are told apart at once.
+_GROUP = 1 << 22
+
+#: The normalizer and the pre-tokenizer under which words can be encoded apart from each other.
+_SEPARABLE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def is_separable(tokenizer) -> bool:
+    """Whether blanks give no tokens, case does not matter and closing punctuation stands alone, so that words can be encoded one by one."""
+    import json
+
+    made = json.loads(tokenizer.to_str())
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and t["content"].startswith("<|") for t in made["added_tokens"])
+    return plain and made["model"]["type"] == "BPE" and not made["model"].get("dropout") and all(made[k] == v for k, v in _SEPARABLE.items())
+
+
+class Encoder:
+    """Texts of a binary column -> their ids as little-endian uint32 bytes.
+
+    With a separable tokenizer each distinct word of some MB is encoded once, by the library's model, and its ids are set in for every
+    occurrence with array operations. Any other tokenizer gets whole texts.
     """
-    from array import array
-
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    model, normalizer, pre = tokenizer.model, tokenizer.normalizer, tokenizer.pre_tokenizer
 
-    def packed(ids: list[int]) -> bytes:
-        return array("I", ids).tobytes()
-
-    def piece(raw: bytes) -> bytes:
-        if b"<|" in raw:  # may hold a special token
-            return packed(tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        if raw.isascii() and raw != (low := raw.lower()):
-            return memo[low]
-        stem = raw.rstrip(_TAIL)
-        if stem.isalpha():
-            if stem != raw:
-                return memo[stem] + memo[raw[len(stem) :]]
-            return packed([t.id for t in model.tokenize(raw.decode())])
-        normal = normalizer.normalize_str(raw.decode("utf-8", "replace"))
-        return packed([t.id for p, _ in pre.pre_tokenize_str(normal) for t in model.tokenize(p)])
-
-    memo = Bounded(piece, 200_000)
-
-    def encode(raw: bytes) -> bytes:
-        return b"".join([memo[w] for w in raw.replace(b"\n", b" ").split(b" ")])
-
-    return encode
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.separable = is_separable(self.tokenizer)
+        self.model, self.normalizer, self.pre = self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.memo = Bounded(self.piece, _MEMO, longest=_LONGEST)
+
+    def piece(self, raw: bytes) -> bytes:
+        """The ids of a piece without blanks."""
+        from array import array
+
+        if raw.isascii() and raw.isalpha() and raw.islower():
+            parts = [raw.decode()]
+        else:
+            text = raw.decode("utf-8", "replace")
+            if b"<|" in raw:  # may hold a special token
+                return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            if text.isalpha() and max(text) < "\u0180" and text == text.lower():  # normal already, and one pre-token
+                parts = [self.bytes.pre_tokenize_str(text)[0][0]]
+            else:
+                parts = [p for p, _ in self.pre.pre_tokenize_str(self.normalizer.normalize_str(text))]
+        return array("I", [t.id for p in parts for t in self.model.tokenize(p)]).tobytes()
+
+    def __call__(self, column: pa.Array) -> Iterator[bytes]:
+        if self.separable:
+            for data, offsets in groups(column, _GROUP):
+                yield from self._group(data, offsets)
+        else:
+            for raw in column:
+                ids = self.tokenizer.encode((raw.as_py() or b"").decode("utf-8", "replace"), add_special_tokens=False).ids
+                yield np.array(ids, "<u4").tobytes()
+
+    def _group(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+        begins, ends, counts = places(data, offsets)
+        low = _LOWER[data]
+        wide, upper = (np.concatenate([[0], np.cumsum(x, dtype=np.int32)]) for x in (data >= 128, low != data))
+        special = np.zeros(len(begins), bool)
+        marks = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # <|
+        special[np.maximum(0, np.searchsorted(begins, marks, "right") - 1)] = len(begins) > 0
+        as_it_is = special | ((wide[ends] > wide[begins]) & (upper[ends] > upper[begins]))
+        if as_it_is.any():  # normalization comes before lower case
+            edge = np.zeros(len(data) + 1, np.int8)
+            edge[begins[as_it_is]] += 1
+            edge[ends[as_it_is]] -= 1
+            inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+            low[inside] = data[inside]
+        stems = ends.copy()
+        for _ in range(_LONGEST_TAIL):
+            stems -= (stems > begins) & _TAIL[low[stems - 1]]
+        split = (stems > begins) & (stems < ends) & _LETTER[low[stems - 1]] & ~special
+        at = np.cumsum(1 + split) - 1 - split  # each word's first piece
+        first, last = np.empty(len(begins) + int(split.sum()), np.int64), np.empty(len(begins) + int(split.sum()), np.int64)
+        first[at], last[at] = begins, np.where(split, stems, ends)
+        first[at[split] + 1], last[at[split] + 1] = stems[split], ends[split]
+        yield from self._pieces(low, first, last, np.concatenate([at, [len(first)]])[np.concatenate([[0], np.cumsum(counts)])])
+
+    def _pieces(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, of_text: np.ndarray) -> Iterator[bytes]:
+        """Ids of the texts whose pieces are of_text[i] to of_text[i + 1]."""
+        h = hashes(data, first, last, EXACT)
+        _, one, which = np.unique(h, return_index=True, return_inverse=True)
+        check = hashes(data, first, last, CHECK)
+        if (check[one][which] != check).any():  # different pieces under one hash: tell them apart by both
+            pairs = np.empty(len(h), np.dtype([("h", np.uint64), ("check", np.uint32)]))
+            pairs["h"], pairs["check"] = h, check
+            _, one, which = np.unique(pairs, return_index=True, return_inverse=True)
+        raw, memo = data.tobytes(), self.memo
+        ids = [memo[raw[a:b]] for a, b in zip(first[one].tolist(), last[one].tolist(), strict=True)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        begins = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        n = sizes[which]
+        stops = np.cumsum(n)
+        total = int(stops[-1]) if len(stops) else 0
+        out = flat[np.repeat(begins[which] - (stops - n), n) + np.arange(total)] if total else flat
+        bounds = np.concatenate([[0], stops])[of_text]
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield out[a:b].tobytes()
 
 
 class FrameWriter:
@@ -171,42 +253,82 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
-FILES = "path string, part int, n_docs bigint, n_tokens bigint"
+FILES = "path string, part int, place int, n_docs bigint, n_tokens bigint"
+#: Ids after which the next document begins a new file.
+FILE_IDS = 1 << 26
+
+
+def _ordered(docs: DataFrame) -> DataFrame:
+    """doc_id, raw in ascending order over partitions. Rows of one doc_id may fill several: they are dealt by their text's first bytes
+    and hash, and copies by their place in the input."""
+    copies = F.xxhash64(F.monotonically_increasing_id())
+    keys = {"__a": F.substring("raw", 1, 32), "__b": F.xxhash64("raw"), "__c": copies}
+    slim = bound_batches(docs).select("doc_id", utf8().alias("raw")).withColumns(keys)
+    return slim.repartitionByRange("doc_id", *keys).sortWithinPartitions("doc_id", *keys).select("doc_id", "raw")
+
+
+class Rolling:
+    """Files of one task, each whole before it gets its name. A failed attempt leaves none behind."""
+
+    def __init__(self, folder: str, stem: str):
+        self.folder, self.stem, self.writer, self.rows = folder, stem, None, []
+        self.fs, self.root = filesystem(folder)
+
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        if self.writer is None:
+            self.fs.create_dir(self.root, recursive=True)
+            self.attempt = temp_name(f"{self.root}/{self.stem}")
+            self.sink = self.fs.open_output_stream(self.attempt)
+            self.writer, self.n = FrameWriter(self.sink), 0
+        self.writer.add(doc_id, ids)
+        self.n += len(ids) // 4
+        if self.n >= FILE_IDS:
+            self.close()
+
+    def close(self) -> None:
+        if self.writer is not None:
+            self.writer.close()
+            self.sink.close()
+            name = f"{self.stem}-{len(self.rows):05d}.zst"
+            self.fs.move(self.attempt, f"{self.root}/{name}")
+            self.rows.append((f"{self.folder}/{name}", len(self.rows), len(self.writer.docs), self.n))
+            self.writer = None
+
+    def give_up(self) -> None:
+        if self.writer is not None:
+            self.sink.close()
+            self.fs.delete_file(self.attempt)
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """Encode docs(doc_id, text) in ascending order of doc_id into files under `folder`, and return the list of files."""
-    ordered = bound_batches(docs).select("doc_id", utf8().alias("raw")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "raw")
     job = uuid.uuid4().hex[:8]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode, end = per_worker(f"encoder {tokenizer_path}", lambda: encoder(tokenizer_path)), struct.pack("<I", end_id)
-        fs, root = filesystem(folder)
-        path = f"{root}/{job}-{part:06d}.zst"
-        attempt, writer, sink = temp_name(path), None, None
-        for batch in batches:
-            if writer is None:
-                fs.create_dir(root, recursive=True)
-                sink = fs.open_output_stream(attempt)
-                writer = FrameWriter(sink)
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                writer.add(doc_id, encode(raw.as_py() or b"") + end)
-        if writer is not None and writer.docs:
-            writer.close()
-            sink.close()
-            fs.move(attempt, path)
-            n = sum(d[3] for d in writer.docs)
-            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{job}-{part:06d}.zst"], "part": pa.array([part], pa.int32()), "n_docs": [len(writer.docs)], "n_tokens": [n]})
-
-    return save(ordered.mapInArrow(write, FILES), "token-files")
+        encode, end = Encoder(tokenizer_path), struct.pack("<I", end_id)
+        out = Rolling(folder, f"{job}-{part:06d}")
+        try:
+            for batch in batches:
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                    out.add(doc_id, ids + end)
+            out.close()
+        except BaseException:
+            out.give_up()
+            raise
+        paths, place, n_docs, n_tokens = zip(*out.rows, strict=True) if out.rows else ((), (), (), ())
+        yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "part": pa.array([part] * len(paths), pa.int32()), "place": pa.array(place, pa.int32()), "n_docs": pa.array(n_docs, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64())})
+        del encode, out
+        give_back()
+
+    return save(_ordered(docs).mapInArrow(write, FILES), "token-files")
 
 
 def read_token_files(files: DataFrame, wanted: set | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids (bytes) from the files, whole or only the `wanted` documents."""
-    base = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part", "place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # A fixed number of partitions: the few bytes of this list must not let the files' readers be merged into one task.
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = files.select("path", base.alias("base")).repartition(n, "path")
@@ -221,11 +343,12 @@ def read_token_files(files: DataFrame, wanted: set | None = None) -> DataFrame:
                     for doc_id, start, ids in FrameReader(file).documents(wanted):
                         rows.append((doc_id, first + start, len(ids) // 4, ids))
                         held += len(ids)
-                        if held > 1 << 24:
+                        if held > 1 << 22:
                             yield _rows(rows)
                             rows, held = [], 0
                     if rows:
                         yield _rows(rows)
+        give_back()
 
     return placed.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 

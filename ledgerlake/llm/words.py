@@ -18,18 +18,27 @@ SPAN = 1 << 16
 GROUP = 1 << 20
 
 _rng = np.random.default_rng(20_240_502)
-_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_VALUE[65:91] = _VALUE[97:123]
-_BASE = int(_rng.integers(1, 1 << 62)) * 4 + 5
 
 
-def _powers(base: int) -> np.ndarray:
-    factors = np.full(SPAN + 1, base, np.uint64)
+def _powers(base: int, dtype: type) -> np.ndarray:
+    factors = np.full(SPAN + 1, base, dtype)
     factors[0] = 1
-    return np.cumprod(factors)
+    return np.cumprod(factors, dtype=dtype)
 
 
-_POWER, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+def _tables(dtype: type, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A value for each byte (one for both cases of A-Z if `fold`), the base's powers and those of its inverse."""
+    bits = 8 * np.dtype(dtype).itemsize
+    value = _rng.integers(1, 1 << (bits - 1), 256, dtype=dtype) * dtype(2) + dtype(1)
+    if fold:
+        value[65:91] = value[97:123]
+    base = int(_rng.integers(1, 1 << (bits - 2))) * 4 + 5
+    return value, _powers(base % (1 << bits), dtype), _powers(pow(base, -1, 1 << bits), dtype)
+
+
+FOLDED = _tables(np.uint64, True)
+#: Two hashes that tell upper from lower case; together they tell words apart.
+EXACT, CHECK = _tables(np.uint64, False), _tables(np.uint32, False)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -79,9 +88,11 @@ def places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return begins, np.flatnonzero(last) + 1, np.diff(np.searchsorted(begins, offsets))
 
 
-def hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The words' hashes; equal for words that differ in the case of A-Z alone."""
-    out = np.empty(len(begins), np.uint64)
+def hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, tables: tuple = FOLDED) -> np.ndarray:
+    """The hashes of the pieces from begins to ends, which ascend; by default equal where only the case of A-Z differs."""
+    value, power, inverse = tables
+    dtype = value.dtype.type
+    out = np.empty(len(begins), dtype)
     i = 0
     while i < len(begins):
         at = int(begins[i])
@@ -89,14 +100,16 @@ def hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray
         if j <= i:
             import xxhash
 
-            out[i] = xxhash.xxh3_64_intdigest(data[at : ends[i]].tobytes().lower())
+            raw = data[at : ends[i]].tobytes()
+            digest = (xxhash.xxh3_64_intdigest if dtype is np.uint64 else xxhash.xxh32_intdigest)(raw.lower() if tables is FOLDED else raw)
+            out[i] = digest
             i += 1
             continue
         n = int(ends[j - 1]) - at
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUE[data[at : at + n]] * _POWER[:n], out=sums[1:])
+        sums = np.zeros(n + 1, dtype)
+        np.cumsum(value[data[at : at + n]] * power[:n], dtype=dtype, out=sums[1:])
         b, e = begins[i:j] - at, ends[i:j] - at
-        out[i:j] = (sums[e] - sums[b]) * _INVERSE[b]
+        out[i:j] = (sums[e] - sums[b]) * inverse[b]
         i = j
     return out
 
