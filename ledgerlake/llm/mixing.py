@@ -6,14 +6,16 @@ the rest of the target is a weighted sample without replacement: each document d
 and documents are taken in ascending order of the key while their sizes fit the budget.
 
 No source is sorted as a whole: keys fall into BINS bins, sizes are summed for each source and bin (combined before the
-shuffle), a prefix sum over a source's bins finds the bin where the budget ends, and only that bin's documents are ordered one
-by one. u is a hash of doc_id and text, so reruns agree.
-The result for a source is a cut: documents up to that (key, doc_id) get one more epoch than the others.
+shuffle), a prefix sum over a source's bins finds the bin where the budget ends, and only that bin's different documents are ordered
+one by one. u is a hash of doc_id and text, so reruns agree.
+The result for a source is a cut: documents before that (key, doc_id) get one more epoch than the others. Repeated rows draw one key;
+where the budget ends among them, so many of them as fit are before the cut. They are numbered partition by partition, so one row
+repeated in a third of all rows is in no task as a whole.
 
 Defined results: a null text has size 0; null is a source of its own, after all others; documents of size 0 are taken
-in complete epochs only (0 words); repeated rows draw the same key and fall on the same side of the cut; a
-source without words has target 0; an empty table gives no rows. Columns beside doc_id, text and source are kept by mix(),
-and may have any names.
+in complete epochs only (0 words); which of several equal rows get the epoch more is all the same; a source without words has
+target 0; an empty table gives no rows. Columns beside doc_id, text and source are kept by mix(), and may have any names. Tables with
+a row a source (some tens of bytes) are held by one task: tens of millions of sources are beyond this design.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import BLANKS, bounded, save, table
+from ledgerlake.llm.common import BLANKS, bounded, discard, save, table
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -50,10 +52,14 @@ def exponential_key(doc_id: Column, text: Column, seed: str) -> Column:
     return -F.log(u) / quality(text)
 
 
-def _drawn(docs: DataFrame, seed: str) -> DataFrame:
-    """Every row's size and key beside its own columns."""
+def _bin(key: Column) -> Column:
+    return F.least(F.floor((1 - F.exp(-key)) * BINS), F.lit(BINS - 1))
+
+
+def _drawn(docs: DataFrame, seed: str, *more: Column) -> DataFrame:
+    """Every row's doc_id, source, size and key, and `more`; no other names."""
     text = F.col("text").cast("string")
-    return docs.withColumns({"__size": n_words(text), "__key": exponential_key(F.col("doc_id"), text, seed)})
+    return docs.select("doc_id", "source", n_words(text).alias("size"), exponential_key(F.col("doc_id"), text, seed).alias("key"), *more)
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST_EPOCHS) -> DataFrame:
@@ -76,13 +82,13 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHA
 
 
 def cuts(drawn: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST_EPOCHS) -> DataFrame:
-    """One row a source: its size, target, complete epochs and the last (key, doc_id) that gets one more.
+    """of, cut for each source: its size, target, complete epochs, the bin and the last (key, doc_id) with rows that get one more, and
+    how many of its `n_last` rows these are.
 
-    drawn: doc_id, source, __size, __key.
+    drawn: doc_id, source, size, key.
     """
-    bin_of = F.least(F.floor((1 - F.exp(-F.col("__key"))) * BINS), F.lit(BINS - 1))
-    rows = drawn.withColumn("bin", bin_of)
-    bins = rows.groupBy("source", "bin").agg(F.sum("__size").alias("bin_size"))
+    rows = drawn.withColumn("bin", _bin(F.col("key")))
+    bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     known = targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share_percent, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     known = known.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -95,36 +101,52 @@ def cuts(drawn: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHARE_
     )
     # A row a source: broadcast, so that only the rows of the crossing bins are dealt out by source.
     crossing = bounded(save(crossing, "mix-crossing"))
-    order = Window.partitionBy("source").orderBy("__key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = rows.join(crossing, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("cross_bin")))
-    inside = near.withColumn("before", F.col("base") + F.sum("__size").over(order) - F.col("__size")).where(2 * F.col("before") + F.col("__size") <= 2 * F.col("rest"))
-    last = inside.groupBy("source").agg(F.max(F.struct("__key", "doc_id")).alias("last")).select(F.col("source").alias("of_last"), "last")
+    near = near.groupBy("source", "key", "doc_id", "size", "base", "rest").agg(F.count("*").alias("n_last"))  # repeated rows as one
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = F.col("size") * F.col("n_last")
+    # The k-th copy from 0 is taken if that comes nearer to the target: 2 (before + k size) + size <= 2 rest.
+    left = 2 * (F.col("rest") - F.col("before")) - F.col("size")
+    fit = F.when(left < 0, 0).when(F.col("size") == 0, F.col("n_last")).otherwise(F.least(F.col("n_last"), F.floor(left / (2 * F.col("size"))) + 1))
+    inside = near.withColumn("before", F.col("base") + F.sum(whole).over(order) - whole).withColumn("n_more", fit.cast("long")).where("n_more > 0")
+    last = inside.groupBy("source").agg(F.max(F.struct("key", "doc_id", "n_more", "n_last")).alias("last")).select(F.col("source").alias("of_last"), "last")
     out = known.join(crossing.select("of", "cross_bin"), F.col("source").eqNullSafe(F.col("of")), "left").join(last, F.col("source").eqNullSafe(F.col("of_last")), "left")
-    return out.select(F.col("source").alias("__of"), "source_size", "target", "epochs", "cross_bin", "last")
-
-
-def _times(cut: str) -> Column:
-    """How often the mix takes a row that is joined with its source's cut, a struct column."""
-    bin_of = F.least(F.floor((1 - F.exp(-F.col("__key"))) * BINS), F.lit(BINS - 1))
-    at = F.struct(F.col("__key").alias("__key"), F.col("doc_id").alias("doc_id"))
-    more = (bin_of < F.col(cut)["cross_bin"]) | ((bin_of == F.col(cut)["cross_bin"]) & (at <= F.col(cut)["last"]))
-    return F.col(cut)["epochs"] + F.coalesce(more, F.lit(False)).cast("long")
+    return out.select(F.col("source").alias("of"), F.struct("source_size", "target", "epochs", "cross_bin", F.struct("last.key", "last.doc_id").alias("last"), "last.n_more", "last.n_last").alias("cut"))
+
+
+def _times(drawn: DataFrame, written_cuts: DataFrame) -> DataFrame:
+    """Every row with its source's `cut` and `times`: how often the mix takes it."""
+    joined = drawn.join(bounded(written_cuts), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    bin_of, at = _bin(F.col("key")), F.struct("key", "doc_id")
+    in_bin = (bin_of == F.col("cut.cross_bin")) & F.col("cut.last.key").isNotNull()
+    before = (bin_of < F.col("cut.cross_bin")) | (in_bin & (at < F.col("cut.last")))
+    border = F.coalesce(in_bin & at.eqNullSafe(F.col("cut.last")), F.lit(False))
+    plain = F.col("cut.epochs") + F.coalesce(before, F.lit(False)).cast("long")
+    if written_cuts.where("cut.n_more < cut.n_last").isEmpty():
+        return joined.withColumn("times", plain + border.cast("long"))
+    copies = save(joined.where(border & (F.col("cut.n_more") < F.col("cut.n_last"))).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "mix-copies")
+    upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = copies.groupBy("source", "part").agg(F.count("*").alias("n")).select(F.col("source").alias("of"), F.col("part").alias("of_part"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("ahead"))
+    place = F.col("ahead") + F.row_number().over(Window.partitionBy("source", "part").orderBy("at"))
+    numbered = copies.join(ahead, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part"))).withColumn("times", F.col("cut.epochs") + (place <= F.col("cut.n_more")).cast("long"))
+    others = joined.where(~(border & F.coalesce(F.col("cut.n_more") < F.col("cut.n_last"), F.lit(False)))).withColumn("times", plain + border.cast("long"))
+    return others.unionByName(numbered.select(*others.columns))
 
 
 def mix_report(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs(doc_id, text, source)."""
-    drawn = save(_drawn(docs.select("doc_id", "text", "source"), seed).drop("text"), "mix-drawn")
-    cut = bounded(save(cuts(drawn, **how).select("__of", F.struct("*").alias("__cut")), "mix-cuts"))
-    joined = drawn.join(cut, F.col("source").eqNullSafe(F.col("__of")))
-    return joined.select("doc_id", F.col("__size").alias("size"), F.col("__cut.source_size").alias("source_size"), F.col("__cut.target").alias("target"), (_times("__cut") * F.col("__size")).alias("taken"))
+    drawn = save(_drawn(docs, seed), "mix-drawn")
+    found = _times(drawn, save(cuts(drawn, **how), "mix-cuts"))
+    return found.select("doc_id", "size", "cut.source_size", "cut.target", (F.col("times") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """The rows of docs as often as the mix takes them, with exactly their own columns."""
-    slim = save(_drawn(docs.select("doc_id", "text", "source"), seed).drop("text"), "mix-drawn")
-    cut = bounded(save(cuts(slim, **how).select("__of", F.struct("epochs", "cross_bin", "last").alias("__cut")), "mix-cuts"))
-    joined = _drawn(docs, seed).join(cut, F.col("source").eqNullSafe(F.col("__of")))
-    return joined.withColumn("__again", F.explode(F.array_repeat(F.lit(1), _times("__cut").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    slim = save(_drawn(docs, seed), "mix-drawn")
+    cut = save(cuts(slim, **how), "mix-cuts")
+    discard(docs.sparkSession, slim)
+    found = _times(_drawn(docs, seed, F.struct("*").alias("row")), cut)
+    return found.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

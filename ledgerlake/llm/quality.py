@@ -121,7 +121,7 @@ def ablations(book: DataFrame, policy: str = "v1") -> DataFrame:
 
 def filter_documents(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The rows of docs that pass the policy, with exactly their own columns."""
-    return bound_batches(docs).withColumn("__m", measured(utf8())).where(passes(policy, failure_bits("__m"))).drop("__m")
+    return bound_batches(docs).select(F.struct("*").alias("row"), measured(utf8()).alias("m")).where(passes(policy, failure_bits("m"))).select("row.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,3 +66,30 @@ def test_better_documents_are_taken_more_often(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert M.mix_report(none).collect() == [] and M.mix(none).collect() == []
+
+
+def test_repeated_rows_are_cut_by_copy(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * rng.randint(10, 60)), "s", "", "", 1) for i in range(300)] + [(900, " ".join(["v"] * 30), "s", "", "", 1)] * 1000 + [(901, "u " * 40, "t", "", "", 1)] * 500
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for percent in (20, 60, 90, 130, 150):
+        got = M.mix_report(docs, share_percent=percent, weights=(1,)).collect()
+        for size in {r.source_size for r in got}:
+            own = [r for r in got if r.source_size == size]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= 60 and all(r.taken <= 2 * r.size for r in own)
+        mixed = M.mix(docs, share_percent=percent, weights=(1,)).groupBy("doc_id").count().collect()
+        assert {r.doc_id: r["count"] for r in mixed if r["count"]} == {i: n for i in {r.doc_id for r in got} if (n := sum(r.taken // r.size for r in got if r.doc_id == i))}
+
+
+def test_clashing_names(spark):
+    schema = "doc_id bigint, text string, source string, __key double, __size string, __again int, __cut string, __of string, row string, key string, cut int, of string, times int, part int, at int"
+    rows = [(i, "w " * (i + 5), "s", 0.5, "z", 7, "c", "o", "r", "k", 1, "o", 2, 3, 4) for i in range(20)] * 2
+    docs = spark.createDataFrame(rows, schema)
+    mixed = M.mix(docs)
+    assert mixed.columns == docs.columns
+    assert {tuple(r) for r in mixed.collect()} <= set(rows) and mixed.count() > 20
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word " * 400_000, "s", "", "", 1), (2, "a b", "s", "", "", 1)], SCHEMA)
+    assert {r.doc_id: (r.size, r.source_size) for r in M.mix_report(docs).collect()} == {1: (400_000, 400_002), 2: (2, 400_002)}

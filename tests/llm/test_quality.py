@@ -43,3 +43,10 @@ def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert quality.filter_documents(none).collect() == [] and quality.ledger(none).collect() == []
     assert {r.n_failed for r in quality.ablations(quality.ledger(none)).collect()} == {0}
+
+
+def test_filter_keeps_every_column_whatever_its_name(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, text, "m", "r"), (2, "few", "m", "r"), (3, None, None, None)], "doc_id bigint, text string, __m string, row string")
+    kept = quality.filter_documents(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, text, "m", "r")]
