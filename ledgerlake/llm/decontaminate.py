@@ -5,16 +5,17 @@ about BLOCK_WORDS words (or one longer document), are built where the documents
 index for a known test set stores the postings of the test set's terms only, since no other term can take part in a match; with
 no vocabulary it stores all.
 
-A phrase is matched block by block: from the postings of its rarest term (corpus-wide), moved by that term's offset, each
-further term in order of rarity keeps the starts that its own moved postings contain. Proximity matches start from the rarest
-term's postings too and ask for every other term within `slop` words in the same document.
+A block visits only the phrases whose rarest term (corpus-wide) it holds. A phrase is matched from that term's postings, moved by its
+offset; each further term in order of rarity keeps the starts that its own moved postings contain. Proximity matches start from the
+rarest term's postings too and ask for every other term within `slop` words in the same document.
 
-The test set comes to the tasks in slices of at most SLICE_WORDS words, by a broadcast of that bounded size; a larger test set is
-a loop over slices, whose hits are merged for each document.
+The test set comes to the tasks in slices of at most SLICE_BYTES of text, by a broadcast of some ten times that size (13 numbers a
+window). A larger test set is a loop over slices, all matched against one index, whose hits are merged for each document.
 
 Defined results: null and empty texts have no words and are clean; an item without words never occurs; an item_id counts once
 however often it is repeated, a null item_id as the empty string; repeated document rows are judged each; an empty table of
-documents gives no rows, an empty benchmark leaves all clean. Only the named columns are read; decontaminate() keeps all.
+documents gives no rows, an empty benchmark leaves all clean. Only the named columns are read; decontaminate() keeps all,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import bound_batches, save, table, utf8
+from ledgerlake.llm.common import bound_batches, bounded, give_back, save, table, utf8
 
 WINDOW = 13
 BLOCK_WORDS = 1 << 19
-SLICE_WORDS = 2_000_000
+#: Text of the test set that is matched at once, and the most of it whose terms an index is told beforehand; beyond, it holds all terms.
+SLICE_BYTES, VOCABULARY_BYTES = 4_000_000, 16_000_000
 #: Contaminated from this share of hit words on: PER * n_hit >= n_words.
 PER = 20
 
@@ -95,6 +97,7 @@ def build_index(docs: DataFrame, vocabulary: list[bytes] | None = None) -> DataF
                         terms = {}
         if listed:
             yield flush()
+        give_back()
 
     return save(bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("raw")).mapInArrow(build, INDEX), "postings")
 
@@ -154,9 +157,10 @@ def _among(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     return sorted_values[at] == values
 
 
-def rarity(index: DataFrame) -> dict[bytes, int]:
-    """Postings of each term in the whole corpus. For an index of a test set's terms: as many as a slice's words at most."""
-    return {bytes(r.term): r.n for r in index.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+def rarity(index: DataFrame, terms: list[bytes]) -> dict[bytes, int]:
+    """Postings of each of these terms (a slice's) in the whole corpus; terms that do not occur are left out."""
+    wanted = F.broadcast(index.sparkSession.createDataFrame(pa.table({"term": pa.array(terms, pa.binary())})))
+    return {bytes(r.term): r.n for r in index.join(wanted, "term").groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
 
 def windows(item_words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
@@ -165,25 +169,43 @@ def windows(item_words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ..
     return [tuple(item_words[i : i + size]) for i in range(max(1, len(item_words) - size + 1))]
 
 
+def plan_of(phrases: dict[tuple[bytes, ...], list[str]], counts: dict[bytes, int]) -> tuple:
+    """A slice's windows as plain data for a broadcast: the terms by rarity; the terms' numbers of each window, windows with one rarest
+    term side by side; these runs as (rarest term, begin, end); the items of each window."""
+    terms = sorted(counts, key=lambda t: (counts[t], t))
+    number = {t: i for i, t in enumerate(terms)}
+    able = sorted((min(number[t] for t in w), w, sorted(set(items))) for w, items in phrases.items() if all(t in number for t in w))
+    rows = np.full((len(able), max((len(w) for _, w, _ in able), default=0)), -1, np.int32)
+    for i, (_, w, _) in enumerate(able):
+        rows[i, : len(w)] = [number[t] for t in w]
+    rarest = np.array([r for r, *_ in able], np.int64)
+    cut = [0, *(np.flatnonzero(np.diff(rarest)) + 1).tolist(), len(able)]
+    runs = [(terms[rarest[a]], a, b) for a, b in zip(cut, cut[1:]) if a < b]
+    return terms, rows, runs, [items for *_, items in able]
+
+
+def of_block(plan: tuple, block: Block) -> Iterator[tuple[list[tuple[bytes, int]], int, list[str]]]:
+    """(terms with their offsets, rarest first; length; items) of the windows whose rarest term the block holds."""
+    terms, rows, runs, items = plan
+    for rarest, begin, end in runs:
+        if rarest in block.packed:
+            for i in range(begin, end):
+                row = rows[i][rows[i] >= 0]
+                yield [(terms[row[k]], int(k)) for k in np.argsort(row, kind="stable")], len(row), items[i]
+
+
 _HITS = "doc_id bigint, n_words bigint, mark bigint, n_hit bigint, items array<string>, spans array<bigint>"
 
 
-def _hits_of_slice(docs: DataFrame, items: list[tuple[str, bytes]], size: int, with_spans: bool) -> DataFrame:
+def _hits_of_slice(index: DataFrame, phrases: dict[tuple[bytes, ...], list[str]], with_spans: bool) -> DataFrame:
     """A row for each document: its hit words and the items of this slice that occur in it."""
-    phrases: dict[tuple[bytes, ...], list[str]] = {}
-    for item, raw in items:
-        for w in windows(words(raw), size):
-            phrases.setdefault(w, []).append(item)
-    index = build_index(docs, sorted({t for w in phrases for t in w}))
-    counts = rarity(index)
-    plan = [(sorted(((t, k) for k, t in enumerate(w)), key=lambda x: (counts.get(x[0], 0), x[0], x[1])), len(w), sorted(set(ids))) for w, ids in sorted(phrases.items())]
-    shared = docs.sparkSession.sparkContext.broadcast([p for p in plan if all(t in counts for t, _ in p[0])])
+    shared = index.sparkSession.sparkContext.broadcast(plan_of(phrases, rarity(index, sorted({t for w in phrases for t in w}))))
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         block = Block(rows)
         hit = np.zeros(int(block.begins[-1]) + 1, bool)
         found: dict[int, set] = {}
-        for by_rarity, length, ids in shared.value:
+        for by_rarity, length, ids in of_block(shared.value, block):
             starts = block.phrase(by_rarity)
             if len(starts):
                 for k in range(length):
@@ -204,17 +226,25 @@ def _hits_of_slice(docs: DataFrame, items: list[tuple[str, bytes]], size: int, w
     return index.groupBy("block").applyInPandas(match, _HITS)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slice_words: int = SLICE_WORDS) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slice_bytes: int = SLICE_BYTES, vocabulary_bytes: int = VOCABULARY_BYTES) -> DataFrame:
     """doc_id, n_words, mark (crc32 of the text), n_hit, items of every row of docs(doc_id, text)."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), utf8().alias("raw")).where("raw IS NOT NULL")
     total = items.agg(F.sum(F.length("raw"))).first()[0] or 0
-    n_slices = max(1, -(-total // (4 * slice_words)))  # a word and its blank take four bytes or more, mostly
-    slices = []
-    for k in range(n_slices):
-        part = items.where(F.pmod(F.xxhash64("item", "raw"), F.lit(n_slices)) == k).collect()
-        slices.append(_hits_of_slice(docs, [(r.item, bytes(r.raw)) for r in part], size, n_slices > 1))
+    n_slices = max(1, -(-total // slice_bytes))
+
+    def slice_of(k: int) -> dict[tuple[bytes, ...], list[str]]:
+        phrases: dict[tuple[bytes, ...], list[str]] = {}
+        for r in items.where(F.pmod(F.xxhash64("item", "raw"), F.lit(n_slices)) == k).collect():
+            for w in windows(words(bytes(r.raw)), size):
+                phrases.setdefault(w, []).append(r.item)
+        return phrases
+
     if n_slices == 1:
-        return slices[0].drop("spans")
+        phrases = slice_of(0)
+        return _hits_of_slice(build_index(docs, sorted({t for w in phrases for t in w})), phrases, False).drop("spans")
+    vocabulary = sorted({t for k in range(n_slices) for w in slice_of(k) for t in w}) if total <= vocabulary_bytes else None
+    index = build_index(docs, vocabulary)
+    slices = [_hits_of_slice(index, slice_of(k), True) for k in range(n_slices)]
     every = slices[0].withColumn("slice", F.lit(0))
     for k, s in enumerate(slices[1:], 1):
         every = every.unionByName(s.withColumn("slice", F.lit(k)))
@@ -241,18 +271,18 @@ def is_contaminated(per: int = PER):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The rows of docs that are clean, with exactly their own columns."""
-    bad = save(hits(docs, benchmark).where(is_contaminated()).select(F.col("doc_id").alias("__bad"), F.col("mark").alias("__mark")).distinct(), "contaminated")
-    if bad.count() <= broadcast_rows:  # 16 bytes a row; beyond it both sides are shuffled
-        bad = F.broadcast(bad)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__bad")) & (F.crc32(F.coalesce(utf8(), F.lit(b""))) == F.col("__mark"))
-    return docs.join(bad, same, "left_anti")
+    bad = save(hits(docs, benchmark).where(is_contaminated()).select(F.col("doc_id").alias("bad"), F.col("mark").alias("bad_mark")).distinct(), "contaminated")
+    bad = bounded(bad, broadcast_rows)  # 16 bytes a row; beyond it both sides are shuffled
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.crc32(F.coalesce(utf8(), F.lit(b""))).alias("mark"))
+    same = F.col("id").eqNullSafe(F.col("bad")) & (F.col("mark") == F.col("bad_mark"))
+    return packed.join(bad, same, "left_anti").select("row.*")
 
 
 def phrase_matches(index: DataFrame, phrases: dict[str, str], slop: int | None = None) -> DataFrame:
     """name, doc_id, position (in words) of exact phrase matches, or with `slop` of proximity matches, in a built index."""
-    counts = rarity(index.where(F.col("term").isin([bytearray(t) for p in phrases.values() for t in words(p.encode())])))
-    plan = {n: sorted(((t, k) for k, t in enumerate(words(p.encode()))), key=lambda x: (counts.get(x[0], 0), x[1])) for n, p in phrases.items()}
-    plan = {n: p for n, p in plan.items() if p and all(t in counts for t, _ in p)}
+    listed = {n: words(p.encode()) for n, p in phrases.items()}
+    counts = rarity(index, sorted({t for w in listed.values() for t in w}))
+    plan = {n: sorted(((t, k) for k, t in enumerate(w)), key=lambda x: (counts[x[0]], x[1])) for n, w in listed.items() if w and all(t in counts for t in w)}
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         block, out = Block(rows), []

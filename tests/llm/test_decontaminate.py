@@ -43,13 +43,13 @@ def data():
     return docs, items
 
 
-@pytest.mark.parametrize("slice_words", [10**6, 40])
-def test_hits_equal_brute_force(spark, slice_words, monkeypatch):
+@pytest.mark.parametrize("slices", [{}, {"slice_bytes": 160}, {"slice_bytes": 160, "vocabulary_bytes": 0}])
+def test_hits_equal_brute_force(spark, slices, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_WORDS", 500)
     docs, items = data()
     frame = spark.createDataFrame([(*d, "", "") for d in docs], DOCS)
     bench = spark.createDataFrame([(*i, "") for i in items], ITEMS)
-    got = sorted(((r.doc_id or -1, r.n_words, r.n_hit, list(r["items"])) for r in D.hits(frame, bench, slice_words=slice_words).collect()), key=repr)
+    got = sorted(((r.doc_id or -1, r.n_words, r.n_hit, list(r["items"])) for r in D.hits(frame, bench, **slices).collect()), key=repr)
     assert got == sorted(((i or -1 if i != 0 else -1, *brute(t, items)) for i, t in docs), key=repr)
     left = D.decontaminate(frame, bench)
     assert left.columns == frame.columns
@@ -72,3 +72,17 @@ def test_phrase_and_proximity_over_a_full_index(spark):
     assert sorted((r.name, r.doc_id, r.position) for r in exact) == [("p", 1, 1), ("q", 1, 5)]
     near = D.phrase_matches(index, {"n": "quick fox"}, slop=2).collect()
     assert {r.doc_id for r in near} == {1, 2}
+
+
+def test_a_block_visits_only_windows_whose_rarest_term_it_holds():
+    phrases = {(b"the", b"rare"): ["1"], (b"the", b"of"): ["2"], (b"the", b"gone"): ["3"], (b"of", b"scarce", b"of"): ["4"]}
+    plan = D.plan_of(phrases, {b"the": 90, b"of": 80, b"rare": 2, b"scarce": 3})
+    block = type("B", (), {"packed": {b"the": b"", b"of": b"", b"scarce": b""}})
+    assert sorted(i for _, _, (i,) in D.of_block(plan, block)) == ["2", "4"]
+    assert [t for t, _ in next(x for x, n, _ in D.of_block(plan, block) if n == 3)] == [b"scarce", b"of", b"of"]
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", 1, 2, "r", 3), (2, "x y z", 1, 2, "r", 3)], "doc_id bigint, text string, __bad int, __mark int, row string, bad int")
+    left = D.decontaminate(docs, spark.createDataFrame([("i", "a b c")], "item_id string, text string"))
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(2, "x y z", 1, 2, "r", 3)]
