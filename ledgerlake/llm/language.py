@@ -2,9 +2,10 @@
 
 A text's language family is predicted first, then the language within the family. Both steps vote over one-versus-one
 linear support vector machines. Features are the relative frequencies of hashed byte pairs and triples of the lower-cased letters,
-of the whole text. The machines are fitted on a bounded sample of labelled rows (at most SAMPLE a language, chosen by a hash):
-each pair of classes is a group, so pairs are fitted in parallel as Spark tasks, and only the weights come to the driver (BUCKETS
-floats a pair of languages).
+of the whole text. The machines are fitted on a bounded sample of labelled rows (at most SAMPLE a language, chosen by a hash). Its
+features (six bytes a bucket that occurs) are made once, before rows are dealt to the pairs that they teach; a class of a pair has at
+most SAMPLE rows, a family's in equal parts from its languages. Each pair is a group, so pairs are fitted in parallel as Spark
+tasks, and only the weights come to the driver (BUCKETS floats a pair of classes).
 
 Families are given for the languages named below; any other language is a family of its own.
 
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import bounded, map_batches, save, table, utf8
+from ledgerlake.llm.common import bounded, discard, map_batches, save, table, utf8
 
 BUCKETS = 1 << 14
 #: Labelled rows of a language that fitting may use at most.
@@ -87,7 +88,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """lang, raw: at most `sample` rows a language, those of the least hashes, never of held-out documents.
+    """lang, place, raw: at most `sample` rows a language, those of the least hashes, never of held-out documents.
 
     Each language's hash bound comes from its row count, so only about `sample` rows a language are ordered.
     """
@@ -96,32 +97,47 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     # A row a language: broadcast, so that no text is shuffled but the sample's.
     near = known.join(bounded(save(bound, "language-shares"), 100_000), F.col("lang") == F.col("of")).where(F.col("h") < F.col("share") * float(1 << 40))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "raw"))
-    return near.withColumn("r", rank).where(F.col("r") <= sample).select("lang", "raw")
+    return near.withColumn("place", rank).where(F.col("place") <= sample).select("lang", "place", "raw")
+
+
+def sampled_features(rows: DataFrame) -> DataFrame:
+    """lang, place, buckets (16-bit numbers), values (32-bit floats) of each row of the sample."""
+
+    def start():
+        def step(batch):
+            found = [features(raw.as_py()) for raw in batch.column("raw")]
+            return {"lang": batch.column("lang"), "place": batch.column("place"), "buckets": [at.astype("<u2").tobytes() for at, _ in found], "values": [x.astype("<f4").tobytes() for _, x in found]}
+
+        return step
+
+    return map_batches(rows, start, "lang string, place int, buckets binary, values binary")
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """The fitted machines: {'langs': [...], (class, class): weights}. Classes are families, and languages of one family."""
-    rows = save(training_rows(docs, sample), "language-sample")
+    rows = save(sampled_features(training_rows(docs, sample)), "language-sample")
     langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
     fams = sorted({family(x) for x in langs})
     pairs = [("family", a, b) for a, b in combinations(fams, 2)] + [("lang", a, b) for f in fams for a, b in combinations([x for x in langs if family(x) == f], 2)]
     if not pairs:
+        discard(docs.sparkSession, rows)
         return {"langs": langs, "machines": {}}
-    sides: dict[str, list] = {x: [] for x in langs}
+    sides = []
     for k, (level, a, b) in enumerate(pairs):
-        for x in langs:
-            of = family(x) if level == "family" else x
-            if of in (a, b):
-                sides[x].append((k, 1 if of == a else -1))
-    listed = rows.sparkSession.createDataFrame([(x, k, s) for x, ks in sides.items() for k, s in ks], "of string, pair int, sign int")
-    each = rows.join(listed, F.col("lang") == F.col("of")).select("pair", "sign", "raw")
+        for side, sign in ((a, 1), (b, -1)):
+            members = [x for x in langs if (family(x) if level == "family" else x) == side]
+            sides += [(x, k, sign, -(-sample // len(members))) for x in members]
+    listed = F.broadcast(rows.sparkSession.createDataFrame(sides, "of string, pair int, sign int, most int"))  # a row a pair and language
+    each = rows.join(listed, (F.col("lang") == F.col("of")) & (F.col("place") <= F.col("most"))).select("pair", "sign", "lang", "place", "buckets", "values")
 
     def machine(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(size=group.raw.map(len)).sort_values(["sign", "size", "raw"])
-        w = fit_svm([features(r) for r in group.raw], group.sign.to_numpy())
+        group = group.sort_values(["sign", "lang", "place"])
+        vectors = [(np.frombuffer(at, "<u2"), np.frombuffer(x, "<f4")) for at, x in zip(group.buckets, group["values"], strict=True)]
+        w = fit_svm(vectors, group.sign.to_numpy())
         return pd.DataFrame({"pair": [int(group.pair.iloc[0])], "w": [w.astype("<f4").tobytes()]})
 
     fitted = each.groupBy("pair").applyInPandas(machine, "pair int, w binary").collect()
+    discard(docs.sparkSession, rows)
     return {"langs": langs, "machines": {pairs[r.pair]: np.frombuffer(bytes(r.w), "<f4") for r in fitted}}
 
 

@@ -3,7 +3,8 @@
 A document's text falls into pre-tokens (the tokenizer's own split), and runs of PER_LEAF pre-tokens are the leaves of a
 segment tree. Every node holds the characters and the tokens below it. An edit finds its leaf by descending the character
 sums, splits again only from a little before the edit to the first old leaf boundary behind it at which the new split
-falls into step with the old one, encodes those pre-tokens, and updates the sums on the paths to the root. The count of
+falls into step with the old one, encodes those pre-tokens, and updates the sums on the paths to the root. The new pre-tokens fill leaves of
+PER_LEAF again; where they need more leaves than they replace, the tree is laid out anew over all leaves' sums, without encoding. The count of
 the edited document is the root; nothing else is encoded again.
 
 The tokenizer's pre-tokens are encoded independently of each other, so counts by pre-token are exact, and a per-task memo
@@ -40,7 +41,7 @@ class Counter:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb"))}
         encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.split = regex.compile(pattern)
-        self.count = Bounded(lambda piece: len(encoding.encode_ordinary(piece)), 400_000)
+        self.count = Bounded(lambda piece: len(encoding.encode_ordinary(piece)), 200_000)
 
     def leaves(self, text: str) -> tuple[list[int], list[int]]:
         """Characters and tokens of each run of PER_LEAF pre-tokens."""
@@ -58,6 +59,9 @@ class Tree:
     """Segment tree in an array: node 1 is the root, node k has the children 2k and 2k+1, the leaves are the last half."""
 
     def __init__(self, chars: list[int], tokens: list[int]):
+        self.lay_out(chars, tokens)
+
+    def lay_out(self, chars, tokens) -> None:
         self.half = 1 << max(0, len(chars) - 1).bit_length()
         self.sums = np.zeros((2 * self.half, 2), np.int64)
         self.sums[self.half : self.half + len(chars), 0] = chars
@@ -101,23 +105,31 @@ def apply_edit(counter: Counter, tree: Tree, text: str, start: int, end: int, ne
     shift = len(new) - (end - start)
     first, begin = tree.leaf_at(max(0, start - CONTEXT))
     leaf, boundary = first, begin  # of the old text
-    at, chars, tokens, encoded = begin, 0, 0, 0
+    at, encoded = begin, 0
+    made = [[0, 0]]  # characters and tokens of the new leaves
     for m in counter.split.finditer(edited, begin):
         while leaf < tree.used and (boundary < end or boundary + shift < at):
             boundary += int(tree.sums[tree.half + leaf, 0])
             leaf += 1
         if encoded and boundary >= end and boundary + shift == at and leaf > first:
             break
-        tokens += counter.count[m[0]]
+        if encoded and encoded % PER_LEAF == 0:
+            made.append([0, 0])
+        made[-1][0] += m.end() - m.start()
+        made[-1][1] += counter.count[m[0]]
         encoded += 1
         at = m.end()
     else:
         leaf = tree.used
-    chars = at - begin
-    for k in range(first + 1, leaf):
-        tree.put(k, 0, 0)
-    tree.put(first, chars, tokens)
-    tree.used = max(tree.used, first + 1 if chars else tree.used)
+    if len(made) <= max(1, leaf - first):
+        for k in range(max(1, leaf - first)):
+            tree.put(first + k, *(made[k] if k < len(made) else (0, 0)))
+        tree.used = max(tree.used, first + len(made) if made[0][0] else 0)
+    else:
+        old = tree.sums[tree.half : tree.half + tree.used]
+        leaves = np.concatenate([old[:first], np.array(made), old[leaf:]])
+        leaves = leaves[leaves[:, 0] > 0]
+        tree.lay_out(leaves[:, 0], leaves[:, 1])
     return edited, encoded
 
 

@@ -44,3 +44,31 @@ def test_edit_table_nulls_and_repeats(spark):
     one = (1, n("hello world"), n("bye world again and again"), 25)
     assert got == [(0, n("lost"), n("lost"), 4), one, one, (2, 0, n("new text"), 8), (3, 0, 0, 0)]
     assert T.patch_counts(T.with_edits(docs.limit(0), edits)).collect() == []
+
+
+def test_large_inserts_fill_leaves_of_the_usual_size():
+    rng = random.Random(9)
+    counter, encoding = T.Counter(T.tokenizer_file(), P.PATTERN), whole()
+    text = "some words here " * 50
+    tree = T.Tree(*counter.leaves(text))
+    for k in range(40):
+        a = rng.randint(0, len(text))
+        text, _ = T.apply_edit(counter, tree, text, a, a, "inserted words and more " * rng.choice([1, 40, 400]))
+        assert tree.n_tokens == len(encoding.encode_ordinary(text))
+    _, encoded = T.apply_edit(counter, tree, text, len(text) // 2, len(text) // 2 + 1, "x")
+    assert 0 < encoded <= 4 * T.PER_LEAF
+
+
+def test_the_query_counts_what_its_three_edits_leave(spark, tmp_path):
+    texts = ["", None, "a", "short text", "some words here, it's long.\n" * 300, "é日本 " * 50]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    encoding = whole()
+    for r in T.op1_token_counts(spark, str(tmp_path)).collect():
+        text = texts[r.doc_id] or ""
+        assert r.n_tokens == len(encoding.encode_ordinary(text))
+        if texts[r.doc_id] is not None:
+            n = len(text)
+            text = text[: n // 2] + text[n // 2 + 1 :]
+            text = text[: n // 3] + " revised 2nd" + text[n // 3 :]
+            text = text[: n + 11] + "\nThe end." + text[n + 11 :]
+        assert (r.n_tokens_after, r.n_chars_after) == (len(encoding.encode_ordinary(text)), len(text))
