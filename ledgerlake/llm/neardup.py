@@ -40,10 +40,11 @@ PERCENT = 75
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
 #: The long signature of the classes in mixed buckets has one bit for each of so many hashes. Sets of similarity s agree in
-#: (1 + s) / 2 of the bits. Below LEAST_BITS (similarity 0.64, more than five deviations below PERCENT) a pair is not confirmed;
-#: from CLEAR_BITS on (0.86, five above) it is clearly similar. FIRST_BITS of the first FIRST_WORDS words are asked for first.
-LONG_HASHES, LEAST_BITS, CLEAR_BITS = 1024, 840, 952
-FIRST_WORDS, FIRST_BITS = 4, 192
+#: (1 + s) / 2 of the bits. Pairs that differ in more than MOST_BITS (similarity under 0.675, five deviations below PERCENT) are not
+#: confirmed; up to CLEAR_BITS (0.83, five above) they are clearly similar. The first FIRST_WORDS words are compared first, of whose
+#: bits no more than FIRST_BITS (six deviations) may differ.
+LONG_HASHES, MOST_BITS, CLEAR_BITS = 2048, 332, 174
+FIRST_WORDS, FIRST_BITS = 4, 64
 #: Classes of a tile: a task compares at most TILE classes of other components with SLICE classes of a bucket at once.
 TILE, SLICE = 512, 2048
 #: Shingles whose hash minima are taken together.
@@ -194,21 +195,14 @@ def _column(found: pa.Table, name: str, dtype, width: int = 1) -> np.ndarray:
     return whole.to_numpy(zero_copy_only=False)
 
 
-def _agreeing(every: np.ndarray, one: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of `among` agree with `one` in LEAST_BITS at least, and in how many. every: (words, classes)."""
-
-    def count(begin: int, end: int, at: np.ndarray) -> np.ndarray:
-        same = np.zeros(len(at), np.int32)
-        for w in range(begin, end):
-            same += 64 - np.bitwise_count(every[w][at] ^ one[w]).astype(np.int32)
-        return same
-
-    first = count(0, FIRST_WORDS, among)
-    near = first >= FIRST_BITS
-    among, first = among[near], first[near]
-    same = first + count(FIRST_WORDS, len(every), among)
-    near = same >= LEAST_BITS
-    return among[near], same[near]
+def _agreeing(first: np.ndarray, bits: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which classes differ from `one` in MOST_BITS at most, and in how many. bits: (classes, words); first: (FIRST_WORDS, classes)."""
+    differ = np.bitwise_count(first[0] ^ one[0]).astype(np.uint16)
+    for w in range(1, FIRST_WORDS):
+        differ += np.bitwise_count(first[w] ^ one[w])
+    near = np.flatnonzero(differ <= FIRST_BITS)
+    differ = np.bitwise_count(bits[near] ^ one).sum(axis=1, dtype=np.int32)
+    return near[differ <= MOST_BITS], differ[differ <= MOST_BITS]
 
 
 _PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -224,17 +218,19 @@ def _partners(of_all: bool):
         if len(mine) and len(every):
             band = int(found.column("band")[0].as_py())
             node, n, comp = (_column(every, c, np.int64) for c in ("node", "n", "component"))
-            bits = np.ascontiguousarray(_column(every, "long", np.uint64, LONG_HASHES // 64).T)
+            bits = _column(every, "long", np.uint64, LONG_HASHES // 64)
+            first = np.ascontiguousarray(bits[:, :FIRST_WORDS].T)
             keys, my_keys = _column(every, "earlier", np.int64, band), _column(mine, "earlier", np.int64, band)
             my_bits = _column(mine, "long", np.uint64, LONG_HASHES // 64)
             for i, (u, nu, cu) in enumerate(zip(*(_column(mine, c, np.int64).tolist() for c in ("node", "n", "component")), strict=True)):
-                fits = np.flatnonzero((comp != cu) & (100 * np.minimum(n, nu) >= PERCENT * np.maximum(n, nu)))
-                other, same = _agreeing(bits, my_bits[i], fits)
+                other, differ = _agreeing(first, bits, my_bits[i])
+                fits = (comp[other] != cu) & (100 * n[other] >= PERCENT * nu) & (100 * nu >= PERCENT * n[other])
+                other, differ = other[fits], differ[fits]
                 if of_all:
                     other = other[~(keys[other] == my_keys[i]).any(axis=1)] if band else other
                 elif len(other):
-                    clear = other[same >= CLEAR_BITS]
-                    best = other[same == same.max()]
+                    clear = other[differ <= CLEAR_BITS]
+                    best = other[differ == differ.min()]
                     other = [clear[np.argmin(node[clear])] if len(clear) else best[np.argmin(node[best])]]
                 for k in other:
                     v = int(node[k])
@@ -264,7 +260,7 @@ def _long_signatures(docs: DataFrame, classes: DataFrame, rows: DataFrame, reps:
 
 
 def _rest_pairs(rows: DataFrame, both: DataFrame, of_all: bool) -> DataFrame:
-    """u, v: pairs of different components that share a bucket and whose long signatures agree enough; written."""
+    """u, v: pairs of different components that share a bucket and whose long signatures differ little enough; written."""
     # Buckets are made by these keys: only an equal key, not a likeness of minima, says that a pair meets in an earlier band.
     ends = rows.join(both, "node").withColumn("earlier", F.slice("bands", F.lit(1), F.col("band")))
     minor = F.col("component") != F.col("main")
