@@ -5,8 +5,9 @@ prefixed service tokens). Each candidate's value is hashed; hashes are aggregate
 repositories and owners. A value that many owners hold is a copied example; one that a single owner holds, with a
 mixed alphabet and no sample word in it, looks live.
 
-Hot values are combined before the shuffle (distinct hash, owner, repository first), so a value in a third of all documents
-costs no more than another.
+Hot values are combined before the shuffle (distinct hash, owner, repository first). Only values that more than one owner or
+repository holds are joined with their mentions again, broadcast as long as they are few; the others have one of each. So a value in a
+third of all documents costs no more than another.
 
 Defined results: a null or empty text has no candidates; repeated rows count once an owner; a null owner or repository
 is one of its own; an empty table gives no rows. Only the named columns are read.
@@ -19,7 +20,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import map_batches, save, table, utf8
+from ledgerlake.llm.common import bounded, map_batches, save, table, utf8
 from ledgerlake.llm.spans import count_kind, in_code_points, joined, value_hash
 
 #: The base kinds, in the order of the contract.
@@ -29,11 +30,19 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{16,}")  # maximal runs: the same as [0-9a-f]+ of 16 or more
 _HINTS = (b"passw", b"secret", b"token", b"api")
 
-#: Kinds that the method adds: a hint that must occur, and the pattern, whose group 1 is the value.
+#: Kinds that the method adds: hints of which one must occur, and the pattern, whose group 1 is the value. Service tokens are known by
+#: the prefixes that their issuers publish.
 ADDED = {
-    "jwt": (b"eyJ", re.compile(rb"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")),
-    "private_key": (b"PRIVATE KEY-----", re.compile(rb"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]+)")),
-    "service": (b"_", re.compile(rb"(?<![A-Za-z0-9])((?:ghp|gho|ghs|sk_live|sk_test|xoxb|xoxp)_[A-Za-z0-9]{16,})")),
+    "jwt": ((b"eyJ",), re.compile(rb"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")),
+    # With its END line up to there; without one only lines that are long runs of base64 belong to it.
+    "private_key": (
+        (b"PRIVATE KEY-----",),
+        re.compile(rb"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\s+[A-Za-z0-9+/]{40,76}={0,2}(?![^\s-]))*(?:\s+[A-Za-z0-9+/]{1,76}={0,2}(?=\s*-----END ))?(?:\s*-----END [A-Z ]{0,20}PRIVATE KEY-----)?)"),
+    ),
+    "service": (
+        (b"gh", b"_live_", b"_test_", b"xox", b"glpat-", b"AIza", b"npm_"),
+        re.compile(rb"(?<![A-Za-z0-9])(gh[pousr]_[A-Za-z0-9]{16,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|xox[abeoprs]-[A-Za-z0-9-]{10,}[A-Za-z0-9]|glpat-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36})"),
+    ),
 }
 #: Values with one of these in them are samples.
 SAMPLE_WORDS = (b"example", b"sample", b"dummy", b"changeme", b"xxxx", b"1234567890")
@@ -50,8 +59,8 @@ def candidates(raw: bytes) -> list[tuple[str, int, int, bytes]]:
     if b"AKIA" in raw:
         out += [("access", m.start(), m.end(), m[0]) for m in _ACCESS.finditer(raw) if len(m[0]) >= 18]
     out += [("hex", m.start(), m.end(), m[0]) for m in _HEX.finditer(raw)]
-    for kind, (hint, pattern) in ADDED.items():
-        if hint in raw:
+    for kind, (hints, pattern) in ADDED.items():
+        if any(h in raw for h in hints):
             out += [(kind, *m.span(1), m[1]) for m in pattern.finditer(raw)]
     return out
 
@@ -93,9 +102,11 @@ def ownership(scanned: DataFrame) -> DataFrame:
 def judged(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """One row a candidate: row, kind, start, end, value, n_owners, n_repositories, verdict (example, live or weak)."""
     each = scanned.select("row", F.explode("spans").alias("s")).select("row", "s.*")
+    several = bounded(save(ownership(scanned).where("n_owners > 1 OR n_repositories > 1"), "secret-owners"))
+    each = each.join(several, "value", "left").withColumns({c: F.coalesce(c, F.lit(1).cast("long")) for c in ("n_owners", "n_repositories")})
     copied = F.col("n_owners") >= example_owners
     verdict = F.when(copied, "example").when(F.col("random") & (F.col("n_owners") == 1), "live").otherwise("weak")
-    return each.join(ownership(scanned), "value").select("row", "kind", "start", "end", "value", "n_owners", "n_repositories", verdict.alias("verdict"))
+    return each.select("row", "kind", "start", "end", "value", "n_owners", "n_repositories", verdict.alias("verdict"))
 
 
 def secrets_report(docs: DataFrame, owner: str = "source", repository: str = "source") -> DataFrame:
@@ -117,4 +128,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_live",
         "n_example",
         "most_owners",
+        F.size("spans").cast("long").alias("n_spans"),
     )

@@ -44,3 +44,35 @@ def test_added_kinds_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "ghp_abcdefghijklmnop1234 eyJhbGciOiJI.eyJzdWIiOiIx.abcdefghij", "s", "", "")], SCHEMA)
     assert {s.kind for s in S.secrets_report(docs).first().spans} == {"service", "jwt"}
     assert S.secrets_report(docs.limit(0)).collect() == []
+
+
+def test_service_tokens_and_bounded_private_keys():
+    slack = "xoxb" + "-123456789012-" + "AbCdEfGhIjKl"
+    text = f"use {slack}. Then glpat-{'a1' * 10} ok"
+    assert [text[a:b] for k, a, b, _ in S.candidates(text.encode()) if k == "service"] == [slack, "glpat-" + "a1" * 10]
+    body = "\n".join(["Ab1/" * 16] * 3 + ["xyz="])
+    whole = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    cut = "-----BEGIN PRIVATE KEY-----\n" + "Ab1/" * 16
+    for key in (whole, cut):
+        text = f"see {key}\nand then some following prose without any END line"
+        assert [text[a:b] for k, a, b, _ in S.candidates(text.encode()) if k == "private_key"] == [key]
+
+
+def test_verdicts_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(10)
+    values = [f"v{i}q8z{i * 7919 % 1000}lmnop" for i in range(30)] + ["example-value-1", "aaaaaaaaaaaaaa"]
+    rows = [(i, " ".join(f"token = {rng.choice(values)}" for _ in range(rng.randrange(4))), rng.choice(["a", "b", "c", "d", None]), "", "") for i in range(60)]
+    rows += [(100 + i, "secret: hotvalue1234x", "a", "", "") for i in range(300)]
+    held = {}
+    for _, text, source, *_ in rows:
+        for m in re.finditer(r"[=:] (\S+)", text):
+            held.setdefault(m[1], set()).add(source)
+    wanted = {}
+    for i, text, *_ in rows:
+        found = [m[1] for m in re.finditer(r"[=:] (\S+)", text)]
+        random_ = [v for v in found if len(set(v)) >= 6 and "example" not in v]
+        wanted[i] = (sum(len(held[v]) == 1 for v in random_), sum(len(held[v]) >= 3 for v in found), max((len(held[v]) for v in found), default=0))
+    got = {r.doc_id: (r.n_live, r.n_example, r.most_owners) for r in S.secrets_report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == wanted
