@@ -17,7 +17,7 @@ FRAMES: dict[str, str] = {
     "tx": """
 SELECT CAST(o_orderkey AS STRING) AS transaction_id, CAST(floor(o_custkey / 75) AS BIGINT) AS user_id, o_custkey * 10 + o_orderkey % 3 AS account_id,
        CAST(CAST(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE -1 END * (CAST(round(o_totalprice * 100) AS BIGINT) % 250000) AS DECIMAL(12,0)) * 0.01 AS DECIMAL(19,2)) AS amount,
-       'POS ' || upper('Merchant ' || CAST(o_orderkey % 25 AS STRING)) || ' #' || CAST(1000 + o_orderkey % 700 AS STRING) || ' - ' || o_orderpriority AS description,
+       'POS ' || upper('Merchant ' || CAST(o_orderkey % 25 AS STRING)) || ' #' || CAST(1000 + o_orderkey % 700 AS STRING) || ' - ' || o_orderpriority || CASE o_orderkey % 67 WHEN 1 THEN ' donation' WHEN 2 THEN ' property tax' WHEN 3 THEN ' dividend' WHEN 4 THEN ' zelle' WHEN 5 THEN ' mortgage interest' WHEN 6 THEN ' turbotax' WHEN 7 THEN ' university' WHEN 8 THEN ' dmv' WHEN 9 THEN ' state tax' WHEN 10 THEN ' county tax' WHEN 11 THEN ' medical' WHEN 12 THEN ' stock sale' WHEN 13 THEN ' rsu' WHEN 14 THEN ' wages' ELSE '' END AS description,
        CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE 'Merchant ' || CAST(o_orderkey % 25 AS STRING) END AS merchant_name,
        CASE o_orderkey % 5 WHEN 0 THEN 'groceries' WHEN 1 THEN 'dining' WHEN 2 THEN 'shopping' WHEN 3 THEN 'utilities' ELSE CASE WHEN o_orderstatus = 'P' THEN 'income' ELSE 'travel' END END AS category_primary,
        CASE o_orderkey % 7 WHEN 0 THEN 'dining' WHEN 1 THEN 'interest charged' WHEN 2 THEN 'insurance' ELSE NULL END AS category_detailed,
@@ -27,7 +27,8 @@ SELECT CAST(o_orderkey AS STRING) AS transaction_id, CAST(floor(o_custkey / 75)
        CASE WHEN o_orderkey % 9 = 0 THEN 'g' || CAST(o_custkey AS STRING) ELSE NULL END AS goal_id,
        CASE WHEN o_orderkey % 13 = 0 THEN CAST(o_orderkey - 1 AS STRING) ELSE NULL END AS round_up_source_transaction_id,
        CASE o_orderkey % 4 WHEN 0 THEN 'PLAID' WHEN 1 THEN 'CSV' WHEN 2 THEN 'PDF' ELSE NULL END AS import_source,
-       1000000 + o_orderkey AS updated_at_ts, o_orderkey % 50 = 0 AS deleted
+       1000000 + o_orderkey AS updated_at_ts, o_orderkey % 50 = 0 AS deleted, CASE WHEN o_orderkey % 23 = 0 THEN 'ACH' ELSE 'in store' END AS payment_channel,
+       CASE WHEN o_orderkey % 71 = 0 THEN 'TRANSFER_OUT' WHEN o_orderkey % 73 = 0 THEN 'FOOD_AND_DRINK' ELSE NULL END AS importer_category_primary, CASE WHEN o_orderkey % 79 = 0 THEN 'TRANSFER_IN_DEPOSIT' ELSE NULL END AS importer_category_detailed
 FROM {orders}
 UNION ALL
 SELECT 'r' || CAST(c_custkey AS STRING) || '-' || CAST(k AS STRING), CAST(floor(c_custkey / 75) AS BIGINT), c_custkey * 10,
@@ -35,7 +36,7 @@ SELECT 'r' || CAST(c_custkey AS STRING) || '-' || CAST(k AS STRING), CAST(floor(
        CASE WHEN c_custkey % 10 = 0 THEN 'STREAMLY.COM monthly subscription ' || CAST(c_custkey % 8 AS STRING) ELSE 'ACH payroll deposit' END,
        CASE WHEN c_custkey % 10 = 0 THEN 'Streamly ' || CAST(c_custkey % 8 AS STRING) ELSE 'Payroll ' || CAST(c_custkey % 4 AS STRING) END,
        CASE WHEN c_custkey % 10 = 0 THEN 'subscriptions' ELSE 'salary' END, CASE WHEN c_custkey % 10 = 0 THEN 'streaming' ELSE NULL END,
-       {add_months:DATE '2001-07-20', -k - CASE WHEN c_custkey % 50 = 0 THEN 2 ELSE 0 END}, 'USD', NULL, FALSE, FALSE, NULL, NULL, 'PLAID', 9000000 + c_custkey, FALSE
+       {add_months:DATE '2001-07-20', -k - CASE WHEN c_custkey % 50 = 0 THEN 2 ELSE 0 END}, 'USD', NULL, FALSE, FALSE, NULL, NULL, 'PLAID', 9000000 + c_custkey, FALSE, NULL, NULL, NULL
 FROM {customer} CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) AS months(k) WHERE c_custkey % 5 = 0""",
     "accounts": """
 SELECT c_custkey * 10 + k AS account_id, CAST(floor(c_custkey / 75) AS BIGINT) AS user_id, c_name AS account_name, 'Bank ' || CAST(c_nationkey AS STRING) AS institution_name,
@@ -63,9 +64,9 @@ SELECT 'g' || CAST(c_custkey AS STRING) AS goal_id, CAST(floor(c_custkey / 75) A
        c_custkey % 2 = 0 AS round_up_enabled, c_custkey % 37 = 0 AS completed, CAST(c_custkey % 4 * 25 AS INT) AS last_milestone
 FROM {customer} WHERE c_custkey % 3 = 0""",
     "subscriptions": """
-SELECT 's' || CAST(c_custkey AS STRING) AS subscription_id, CAST(floor(c_custkey / 75) AS BIGINT) AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 'Streamly ' || CAST(c_custkey % 8 AS STRING) ELSE 'Merchant ' || CAST(c_custkey % 25 AS STRING) END AS merchant_name,
+SELECT 's' || CAST(c_custkey AS STRING) AS subscription_id, CAST(floor(c_custkey / 75) AS BIGINT) AS user_id, CASE WHEN c_custkey % 41 = 0 THEN 'Netflix' WHEN c_custkey % 43 = 0 THEN 'Adobe Creative Cloud' WHEN c_custkey % 47 = 0 THEN 'Verizon Wireless' WHEN c_custkey % 3 = 0 THEN 'Streamly ' || CAST(c_custkey % 8 AS STRING) ELSE 'Merchant ' || CAST(c_custkey % 25 AS STRING) END AS merchant_name,
        CAST(4.99 + c_custkey % 60 AS DECIMAL(19,2)) AS amount, CASE c_custkey % 7 WHEN 0 THEN 'DAILY' WHEN 1 THEN 'WEEKLY' WHEN 2 THEN 'BI_WEEKLY' WHEN 3 THEN 'MONTHLY' WHEN 4 THEN 'QUARTERLY' WHEN 5 THEN 'SEMI_ANNUAL' ELSE 'ANNUAL' END AS frequency,
-       {add_days:DATE '2001-08-01', -CAST(60 + c_custkey % 500 AS INT)} AS start_date, {add_days:DATE '2001-08-01', -CAST(c_custkey % 200 AS INT)} AS last_payment_date,
+       {add_days:DATE '2001-08-01', -CAST(1 + c_custkey % 500 AS INT)} AS start_date, {add_days:DATE '2001-08-01', -CAST(c_custkey % 200 AS INT)} AS last_payment_date,
        CASE c_custkey % 5 WHEN 0 THEN 'streaming' WHEN 1 THEN 'software' WHEN 2 THEN 'fitness' WHEN 3 THEN 'cloud_storage' ELSE 'insurance' END AS category, c_custkey % 6 <> 0 AS active,
        CASE WHEN c_custkey % 4 = 0 THEN CAST(4.99 + c_custkey % 60 - c_custkey % 3 AS DECIMAL(19,2)) ELSE NULL END AS previous_price,
        CASE WHEN c_custkey % 8 = 0 THEN {add_days:DATE '2001-08-01', CAST(c_custkey % 30 AS INT) - 5} ELSE NULL END AS trial_ends_at

@@ -8,9 +8,42 @@ from pyspark.sql import functions as F
 from ledgerlake.functions.dates import day
 
 INCOME_OR_SAVINGS = ("income", "salary", "investment", "savings", "interest")
-#: What marks a transfer, as exact categories and as phrases.
-TRANSFER_CATEGORIES = ("transfer", "transfer_in", "transfer_out", "loan_payments", "credit_card_payment", "payment")
-TRANSFER_PHRASES = ("transfer", "payment thank you", "autopay", "online payment", "credit card payment")
+#: Fixed values. The importer's own categories that are transfers, whole and in this case.
+IMPORTER_TRANSFERS = ("TRANSFER_IN", "TRANSFER_OUT", "LOAN_PAYMENTS")
+IMPORTER_TRANSFER_DETAILS = (
+    "LOAN_PAYMENTS_CREDIT_CARD_PAYMENT",
+    "LOAN_PAYMENTS_CAR_PAYMENT",
+    "LOAN_PAYMENTS_MORTGAGE_PAYMENT",
+    "LOAN_PAYMENTS_PERSONAL_LOAN_PAYMENT",
+    "LOAN_PAYMENTS_STUDENT_LOAN_PAYMENT",
+    "LOAN_PAYMENTS_OTHER_PAYMENT",
+    "TRANSFER_IN_ACCOUNT_TRANSFER",
+    "TRANSFER_IN_CASH_ADVANCES_AND_LOANS",
+    "TRANSFER_IN_DEPOSIT",
+    "TRANSFER_IN_SAVINGS",
+    "TRANSFER_OUT_ACCOUNT_TRANSFER",
+    "TRANSFER_OUT_SAVINGS",
+    "TRANSFER_OUT_WITHDRAWAL",
+)
+#: Fixed values. Parts of our categories, and parts of merchants and descriptions, that mark a transfer.
+TRANSFER_CATEGORIES = ("transfer", "transfers", "account transfer", "internal transfer", "bank transfer", "credit card payment", "cc payment", "card payment", "loan payment", "investment transfer", "brokerage transfer")
+TRANSFER_PHRASES = (
+    "transfer from",
+    "transfer to",
+    "xfer from",
+    "xfer to",
+    "zelle",
+    "venmo cashout",
+    "venmo to bank",
+    "ach transfer",
+    "ach pull",
+    "ach push",
+    "internal transfer",
+    "payment to credit card",
+    "credit card payment",
+    "auto pay credit",
+    "wire transfer",
+)
 
 
 def not_deleted() -> Column:
@@ -37,9 +70,13 @@ def income_or_savings(category: Column) -> Column:
 
 
 def is_transfer() -> Column:
-    text = F.lower(F.concat_ws(" ", "category_primary", "category_detailed", "merchant_name", "description"))
-    exact = F.coalesce(F.lower("category_primary").isin(*TRANSFER_CATEGORIES), F.lit(False))
-    return exact | text.rlike("|".join(TRANSFER_PHRASES))
+    """A self-transfer: by the importer's category, else by parts of our categories, of the merchant or of the description."""
+    none = F.lit(False)
+    own = F.coalesce(F.col("importer_category_primary").isin(*IMPORTER_TRANSFERS), none) | F.coalesce(F.col("importer_category_detailed").isin(*IMPORTER_TRANSFER_DETAILS), none)
+    parts = [(c, TRANSFER_CATEGORIES) for c in ("category_primary", "category_detailed")] + [(c, TRANSFER_PHRASES) for c in ("merchant_name", "description")]
+    for name, needles in parts:
+        own = own | F.coalesce(F.lower(name).rlike("|".join(needles)), none)
+    return own
 
 
 def effective_category(default: str | None = None) -> Column:

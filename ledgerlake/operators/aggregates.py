@@ -102,9 +102,10 @@ def benchmark_percentiles(tx: DataFrame, preferences: DataFrame, as_of: str, lea
     spend = recent.groupBy("user_id", "category").agg((total(F.abs("amount")) / 3).alias("monthly"))
     rows = spend.join(users, "user_id")
     people = rows.groupBy("bucket").agg(F.count_distinct("user_id").alias("n_users")).where(F.col("n_users") >= least_users)
-    quartiles = F.percentile(F.round("monthly", 2).cast("double"), F.lit([0.25, 0.5, 0.75]))
+    # Over whole cents, so that interpolated quarters are exact and half cents round up.
+    quartiles = F.percentile((F.round("monthly", 2) * 100).cast("bigint"), F.lit([0.25, 0.5, 0.75]))
     out = rows.groupBy("bucket", "category").agg(quartiles.alias("q"), F.count("*").alias("sample_size")).where(F.col("sample_size") >= least_category)
-    return out.join(people.select("bucket"), "bucket", "left_semi").select("bucket", "category", *[F.round(F.col("q")[k], 2).alias(n) for k, n in enumerate(("p25", "median", "p75"))], "sample_size")
+    return out.join(people.select("bucket"), "bucket", "left_semi").select("bucket", "category", *[(F.round(F.col("q")[k], 0) / 100).alias(n) for k, n in enumerate(("p25", "median", "p75"))], "sample_size")
 
 
 def distinct_accounts_a_day(tx: DataFrame, as_of: str, days: int = 14, least: int = 2) -> DataFrame:

@@ -78,14 +78,21 @@ def learn_frequencies(tx: DataFrame) -> DataFrame:
     return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("feature"))).select("feature", "category_primary", "p")
 
 
+#: Words of a description that are no features.
+STOP_WORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by")
+
+
 def _features() -> Column:
+    """m: the merchant, k: each description word of three letters or more, a: the amount's range, s: the import source."""
     amount = F.abs("amount")
     size = F.when(amount < 10, "tiny").when(amount < 50, "small").when(amount < 200, "medium").when(amount < 1000, "large").otherwise("huge")
-    return F.filter(F.array(F.concat(F.lit("m:"), F.lower("merchant_name")), F.concat(F.lit("a:"), size), F.concat(F.lit("s:"), F.coalesce("import_source", F.lit("none")))), lambda f: f.isNotNull())
+    words = F.filter(F.split(F.lower(F.coalesce("description", F.lit(""))), r"\s+"), lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS))
+    plain = F.filter(F.array(F.concat(F.lit("m:"), F.lower("merchant_name")), F.concat(F.lit("a:"), size), F.concat(F.lit("s:"), F.coalesce("import_source", F.lit("none")))), lambda f: f.isNotNull())
+    return F.concat(plain, F.transform(words, lambda w: F.concat(F.lit("k:"), w)))
 
 
 #: What each kind of feature weighs.
-FEATURE_WEIGHTS = {"m:": 0.4, "a:": 0.15, "s:": 0.15}
+FEATURE_WEIGHTS = {"m:": 0.4, "k:": 0.3, "a:": 0.15, "s:": 0.15}
 
 
 def score_frequencies(tx: DataFrame, model: DataFrame) -> DataFrame:
@@ -94,74 +101,125 @@ def score_frequencies(tx: DataFrame, model: DataFrame) -> DataFrame:
     for prefix, x in FEATURE_WEIGHTS.items():
         w = F.when(F.col("feature").startswith(prefix), x).otherwise(w)
     each = tx.select("transaction_id", F.explode(_features()).alias("feature")).join(model, "feature").groupBy("transaction_id", "category_primary").agg(F.round(F.sum(w * F.col("p")), 9).alias("score"))
-    best = F.max_by("category_primary", F.struct("score", F.expr("-ascii(category_primary)"), "category_primary"))
+    best = F.min_by("category_primary", F.struct(-F.col("score"), "category_primary"))
     return each.groupBy("transaction_id").agg(best.alias("predicted"), F.max("score").alias("score"))
 
 
-def tax_class() -> Column:
-    """Ordered predicates over category and description; the first that holds counts."""
-    text = F.lower(F.concat_ws(" ", "category_primary", "category_detailed", "description", "merchant_name"))
-    return F.when(text.contains("salary") | text.contains("payroll"), "SALARY").when(text.contains("rsu"), "RSU").when(text.contains("ach"), "ACH").when(text.contains("mortgage") & text.contains("interest"), "MORTGAGE_INTEREST").when(text.contains("interest"), "INTEREST").when(text.contains("charit") | text.contains("donation"), "CHARITY").when(text.contains("insurance") | text.contains("medical"), "MEDICAL").otherwise("NONE")
+#: Tax classes in order, the columns that are searched (lower case), and the parts of which one must occur.
+TAX_PHRASES = [
+    ("SALARY", ("description",), ("payroll", "salary", "paycheck", "wages")),
+    ("RSU", ("category_primary", "description", "merchant_name"), ("rsu", "restricted stock", "stock vest", "equity vest")),
+    ("ACH", ("description",), ("ach", "direct deposit", "electronic transfer")),
+    ("INTEREST", ("description",), ("interest",)),
+    ("DIVIDEND", ("description",), ("dividend",)),
+    ("CHARITY", ("description", "category_primary"), ("donation", "charity", "charitable", "gofundme", "red cross", "tithe")),
+    ("DMV", ("description", "merchant_name"), ("dmv", "vehicle registration", "license renewal", "driver license")),
+    ("CPA", ("description", "merchant_name"), ("cpa", "tax preparer", "tax preparation", "h&r block", "turbotax")),
+    ("TUITION", ("description", "merchant_name", "category_primary"), ("tuition", "university", "school fee", "education")),
+    ("PROPERTY_TAX", ("description", "merchant_name"), ("property tax", "real estate tax", "tax assessor")),
+    ("STATE_TAX", ("description", "merchant_name"), ("state tax", "state income tax", "franchise tax board", "ftb")),
+    ("LOCAL_TAX", ("description", "merchant_name"), ("city tax", "county tax", "local tax", "municipal tax")),
+    ("MEDICAL", ("description",), ("medical",)),
+    ("CAPITAL", ("description",), ("stock sale", "capital gain")),
+]
+#: Classes that one value of category_primary decides too.
+TAX_CATEGORIES = {"INTEREST": "interest", "DIVIDEND": "dividend", "MEDICAL": "healthcare", "CAPITAL": "investment"}
+#: Classes whose totals are positive expenses, and those with totals as they are; other classes are only counted.
+DEDUCTIONS = ("CHARITY", "DMV", "CPA", "TUITION", "PROPERTY_TAX", "STATE_TAX", "LOCAL_TAX", "MORTGAGE_INTEREST", "MEDICAL")
+INCOMES = ("SALARY", "INTEREST", "DIVIDEND", "RSU", "CAPITAL_GAIN", "CAPITAL_LOSS")
 
 
-DEDUCTIONS = ("MORTGAGE_INTEREST", "CHARITY", "MEDICAL")
+def tax_class() -> Column:
+    """The first class that a row meets: salary and stock grants only for incomes, mortgage interest before interest; else OTHER."""
+    low = {c: F.lower(F.coalesce(c, F.lit(""))) for c in ("description", "merchant_name", "category_primary", "payment_channel")}
+    income = F.coalesce(F.col("amount") > 0, F.lit(False))
+    out = F.when(F.lit(False), "OTHER")
+    for name, columns, parts in TAX_PHRASES:
+        # Parts hold no regular expression characters but the & of a name.
+        found = F.concat_ws(" ", *[low[c] for c in columns]).rlike("|".join(parts))
+        if name in TAX_CATEGORIES:
+            found = found | (low["category_primary"] == TAX_CATEGORIES[name])
+        if name in ("SALARY", "RSU"):
+            found = found & income
+        if name == "ACH":
+            out = out.when(found | low["payment_channel"].contains("ach"), F.when(income, "ACH_INCOME").otherwise("ACH_EXPENSE"))
+        elif name == "CAPITAL":
+            out = out.when(found, F.when(income, "CAPITAL_GAIN").otherwise("CAPITAL_LOSS"))
+        else:
+            if name == "INTEREST":
+                out = out.when(low["description"].contains("mortgage") & low["description"].contains("interest"), "MORTGAGE_INTEREST")
+            out = out.when(found, name)
+    return out.otherwise("OTHER")
 
 
 def tax_summary(tx: DataFrame, first_year: int, last_year: int) -> DataFrame:
-    """Sums by user, year and class, with all years of a class and everything of a user as rollups (year or class null)."""
-    rows = tx.withColumn("year", F.year("transaction_date")).where(F.col("year").between(first_year, last_year)).withColumn("tax_class", tax_class()).where("tax_class <> 'NONE'")
-    value = F.when(F.col("tax_class").isin(*DEDUCTIONS), F.abs("amount")).otherwise(F.col("amount"))
-    by_year = rows.groupBy("user_id", "year", "tax_class").agg(total(value).alias("total"), F.count("*").alias("n"))
-    all_years = by_year.groupBy("user_id", "tax_class").agg(total(F.col("total")).alias("total"), F.sum("n").alias("n")).withColumn("year", F.lit(None).cast("int"))
+    """Sums by user, year and class, and of all these years together (year null). Classes without a place in the summary have no total."""
+    rows = tx.withColumn("year", F.year("transaction_date")).where(F.col("year").between(first_year, last_year)).withColumn("tax_class", tax_class())
+    value = F.when(F.col("tax_class").isin(*DEDUCTIONS), F.abs("amount")).when(F.col("tax_class").isin(*INCOMES), F.col("amount"))
+    by_year = rows.groupBy("user_id", "year", "tax_class").agg(F.sum(value).cast("decimal(19,2)").alias("total"), F.count("*").alias("n"))
+    all_years = by_year.groupBy("user_id", "tax_class").agg(F.sum("total").cast("decimal(19,2)").alias("total"), F.sum("n").alias("n")).withColumn("year", F.lit(None).cast("int"))
     return by_year.unionByName(all_years)
 
 
-def deductibility(category: Column) -> Column:
-    """FULL, NONE, PARTIAL or UNKNOWN by parts of the category's name, in that order."""
-    c = F.lower(category)
-    return F.when(c.rlike("software|education|cloud|professional"), "FULL").when(c.rlike("streaming|fitness|entertainment|game"), "NONE").when(c.rlike("insurance|phone|internet|news"), "PARTIAL").otherwise("UNKNOWN")
+#: Parts of merchants' names, and how far a subscription to them is deductible; the first list that holds counts.
+DEDUCTIBLE_HINTS = {
+    "FULL": ("adobe", "microsoft 365", "office 365", "notion", "figma", "jetbrains", "github", "linkedin", "linkedin premium", "quickbooks", "freshbooks", "wave", "calendly", "zoom", "slack", "dropbox business", "google workspace", "1password", "lastpass", "expensify", "shopify", "stripe", "mailchimp", "intercom"),
+    "NONE": ("netflix", "hulu", "disney", "hbo", "max", "paramount", "peacock", "apple tv", "spotify", "apple music", "tidal", "youtube music", "amazon music", "audible", "peloton", "apple fitness", "strava", "playstation plus", "xbox game pass", "nintendo switch online"),
+    "PARTIAL": ("phone", "internet", "verizon", "att", "comcast", "xfinity", "icloud", "google drive", "google one", "onedrive", "dropbox"),
+}
+
+
+def deductibility(merchant: Column) -> Column:
+    """FULL, NONE or PARTIAL by parts of the merchant's name, in that order; else UNKNOWN."""
+    out = F.when(merchant.isNull(), "UNKNOWN")
+    for name, parts in DEDUCTIBLE_HINTS.items():
+        out = out.when(F.lower(merchant).rlike("|".join(parts)), name)
+    return out.otherwise("UNKNOWN")
+
 
+#: Vectors of a tile's sides: a task multiplies at most so many with so many.
+TILE_QUERIES, TILE_VECTORS = 1024, 4096
 
-def nearest_reference(vectors: DataFrame, references: DataFrame, least: float = 0.82, most_references: int = 200_000) -> DataFrame:
-    """vec_id -> the most similar reference by cosine, if it is similar enough; references are a checked small set, matched as a matrix."""
-    if references.count() > most_references:
-        raise ValueError("split the references: they are matched as one matrix a task")
-    ref = references.select(F.col("vec_id"), "embedding").orderBy("vec_id").collect()
-    if not ref:
-        return vectors.select("vec_id", F.lit(None).cast("bigint").alias("nearest"), F.lit(None).cast("double").alias("similarity")).limit(0)
-    ids, m = np.array([r.vec_id for r in ref]), np.array([r.embedding for r in ref], np.float64)
-    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, m))
 
-    def match(batches):
-        ids, m = shared.value
-        for pdf in batches:
-            x = np.array(pdf.embedding.tolist(), np.float64).reshape(len(pdf), -1) if len(pdf) else np.zeros((0, m.shape[1]))
-            s = x @ m.T / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            s[pdf.vec_id.to_numpy()[:, None] == ids[None, :]] = -2  # not itself
-            k = s.argmax(axis=1)
-            best = s[np.arange(len(pdf)), k]
-            ok = best >= least
-            yield pd.DataFrame({"vec_id": pdf.vec_id[ok], "nearest": ids[k[ok]], "similarity": best[ok].round(6)})
+def _unit(rows: pd.DataFrame) -> np.ndarray:
+    x = np.array(rows.embedding.tolist(), np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _tile_best(group: pd.DataFrame) -> pd.DataFrame:
+    """For each query of a tile the most similar other vector of the tile (of equal ones the least id)."""
+    ask, have = group[group.is_query], group[~group.is_query].sort_values("vec_id")
+    if not len(ask) or not len(have):
+        return pd.DataFrame({"vec_id": [], "nearest": [], "similarity": []})
+    s = _unit(ask) @ _unit(have).T
+    s[ask.vec_id.to_numpy()[:, None] == have.vec_id.to_numpy()[None, :]] = -2  # not itself
+    k = s.argmax(axis=1)
+    best = s[np.arange(len(ask)), k]
+    return pd.DataFrame({"vec_id": ask.vec_id.to_numpy(), "nearest": have.vec_id.to_numpy()[k], "similarity": best})[best > -2]
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, group: Column, counts: DataFrame) -> DataFrame:
+    """vec_id, nearest, similarity of each query among the vectors of its group. counts: of, n_queries, n_vectors of each group.
+
+    Both sides fall into blocks of bounded size, by their counts, and each pair of blocks is a task's matrix product.
+    """
+    blocks = counts.select("of", F.ceil(F.col("n_queries") / TILE_QUERIES).cast("int").alias("q"), F.ceil(F.col("n_vectors") / TILE_VECTORS).cast("int").alias("v"))
+    ask = queries.select(group.alias("of"), "vec_id", "embedding").join(blocks, "of").select("of", F.pmod(F.xxhash64("vec_id"), "q").cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("v") - 1)).alias("b"), F.lit(True).alias("is_query"), "vec_id", "embedding")
+    have = vectors.select(group.alias("of"), "vec_id", "embedding").join(blocks, "of").select("of", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("a"), F.pmod(F.xxhash64("vec_id"), "v").cast("int").alias("b"), F.lit(False).alias("is_query"), "vec_id", "embedding")
+    found = ask.unionByName(have).groupBy("of", "a", "b").applyInPandas(_tile_best, "vec_id bigint, nearest bigint, similarity double")
+    best = F.min_by(F.struct("nearest", "similarity"), F.struct(-F.col("similarity"), "nearest"))
+    return found.groupBy("vec_id").agg(best.alias("best")).select("vec_id", "best.nearest", "best.similarity")
+
 
-    return vectors.select("vec_id", "embedding").mapInPandas(match, "vec_id bigint, nearest bigint, similarity double")
+def nearest_reference(vectors: DataFrame, references: DataFrame, least: float = 0.82) -> DataFrame:
+    """vec_id -> the most similar reference by cosine (not itself), if it is similar enough. Vectors without an embedding match nothing."""
+    vectors, references = (d.where("embedding IS NOT NULL") for d in (vectors, references))
+    counts = vectors.agg(F.count("*").alias("n_queries")).crossJoin(references.agg(F.count("*").alias("n_vectors"))).withColumn("of", F.lit(0)).where("n_vectors > 0")
+    return _nearest(vectors, references, F.lit(0), counts).where(F.col("similarity") >= least).withColumn("similarity", F.round("similarity", 6))
 
 
 def unusualness(vectors: DataFrame) -> DataFrame:
-    """1 - the largest cosine to another vector of the same label. Each label's vectors are split in blocks, and blocks meet in pairs."""
-    rows = vectors.select("vec_id", "label", "embedding").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(8)).cast("int"))
-    left = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("side", F.lit(0))
-    right = rows.withColumn("other", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("side", F.lit(1))
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"vec_id": [], "similarity": []})
-        x, y = (np.array(p.embedding.tolist(), np.float64) for p in (a, b))
-        x, y = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) for v in (x, y))
-        s = x @ y.T
-        s[a.vec_id.to_numpy()[:, None] == b.vec_id.to_numpy()[None, :]] = -2
-        return pd.DataFrame({"vec_id": a.vec_id, "similarity": s.max(axis=1)})
-
-    pairs = left.unionByName(right).groupBy("label", "block", "other").applyInPandas(best, "vec_id bigint, similarity double")
-    return pairs.where("similarity > -2").groupBy("vec_id").agg(F.round(1 - F.max("similarity"), 6).alias("unusual"))
+    """1 - the largest cosine to another vector of the same label."""
+    rows = vectors.where("embedding IS NOT NULL AND label IS NOT NULL")
+    counts = rows.groupBy(F.col("label").alias("of")).agg(F.count("*").alias("n_queries"), F.count("*").alias("n_vectors"))
+    return _nearest(rows, rows, F.col("label"), counts).select("vec_id", F.round(1 - F.col("similarity"), 6).alias("unusual"))

@@ -59,10 +59,10 @@ def consolidate(found: DataFrame) -> DataFrame:
 
 
 def lifecycle(subscriptions: DataFrame, as_of: str) -> DataFrame:
-    """ACTIVE, and at once, one and a half and twice the unused days after the last payment: IDLE, LAPSED, GONE."""
+    """ACTIVE, and from once, one and a half times (whole days) and twice the unused days after the last payment on the states of disuse."""
     days = F.datediff(day(as_of), "last_payment_date")
     limit = _by_frequency(UNUSED_DAYS, 60)
-    state = F.when(F.col("quiet") > 2 * F.col("limit"), "GONE").when(F.col("quiet") > 1.5 * F.col("limit"), "LAPSED").when(F.col("quiet") > F.col("limit"), "IDLE").otherwise("ACTIVE")
+    state = F.when(F.col("quiet") >= 2 * F.col("limit"), "PRESUMED_CANCELLED").when(F.col("quiet") >= F.expr("3 * limit div 2"), "UNUSED_2_CYCLES").when(F.col("quiet") >= F.col("limit"), "UNUSED_1_CYCLE").otherwise("ACTIVE")
     return subscriptions.where("active").withColumns({"quiet": days, "limit": limit}).select("subscription_id", "user_id", "quiet", state.alias("state"))
 
 
@@ -110,15 +110,28 @@ def cancellations(subscriptions: DataFrame, tx: DataFrame, as_of: str) -> DataFr
     return idle.unionByName(twice.join(idle.select("subscription_id"), "subscription_id", "left_anti"))
 
 
-def health(subscriptions: DataFrame, as_of: str) -> DataFrame:
-    """100 less penalties: lapsed 30, idle 15, price rise 20, duplicate 10, dear (over 50 a month) 20; bands at 80, 60 and 40."""
-    state = lifecycle(subscriptions, as_of)
-    rises = price_changes(subscriptions).where("direction = 'INCREASE'").select("subscription_id", F.lit(20).alias("rise"))
-    twice = costlier_duplicates(subscriptions).select("subscription_id", F.lit(10).alias("twice"))
-    j = subscriptions.where("active").join(state.select("subscription_id", "state"), "subscription_id").join(rises, "subscription_id", "left").join(twice, "subscription_id", "left")
-    late = F.when(F.col("state").isin("LAPSED", "GONE"), 30).when(F.col("state") == "IDLE", 15).otherwise(0)
-    dear = F.when(monthly_cost() > 50, 20).otherwise(0)
-    j = j.withColumn("score", F.greatest(F.lit(0), 100 - late - dear - F.coalesce("rise", F.lit(0)) - F.coalesce("twice", F.lit(0))))
+#: Days between payments that the health score expects.
+EXPECTED_DAYS = {"MONTHLY": 30, "QUARTERLY": 90, "SEMI_ANNUAL": 180, "ANNUAL": 365}
+
+
+def _cents(amount: str) -> Column:
+    return (F.abs(amount) * 100).cast("bigint")
+
+
+def health(subscriptions: DataFrame, tx: DataFrame, as_of: str) -> DataFrame:
+    """100 less penalties: no payment for more than twice the expected days 30, for 1.5 times 15, no payment known 20; the last of its
+    payments (same name, amount within 5 %) more than 10 % from the first 10; another active subscription of the merchant 20."""
+    subs = subscriptions.where("active").withColumns({"name": F.upper(F.trim("merchant_name")), "price": F.abs("amount")})
+    paid = tx.where(F.col("merchant_name").isNotNull() & F.col("amount").isNotNull()).select("user_id", F.upper(F.trim("merchant_name")).alias("name"), F.abs("amount").alias("spent"), _cents("amount").alias("cents"), F.struct("transaction_date", "transaction_id").alias("at"))
+    close = F.abs(F.col("spent") - F.col("price")) <= F.col("price") * F.lit("0.05").cast("decimal(5,2)")
+    moved = subs.select("subscription_id", "user_id", "name", "price").join(paid, ["user_id", "name"]).where(close).groupBy("subscription_id").agg(F.count("*").alias("n"), F.min_by("cents", "at").alias("first"), F.max_by("cents", "at").alias("last"))
+    change = F.expr("(2 * 10000 * abs(last - first) + first) div (2 * first)")  # ten-thousandths, half up
+    moved = moved.where("n >= 2 AND first > 0").select("subscription_id", F.when(change > 1000, 10).otherwise(0).alias("moved"))
+    twice = subscriptions.where("active").groupBy("user_id", F.lower("merchant_name").alias("merchant")).agg(F.count("*").alias("n")).where("n > 1").select("user_id", "merchant", F.lit(20).alias("twice"))
+    quiet, expected = F.datediff(day(as_of), "last_payment_date"), _by_frequency(EXPECTED_DAYS, 30)
+    late = F.when(quiet.isNull(), 20).when(quiet > 2 * expected, 30).when(2 * quiet > 3 * expected, 15).otherwise(0)
+    j = subs.withColumn("merchant", F.lower("merchant_name")).join(moved, "subscription_id", "left").join(twice, ["user_id", "merchant"], "left")
+    j = j.withColumn("score", 100 - late - F.coalesce("moved", F.lit(0)) - F.coalesce("twice", F.lit(0)))
     level = F.when(F.col("score") >= 80, "EXCELLENT").when(F.col("score") >= 60, "GOOD").when(F.col("score") >= 40, "FAIR").otherwise("POOR")
     return j.select("subscription_id", "user_id", "score", level.alias("level"))
 
@@ -126,7 +139,7 @@ def health(subscriptions: DataFrame, as_of: str) -> DataFrame:
 def predictive_cancellation(subscriptions: DataFrame, tx: DataFrame, as_of: str) -> DataFrame:
     """How likely a subscription should go: 90 if unused, else what is missing to 100 when its score is under 50."""
     idle = unused(subscriptions, tx, as_of).select("subscription_id", F.lit(90).alias("idle"))
-    scored = health(subscriptions, as_of).join(idle, "subscription_id", "left")
+    scored = health(subscriptions, tx, as_of).join(idle, "subscription_id", "left")
     p = F.coalesce("idle", F.when(F.col("score") < 50, 100 - F.col("score")))
     return scored.withColumn("likelihood", p).where("likelihood IS NOT NULL").select("subscription_id", "user_id", "score", "likelihood")
 
@@ -159,28 +172,62 @@ def renewals(subscriptions: DataFrame, as_of: str, days: int = 30, days_long: in
     return rows.withColumn("days_until", F.datediff("billing", day(as_of))).where((F.col("days_until") >= 0) & (F.col("days_until") <= limit)).select("subscription_id", "user_id", "billing", "days_until", monthly_cost().alias("monthly"))
 
 
+#: What a frequency's cents are multiplied with and divided by for ten-thousandths (daily: millionths) a month of 30.4375 days.
+_MONTH_PARTS = {"WEEKLY": (304375, 700), "BI_WEEKLY": (304375, 1400), "QUARTERLY": (100, 3), "SEMI_ANNUAL": (100, 6), "ANNUAL": (100, 12)}
+
+
+def _monthly_millionths() -> Column:
+    """A month's cost in millionths: daily and monthly ones exact, others rounded half up at four places."""
+    cents = _cents("amount")
+    out = cents * 10000
+    for name, (up, down) in _MONTH_PARTS.items():
+        out = F.when(F.col("frequency") == name, F.floor((2 * cents * up + down) / (2 * down)) * 100).otherwise(out)
+    return F.when(F.col("frequency") == "DAILY", cents * 304375).otherwise(out)
+
+
 def creep(subscriptions: DataFrame, as_of: str) -> DataFrame:
-    """Monthly cost of what began in the last 30 days against what was there before."""
-    rows = subscriptions.where("active AND amount > 0").withColumn("monthly", monthly_cost())
-    new = F.datediff(day(as_of), "start_date") <= 90
-    g = rows.groupBy("user_id").agg(total(F.col("monthly")).alias("now"), total(F.when(~new, F.col("monthly"))).alias("before"))
-    g = g.withColumn("share", F.round((F.col("now") - F.col("before")).cast("decimal(19,2)") / F.when(F.col("before") > 0, F.col("before")), 4)).withColumn("share", F.coalesce("share", F.lit(0)))
+    """Monthly cost of all active subscriptions against that of those which began 30 days ago or earlier (or at an unknown time).
+
+    The share is 1 where nothing was there before.
+    """
+    rows = subscriptions.where("active AND amount > 0").withColumn("m", _monthly_millionths())
+    old = F.col("start_date").isNull() | (F.datediff(day(as_of), "start_date") >= 30)
+    g = rows.groupBy("user_id").agg(F.sum("m").alias("all_m"), F.coalesce(F.sum(F.when(old, F.col("m"))), F.lit(0)).alias("old_m"))
+    g = g.withColumns({"now_c": F.expr("(all_m + 5000) div 10000"), "before_c": F.expr("(old_m + 5000) div 10000")})
+    parts = F.when(F.col("old_m") == 0, 10000).otherwise(F.expr("(2 * (now_c - before_c) * 100000000 + old_m) div (2 * old_m)"))
+    share = (parts.cast("decimal(19,0)") / 10000).cast("decimal(19,4)")
+    g = g.withColumn("share", share)
     label = F.when(F.col("share") >= 0.15, "SPIKING").when(F.col("share") >= 0.05, "CREEPING").when(F.col("share") <= -0.05, "SHRINKING").otherwise("STABLE")
-    return g.select("user_id", "now", "before", "share", label.alias("trend"))
+    return g.select("user_id", (F.col("now_c").cast("decimal(19,0)") / 100).cast("decimal(19,2)").alias("now"), (F.col("before_c").cast("decimal(19,0)") / 100).cast("decimal(19,2)").alias("before"), "share", label.alias("trend"))
+
+
+#: Days between charges that the engagement score expects.
+CADENCE_DAYS = {"DAILY": 1, "WEEKLY": 7, "BI_WEEKLY": 14, "MONTHLY": 30, "QUARTERLY": 90, "SEMI_ANNUAL": 180, "ANNUAL": 365}
 
 
 def engagement(subscriptions: DataFrame, tx: DataFrame, as_of: str, window: int = 90) -> DataFrame:
-    """0.45 recency, 0.25 frequency, 0.15 price stability and 0.15 for being active, of payments with the same name; tiers at 70 and 40."""
-    subs = subscriptions.withColumn("key", merchant_key(F.col("merchant_name")))
+    """0.45 recency, 0.25 frequency, 0.15 price stability and 0.15 for being active, over a user's charges of that name in the window.
+
+    Recency falls from 1 to 0 at twice the cadence; frequency is 1 from three quarters of the expected charges on, and falls to the
+    ratio itself at a half; stability falls from 1 at a price variation of 0.05 to 0 at 0.50. Inactive ones are DORMANT.
+    """
+    cadence = _by_frequency(CADENCE_DAYS, 30)
+    subs = subscriptions.withColumns({"key": merchant_key(F.col("merchant_name")), "cadence": cadence, "expected": F.floor(F.lit(90) / cadence)})
     rows = tx.where(not_deleted() & F.col("merchant_name").isNotNull() & between("transaction_date", F.date_add(day(as_of), -window), as_of)).withColumn("key", merchant_key(F.col("merchant_name")))
-    g = rows.groupBy("user_id", "key").agg(F.count("*").alias("n"), F.max("transaction_date").alias("last"), F.avg(F.abs("amount").cast("double")).alias("mean"), F.collect_set(F.abs("amount").cast("double")).alias("prices"))
-    spread = F.sqrt(F.aggregate(F.array_sort("prices"), F.lit(0.0), lambda s, p: s + (p - F.col("mean")) * (p - F.col("mean"))) / F.size("prices"))
-    g = g.withColumn("stable", F.greatest(F.lit(0.0), 1 - spread / F.col("mean")))
-    j = subs.join(g, ["user_id", "key"], "left")
-    recency = F.greatest(F.lit(0.0), 1 - F.datediff(day(as_of), "last") / F.lit(float(window)))
-    often = F.least(F.lit(1.0), F.col("n") / F.lit(3.0))
-    score = 100 * (0.45 * F.coalesce(recency, F.lit(0.0)) + 0.25 * F.coalesce(often, F.lit(0.0)) + 0.15 * F.coalesce("stable", F.lit(0.0)) + 0.15 * F.col("active").cast("double"))
-    return j.withColumn("score", F.round(score, 2)).select("subscription_id", "user_id", "score", F.when(F.col("score") >= 70, "HIGH").when(F.col("score") >= 40, "MEDIUM").otherwise("LOW").alias("tier"))
+    prices = F.sort_array(F.collect_set(_cents("amount")))
+    g = rows.groupBy("user_id", "key").agg(F.count("*").alias("n"), F.max("transaction_date").alias("last"), F.sum(_cents("amount")).alias("cents"), F.count("amount").alias("n_amounts"), prices.alias("prices"))
+    # The mean at four places, half up, in ten-thousandths; squares of the deviations as exact numbers.
+    g = g.withColumn("mean", F.expr("(2 * 100 * cents + n_amounts) div (2 * n_amounts)"))
+    squares = F.aggregate("prices", F.lit(0).cast("decimal(38,0)"), lambda s, p: (s + ((p * 100 - F.col("mean")) * (p * 100 - F.col("mean"))).cast("decimal(20,0)")).cast("decimal(38,0)"))
+    cv = F.sqrt(squares.cast("double") / F.size("prices")) / F.greatest(F.lit(100.0), F.col("mean").cast("double"))
+    steady = F.when((F.col("n") < 2) | (F.size("prices") <= 1) | (F.col("mean") == 0), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (cv - 0.05) / 0.45)))
+    j = subs.join(g.withColumn("steady", steady), ["user_id", "key"], "left")
+    recency = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.datediff(day(as_of), "last") / (2.0 * F.col("cadence")))), F.lit(0.0))
+    ratio = F.coalesce("n", F.lit(0)) / F.col("expected")
+    often = F.when(F.col("expected") <= 0, F.col("n").isNotNull().cast("double")).when(ratio >= 0.75, 1.0).when(ratio <= 0.5, ratio).otherwise(0.5 + (ratio - 0.5) * 2)
+    score = F.floor((0.45 * recency + 0.25 * often + 0.15 * F.coalesce("steady", F.lit(1.0)) + 0.15 * F.col("active").cast("double")) * 100 + 0.5)
+    tier = F.when(~F.col("active") | (F.col("score") < 40), "DORMANT").when(F.col("score") >= 70, "ACTIVE").otherwise("AT_RISK")
+    return j.where("merchant_name IS NOT NULL").withColumn("score", score).select("subscription_id", "user_id", "score", tier.alias("tier"))
 
 
 def portfolio(subscriptions: DataFrame, tx: DataFrame, as_of: str) -> DataFrame:

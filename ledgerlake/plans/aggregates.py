@@ -77,10 +77,10 @@ def _(tx):
 
 @register("a10_benchmark_percentiles", "bucket s, category s, p25 f, median f, p75 f, sample_size l", "tx preferences", """
 WITH u AS (SELECT user_id, coalesce(income_tier, 'inc-75-150k') || '|' || CASE WHEN household_size <= 2 THEN '1-2' WHEN household_size <= 4 THEN '3-4' ELSE '5-plus' END AS bucket FROM preferences WHERE anonymised_stats_opt_in),
-s AS (SELECT user_id, coalesce(category_primary, category_detailed) AS category, CAST(round(CAST(sum(abs(amount)) AS DECIMAL(19,2)) / 3, 2) AS DOUBLE) AS monthly FROM tx
+s AS (SELECT user_id, coalesce(category_primary, category_detailed) AS category, (CAST(sum(abs(amount)) * 200 AS BIGINT) + 3) // 6 AS cents FROM tx
       WHERE NOT deleted AND amount < 0 AND transaction_date BETWEEN DATE '2001-08-01' - 90 AND DATE '2001-08-01' AND coalesce(category_primary, category_detailed) IS NOT NULL GROUP BY 1, 2),
 r AS (SELECT * FROM s JOIN u USING (user_id)), n AS (SELECT bucket FROM r GROUP BY bucket HAVING count(DISTINCT user_id) >= 4)
-SELECT bucket, category, round(quantile_cont(monthly, 0.25), 2) AS p25, round(quantile_cont(monthly, 0.5), 2) AS median, round(quantile_cont(monthly, 0.75), 2) AS p75, count(*) AS sample_size
+SELECT bucket, category, round(quantile_cont(CAST(cents AS DOUBLE), 0.25)) / 100 AS p25, round(quantile_cont(CAST(cents AS DOUBLE), 0.5)) / 100 AS median, round(quantile_cont(CAST(cents AS DOUBLE), 0.75)) / 100 AS p75, count(*) AS sample_size
 FROM r WHERE bucket IN (SELECT bucket FROM n) GROUP BY 1, 2 HAVING count(*) >= 2""")
 def _(tx, preferences):
     return A.benchmark_percentiles(tx, preferences, AS_OF, least_users=4, least_category=2)  # the tables hold few users

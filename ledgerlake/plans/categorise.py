@@ -37,40 +37,65 @@ def _(tx):
     return C.account_aliases(tx, [("streamly", "streamly"), ("merchant 1", "merchant one"), ("merchant 12", "twelve")])
 
 
-@register("c09_frequencies", "feature s, category_primary s, p f", "tx", """
-WITH f AS (SELECT category_primary, unnest(list_filter(['m:' || lower(merchant_name), 'a:' || CASE WHEN abs(amount) < 10 THEN 'tiny' WHEN abs(amount) < 50 THEN 'small' WHEN abs(amount) < 200 THEN 'medium' WHEN abs(amount) < 1000 THEN 'large' ELSE 'huge' END, 's:' || coalesce(import_source, 'none')], lambda x: x IS NOT NULL)) AS feature FROM tx WHERE category_primary IS NOT NULL),
-c AS (SELECT feature, category_primary, count(*) AS n FROM f GROUP BY 1, 2) SELECT feature, category_primary, n / CAST(sum(n) OVER (PARTITION BY feature) AS DOUBLE) AS p FROM c""")
+_FEATURES = """fe AS (SELECT transaction_id, category_primary, unnest(list_concat(list_filter(['m:' || lower(merchant_name), 'a:' || CASE WHEN abs(amount) < 10 THEN 'tiny' WHEN abs(amount) < 50 THEN 'small' WHEN abs(amount) < 200 THEN 'medium' WHEN abs(amount) < 1000 THEN 'large' ELSE 'huge' END, 's:' || coalesce(import_source, 'none')], lambda x: x IS NOT NULL),
+  list_transform(list_filter(regexp_split_to_array(lower(coalesce(description, '')), '\\s+'), lambda x: length(x) >= 3 AND x NOT IN ('the', 'a', 'an', 'and', 'or', 'but', 'in', 'on', 'at', 'to', 'for', 'of', 'with', 'by')), lambda x: 'k:' || x))) AS feature FROM tx),
+fc AS (SELECT feature, category_primary, count(*) AS n FROM fe WHERE category_primary IS NOT NULL GROUP BY 1, 2), fp AS (SELECT feature, category_primary, n / CAST(sum(n) OVER (PARTITION BY feature) AS DOUBLE) AS p FROM fc)"""
+
+
+@register("c09_frequencies", "feature s, category_primary s, p f", "tx", f"WITH {_FEATURES} SELECT * FROM fp")
 def _(tx):
     return C.learn_frequencies(tx)
 
 
-@register("c09_predictions", "transaction_id s, predicted s, score f", "tx")
+@register("c09_predictions", "transaction_id s, predicted s, score f", "tx", f"""
+WITH {_FEATURES}, e AS (SELECT transaction_id, fp.category_primary, round(sum(CASE left(feature, 1) WHEN 'm' THEN 0.4::DOUBLE WHEN 'k' THEN 0.3::DOUBLE ELSE 0.15::DOUBLE END * p), 9) AS score FROM fe JOIN fp USING (feature) GROUP BY 1, 2)
+SELECT transaction_id, category_primary AS predicted, score FROM e QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY score DESC, category_primary) = 1""")
 def _(tx):
     return C.score_frequencies(tx, C.learn_frequencies(tx))
 
 
-_TAX = "lower(concat_ws(' ', category_primary, category_detailed, description, merchant_name))"
+_TAX = """tc AS (SELECT *, lower(coalesce(description, '')) AS d, lower(coalesce(merchant_name, '')) AS m, lower(coalesce(category_primary, '')) AS c, lower(coalesce(payment_channel, '')) AS ch FROM tx),
+tk AS (SELECT *, CASE WHEN amount > 0 AND regexp_matches(d, 'payroll|salary|paycheck|wages') THEN 'SALARY'
+  WHEN amount > 0 AND regexp_matches(c || ' ' || d || ' ' || m, 'rsu|restricted stock|stock vest|equity vest') THEN 'RSU'
+  WHEN contains(ch, 'ach') OR regexp_matches(d, 'ach|direct deposit|electronic transfer') THEN CASE WHEN amount > 0 THEN 'ACH_INCOME' ELSE 'ACH_EXPENSE' END
+  WHEN contains(d, 'mortgage') AND contains(d, 'interest') THEN 'MORTGAGE_INTEREST' WHEN c = 'interest' OR contains(d, 'interest') THEN 'INTEREST' WHEN c = 'dividend' OR contains(d, 'dividend') THEN 'DIVIDEND'
+  WHEN regexp_matches(d || ' ' || c, 'donation|charity|charitable|gofundme|red cross|tithe') THEN 'CHARITY'
+  WHEN regexp_matches(d || ' ' || m, 'dmv|vehicle registration|license renewal|driver license') THEN 'DMV'
+  WHEN regexp_matches(d || ' ' || m, 'cpa|tax preparer|tax preparation|h&r block|turbotax') THEN 'CPA'
+  WHEN regexp_matches(d || ' ' || m || ' ' || c, 'tuition|university|school fee|education') THEN 'TUITION'
+  WHEN regexp_matches(d || ' ' || m, 'property tax|real estate tax|tax assessor') THEN 'PROPERTY_TAX'
+  WHEN regexp_matches(d || ' ' || m, 'state tax|state income tax|franchise tax board|ftb') THEN 'STATE_TAX'
+  WHEN regexp_matches(d || ' ' || m, 'city tax|county tax|local tax|municipal tax') THEN 'LOCAL_TAX'
+  WHEN c = 'healthcare' OR contains(d, 'medical') THEN 'MEDICAL'
+  WHEN c = 'investment' OR regexp_matches(d, 'stock sale|capital gain') THEN CASE WHEN amount > 0 THEN 'CAPITAL_GAIN' ELSE 'CAPITAL_LOSS' END ELSE 'OTHER' END AS tax_class FROM tc)"""
+
+
+@register("f33_tax_classes", "transaction_id s, tax_class s", "tx", f"WITH {_TAX} SELECT transaction_id, tax_class FROM tk")
+def _(tx):
+    return tx.select("transaction_id", C.tax_class().alias("tax_class"))
 
 
 @register("a18_tax_summary", "user_id l, year l, tax_class s, total m, n l", "tx", f"""
-WITH c AS (SELECT user_id, year(transaction_date) AS year, amount, {_TAX} AS x FROM tx WHERE year(transaction_date) BETWEEN 1998 AND 2001),
-k AS (SELECT *, CASE WHEN contains(x, 'salary') OR contains(x, 'payroll') THEN 'SALARY' WHEN contains(x, 'rsu') THEN 'RSU' WHEN contains(x, 'ach') THEN 'ACH' WHEN contains(x, 'mortgage') AND contains(x, 'interest') THEN 'MORTGAGE_INTEREST' WHEN contains(x, 'interest') THEN 'INTEREST' WHEN contains(x, 'charit') OR contains(x, 'donation') THEN 'CHARITY' WHEN contains(x, 'insurance') OR contains(x, 'medical') THEN 'MEDICAL' ELSE 'NONE' END AS tax_class FROM c)
-SELECT user_id, year, tax_class, sum(CASE WHEN tax_class IN ('MORTGAGE_INTEREST', 'CHARITY', 'MEDICAL') THEN abs(amount) ELSE amount END) AS total, count(*) AS n FROM k WHERE tax_class <> 'NONE' GROUP BY GROUPING SETS ((user_id, year, tax_class), (user_id, tax_class))""")
+WITH {_TAX} SELECT user_id, year(transaction_date) AS year, tax_class, sum(CASE WHEN tax_class IN ('CHARITY', 'DMV', 'CPA', 'TUITION', 'PROPERTY_TAX', 'STATE_TAX', 'LOCAL_TAX', 'MORTGAGE_INTEREST', 'MEDICAL') THEN abs(amount) WHEN tax_class NOT IN ('OTHER', 'ACH_INCOME', 'ACH_EXPENSE') THEN amount END) AS total, count(*) AS n
+FROM tk WHERE year(transaction_date) BETWEEN 1998 AND 2001 GROUP BY GROUPING SETS ((user_id, year(transaction_date), tax_class), (user_id, tax_class))""")
 def _(tx):
     return C.tax_summary(tx, 1998, 2001)
 
 
-@register("f32_deductibility", "subscription_id s, deductible s", "subscriptions", "SELECT subscription_id, CASE WHEN regexp_matches(lower(category), 'software|education|cloud|professional') THEN 'FULL' WHEN regexp_matches(lower(category), 'streaming|fitness|entertainment|game') THEN 'NONE' WHEN regexp_matches(lower(category), 'insurance|phone|internet|news') THEN 'PARTIAL' ELSE 'UNKNOWN' END AS deductible FROM subscriptions")
+@register("f32_deductibility", "subscription_id s, deductible s", "subscriptions", """SELECT subscription_id, CASE
+  WHEN regexp_matches(lower(merchant_name), 'adobe|microsoft 365|office 365|notion|figma|jetbrains|github|linkedin|linkedin premium|quickbooks|freshbooks|wave|calendly|zoom|slack|dropbox business|google workspace|1password|lastpass|expensify|shopify|stripe|mailchimp|intercom') THEN 'FULL'
+  WHEN regexp_matches(lower(merchant_name), 'netflix|hulu|disney|hbo|max|paramount|peacock|apple tv|spotify|apple music|tidal|youtube music|amazon music|audible|peloton|apple fitness|strava|playstation plus|xbox game pass|nintendo switch online') THEN 'NONE'
+  WHEN regexp_matches(lower(merchant_name), 'phone|internet|verizon|att|comcast|xfinity|icloud|google drive|google one|onedrive|dropbox') THEN 'PARTIAL' ELSE 'UNKNOWN' END AS deductible FROM subscriptions""")
 def _(subscriptions):
-    return subscriptions.select("subscription_id", C.deductibility(F.col("category")).alias("deductible"))
+    return subscriptions.select("subscription_id", C.deductibility(F.col("merchant_name")).alias("deductible"))
 
 
 @register("j19_nearest_reference", "vec_id l, nearest l, similarity f", sql="""
-WITH p AS (SELECT a.vec_id, b.vec_id AS nearest, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON b.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+WITH p AS (SELECT a.vec_id, b.vec_id AS nearest, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
 SELECT vec_id, nearest, round(s, 6) AS similarity FROM p WHERE s >= 0.3 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, nearest) = 1""")
 def _(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return C.nearest_reference(vectors, vectors.where("vec_id % 20 = 0"), least=0.3)
+    return C.nearest_reference(vectors.where("vec_id % 100 = 0"), vectors, least=0.3)
 
 
 @register("d08_unusualness", "vec_id l, unusual f", sql="""

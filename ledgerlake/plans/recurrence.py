@@ -5,7 +5,10 @@ from ledgerlake.operators import recurrence as R
 from ledgerlake.plans.anomalies import _D, _MERCHANT
 from ledgerlake.registry import register
 
-_TRANSFER = "(coalesce(lower(category_primary), '') IN ('transfer', 'transfer_in', 'transfer_out', 'loan_payments', 'credit_card_payment', 'payment') OR regexp_matches(lower(concat_ws(' ', category_primary, category_detailed, merchant_name, description)), 'transfer|payment thank you|autopay|online payment|credit card payment'))"
+_CATEGORY_PARTS = "transfer|transfers|account transfer|internal transfer|bank transfer|credit card payment|cc payment|card payment|loan payment|investment transfer|brokerage transfer"
+_TEXT_PARTS = "transfer from|transfer to|xfer from|xfer to|zelle|venmo cashout|venmo to bank|ach transfer|ach pull|ach push|internal transfer|payment to credit card|credit card payment|auto pay credit|wire transfer"
+_IMPORTER_DETAILS = "'LOAN_PAYMENTS_CREDIT_CARD_PAYMENT', 'LOAN_PAYMENTS_CAR_PAYMENT', 'LOAN_PAYMENTS_MORTGAGE_PAYMENT', 'LOAN_PAYMENTS_PERSONAL_LOAN_PAYMENT', 'LOAN_PAYMENTS_STUDENT_LOAN_PAYMENT', 'LOAN_PAYMENTS_OTHER_PAYMENT', 'TRANSFER_IN_ACCOUNT_TRANSFER', 'TRANSFER_IN_CASH_ADVANCES_AND_LOANS', 'TRANSFER_IN_DEPOSIT', 'TRANSFER_IN_SAVINGS', 'TRANSFER_OUT_ACCOUNT_TRANSFER', 'TRANSFER_OUT_SAVINGS', 'TRANSFER_OUT_WITHDRAWAL'"
+_TRANSFER = f"(coalesce(importer_category_primary IN ('TRANSFER_IN', 'TRANSFER_OUT', 'LOAN_PAYMENTS'), FALSE) OR coalesce(importer_category_detailed IN ({_IMPORTER_DETAILS}), FALSE) OR regexp_matches(lower(coalesce(category_primary, '')), '{_CATEGORY_PARTS}') OR regexp_matches(lower(coalesce(category_detailed, '')), '{_CATEGORY_PARTS}') OR regexp_matches(lower(coalesce(merchant_name, '')), '{_TEXT_PARTS}') OR regexp_matches(lower(coalesce(description, '')), '{_TEXT_PARTS}'))"
 _INCOME = f"""r AS (SELECT *, {_MERCHANT} AS merchant, CAST(floor(amount + 0.5) AS BIGINT) AS whole FROM tx WHERE amount > 0 AND NOT {_TRANSFER} AND transaction_date BETWEEN DATE '2001-02-01' AND {_D}),
 g AS (SELECT *, transaction_date - lag(transaction_date) OVER (PARTITION BY user_id, merchant, whole ORDER BY transaction_date, transaction_id) AS gap FROM r),
 s AS (SELECT user_id, merchant, whole, count(*) AS n, avg(gap) AS mean, stddev_pop(gap) AS sigma, CAST((CAST(sum(amount) * 200 AS BIGINT) + count(*)) // (2 * count(*)) * 0.01 AS DECIMAL(19,2)) AS average, max(transaction_date) AS last FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 3),

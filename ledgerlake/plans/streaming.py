@@ -37,9 +37,20 @@ def _(spark, sf_dir):
     return S.token_bucket(_events(spark, sf_dir))
 
 
-@register("d09_behaviour_risk", "user_id l, n l, kinds l, risk l", sql="""
-WITH e AS (SELECT *, ts > TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 1 HOUR AS recent FROM events), p AS (SELECT user_id, avg(n) AS mn, avg(k) AS mk FROM (SELECT user_id, date_trunc('hour', ts) AS h, count(*) AS n, count(DISTINCT event_type) AS k FROM e WHERE NOT recent GROUP BY 1, 2) GROUP BY 1),
-u AS (SELECT user_id, count(*) FILTER (hour(ts) = 12) / CAST(count(*) AS DOUBLE) AS share FROM e WHERE NOT recent GROUP BY 1), n AS (SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds FROM e WHERE recent AND ts <= TIMESTAMP '2024-01-30 12:00:00' GROUP BY 1)
-SELECT user_id, n, kinds, CASE WHEN n > 3 * mn THEN 40 ELSE 0 END + CASE WHEN kinds > 2 * mk THEN 30 ELSE 0 END + CASE WHEN share < 1 / 48.0 THEN 30 ELSE 0 END AS risk FROM n JOIN p USING (user_id) JOIN u USING (user_id)""")
+_AT = "TIMESTAMP '2024-01-30 12:00:00'"
+
+
+@register("d09_behaviour_risk", "event_id l, user_id l, risk f, level s", sql=f"""
+WITH a AS (SELECT event_id, user_id, ts, event_type AS kind, CASE event_type WHEN 'purchase' THEN '/api/transactions' WHEN 'error' THEN '/admin/log' ELSE '/' || event_type END AS resource, CASE event_type WHEN 'purchase' THEN 'create' WHEN 'error' THEN 'DELETE' WHEN 'signup' THEN 'UPDATE' ELSE 'READ' END AS action FROM events WHERE ts <= {_AT}),
+p AS (SELECT user_id, count(*) AS n, count(*) FILTER (ts > {_AT} - INTERVAL 1 HOUR) AS nr, count(*) FILTER (hour(ts) = 12) AS nh, (epoch_us({_AT}) - epoch_us(min(ts))) // 3600000000 AS age FROM a GROUP BY 1),
+j AS (SELECT *, count(*) OVER (PARTITION BY user_id, kind) AS nk, count(*) OVER (PARTITION BY user_id, resource) AS nres, count(*) OVER (PARTITION BY user_id, action) AS na FROM a),
+f AS (SELECT event_id, j.user_id, CASE WHEN 10 * nk < n THEN 50 WHEN 10 * nres < n THEN 40 WHEN 10 * na < n THEN 30 ELSE 0 END AS pattern, CASE WHEN regexp_matches(resource, '/admin|/compliance|/audit') THEN 80 WHEN regexp_matches(resource, '/api/transactions|/api/accounts|/api/budgets') THEN 50 ELSE 20 END AS res,
+  CASE WHEN upper(action) IN ('DELETE', 'UPDATE') THEN 70 WHEN upper(action) = 'CREATE' THEN 40 ELSE 10 END AS act, CASE WHEN 10 * nh < n THEN 60 WHEN 10 * nh < 3 * n THEN 30 ELSE 0 END AS tim, CASE WHEN age <= 0 OR nr > 3.0 * n / age THEN 70 WHEN nr > 2.0 * n / age THEN 40 WHEN nr < 0.3 * n / age THEN 20 ELSE 0 END AS fre FROM j JOIN p USING (user_id) WHERE ts > {_AT} - INTERVAL 1 HOUR),
+r AS (SELECT event_id, user_id, round((15 * pattern + 13 * res + 12 * act + 10 * tim + 8 * fre) / 75.0::DOUBLE, 4) AS risk FROM f)
+SELECT *, CASE WHEN risk >= 70 THEN 'HIGH' WHEN risk >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM r""")
 def _(spark, sf_dir):
-    return S.behaviour_risk(_events(spark, sf_dir), F.lit("2024-01-30 12:00:00").cast("timestamp"))
+    kind = F.col("event_type")
+    resource = F.when(kind == "purchase", "/api/transactions").when(kind == "error", "/admin/log").otherwise(F.concat(F.lit("/"), kind))
+    action = F.when(kind == "purchase", "create").when(kind == "error", "DELETE").when(kind == "signup", "UPDATE").otherwise("READ")
+    rows = _events(spark, sf_dir).select("event_id", "user_id", "ts", kind.alias("kind"), resource.alias("resource"), action.alias("action"))
+    return S.behaviour_risk(rows, F.lit("2024-01-30 12:00:00").cast("timestamp"))

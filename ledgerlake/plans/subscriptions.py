@@ -38,19 +38,22 @@ def _(tx):
     return S.consolidate(S.detect(tx))
 
 
-@register("d16_lifecycle", "subscription_id s, user_id l, quiet l, state s", "subscriptions", f"SELECT subscription_id, user_id, quiet, CASE WHEN quiet > 2 * lim THEN 'GONE' WHEN quiet > 1.5 * lim THEN 'LAPSED' WHEN quiet > lim THEN 'IDLE' ELSE 'ACTIVE' END AS state FROM (SELECT *, {_D} - last_payment_date AS quiet, {_LIMIT} AS lim FROM subscriptions WHERE active)")
+@register("d16_lifecycle", "subscription_id s, user_id l, quiet l, state s", "subscriptions", f"SELECT subscription_id, user_id, quiet, CASE WHEN quiet >= lim * 2 THEN 'PRESUMED_CANCELLED' WHEN quiet >= (lim * 3) // 2 THEN 'UNUSED_2_CYCLES' WHEN quiet >= lim THEN 'UNUSED_1_CYCLE' ELSE 'ACTIVE' END AS state FROM (SELECT *, {_D} - last_payment_date AS quiet, {_LIMIT} AS lim FROM subscriptions WHERE active)")
 def _(subscriptions):
     return S.lifecycle(subscriptions, AS_OF)
 
 
 _PAID = f"""sk AS (SELECT *, {_KEY.format('merchant_name')} AS k FROM subscriptions), tk AS (SELECT *, {_KEY.format('merchant_name')} AS nm, -amount AS spent FROM tx WHERE amount < 0 AND merchant_name IS NOT NULL),
-paid AS (SELECT s.subscription_id, t.user_id, t.transaction_id, t.transaction_date, spent FROM sk s JOIN tk t ON s.user_id = t.user_id AND s.k[1] = t.nm[1] AND 1 - levenshtein(s.k, t.nm) / CAST(greatest(length(s.k), length(t.nm)) AS DOUBLE) >= 0.8 AND abs(spent - s.amount) <= s.amount * 0.05)"""
+paid AS (SELECT s.subscription_id, t.user_id, t.transaction_id, t.transaction_date, spent FROM sk s JOIN tk t ON s.user_id = t.user_id AND 1 - levenshtein(s.k, t.nm) / CAST(greatest(length(s.k), length(t.nm)) AS DOUBLE) >= 0.8 AND abs(spent - s.amount) <= s.amount * 0.05)"""
 _UNUSED = f"""{_PAID}, un AS (SELECT s.subscription_id, s.user_id, merchant_name, amount, CASE WHEN NOT EXISTS (SELECT 1 FROM paid p WHERE p.subscription_id = s.subscription_id) THEN 'HIGH' WHEN {_D} - {_next('last_payment_date')} > {_LIMIT} THEN 'MEDIUM' END AS severity, {_MONTHLY} AS monthly FROM subscriptions s WHERE active),
 idle AS (SELECT * FROM un WHERE severity IS NOT NULL)"""
 _TWICE = f"""mc AS (SELECT *, {_KEY.format('merchant_name')} AS merchant, {_MONTHLY} AS monthly FROM subscriptions WHERE active), tw AS (SELECT subscription_id, user_id, merchant, monthly, monthly - min(monthly) OVER (PARTITION BY user_id, merchant) AS saving FROM mc), twice AS (SELECT * FROM tw WHERE saving > 0)"""
 _RISE = "ch AS (SELECT subscription_id, user_id, previous_price, amount, round((amount - previous_price) / previous_price * 100, 2) AS percent FROM subscriptions WHERE active AND previous_price > 0), change AS (SELECT *, CASE WHEN percent > 0 THEN 'INCREASE' ELSE 'DECREASE' END AS direction FROM ch WHERE abs(percent) > 5)"
-_SCORE = f"""{_RISE}, {_TWICE}, st AS (SELECT *, {_D} - last_payment_date AS quiet, {_LIMIT} AS lim, {_MONTHLY} AS mo FROM subscriptions WHERE active),
-sc AS (SELECT subscription_id, user_id, greatest(0, 100 - CASE WHEN quiet > 1.5 * lim THEN 30 WHEN quiet > lim THEN 15 ELSE 0 END - CASE WHEN mo > 50 THEN 20 ELSE 0 END - CASE WHEN subscription_id IN (SELECT subscription_id FROM change WHERE direction = 'INCREASE') THEN 20 ELSE 0 END - CASE WHEN subscription_id IN (SELECT subscription_id FROM twice) THEN 10 ELSE 0 END) AS score FROM st)"""
+_SCORE = f"""hp AS (SELECT s.subscription_id, CAST(abs(t.amount) * 100 AS BIGINT) AS c, t.transaction_date AS d, t.transaction_id AS i FROM subscriptions s JOIN tx t ON s.user_id = t.user_id AND upper(trim(t.merchant_name)) = upper(trim(s.merchant_name)) AND abs(abs(t.amount) - abs(s.amount)) <= abs(s.amount) * 0.05 WHERE s.active),
+hm AS (SELECT subscription_id, arg_min(c, (d, i)) AS c1, arg_max(c, (d, i)) AS c2 FROM hp GROUP BY 1 HAVING count(*) >= 2),
+hd AS (SELECT user_id, lower(merchant_name) AS m FROM subscriptions WHERE active GROUP BY 1, 2 HAVING count(*) > 1),
+st AS (SELECT *, {_D} - last_payment_date AS quiet, CASE frequency WHEN 'QUARTERLY' THEN 90 WHEN 'SEMI_ANNUAL' THEN 180 WHEN 'ANNUAL' THEN 365 ELSE 30 END AS expected FROM subscriptions WHERE active),
+sc AS (SELECT st.subscription_id, st.user_id, 100 - CASE WHEN quiet IS NULL THEN 20 WHEN quiet > expected * 2 THEN 30 WHEN quiet > expected * 1.5 THEN 15 ELSE 0 END - CASE WHEN (20000 * abs(c2 - c1) + c1) // (2 * c1) > 1000 THEN 10 ELSE 0 END - CASE WHEN hd.m IS NOT NULL THEN 20 ELSE 0 END AS score FROM st LEFT JOIN hm USING (subscription_id) LEFT JOIN hd ON hd.user_id = st.user_id AND hd.m = lower(st.merchant_name))"""
 
 
 @register("j05_matched_payments", "subscription_id s, user_id l, transaction_id s, transaction_date d, spent m", "subscriptions tx", f"WITH {_PAID} SELECT * FROM paid")
@@ -73,9 +76,9 @@ def _(subscriptions, tx):
     return S.cancellations(subscriptions, tx, AS_OF)
 
 
-@register("d19_health", "subscription_id s, user_id l, score l, level s", "subscriptions", f"WITH {_SCORE} SELECT *, CASE WHEN score >= 80 THEN 'EXCELLENT' WHEN score >= 60 THEN 'GOOD' WHEN score >= 40 THEN 'FAIR' ELSE 'POOR' END AS level FROM sc")
-def _(subscriptions):
-    return S.health(subscriptions, AS_OF)
+@register("d19_health", "subscription_id s, user_id l, score l, level s", "subscriptions tx", f"WITH {_SCORE} SELECT *, CASE WHEN score >= 80 THEN 'EXCELLENT' WHEN score >= 60 THEN 'GOOD' WHEN score >= 40 THEN 'FAIR' ELSE 'POOR' END AS level FROM sc")
+def _(subscriptions, tx):
+    return S.health(subscriptions, tx, AS_OF)
 
 
 @register("d20_trials", "subscription_id s, user_id l, ends d, source s", "subscriptions", f"""
@@ -108,13 +111,18 @@ def _(subscriptions, tx):
     return S.portfolio(subscriptions, tx, AS_OF)
 
 
-@register("d25_engagement", "subscription_id s, user_id l, score f, tier s", "subscriptions tx", f"""
-WITH r AS (SELECT user_id, {_KEY.format('merchant_name')} AS k, CAST(abs(amount) AS DOUBLE) AS p, transaction_date FROM tx WHERE NOT deleted AND merchant_name IS NOT NULL AND transaction_date BETWEEN {_D} - 90 AND {_D}),
-g AS (SELECT user_id, k, count(*) AS n, max(transaction_date) AS last, avg(p) AS mean FROM r GROUP BY 1, 2),
-v AS (SELECT user_id, k, sqrt(sum((p - mean) * (p - mean)) / count(*)) AS spread FROM (SELECT DISTINCT user_id, k, p FROM r) JOIN g USING (user_id, k) GROUP BY 1, 2),
-s AS (SELECT subscription_id, user_id, round(100 * (0.45::DOUBLE * coalesce(greatest(0::DOUBLE, 1 - ({_D} - last) / 90::DOUBLE), 0) + 0.25::DOUBLE * coalesce(least(1::DOUBLE, n / 3::DOUBLE), 0) + 0.15::DOUBLE * coalesce(greatest(0::DOUBLE, 1 - spread / mean), 0) + 0.15::DOUBLE * CAST(active AS INT)), 2) AS score
-  FROM (SELECT *, {_KEY.format('merchant_name')} AS k FROM subscriptions) LEFT JOIN g USING (user_id, k) LEFT JOIN v USING (user_id, k))
-SELECT *, CASE WHEN score >= 70 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM s""")
+_CADENCE = "CASE frequency WHEN 'DAILY' THEN 1 WHEN 'WEEKLY' THEN 7 WHEN 'BI_WEEKLY' THEN 14 WHEN 'MONTHLY' THEN 30 WHEN 'QUARTERLY' THEN 90 WHEN 'SEMI_ANNUAL' THEN 180 WHEN 'ANNUAL' THEN 365 ELSE 30 END"
+
+
+@register("d25_engagement", "subscription_id s, user_id l, score l, tier s", "subscriptions tx", f"""
+WITH r AS (SELECT user_id, {_KEY.format('merchant_name')} AS k, CAST(abs(amount) * 100 AS BIGINT) AS c, transaction_date FROM tx WHERE NOT deleted AND merchant_name IS NOT NULL AND transaction_date BETWEEN {_D} - 90 AND {_D}),
+g AS (SELECT user_id, k, count(*) AS n, max(transaction_date) AS last, CAST((200 * sum(c) + count(*)) // (2 * count(*)) AS BIGINT) AS mean FROM r GROUP BY 1, 2),
+v AS (SELECT user_id, k, count(*) AS n_prices, sqrt(CAST(sum(CAST(100 * c - mean AS HUGEINT) * (100 * c - mean)) AS DOUBLE) / count(*)) AS sd FROM (SELECT DISTINCT user_id, k, c FROM r) JOIN g USING (user_id, k) GROUP BY 1, 2),
+j AS (SELECT s.*, g.n, g.last, CASE WHEN n < 2 OR n_prices <= 1 OR mean = 0 THEN 1::DOUBLE ELSE greatest(0::DOUBLE, least(1::DOUBLE, 1::DOUBLE - (sd / greatest(100::DOUBLE, CAST(mean AS DOUBLE)) - 0.05::DOUBLE) / 0.45::DOUBLE)) END AS steady, {_CADENCE} AS cad, 90 // {_CADENCE} AS expected
+  FROM (SELECT *, {_KEY.format('merchant_name')} AS k FROM subscriptions) s LEFT JOIN g USING (user_id, k) LEFT JOIN v USING (user_id, k)),
+p AS (SELECT *, coalesce(greatest(0::DOUBLE, least(1::DOUBLE, 1::DOUBLE - ({_D} - last) / (2.0::DOUBLE * cad))), 0) AS recency, CASE WHEN expected > 0 THEN coalesce(n, 0) / CAST(expected AS DOUBLE) END AS ratio FROM j),
+s AS (SELECT *, CAST(floor((0.45::DOUBLE * recency + 0.25::DOUBLE * CASE WHEN expected <= 0 THEN CASE WHEN n IS NULL THEN 0::DOUBLE ELSE 1::DOUBLE END WHEN ratio >= 0.75::DOUBLE THEN 1::DOUBLE WHEN ratio <= 0.5::DOUBLE THEN ratio ELSE 0.5::DOUBLE + (ratio - 0.5::DOUBLE) * 2 END + 0.15::DOUBLE * coalesce(steady, 1) + 0.15::DOUBLE * CAST(active AS INT)) * 100 + 0.5::DOUBLE) AS BIGINT) AS score FROM p)
+SELECT subscription_id, user_id, score, CASE WHEN NOT active OR score < 40 THEN 'DORMANT' WHEN score >= 70 THEN 'ACTIVE' ELSE 'AT_RISK' END AS tier FROM s""")
 def _(subscriptions, tx):
     return S.engagement(subscriptions, tx, AS_OF)
 
@@ -127,8 +135,13 @@ def _(subscriptions):
     return S.renewals(subscriptions, AS_OF)
 
 
+_MICRO = "CASE frequency WHEN 'DAILY' THEN c * 304375 WHEN 'WEEKLY' THEN (2 * c * 304375 + 700) // 1400 * 100 WHEN 'BI_WEEKLY' THEN (2 * c * 304375 + 1400) // 2800 * 100 WHEN 'QUARTERLY' THEN (200 * c + 3) // 6 * 100 WHEN 'SEMI_ANNUAL' THEN (200 * c + 6) // 12 * 100 WHEN 'ANNUAL' THEN (200 * c + 12) // 24 * 100 ELSE c * 10000 END"
+
+
 @register("d28_creep", "user_id l, now m, before m, share m, trend s", "subscriptions", f"""
-WITH g AS (SELECT user_id, sum(m) AS now, coalesce(sum(m) FILTER ({_D} - start_date > 90), 0) AS before FROM (SELECT *, {_MONTHLY} AS m FROM subscriptions WHERE active AND amount > 0) GROUP BY 1), h AS (SELECT *, coalesce(round((now - before) / nullif(before, 0), 4), 0) AS share FROM g)
-SELECT *, CASE WHEN share >= 0.15 THEN 'SPIKING' WHEN share >= 0.05 THEN 'CREEPING' WHEN share <= -0.05 THEN 'SHRINKING' ELSE 'STABLE' END AS trend FROM h""")
+WITH u AS (SELECT user_id, {_MICRO} AS m, coalesce({_D} - start_date >= 30, TRUE) AS old FROM (SELECT *, CAST(amount * 100 AS BIGINT) AS c FROM subscriptions WHERE active AND amount > 0)),
+g AS (SELECT user_id, CAST(sum(m) AS BIGINT) AS a, CAST(coalesce(sum(m) FILTER (old), 0) AS BIGINT) AS b FROM u GROUP BY 1), h AS (SELECT *, (a + 5000) // 10000 AS nc, (b + 5000) // 10000 AS bc FROM g),
+s AS (SELECT user_id, nc / 100.0::DOUBLE AS now, bc / 100.0::DOUBLE AS before, CASE WHEN b = 0 THEN 10000 ELSE (2 * (nc - bc) * 100000000 + b) // (2 * b) END AS parts FROM h)
+SELECT user_id, now, before, parts / 10000.0::DOUBLE AS share, CASE WHEN parts >= 1500 THEN 'SPIKING' WHEN parts >= 500 THEN 'CREEPING' WHEN parts <= -500 THEN 'SHRINKING' ELSE 'STABLE' END AS trend FROM s""")
 def _(subscriptions):
     return S.creep(subscriptions, AS_OF)

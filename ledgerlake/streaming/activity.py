@@ -48,18 +48,44 @@ def once(events: DataFrame, key: str = "event_id") -> DataFrame:
     return events.dropDuplicates([key])
 
 
-def behaviour_risk(events: DataFrame, as_of: Column) -> DataFrame:
-    """The last hour of each user against the user's profile: more than three times the mean hour, many kinds, an unusual hour."""
-    hour = F.date_trunc("hour", "ts")
+#: Parts of resources and whole actions with their sensitivity, and what each factor weighs (in tenths; location and
+#: device are always 0).
+RESOURCES = [(80, ("/admin", "/compliance", "/audit")), (50, ("/api/transactions", "/api/accounts", "/api/budgets"))]
+ACTIONS = [(70, ("DELETE", "UPDATE")), (40, ("CREATE",))]
+FACTOR_TENTHS = {"pattern": 15, "resource": 13, "action": 12, "time": 10, "location": 10, "frequency": 8, "device": 7}
+
+
+def behaviour_risk(activities: DataFrame, as_of: Column) -> DataFrame:
+    """activities(event_id, user_id, ts, kind, resource, action) -> event_id, user_id, risk and level of those in the hour before as_of.
+
+    A user's profile is everything until as_of: shares of kinds, resources, actions and of the present hour of day, and the mean of
+    activities an hour of the profile's whole hours. The risk is the weighted mean of seven factors from 0 to 100.
+    """
+    known = activities.withColumn("ts", F.col("ts").cast("timestamp")).where(F.col("ts") <= as_of)
     recent = F.col("ts") > as_of - F.expr("INTERVAL 1 HOUR")
-    past = events.where(~recent).groupBy("user_id", hour.alias("h")).agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("kinds"))
-    profile = past.groupBy("user_id").agg(F.avg("n").alias("mean_n"), F.avg("kinds").alias("mean_kinds"))
-    at = F.hour(as_of)
-    usual = events.where(~recent).groupBy("user_id").agg((F.count_if(F.hour("ts") == at) / F.count("*")).alias("share"))
-    now = events.where(recent & (F.col("ts") <= as_of)).groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("kinds"))
-    j = now.join(profile, "user_id").join(usual, "user_id")
-    score = F.when(F.col("n") > 3 * F.col("mean_n"), 40).otherwise(0) + F.when(F.col("kinds") > 2 * F.col("mean_kinds"), 30).otherwise(0) + F.when(F.col("share") < 1 / 48, 30).otherwise(0)
-    return j.select("user_id", "n", "kinds", score.alias("risk"))
+    profile = known.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(recent).alias("n_recent"), F.count_if(F.hour("ts") == F.hour(as_of)).alias("n_hour"), F.floor((F.unix_micros(as_of) - F.unix_micros(F.min("ts"))) / 3_600_000_000).alias("age"))
+    j = known.where(recent).join(profile, "user_id")
+    for name in ("kind", "resource", "action"):
+        shares = known.groupBy("user_id", F.col(name).alias("value")).agg(F.count("*").alias(f"n_{name}"))
+        j = j.join(shares.withColumnRenamed("user_id", "of"), (F.col("user_id") == F.col("of")) & F.col(name).eqNullSafe(F.col("value")), "left").drop("of", "value")
+    rare = lambda name: 10 * F.col(f"n_{name}") < F.col("n")
+    at = F.col("n_recent") * F.col("age")  # against multiples of the mean, n / age
+    sensitive = F.when(F.coalesce("resource", F.lit("")) == "", 0)
+    for score, parts in RESOURCES:
+        sensitive = sensitive.when(F.col("resource").rlike("|".join(parts)), score)
+    acting = F.when(F.coalesce("action", F.lit("")) == "", 0)
+    for score, names in ACTIONS:
+        acting = acting.when(F.upper("action").isin(*names), score)
+    factors = {
+        "pattern": F.when(rare("kind"), 50).when(rare("resource"), 40).when(rare("action"), 30).otherwise(0),
+        "resource": sensitive.otherwise(20),
+        "action": acting.otherwise(10),
+        "time": F.when(10 * F.col("n_hour") < F.col("n"), 60).when(10 * F.col("n_hour") < 3 * F.col("n"), 30).otherwise(0),
+        "frequency": F.when((F.col("age") <= 0) | (at > 3 * F.col("n")), 70).when(at > 2 * F.col("n"), 40).when(10 * at < 3 * F.col("n"), 20).otherwise(0),
+    }
+    total = sum((FACTOR_TENTHS[name] * value for name, value in factors.items()), F.lit(0))
+    risk = F.round(total / F.lit(float(sum(FACTOR_TENTHS.values()))), 4)
+    return j.select("event_id", "user_id", risk.alias("risk")).withColumn("level", F.when(F.col("risk") >= 70, "HIGH").when(F.col("risk") >= 40, "MEDIUM").otherwise("LOW"))
 
 
 def token_bucket(events: DataFrame, capacity: int = 5, per_second: float = 1 / 3600) -> DataFrame:

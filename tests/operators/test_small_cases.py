@@ -107,16 +107,21 @@ def test_import_matches_at_every_distance(spark):
     day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
     known = [{"transaction_id": "a", "plaid_transaction_id": "p", "amount": D("-99"), "transaction_date": day(0)}]  # posted 20 days after
     known += [{"transaction_id": f"far{d}", "plaid_transaction_id": f"q{d}", "amount": D("-98"), "transaction_date": day(20 - d)} for d in (35, 36)]
-    known += [{"transaction_id": f"k{d}", "user_id": 100 + d, "amount": D("-20"), "transaction_date": day(20 + d)} for d in range(14)]
+    text = "card payment at the corner"  # one letter of 26 differs: similarity 0.9615
+    known += [{"transaction_id": f"k{d}", "user_id": 100 + d, "amount": D("-20"), "description": text, "transaction_date": day(20 + d)} for d in range(14)]
+    known += [{"transaction_id": f"r{d}", "user_id": 200 + d, "amount": D("-20"), "transaction_date": day(20 + d)} for d in range(1, 6)]
     new = [{"transaction_id": "n", "plaid_transaction_id": "p", "amount": D("-5"), "transaction_date": day(20)}]
     new += [{"transaction_id": f"near{d}", "plaid_transaction_id": f"q{d}", "amount": D("-3"), "description": "other", "transaction_date": day(20)} for d in (35, 36)]
-    new += [{"transaction_id": f"n{d}", "user_id": 100 + d, "amount": D("-20"), "transaction_date": day(20)} for d in range(14)]
+    new += [{"transaction_id": f"n{d}", "user_id": 100 + d, "amount": D("-20"), "description": text[:-1] + "x", "transaction_date": day(20)} for d in range(14)]
+    new += [{"transaction_id": f"again{d}", "user_id": 200 + d, "amount": D("-20"), "transaction_date": day(20)} for d in range(1, 6)]
     known, new = tx(spark, *known), tx(spark, *new)
-    for least, reach in ((0.90, 5), (0.75, 12)):
+    for least, reach in ((0.90, 3), (0.85, 7), (0.80, 13)):
         got = {r.new_id: (r.known_id, r.kind, r.score) for r in imports.duplicates(new, known, least).collect()}
         assert got["n"] == ("a", "SAME_ID", 1) and got["near35"] == ("far35", "SAME_ID", 1) and got.get("near36", ("", ""))[1] != "SAME_ID"
         similar = {i: m for i, m in got.items() if m[1] == "SIMILAR" and i[1:].isdigit()}
-        assert similar == {f"n{d}": (f"k{d}", "SIMILAR", round(1 - 0.02 * d, 4)) for d in range(1, reach + 1)}
+        by_day = lambda d: next(x for most, x in ((0, 1), (1, 0.9), (3, 0.8), (7, 0.5), (30, 0.3)) if d <= most)
+        assert similar == {f"n{d}": (f"k{d}", "SIMILAR", round(0.3 + 0.2 * by_day(d) + 0.3 * (1 - 1 / 26) + 0.2, 4)) for d in range(reach + 1)}
+        assert not [i for i in got if i.startswith("again")]  # equal texts and amounts on other days recur
     assert "n" not in {r.transaction_id for r in imports.import_rows(new, known).collect()}
 
 
