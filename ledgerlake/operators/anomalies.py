@@ -99,35 +99,79 @@ def over_median(tx: DataFrame, preferences: DataFrame, as_of: str, times: float
 
 def fingerprints(tx: DataFrame) -> DataFrame:
     """transaction_id -> merchant|category|amount to the nearest 20."""
-    rows = expenses(tx)
-    return rows.select("user_id", "transaction_id", F.concat_ws("|", "merchant", "category", round_to(F.col("spent"), 20).cast("bigint").cast("string")).alias("fingerprint"))
+    return expenses(tx).select("user_id", "transaction_id", _fingerprint().alias("fingerprint"))
+
+
+def _fingerprint() -> Column:
+    return F.concat_ws("|", "merchant", "category", round_to(F.col("spent"), 20).cast("bigint").cast("string"))
 
 
 def rank_of(severity: Column) -> Column:
     return F.when(severity == "HIGH", 3).when(severity == "MEDIUM", 2).otherwise(1)
 
 
-def anomalies(tx: DataFrame, preferences: DataFrame, feedback: DataFrame, as_of: str) -> DataFrame:
+def findings(tx: DataFrame, preferences: DataFrame, as_of: str, z: float = 2.5, spike: float = 3.0, new: int = 100, twice: int = 50, twice_days: int = 1, median: float = 5.0) -> DataFrame:
+    """All five detectors in one pass over the rows: user_id, transaction_id, spent, fingerprint and an array of (kind, severity).
+
+    Statistics a user and a category are two aggregations of the same 180 days; what looks at a merchant's other rows are windows that
+    share one shuffle.
+    """
+    recent, past = F.col("transaction_date") >= F.date_add(day(as_of), -90), F.col("transaction_date") <= F.date_add(day(as_of), -90)
+    rows = expenses(tx.where(between("transaction_date", F.date_add(day(as_of), -180), as_of))).withColumns({"recent": recent, "past_spent": F.when(past, F.col("spent")), "now_spent": F.when(recent, F.col("spent"))})
+    rows = rows.select("user_id", "transaction_id", "transaction_date", "merchant", "category", "spent", "recent", "past_spent", "now_spent")
+    mean, sums = deviation("past_spent")
+    users = rows.groupBy("user_id").agg(mean.alias("mean"), sums.alias("sums"), cents_median(F.col("past_spent")).alias("median"), F.count_if("recent").alias("n_recent"))
+    users = with_sensitivity(users.withColumn("sigma", F.when(F.col("sums.n") >= 10, _rooted("mean", "sums"))), preferences)
+    spikes = rows.groupBy("user_id", "category").agg(money(F.avg("past_spent")).alias("past"), money(F.avg("now_spent")).alias("now"), F.max(F.when(F.col("recent"), F.struct("spent", "transaction_id"))).alias("top")).where("past > 0 AND now IS NOT NULL")
+    by_merchant = Window.partitionBy("user_id", "merchant")
+    enough = F.col("recent") & (F.col("spent") >= twice)
+    in_bucket = Window.partitionBy("user_id", "merchant", "enough", "bucket").orderBy("transaction_date", "transaction_id")
+    rows = rows.withColumns({"enough": enough, "bucket": round_to(F.col("spent"), 5)})
+    rows = rows.withColumns({
+        "known": F.max(F.col("past_spent").isNotNull()).over(by_merchant),
+        "place": F.row_number().over(Window.partitionBy("user_id", "merchant", "recent").orderBy("transaction_date", "transaction_id")),
+        "next": F.lead("transaction_date").over(in_bucket),
+    })
+    j = rows.where("recent").join(users, "user_id").join(spikes, ["user_id", "category"], "left")
+    spent, sure = F.col("spent").cast("double"), F.col("sensitivity")
+    found = lambda when, kind, severity: F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(kind).alias("kind"), severity.alias("severity")))
+    high = lambda least: F.when(F.col("spent") > least, "HIGH").otherwise("MEDIUM")
+    far = (F.col("sigma") > 0) & (F.col("n_recent") >= 10) & (F.abs((spent - F.col("mean").cast("double")) / F.col("sigma")) > z * sure)
+    named = F.col("merchant").isNotNull() & (F.col("merchant") != "")
+    each = F.array(
+        found(far, "OUTLIER", high(500)),
+        found((F.col("now").cast("double") > spike * sure * F.col("past").cast("double")) & (F.col("top.transaction_id") == F.col("transaction_id")), "CATEGORY_SPIKE", F.lit("MEDIUM")),
+        found(named & ~F.col("known") & (F.col("place") == 1) & (F.col("spent") > new) & ~F.col("category").isin(*RECURRING), "NEW_MERCHANT", F.lit("LOW")),
+        found(F.col("merchant").isNotNull() & F.col("enough") & (F.datediff("next", "transaction_date") <= twice_days), "DUPLICATE", F.lit("HIGH")),
+        found((F.col("median") > 0) & (spent > median * sure * F.col("median").cast("double")), "THRESHOLD", high(1000)),
+    )
+    out = j.select("user_id", "transaction_id", "spent", _fingerprint().alias("fingerprint"), F.filter(each, lambda f: f.isNotNull()).alias("found"))
+    return out.where(F.size("found") > 0)
+
+
+def anomalies(tx: DataFrame, preferences: DataFrame, feedback: DataFrame, as_of: str, **how) -> DataFrame:
     """All detectors, without dismissed fingerprints, the most severe finding of each transaction, in order of severity and amount."""
-    found = statistical_outliers(tx, preferences, as_of).unionByName(category_spikes(tx, preferences, as_of)).unionByName(first_time_merchants(tx, as_of)).unionByName(duplicate_charges(tx, as_of)).unionByName(over_median(tx, preferences, as_of))
-    prints = fingerprints(tx)
-    dismissed = feedback.where("verdict = 'DISMISSED'").join(prints, ["user_id", "transaction_id"]).select("user_id", "fingerprint").distinct()
-    open_ = found.join(prints, ["user_id", "transaction_id"]).join(dismissed, ["user_id", "fingerprint"], "left_anti")
-    best = Window.partitionBy("user_id", "transaction_id").orderBy(F.desc("rank"), "kind")
-    one = open_.withColumn("rank", rank_of(F.col("severity"))).withColumn("r", F.row_number().over(best)).where("r = 1")
-    place = Window.partitionBy("user_id").orderBy(F.desc("rank"), F.desc("amount"), "transaction_id")
-    return one.withColumn("place", F.row_number().over(place)).select(*COLUMNS, "place")
+    dismissed = feedback.where("verdict = 'DISMISSED'").join(fingerprints(tx), ["user_id", "transaction_id"]).select("user_id", "fingerprint").distinct()
+    open_ = findings(tx, preferences, as_of, **how).join(dismissed, ["user_id", "fingerprint"], "left_anti")
+    best = F.array_min(F.transform("found", lambda f: F.struct((-rank_of(f["severity"])).alias("rank"), f["kind"].alias("kind"), f["severity"].alias("severity"))))
+    one = open_.withColumn("best", best)
+    place = Window.partitionBy("user_id").orderBy("best.rank", F.desc("spent"), "transaction_id")
+    return one.select("user_id", "transaction_id", "best.kind", "best.severity", F.col("spent").alias("amount"), F.row_number().over(place).alias("place"))
 
 
 def near_duplicates_across_accounts(tx: DataFrame, as_of: str, days: int = 14, reach: int = 3) -> DataFrame:
-    """For each charge the nearest earlier one of the same merchant and whole amount on another account, at most 3 days back."""
+    """For each charge the nearest earlier one of the same merchant and whole amount on another account, at most 3 days back.
+
+    In order of time that is the row before the present run of rows of one account, so one window finds it, however often a charge recurs.
+    """
     rows = cross_account_rows(tx, as_of, days).withColumn("whole", F.round(F.abs("amount"), 0).cast("bigint")).select("user_id", "merchant", "whole", "transaction_id", "account_id", "transaction_date")
-    earlier = rows.select("user_id", "merchant", "whole", F.col("transaction_id").alias("earlier_id"), F.col("account_id").alias("earlier_account"), F.col("transaction_date").alias("earlier_date"))
-    back = F.datediff("transaction_date", "earlier_date")
-    before = (back > 0) | ((back == 0) & (F.col("earlier_id") < F.col("transaction_id")))
-    pairs = rows.join(earlier, ["user_id", "merchant", "whole"]).where(before & (back <= reach) & (F.col("account_id") != F.col("earlier_account")))
-    nearest = Window.partitionBy("user_id", "transaction_id").orderBy(F.desc("earlier_date"), F.desc("earlier_id"))
-    return pairs.withColumn("r", F.row_number().over(nearest)).where("r = 1").select("user_id", "merchant", "transaction_id", "earlier_id", back.alias("days_apart"))
+    order = Window.partitionBy("user_id", "merchant", "whole").orderBy("transaction_date", "transaction_id")
+    before = F.lag(F.struct("transaction_date", "transaction_id", "account_id")).over(order)
+    rows = rows.withColumn("before", before)
+    other = F.when(F.col("before.account_id") != F.col("account_id"), F.col("before"))
+    rows = rows.withColumn("other", F.last(other, ignorenulls=True).over(order))
+    back = F.datediff("transaction_date", "other.transaction_date")
+    return rows.where(back <= reach).select("user_id", "merchant", "transaction_id", F.col("other.transaction_id").alias("earlier_id"), back.alias("days_apart"))
 
 
 def missed_pattern_breaks(tx: DataFrame, as_of: str, window: int = 90) -> DataFrame:

@@ -127,6 +127,7 @@ def recommendations(tx: DataFrame, accounts: DataFrame, goals: DataFrame, as_of:
         F.when(F.col("emergency_progress") < 1, F.struct(F.lit("EMERGENCY_FUND").alias("goal_type"), money(F.col("expense") * 6 * (1 - F.col("emergency_progress"))).alias("target"))),
         F.when(F.col("debt_to_income") > 0.36, F.struct(F.lit("DEBT_PAYOFF").alias("goal_type"), money(F.col("income") * 12 * (F.col("debt_to_income") - F.lit("0.36").cast("decimal(3,2)"))).alias("target"))),
         F.when(F.col("savings_rate") < 0.20, F.struct(F.lit("SAVINGS_RATE").alias("goal_type"), money(F.col("income") * (F.lit("0.20").cast("decimal(3,2)") - F.col("savings_rate"))).alias("target"))),
+        F.when(F.col("income") - F.col("expense") * F.lit("0.7").cast("decimal(2,1)") > 0, F.struct(F.lit("WANTS_BUDGET").alias("goal_type"), money(F.col("income") * F.lit("0.20").cast("decimal(3,2)")).alias("target"))),
         F.when(F.col("income") > 0, F.struct(F.lit("RETIREMENT").alias("goal_type"), money(F.col("income") * 12 * F.lit("0.15").cast("decimal(3,2)")).alias("target"))),
     )
     rows = h.select("user_id", F.explode(F.filter(branches, lambda b: b.isNotNull())).alias("b")).select("user_id", "b.*")

@@ -94,17 +94,26 @@ def resumable(imports: DataFrame) -> DataFrame:
     return imports.where("status IN ('FAILED', 'PARTIAL') AND successful > 0").select("import_id", "user_id", "status", "successful")
 
 
-def user_accounts(accounts: DataFrame, user_id: int, kind: str | None = None) -> DataFrame:
-    rows = accounts.where(F.col("user_id") == user_id).dropDuplicates(["account_id"])
+def user_accounts(accounts: DataFrame, user_id: int | None = None, kind: str | None = None) -> DataFrame:
+    """Each user's accounts (or one user's), once each, of a kind if one is given."""
+    rows = accounts if user_id is None else accounts.where(F.col("user_id") == user_id)
+    rows = rows.dropDuplicates(["account_id"])
     return rows.where(F.col("account_type") == kind) if kind else rows
 
 
-def user_budgets(budgets: DataFrame, user_id: int, category: str | None = None, rolling: bool = False) -> DataFrame:
-    rows = budgets.where(F.col("user_id") == user_id)
+def user_budgets(budgets: DataFrame, user_id: int | None = None, category: str | None = None, rolling: bool = False) -> DataFrame:
+    """Each user's budgets (or one user's), of a category and with rollover if asked for."""
+    rows = budgets if user_id is None else budgets.where(F.col("user_id") == user_id)
     rows = rows.where(F.lower("category") == category.lower()) if category else rows
     return rows.where("rollover_enabled") if rolling else rows
 
 
+def ranked(found: DataFrame, *order: tuple[str, bool]) -> DataFrame:
+    """A user's findings in order, as `place`: (column, descending) in turn. Order travels as a column, as no table keeps one."""
+    by = [F.desc_nulls_last(c) if descending else F.asc_nulls_last(c) for c, descending in order]
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(*by)))
+
+
 def daily_totals(tx: DataFrame, start: str, end: str) -> DataFrame:
     """Spend and running spend of each day that has rows."""
     rows = tx.where(not_deleted() & between("transaction_date", start, end)).groupBy("user_id", "transaction_date").agg(total_if(F.col("amount") < 0, F.abs("amount")).alias("spent"))

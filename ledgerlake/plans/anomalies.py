@@ -44,6 +44,10 @@ def _(tx):
     return X.duplicate_charges(tx, AS_OF, least=5, days=20)
 
 
+#: The same over the frame tx with the detector's own thresholds, for queries that unite detectors.
+DUPLICATES_SQL = f"{_BASE}{_D04.format(least=50, days=1)} SELECT * FROM d04"
+
+
 @register("d05_over_median", _OUT, "tx preferences", _BASE + _SENS + _D05.format(times=1.7) + " SELECT * FROM d05")
 def _(tx, preferences):
     return X.over_median(tx, preferences, AS_OF, times=1.7)

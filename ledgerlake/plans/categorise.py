@@ -27,9 +27,9 @@ def _(tx, preferences):
     return C.cascade(tx, _corrections(preferences), C.rules_frame(tx.sparkSession))
 
 
-@register("t10_review_queue", "transaction_id s, user_id l", "tx preferences", f"WITH {_CASCADE} SELECT transaction_id, user_id FROM ca WHERE layer = 'DEFAULT'")
+@register("t10_review_queue", "transaction_id s, user_id l", "tx preferences", f"WITH {_CASCADE} SELECT transaction_id, user_id FROM ca WHERE layer IN ('RULE', 'IMPORT', 'DEFAULT')")
 def _(tx, preferences):
-    return C.review_queue(C.cascade(tx, _corrections(preferences), C.rules_frame(tx.sparkSession)))
+    return C.review_queue(C.cascade(tx, _corrections(preferences), C.rules_frame(tx.sparkSession)), least=0.85)
 
 
 @register("j16_aliases", "name s, canonical s", "tx", "SELECT DISTINCT lower(merchant_name) AS name, CASE WHEN starts_with(lower(merchant_name), 'streamly') THEN 'streamly' WHEN starts_with(lower(merchant_name), 'merchant 1') THEN 'merchant one' WHEN starts_with(lower(merchant_name), 'merchant 12') THEN 'twelve' ELSE lower(merchant_name) END AS canonical FROM tx WHERE merchant_name IS NOT NULL")

@@ -106,6 +106,15 @@ def _(tx, accounts, goals):
     return P.planner(tx, accounts, goals, AS_OF, 40000)
 
 
-@register("g04_recommendations", "user_id l, goal_type s, target m", "tx accounts goals")
+_HEALTH = """f AS (SELECT user_id, CAST(round(CAST(coalesce(sum(amount) FILTER (amount > 0), 0) AS DECIMAL(19,2)) / 3, 2) AS DECIMAL(19,2)) AS income, CAST(round(CAST(coalesce(sum(abs(amount)) FILTER (amount < 0 AND NOT coalesce(is_hidden, FALSE)), 0) AS DECIMAL(19,2)) / 3, 2) AS DECIMAL(19,2)) AS expense FROM tx WHERE transaction_date BETWEEN DATE '2001-05-01' AND DATE '2001-08-01' GROUP BY user_id),
+a AS (SELECT user_id, coalesce(sum(balance) FILTER (lower(account_type) IN ('checking', 'savings') AND balance > 0), 0) AS liquid, coalesce(sum(-balance) FILTER (balance < 0), 0) AS debt FROM accounts GROUP BY user_id),
+h AS (SELECT user_id, income, expense, CAST(coalesce(round((income - expense) / nullif(income, 0), 4), 0) AS DECIMAL(19,4)) AS sr, CAST(coalesce(round(coalesce(debt, 0) / nullif(income * 12, 0), 4), 0) AS DECIMAL(19,4)) AS dti, CAST(least(coalesce(round(coalesce(liquid, 0) / nullif(expense * 6, 0), 4), 0), 1) AS DECIMAL(19,4)) AS ep FROM f LEFT JOIN a USING (user_id))"""
+
+
+@register("g04_recommendations", "user_id l, goal_type s, target m", "tx accounts goals", f"""
+WITH {_HEALTH},
+b AS (SELECT user_id, 'EMERGENCY_FUND' AS goal_type, CAST(expense * 6 AS DECIMAL(18,2)) * (1 - ep) AS target FROM h WHERE ep < 1 UNION ALL SELECT user_id, 'DEBT_PAYOFF', CAST(income * 12 AS DECIMAL(18,2)) * (dti - 0.36) FROM h WHERE dti > 0.36
+  UNION ALL SELECT user_id, 'SAVINGS_RATE', income * (0.20 - sr) FROM h WHERE sr < 0.20 UNION ALL SELECT user_id, 'WANTS_BUDGET', income * 0.20 FROM h WHERE income - expense * 0.7 > 0 UNION ALL SELECT user_id, 'RETIREMENT', income * 12 * 0.15 FROM h WHERE income > 0)
+SELECT user_id, goal_type, round(target, 2) AS target FROM b WHERE NOT EXISTS (SELECT 1 FROM goals g WHERE g.user_id = b.user_id AND g.goal_type = b.goal_type)""")
 def _(tx, accounts, goals):
-    return P.recommendations(tx, accounts, goals.where("goal_type = 'VACATION' OR user_id % 3 = 0"), AS_OF)
+    return P.recommendations(tx, accounts, goals, AS_OF)

@@ -8,13 +8,21 @@ from ledgerlake.operators import accounts as C
 from ledgerlake.operators import anomalies as X
 from ledgerlake.operators import overview as V
 from ledgerlake.operators import subscriptions as S
+from ledgerlake.plans import anomalies, subscriptions as _needed  # noqa: F401
 from ledgerlake.plans.accounts import _D
-from ledgerlake.registry import register
+from ledgerlake.registry import register, sql_of
 
 
-@register("a26_insights_summary", "user_id l, anomalies l, duplicates l, cards l, idle l, high l, annual_savings m", "tx preferences feedback accounts subscriptions")
+_FOUND = f"""SELECT user_id, 'anomalies' AS detector, severity FROM ({sql_of("d06_anomalies")}) UNION ALL SELECT user_id, 'duplicates', 'HIGH' FROM ({anomalies.DUPLICATES_SQL})
+UNION ALL SELECT user_id, 'cards', severity FROM ({sql_of("x10_card_insights")}) UNION ALL SELECT user_id, 'idle', severity FROM ({sql_of("d16_unused")})"""
+
+
+@register("a26_insights_summary", "user_id l, anomalies l, duplicates l, cards l, idle l, high l, annual_savings m", "tx preferences feedback accounts subscriptions", f"""WITH al AS ({_FOUND}), sv AS (SELECT user_id, sum(saving) * 12 AS annual_savings FROM ({sql_of("d18_cancellations")}) GROUP BY 1),
+n AS (SELECT user_id, count(*) FILTER (detector = 'anomalies') AS anomalies, count(*) FILTER (detector = 'duplicates') AS duplicates, count(*) FILTER (detector = 'cards') AS cards, count(*) FILTER (detector = 'idle') AS idle, count(*) FILTER (severity = 'HIGH') AS high FROM al GROUP BY 1)
+SELECT n.*, round(coalesce(annual_savings, 0), 2) AS annual_savings FROM n LEFT JOIN sv USING (user_id)""")
 def _(tx, preferences, feedback, accounts, subscriptions):
-    found = {"anomalies": X.anomalies(tx, preferences, feedback, AS_OF), "duplicates": X.duplicate_charges(tx, AS_OF), "cards": C.card_insights(accounts, AS_OF), "idle": S.unused(subscriptions, tx, AS_OF)}
+    idle = S.unused(subscriptions, tx, AS_OF)
+    found = {"anomalies": X.anomalies(tx, preferences, feedback, AS_OF), "duplicates": X.duplicate_charges(tx, AS_OF), "cards": C.card_insights(accounts, AS_OF), "idle": idle}
     return V.insights_summary(found, S.cancellations(subscriptions, tx, AS_OF))
 
 
@@ -72,14 +80,14 @@ def _(imports):
     return V.resumable(imports)
 
 
-@register("s10_user_accounts", "account_id l, account_type s, balance m", "accounts", "SELECT * FROM accounts WHERE user_id = 3 AND account_type = 'creditCard'")
+@register("s10_user_accounts", "user_id l, account_id l, account_type s, balance m", "accounts", "SELECT * FROM accounts WHERE account_type = 'creditCard'")
 def _(accounts):
-    return V.user_accounts(accounts, 3, "creditCard")
+    return V.user_accounts(accounts, kind="creditCard")
 
 
-@register("s11_user_budgets", "budget_id s, category s, monthly_limit m", "budgets", "SELECT * FROM budgets WHERE user_id = 3 AND rollover_enabled")
+@register("s11_user_budgets", "user_id l, budget_id s, category s, monthly_limit m", "budgets", "SELECT * FROM budgets WHERE rollover_enabled")
 def _(budgets):
-    return V.user_budgets(budgets, 3, rolling=True)
+    return V.user_budgets(budgets, rolling=True)
 
 
 @register("w03_daily_totals", "user_id l, transaction_date d, spent m, so_far m", "tx", f"""

@@ -12,19 +12,22 @@ ded AS (SELECT * FROM one WHERE plaid_transaction_id IS NULL OR plaid_transactio
 _ROW = "transaction_id s, user_id l, amount m, transaction_date d"
 
 
-@register("s01_user_range", _ROW, "tx", f"WITH {_DEDUP.replace('FROM tx', 'FROM (SELECT * FROM tx WHERE user_id = 7 AND transaction_date BETWEEN DATE ' + chr(39) + '1999-01-01' + chr(39) + ' AND DATE ' + chr(39) + '2000-12-31' + chr(39) + ')')} SELECT * FROM ded")
-def _(tx):
-    return tables.user_range(tx, 7, "1999-01-01", "2000-12-31")
+_IN_RANGE = _DEDUP.replace("FROM tx", "FROM (SELECT * FROM tx WHERE transaction_date BETWEEN DATE '1999-01-01' AND DATE '2000-12-31')")
 
 
-@register("s03_user_page", _ROW, "tx", f"WITH {_DEDUP.replace('FROM tx', 'FROM (SELECT * FROM tx WHERE user_id = 7)')} SELECT * FROM ded ORDER BY transaction_date DESC, transaction_id DESC LIMIT 50 OFFSET 20")
+@register("s01_user_range", _ROW, "tx", f"WITH {_IN_RANGE} SELECT * FROM ded")
 def _(tx):
-    return tables.user_page(tx, 7, 20)
+    return tables.user_range(tx, "1999-01-01", "2000-12-31")
 
 
-@register("s05_by_goal", _ROW, "tx", "SELECT * FROM tx WHERE user_id = 11 AND goal_id = 'g899'")
+@register("s03_user_page", _ROW + ", place l", "tx", f"WITH {_DEDUP}, pl AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY transaction_date DESC, transaction_id DESC) AS place FROM ded) SELECT * FROM pl WHERE place BETWEEN 21 AND 70")
 def _(tx):
-    return tables.by_goal(tx, 11, "g899")
+    return tables.user_page(tx, 20)
+
+
+@register("s05_by_goal", _ROW + ", goal_id s", "tx goals", "SELECT * FROM tx WHERE EXISTS (SELECT 1 FROM goals g WHERE g.user_id = tx.user_id AND g.goal_id = tx.goal_id AND NOT g.completed)")
+def _(tx, goals):
+    return tables.by_goals(tx, goals.where("NOT completed"))
 
 
 @register("s06_updated_since", _ROW, "tx", "SELECT * FROM tx WHERE updated_at_ts >= 1014000")

@@ -46,6 +46,15 @@ def register(name: str, out: str, frames: str = "", sql: str | None = None):
     return add
 
 
+def sql_of(name: str) -> str:
+    """The oracle SQL of a query whose plan module has been imported, to be used as a subquery of another."""
+    return _SQL[name]
+
+
+def query_of(name: str):
+    return _QUERIES[name]
+
+
 def _load() -> None:
     """Import the plan modules, whose decorators fill the registry."""
     from ledgerlake import plans

@@ -18,19 +18,25 @@ def deduplicated(tx: DataFrame) -> DataFrame:
     return one.where(~F.coalesce(fed, F.lit(False))).unionByName(one.where(fed).withColumn("r", F.row_number().over(by_feed)).where("r = 1").drop("r"))
 
 
-def user_range(tx: DataFrame, user_id: int, start: str, end: str) -> DataFrame:
-    """A user's rows between two days, both included, without repeats. All rows come; there is no cap."""
-    return deduplicated(tx.where((F.col("user_id") == user_id) & between("transaction_date", start, end)))
+def _of_user(tx: DataFrame, user_id: int | None) -> DataFrame:
+    return tx if user_id is None else tx.where(F.col("user_id") == user_id)
 
 
-def user_page(tx: DataFrame, user_id: int, skip: int = 0, limit: int = 50, most: int = 100) -> DataFrame:
-    """A page of a user's rows, newest first; repeats go before rows are skipped."""
-    rows = deduplicated(tx.where(F.col("user_id") == user_id))
-    return rows.orderBy(F.desc("transaction_date"), F.desc("transaction_id")).offset(skip).limit(min(limit, most))
+def user_range(tx: DataFrame, start: str, end: str, user_id: int | None = None) -> DataFrame:
+    """Each user's rows (or one user's) between two days, both included, without repeats. All rows come; there is no cap."""
+    return deduplicated(_of_user(tx, user_id).where(between("transaction_date", start, end)))
 
 
-def by_goal(tx: DataFrame, user_id: int, goal_id: str) -> DataFrame:
-    return tx.where((F.col("user_id") == user_id) & (F.col("goal_id") == goal_id))
+def user_page(tx: DataFrame, skip: int = 0, limit: int = 50, most: int = 100, user_id: int | None = None) -> DataFrame:
+    """A page of each user's rows (or of one user's), newest first; repeats go before rows are skipped."""
+    newest = Window.partitionBy("user_id").orderBy(F.desc("transaction_date"), F.desc("transaction_id"))
+    rows = deduplicated(_of_user(tx, user_id)).withColumn("place", F.row_number().over(newest))
+    return rows.where((F.col("place") > skip) & (F.col("place") <= skip + min(limit, most)))
+
+
+def by_goals(tx: DataFrame, goals: DataFrame) -> DataFrame:
+    """The rows of the given goals(user_id, goal_id)."""
+    return tx.join(goals.select("user_id", "goal_id").distinct(), ["user_id", "goal_id"], "left_semi")
 
 
 def updated_since(tx: DataFrame, cursor: int) -> DataFrame:
