@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ledgerlake.functions import cleaning as K
 from ledgerlake.functions import text as X
 from ledgerlake.operators import imports as I
 from ledgerlake.registry import register
@@ -111,3 +112,55 @@ SELECT account_id, CASE WHEN credit_limit IS NULL THEN 'SKIPPED' WHEN abs(balanc
 def _(accounts):
     new = F.when(F.col("credit_limit").isNotNull(), F.col("balance") - F.when(F.col("account_id") % 2 == 0, F.col("past_due_amount")).otherwise(0))
     return accounts.select("account_id", files.statement_check(F.col("balance"), F.col("past_due_amount"), F.lit(None), F.col("annual_fee"), F.lit(None), new).alias("result"))
+
+
+def _cleaned(c: str) -> str:
+    out = f"trim(lower(coalesce({c}, '')))"
+    for pattern, new in K.CLEANING:
+        out = f"trim(regexp_replace({out}, '{pattern}', '{new}', 'g'))"
+    return out
+
+
+@register("f06_clean_merchants", "description s, merchant s", "tx", f"SELECT DISTINCT description, {_cleaned('description')} AS merchant FROM tx")
+def _(tx):
+    return tx.select("description", K.clean_merchant(F.col("description")).alias("merchant")).distinct()
+
+
+_STEM = "CASE WHEN length({0}) <= 3 THEN {0} WHEN {0} LIKE '%ies' AND length({0}) > 4 THEN {0}[:-4] || 'y' WHEN {0} LIKE '%ing' AND length({0}) > 5 THEN {0}[:-4] WHEN {0} LIKE '%ers' AND length({0}) > 5 THEN {0}[:-3] WHEN {0} LIKE '%es' AND length({0}) > 4 THEN {0}[:-3] WHEN {0} LIKE '%ed' AND length({0}) > 4 THEN {0}[:-3] WHEN {0} LIKE '%er' AND length({0}) > 4 THEN {0}[:-3] WHEN {0} LIKE '%s' AND NOT {0} LIKE '%ss' THEN {0}[:-2] ELSE {0} END"
+_SYNONYM_ROWS = ", ".join(f"('{w}', '{head}')" for head, words in K.SYNONYMS.items() for w in (head, *words))
+
+
+@register("f06_expanded_words", "description s, words s", "tx", f"""
+WITH sy(w, head) AS (VALUES {_SYNONYM_ROWS}), d AS (SELECT DISTINCT description FROM tx), t AS (SELECT description, unnest(regexp_split_to_array(lower(description), '\\s+')) AS w FROM d),
+k AS (SELECT * FROM t WHERE w <> '' AND w NOT IN ({", ".join(f"'{w}'" for w in K.STOP_WORDS)})), b AS (SELECT description, w FROM k UNION SELECT description, {_STEM.format("w")} FROM k), e AS (SELECT description, w FROM b UNION SELECT description, head FROM b JOIN sy USING (w))
+SELECT description, string_agg(w, ' ' ORDER BY w) AS words FROM e GROUP BY 1""")
+def _(tx):
+    return tx.select("description").distinct().select("description", F.array_join(K.expanded_words(F.col("description")), " ").alias("words"))
+
+
+@register("f05_pattern_keys", "transaction_id s, pattern s", "tx", """SELECT transaction_id, CASE WHEN trim(coalesce(merchant_name, '')) <> '' THEN lower(trim(merchant_name)) WHEN trim(coalesce(description, '')) <> '' THEN substring(trim(regexp_replace(regexp_replace(lower(trim(description)), '\\b\\d+\\b', '', 'g'), '\\s+', ' ', 'g')), 1, 30) END AS pattern FROM tx""")
+def _(tx):
+    return tx.select("transaction_id", K.pattern_key(F.col("merchant_name"), F.col("description")).alias("pattern"))
+
+
+@register("f10_containment", "a s, b s, inside f, shared f", "tx subscriptions", """
+WITH a AS (SELECT DISTINCT lower(description) AS a FROM tx), b AS (SELECT DISTINCT lower(merchant_name) AS b FROM subscriptions), p AS (SELECT a, b, regexp_split_to_array(a, '\\s+') AS wa, list_filter(regexp_split_to_array(b, '\\s+'), lambda w: w <> '') AS wb, ' ' || regexp_replace(a, '[^a-z0-9]+', ' ', 'g') || ' ' AS pad FROM a CROSS JOIN b),
+h AS (SELECT *, len(list_filter(wb, lambda w: list_contains(wa, w) OR (length(w) >= 5 AND contains(pad, ' ' || w || ' ')))) / CAST(len(wb) AS DOUBLE) AS share, list_intersect(list_distinct(wa), list_distinct(wb)) AS same, CAST(len(list_distinct(list_concat(wa, wb))) AS DOUBLE) AS n FROM p)
+SELECT a, b, round(CASE WHEN contains(a, b) THEN least(1, 0.95 + length(b) / CAST(length(a) AS DOUBLE) * 0.05) WHEN share > 0 THEN CASE WHEN share >= 0.5 THEN share * 0.8 ELSE share * 0.3 END WHEN contains(b, a) THEN least(1, 0.9 + length(a) / CAST(length(b) AS DOUBLE) * 0.1) ELSE 0 END, 6) AS inside,
+  round(least(1, len(same) / n + CASE WHEN len(same) > 0 THEN least(0.2, list_avg(list_transform(same, lambda w: length(w))) / 20) ELSE 0 END), 6) AS shared FROM h""")
+def _(tx, subscriptions):
+    a = tx.select(F.lower("description").alias("a")).distinct()
+    b = subscriptions.select(F.lower("merchant_name").alias("b")).distinct()
+    return a.crossJoin(b).select("a", "b", F.round(K.contained(F.col("a"), F.col("b")), 6).alias("inside"), F.round(K.boosted_jaccard(F.col("a"), F.col("b")), 6).alias("shared"))
+
+
+@register("f09_fuzzy_scores", "a s, b s, score f", "tx subscriptions")
+def _(tx, subscriptions):
+    a = tx.where("merchant_name IS NOT NULL").select(K.clean_merchant(F.col("merchant_name")).alias("a")).distinct()
+    b = subscriptions.select(K.clean_merchant(F.col("merchant_name")).alias("b")).distinct()
+    return a.crossJoin(b).select("a", "b", F.round(K.fuzzy_score(F.col("a"), F.col("b")), 6).alias("score"))
+
+
+@register("f42_multipliers", "transaction_id s, multiplier f", "tx", "SELECT transaction_id, CASE category_primary WHEN 'dining' THEN 3::DOUBLE WHEN 'travel' THEN 2::DOUBLE ELSE 1.5::DOUBLE END AS multiplier FROM tx")
+def _(tx):
+    return tx.select("transaction_id", K.lookup({"dining": 3.0, "travel": 2.0, "default": 1.5}, F.col("category_primary")).alias("multiplier"))

@@ -1,6 +1,9 @@
 """Registered queries of operators.subscriptions."""
 
+from pyspark.sql import functions as F
+
 from ledgerlake.adapter import AS_OF
+from ledgerlake.functions import kinds as N
 from ledgerlake.operators import subscriptions as S
 from ledgerlake.registry import register
 
@@ -145,3 +148,25 @@ s AS (SELECT user_id, nc / 100.0::DOUBLE AS now, bc / 100.0::DOUBLE AS before, C
 SELECT user_id, now, before, parts / 10000.0::DOUBLE AS share, CASE WHEN parts >= 1500 THEN 'SPIKING' WHEN parts >= 500 THEN 'CREEPING' WHEN parts <= -500 THEN 'SHRINKING' ELSE 'STABLE' END AS trend FROM s""")
 def _(subscriptions):
     return S.creep(subscriptions, AS_OF)
+
+
+def _named(parts) -> str:
+    return "(" + " OR ".join("contains(x, '" + p.replace("'", "''") + "')" for p in parts) + ")"
+
+
+def _type_case() -> str:
+    """One WHEN for each type, from the fixed values of functions.kinds."""
+    out = "CASE"
+    for name, parts, category, details in N.TYPES:
+        asked = [f"p = '{category}'"] * bool(category) + [f"contains(dt, '{d}')" for d in details]
+        found = _named(parts) + (f" AND ({' OR '.join(asked)})" if asked else "") + (" OR contains(p, 'insurance')" if name == "other" else "")
+        out += f" WHEN {found} THEN '{name}'"
+    return out + " ELSE 'other' END"
+
+
+@register("f30_subscription_types", "transaction_id s, type s, category s", "tx", f"""
+WITH t AS (SELECT *, replace(lower(coalesce(merchant_name, '') || ' ' || coalesce(description, '')), 'streamly 1', 'netflix') AS x, lower(coalesce(category_primary, '')) AS p, lower(coalesce(category_detailed, '')) AS dt FROM tx), k AS (SELECT *, {_type_case()} AS type FROM t)
+SELECT transaction_id, type, CASE WHEN dt = 'subscriptions' OR p IN ('subscriptions', 'streaming', 'software', 'membership', 'cloud_storage', 'tech', 'entertainment', 'health', 'education') OR type <> 'other' THEN 'subscription' ELSE 'recurring' END AS category FROM k""")
+def _(tx):
+    named = tx.withColumns({"merchant_name": F.replace(F.lower("merchant_name"), F.lit("streamly 1"), F.lit("netflix")), "description": F.replace(F.lower("description"), F.lit("streamly 1"), F.lit("netflix"))})
+    return named.select("transaction_id", N.subscription_type().alias("type"), N.subscription_category().alias("category"))
