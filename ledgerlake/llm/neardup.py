@@ -8,9 +8,11 @@ Links are confirmed on full sets, and no bucket is turned into all its pairs:
 1. stars: each class of a bucket is compared with the bucket's least class. The links found give first components.
 2. Buckets that still hold several components. Their classes get a long signature of one bit a hash, and those outside a bucket's
    largest component are compared with the whole bucket, in tiles of bounded size inside tasks.
-   a. Each of them names one partner in a tile: of those that are clearly similar the least, else the best. Classes that are
-      alike name the same partner, so a group of copies beside a bucket's least class comes together through as many pairs as it has rows.
-   b. Over what is then still apart, all pairs that may be similar enough are confirmed, each at its first common band.
+   a. Each of them names one partner: of those that are clearly similar the least, else the best. Classes that are alike name the
+      same partner, so a group of copies beside a bucket's least class comes together through as many pairs as it has rows.
+   b. Over what is then still apart, the classes of all pairs that may be similar enough (each at its first common band) meet
+      once more in tiles, with their full sets. A task compares those pairs exactly and gives one link between two components,
+      so neither the pairs that fail nor all that hold leave it.
 So no candidate link between components is lost.
 
 Nodes are classes: the least doc_id of a class, or a number from 2^62 on where another class has that doc_id too (ids must lie
@@ -47,6 +49,8 @@ LONG_HASHES, MOST_BITS, CLEAR_BITS = 2048, 332, 174
 FIRST_WORDS, FIRST_BITS = 4, 64
 #: Classes of a tile: a task compares at most TILE classes of other components with SLICE classes of a bucket at once.
 TILE, SLICE = 512, 2048
+#: Shingles of a tile's and of a slice's full sets (8 bytes each; a longer set stands alone).
+SET_TILE, SET_SLICE = 1 << 19, 1 << 20
 #: Shingles whose hash minima are taken together.
 RUN = 1 << 15
 
@@ -205,40 +209,81 @@ def _agreeing(first: np.ndarray, bits: np.ndarray, one: np.ndarray) -> tuple[np.
     return near[differ <= MOST_BITS], differ[differ <= MOST_BITS]
 
 
-_PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-
-def _partners(of_all: bool):
-    """What a tile gives: all its pairs at their first common band, or one partner of each class outside the main component."""
-
-    def compare(found: pa.Table) -> pa.Table:
-        us, vs = [], []
-        minor = _column(found, "minor", bool)
-        mine, every = found.filter(pa.array(minor)), found.filter(pa.array(~minor))
-        if len(mine) and len(every):
-            band = int(found.column("band")[0].as_py())
-            node, n, comp = (_column(every, c, np.int64) for c in ("node", "n", "component"))
-            bits = _column(every, "long", np.uint64, LONG_HASHES // 64)
-            first = np.ascontiguousarray(bits[:, :FIRST_WORDS].T)
-            keys, my_keys = _column(every, "earlier", np.int64, band), _column(mine, "earlier", np.int64, band)
-            my_bits = _column(mine, "long", np.uint64, LONG_HASHES // 64)
-            for i, (u, nu, cu) in enumerate(zip(*(_column(mine, c, np.int64).tolist() for c in ("node", "n", "component")), strict=True)):
-                other, differ = _agreeing(first, bits, my_bits[i])
-                fits = (comp[other] != cu) & (100 * n[other] >= PERCENT * nu) & (100 * nu >= PERCENT * n[other])
-                other, differ = other[fits], differ[fits]
-                if of_all:
-                    other = other[~(keys[other] == my_keys[i]).any(axis=1)] if band else other
-                elif len(other):
-                    clear = other[differ <= CLEAR_BITS]
-                    best = other[differ == differ.min()]
-                    other = [clear[np.argmin(node[clear])] if len(clear) else best[np.argmin(node[best])]]
-                for k in other:
-                    v = int(node[k])
-                    us.append(min(u, v))
-                    vs.append(max(u, v))
-        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())}, _PAIRS)
-
-    return compare
+_NAMED = pa.schema([("u", pa.int64()), ("unclear", pa.int32()), ("v", pa.int64())])
+_MET = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+_LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _candidates(found: pa.Table, first_bands: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a tile: each class outside the main component, its component, and the nodes, components and differing bits of the
+    classes of other components that may be similar enough; with first_bands, of those that meet it in no earlier band."""
+    minor = _column(found, "minor", bool)
+    mine, every = found.filter(pa.array(minor)), found.filter(pa.array(~minor))
+    if not len(mine) or not len(every):
+        return
+    band = int(found.column("band")[0].as_py())
+    node, n, comp = (_column(every, c, np.int64) for c in ("node", "n", "component"))
+    bits = _column(every, "long", np.uint64, LONG_HASHES // 64)
+    first = np.ascontiguousarray(bits[:, :FIRST_WORDS].T)
+    keys, my_keys = _column(every, "earlier", np.int64, band), _column(mine, "earlier", np.int64, band)
+    my_bits = _column(mine, "long", np.uint64, LONG_HASHES // 64)
+    for i, (u, nu, cu) in enumerate(zip(*(_column(mine, c, np.int64).tolist() for c in ("node", "n", "component")), strict=True)):
+        other, differ = _agreeing(first, bits, my_bits[i])
+        fits = (comp[other] != cu) & (100 * n[other] >= PERCENT * nu) & (100 * nu >= PERCENT * n[other])
+        if first_bands and band:
+            fits &= ~(keys[other] == my_keys[i]).any(axis=1)
+        if fits.any():
+            yield u, cu, node[other[fits]], comp[other[fits]], differ[fits]
+
+
+def _partners(found: pa.Table) -> pa.Table:
+    """u, unclear (0, or the differing bits), v: the least clearly similar class of another component, else the best."""
+    rows = []
+    for u, _, node, _, differ in _candidates(found, False):
+        clear = node[differ <= CLEAR_BITS]
+        rows.append((u, 0, int(clear.min())) if len(clear) else (u, int(differ.min()), int(node[differ == differ.min()].min())))
+    columns = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.table(dict(zip(_NAMED.names, map(list, columns), strict=True)), _NAMED)
+
+
+def _met(found: pa.Table) -> pa.Table:
+    """key, node: the classes with a partner that may be similar enough, and those partners."""
+    nodes: set[int] = set()
+    for u, _, node, _, _ in _candidates(found, True):
+        nodes.update([u, *node.tolist()])
+    key = found.column("key")[0].as_py()
+    return pa.table({"key": [key] * len(nodes), "node": list(nodes)}, _MET)
+
+
+def _exact_links(found: pa.Table) -> pa.Table:
+    """u, v: exactly confirmed links of a tile of full sets, none between components that other links of the tile join."""
+    minor = _column(found, "minor", bool)
+    every = found.filter(pa.array(~minor))
+    sets = {int(n): np.frombuffer(raw, np.uint64) for t in (every, found.filter(pa.array(minor))) for n, raw in zip(t.column("node").to_pylist(), t.column("set").to_pylist(), strict=True)}
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            root[c] = c = root.get(root[c], root[c])
+        return c
+
+    us, vs = [], []
+    for u, cu, node, comp, differ in _candidates(found, True):
+        a = sets[u]
+        for k in np.argsort(differ, kind="stable"):
+            x, y = find(cu), find(int(comp[k]))
+            if x == y:
+                continue
+            b = sets[int(node[k])]
+            short, long = (a, b) if len(a) < len(b) else (b, a)
+            at = np.searchsorted(long, short)
+            at[at == len(long)] = 0
+            common = int(np.count_nonzero(long[at] == short))
+            if 100 * common >= PERCENT * (len(a) + len(b) - common):
+                root[x] = y
+                us.append(u)
+                vs.append(int(node[k]))
+    return pa.table({"u": us, "v": vs}, _LINKS)
 
 
 def _mixed(multi: DataFrame, labels: DataFrame) -> DataFrame:
@@ -259,18 +304,37 @@ def _long_signatures(docs: DataFrame, classes: DataFrame, rows: DataFrame, reps:
     return save(long.join(reps.select("node", "bands"), "node").dropDuplicates(["node"]), "long-signatures")
 
 
-def _rest_pairs(rows: DataFrame, both: DataFrame, of_all: bool) -> DataFrame:
-    """u, v: pairs of different components that share a bucket and whose long signatures differ little enough; written."""
+def _tiles(rows: DataFrame, both: DataFrame) -> DataFrame:
+    """The rows of mixed buckets with their long signatures, dealt to key, tile and part."""
     # Buckets are made by these keys: only an equal key, not a likeness of minima, says that a pair meets in an earlier band.
-    ends = rows.join(both, "node").withColumn("earlier", F.slice("bands", F.lit(1), F.col("band")))
-    minor = F.col("component") != F.col("main")
+    ends = rows.join(both, "node").withColumn("earlier", F.slice("bands", F.lit(1), F.col("band"))).drop("bands")
     tile = F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles")).cast("int")
     part = F.pmod(F.xxhash64("node", F.lit(2)), F.col("slices")).cast("int")
     # A class outside the main component stands in its tile opposite every slice; every class stands in its slice opposite every tile.
-    as_minor = ends.where(minor).select("key", tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("part"), F.lit(True).alias("minor"), "band", "node", "n", "component", "earlier", "long")
-    as_any = ends.select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), part.alias("part"), F.lit(False).alias("minor"), "band", "node", "n", "component", "earlier", "long")
-    found = as_minor.unionByName(as_any).groupBy("key", "tile", "part").applyInArrow(_partners(of_all), "u bigint, v bigint")
-    return save(found.distinct(), "rest-pairs")
+    as_minor = ends.where(F.col("component") != F.col("main")).withColumns({"tile": tile, "part": F.explode(F.sequence(F.lit(0), F.col("slices") - 1)), "minor": F.lit(True)})
+    as_any = ends.withColumns({"tile": F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)), "part": part, "minor": F.lit(False)})
+    return as_minor.unionByName(as_any).drop("main", "tiles", "slices")
+
+
+def _named(rows: DataFrame, both: DataFrame) -> DataFrame:
+    """u, v: one pair at most for each class outside its bucket's main component; written."""
+    found = _tiles(rows, both).groupBy("key", "tile", "part").applyInArrow(_partners, "u bigint, unclear int, v bigint")
+    best = found.groupBy("u").agg(F.min(F.struct("unclear", "v")).alias("best"))
+    return save(best.select(F.least("u", "best.v").alias("u"), F.greatest("u", "best.v").alias("v")).distinct(), "named-pairs")
+
+
+def _rest(docs: DataFrame, classes: DataFrame, rows: DataFrame, both: DataFrame) -> DataFrame:
+    """u, v: confirmed links between the components that are still apart; written."""
+    met = save(_tiles(rows, both).groupBy("key", "tile", "part").applyInArrow(_met, "key bigint, node bigint").distinct(), "met")
+    sets = save(_of_classes(docs, met.select("node").distinct(), classes, lambda found: [s.tobytes() for s in found], "set").dropDuplicates(["node"]), "met-sets")
+    few = rows.drop("tiles", "slices").join(met, ["key", "node"], "left_semi")
+    minor = F.col("component") != F.col("main")
+    size = few.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.when(minor, F.col("n"))) / SET_TILE)).cast("int").alias("tiles"), F.ceil(F.sum("n") / SET_SLICE).cast("int").alias("slices"))
+    size = save(size, "met-sizes")
+    found = _tiles(few.join(bounded(size), "key"), both).join(sets, "node").groupBy("key", "tile", "part").applyInArrow(_exact_links, "u bigint, v bigint")
+    out = save(found.distinct(), "rest-links")
+    discard(docs.sparkSession, met, sets, size)
+    return out
 
 
 def links(docs: DataFrame, sigs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -288,16 +352,16 @@ def links(docs: DataFrame, sigs: DataFrame, classes: DataFrame) -> DataFrame:
     rows = _mixed(multi.select("key", "band", "node", "n"), labels)
     both = _long_signatures(docs, classes, rows, reps)
     discard(spark, multi, stars, reps)
-    for of_all in (False, True):
-        pairs = _rest_pairs(rows, both, of_all)
-        if not pairs.isEmpty():
-            confirmed = save(confirmed.unionByName(confirm(docs, pairs, classes)), "confirmed")
-            labels = save(components(confirmed), "components")
-        if not of_all:
-            before, rows = rows, _mixed(rows.select("key", "band", "node", "n"), labels)
-            discard(spark, before)
-        discard(spark, pairs)
-    discard(spark, rows, both, confirmed)
+    named = _named(rows, both)
+    if not named.isEmpty():
+        confirmed = save(confirmed.unionByName(confirm(docs, named, classes)), "confirmed")
+        labels = save(components(confirmed), "components")
+        before, rows = rows, _mixed(rows.select("key", "band", "node", "n"), labels)
+        discard(spark, before)
+    rest = _rest(docs, classes, rows, both)
+    if not rest.isEmpty():
+        labels = save(components(confirmed.unionByName(rest)), "components")
+    discard(spark, named, rest, rows, both, confirmed)
     return labels
 
 
