@@ -17,8 +17,12 @@ def by_category(tx: DataFrame) -> DataFrame:
     return tx.withColumn("category", F.explode(kinds))
 
 
-def budget_rows(budgets: DataFrame, tx: DataFrame, start: Column, end: Column, deleted_too: bool = False, gate: bool = True) -> DataFrame:
-    """Budgets left-joined with their transactions from `start` to `end` (columns over the budget), both days included."""
+def budget_rows(budgets: DataFrame, tx: DataFrame, start: Column, end: Column, deleted_too: bool = False, gate: bool = True, within: tuple[Column, Column] | None = None) -> DataFrame:
+    """Budgets left-joined with their transactions from `start` to `end` (columns over the budget), both days included.
+
+    within: constant days that no budget's range leaves; they reach the scan.
+    """
+    tx = tx.where(F.col("transaction_date").between(*within)) if within else tx
     rows = by_category(tx if deleted_too else tx.where(not_deleted())).select(F.col("user_id").alias("t_user"), F.col("category").alias("t_category"), "amount", "transaction_date", "pending", F.col("currency_code").alias("t_currency"))
     b = budgets.withColumns({"cycle_start": start, "cycle_end": end})
     same = (F.col("user_id") == F.col("t_user")) & (F.col("category") == F.col("t_category")) & F.col("transaction_date").between(F.col("cycle_start"), F.col("cycle_end"))
@@ -30,7 +34,8 @@ def budget_rows(budgets: DataFrame, tx: DataFrame, start: Column, end: Column, d
 def _spent(budgets: DataFrame, tx: DataFrame, as_of: str, **how) -> DataFrame:
     """Each budget with its net spend in the cycle of as_of, cut at 0."""
     at = day(as_of)
-    joined = budget_rows(budgets, tx, cycle_start(F.col("period"), at), cycle_end(F.col("period"), at), **how)
+    around = (F.date_add(at, -31), F.date_add(at, 31))  # no cycle is longer than a month
+    joined = budget_rows(budgets, tx, cycle_start(F.col("period"), at), cycle_end(F.col("period"), at), within=around, **how)
     return joined.groupBy(*budgets.columns, "cycle_start", "cycle_end").agg(F.greatest(total(-F.col("amount")), F.lit(0)).cast("decimal(19,2)").alias("spent"))
 
 
@@ -50,7 +55,7 @@ def overrun_forecast(budgets: DataFrame, tx: DataFrame, as_of: str) -> DataFrame
     """The larger of the pace and the median of the three months before, against the limit: HIGH from 1.10, MEDIUM from 0.95."""
     now = budget_summary(budgets, tx, as_of).select("budget_id", "projected", "effective_limit")
     first = F.trunc(day(as_of), "month")
-    past = budget_rows(budgets, tx, F.add_months(first, -3), F.date_add(first, -1), gate=False).where("amount IS NOT NULL")
+    past = budget_rows(budgets, tx, F.add_months(first, -3), F.date_add(first, -1), gate=False, within=(F.add_months(first, -3), F.date_add(first, -1))).where("amount IS NOT NULL")
     months = past.groupBy("budget_id", F.trunc("transaction_date", "month").alias("month")).agg(F.greatest(total(-F.col("amount")), F.lit(0)).cast("decimal(19,2)").alias("net"))
     usual = months.groupBy("budget_id").agg(cents_median(F.col("net")).alias("usual"))
     out = now.join(usual, "budget_id", "left").withColumn("forecast", F.greatest("projected", F.coalesce("usual", F.lit(0))).cast("decimal(19,2)")).withColumn("share", ratio(F.col("forecast"), F.col("effective_limit")))
@@ -72,7 +77,7 @@ def rollover(budgets: DataFrame, tx: DataFrame, as_of: str) -> DataFrame:
     """What last month leaves over, carried on. Deleted rows count and refunds don't net, as in the source system."""
     first = F.trunc(day(as_of), "month")
     chosen = budgets.where(F.col("rollover_enabled") & ~income_or_savings(F.col("category")))
-    rows = budget_rows(chosen, tx, F.add_months(first, -1), F.date_add(first, -1), deleted_too=True)
+    rows = budget_rows(chosen, tx, F.add_months(first, -1), F.date_add(first, -1), deleted_too=True, within=(F.add_months(first, -1), F.date_add(first, -1)))
     return rows.groupBy("budget_id", "user_id", "monthly_limit", "carried_amount").agg(total_if(F.col("amount") < 0, F.abs("amount")).alias("spent")).withColumn("carry", (F.col("monthly_limit") + F.col("carried_amount") - F.col("spent")).cast("decimal(19,2)")).select("budget_id", "user_id", "spent", "carry")
 
 
@@ -113,7 +118,7 @@ def goal_flow(budgets: DataFrame, tx: DataFrame, as_of: str) -> DataFrame:
     """What a budget's underspend can still give to its goal."""
     at = day(as_of)
     linked = budgets.where(F.col("goal_id").isNotNull() & (F.col("goal_allocation") > 0))
-    rows = budget_rows(linked, tx, cycle_start(F.col("period"), at), cycle_end(F.col("period"), at))
+    rows = budget_rows(linked, tx, cycle_start(F.col("period"), at), cycle_end(F.col("period"), at), within=(F.date_add(at, -31), F.date_add(at, 31)))
     s = rows.groupBy("budget_id", "goal_id", "monthly_limit", "goal_allocation", "last_goal_funded").agg(total_if(F.col("amount") < 0, F.abs("amount")).alias("spent"))
     room = F.least(F.greatest(F.col("monthly_limit") - F.col("spent"), F.lit(0)), F.col("goal_allocation"))
     return s.withColumn("fund", F.greatest(room - F.col("last_goal_funded"), F.lit(0)).cast("decimal(19,2)")).where("fund > 0").select("budget_id", "goal_id", "spent", "fund")

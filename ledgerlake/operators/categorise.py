@@ -33,6 +33,10 @@ def rules_frame(spark: SparkSession, rules: list = RULES) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id int, keyword string, rule_category string, priority int, source_level int")
 
 
+#: Rules up to this number are broadcast (some hundred bytes each).
+BROADCAST_RULES = 200_000
+
+
 def match_rules(tx: DataFrame, rules: DataFrame) -> DataFrame:
     """transaction_id -> category of the best rule: lowest source level, then longest keyword, then priority, then rule.
 
@@ -40,20 +44,49 @@ def match_rules(tx: DataFrame, rules: DataFrame) -> DataFrame:
     """
     text = F.lower(F.concat_ws(" ", "merchant_name", "description"))
     texts = tx.select(text.alias("text")).distinct()
-    hits = texts.join(F.broadcast(rules), F.expr("contains(text, keyword)"))
+    few = F.broadcast(rules) if rules.count() <= BROADCAST_RULES else rules
+    hits = texts.join(few, F.expr("contains(text, keyword)"))
     best = F.min_by("rule_category", F.struct("source_level", -F.length("keyword"), -F.col("priority"), "rule_id"))
     found = hits.groupBy("text").agg(best.alias("rule_category"))
     return tx.select("transaction_id", text.alias("text")).join(found, "text").select("transaction_id", "rule_category")
 
 
-def cascade(tx: DataFrame, corrections: DataFrame, rules: DataFrame) -> DataFrame:
-    """First layer that knows: the user's correction of the merchant (1.0), the issuer's label (.95), curated rules (.80), the importer's category (.60), other (.10)."""
+def cascade(tx: DataFrame, corrections: DataFrame, rules: DataFrame, codes: DataFrame | None = None, merchants: DataFrame | None = None, taxonomy: dict | None = None, nearest: DataFrame | None = None, learned: DataFrame | None = None) -> DataFrame:
+    """The category of the first layer that knows, with the layer and its confidence.
+
+    In order: the user's correction of the merchant (1.0), merchant codes, the issuer's label (.92), the merchant directory, the feed's
+    taxonomy (.90), curated rules (.80), the nearest labelled embedding, the learned model (.75), the importer's category (.60), other
+    (.10). codes, merchants and nearest are (transaction_id, category, confidence), learned (transaction_id, predicted), each with
+    one row a transaction at most; taxonomy maps the importer's own primary categories. Layers that are not given are passed over.
+    """
     own = corrections.select(F.col("user_id"), F.lower("merchant_name").alias("m"), F.col("category").alias("own"))
     labels = F.create_map(*[F.lit(x) for kv in ISSUER_LABELS.items() for x in kv])
     j = tx.withColumn("m", F.lower("merchant_name")).join(own, ["user_id", "m"], "left").join(match_rules(tx, rules), "transaction_id", "left")
-    layer = lambda c, name, sure: F.when(c.isNotNull(), F.struct(c.alias("category"), F.lit(name).alias("layer"), F.lit(sure).alias("confidence")))
+    layer = lambda c, name, sure: F.when(c.isNotNull(), F.struct(c.alias("category"), F.lit(name).alias("layer"), sure.cast("double").alias("confidence")))
+
+    def found(frame: DataFrame | None, name: str) -> Column:
+        nonlocal j
+        if frame is None:
+            return F.lit(None).cast("struct<category:string,layer:string,confidence:double>")
+        j = j.join(frame.select("transaction_id", F.struct("category", F.lit(name).alias("layer"), F.col("confidence").cast("double").alias("confidence")).alias(name)), "transaction_id", "left")
+        return F.col(name)
+
+    by_code, by_merchant, by_vector = found(codes, "MCC"), found(merchants, "MERCHANT_DB"), found(nearest, "EMBEDDING")
+    by_model = found(None if learned is None else learned.select("transaction_id", F.col("predicted").alias("category"), F.lit(0.75).alias("confidence")), "ML")
+    by_feed = F.create_map(*[F.lit(x) for kv in (taxonomy or {"": ""}).items() for x in kv])[F.coalesce("importer_category_primary", F.lit("\0"))] if "importer_category_primary" in tx.columns else F.lit(None).cast("string")
     issuer = labels[F.coalesce(F.lower("category_detailed"), F.lit(""))]
-    first = F.coalesce(layer(F.col("own"), "USER", 1.0), layer(issuer, "ISSUER", 0.95), layer(F.col("rule_category"), "RULE", 0.80), layer(F.col("category_primary"), "IMPORT", 0.60), layer(F.lit("other"), "DEFAULT", 0.10))
+    first = F.coalesce(
+        layer(F.col("own"), "USER", F.lit(1.0)),
+        by_code,
+        layer(issuer, "ISSUER", F.lit(0.92)),
+        by_merchant,
+        layer(by_feed, "TAXONOMY", F.lit(0.90)),
+        layer(F.col("rule_category"), "RULE", F.lit(0.80)),
+        by_vector,
+        by_model,
+        layer(F.col("category_primary"), "IMPORT", F.lit(0.60)),
+        layer(F.lit("other"), "DEFAULT", F.lit(0.10)),
+    )
     return j.select("transaction_id", "user_id", first.alias("c")).select("transaction_id", "user_id", "c.*")
 
 
