@@ -222,7 +222,7 @@ def engagement(subscriptions: DataFrame, tx: DataFrame, as_of: str, window: int
     cv = F.sqrt(squares.cast("double") / F.size("prices")) / F.greatest(F.lit(100.0), F.col("mean").cast("double"))
     steady = F.when((F.col("n") < 2) | (F.size("prices") <= 1) | (F.col("mean") == 0), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (cv - 0.05) / 0.45)))
     j = subs.join(g.withColumn("steady", steady), ["user_id", "key"], "left")
-    recency = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.datediff(day(as_of), "last") / (2.0 * F.col("cadence")))), F.lit(0.0))
+    recency = F.when(F.col("last").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.datediff(day(as_of), "last") / (2.0 * F.col("cadence")))))
     ratio = F.coalesce("n", F.lit(0)) / F.col("expected")
     often = F.when(F.col("expected") <= 0, F.col("n").isNotNull().cast("double")).when(ratio >= 0.75, 1.0).when(ratio <= 0.5, ratio).otherwise(0.5 + (ratio - 0.5) * 2)
     score = F.floor((0.45 * recency + 0.25 * often + 0.15 * F.coalesce("steady", F.lit(1.0)) + 0.15 * F.col("active").cast("double")) * 100 + 0.5)

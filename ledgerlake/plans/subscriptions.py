@@ -123,7 +123,7 @@ g AS (SELECT user_id, k, count(*) AS n, max(transaction_date) AS last, CAST((200
 v AS (SELECT user_id, k, count(*) AS n_prices, sqrt(CAST(sum(CAST(100 * c - mean AS HUGEINT) * (100 * c - mean)) AS DOUBLE) / count(*)) AS sd FROM (SELECT DISTINCT user_id, k, c FROM r) JOIN g USING (user_id, k) GROUP BY 1, 2),
 j AS (SELECT s.*, g.n, g.last, CASE WHEN n < 2 OR n_prices <= 1 OR mean = 0 THEN 1::DOUBLE ELSE greatest(0::DOUBLE, least(1::DOUBLE, 1::DOUBLE - (sd / greatest(100::DOUBLE, CAST(mean AS DOUBLE)) - 0.05::DOUBLE) / 0.45::DOUBLE)) END AS steady, {_CADENCE} AS cad, 90 // {_CADENCE} AS expected
   FROM (SELECT *, {_KEY.format('merchant_name')} AS k FROM subscriptions) s LEFT JOIN g USING (user_id, k) LEFT JOIN v USING (user_id, k)),
-p AS (SELECT *, coalesce(greatest(0::DOUBLE, least(1::DOUBLE, 1::DOUBLE - ({_D} - last) / (2.0::DOUBLE * cad))), 0) AS recency, CASE WHEN expected > 0 THEN coalesce(n, 0) / CAST(expected AS DOUBLE) END AS ratio FROM j),
+p AS (SELECT *, CASE WHEN last IS NULL THEN 0 ELSE greatest(0::DOUBLE, least(1::DOUBLE, 1::DOUBLE - ({_D} - last) / (2.0::DOUBLE * cad))) END AS recency, CASE WHEN expected > 0 THEN coalesce(n, 0) / CAST(expected AS DOUBLE) END AS ratio FROM j),
 s AS (SELECT *, CAST(floor((0.45::DOUBLE * recency + 0.25::DOUBLE * CASE WHEN expected <= 0 THEN CASE WHEN n IS NULL THEN 0::DOUBLE ELSE 1::DOUBLE END WHEN ratio >= 0.75::DOUBLE THEN 1::DOUBLE WHEN ratio <= 0.5::DOUBLE THEN ratio ELSE 0.5::DOUBLE + (ratio - 0.5::DOUBLE) * 2 END + 0.15::DOUBLE * coalesce(steady, 1) + 0.15::DOUBLE * CAST(active AS INT)) * 100 + 0.5::DOUBLE) AS BIGINT) AS score FROM p)
 SELECT subscription_id, user_id, score, CASE WHEN NOT active OR score < 40 THEN 'DORMANT' WHEN score >= 70 THEN 'ACTIVE' ELSE 'AT_RISK' END AS tier FROM s""")
 def _(subscriptions, tx):
