@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.cleaning import pattern_key
 from ledgerlake.functions.dates import UNUSED_DAYS, day, next_payment, roll_forward
 from ledgerlake.functions.filters import between, not_deleted
 from ledgerlake.functions.money import cents_median, money, total
@@ -13,9 +14,13 @@ from ledgerlake.operators.recurrence import frequency, gaps
 
 #: What makes a charge a candidate, what rules it out, and the rows that each frequency needs.
 CANDIDATE_CATEGORIES = ("subscriptions", "streaming", "software", "membership", "cloud_storage", "tech", "entertainment", "health", "insurance", "education")
+CANDIDATE_DETAILS = ("subscription", "membership", "recurring", "streaming", "software", "cloud")
 CANDIDATE_WORDS = ("subscription", "membership", "recurring", "monthly", "annual", "yearly")
 EXCLUDED_CATEGORIES = ("loan_payments", "transfer_in", "transfer_out", "transfer", "bank_fees", "investment", "investments", "income")
-EXCLUDED_WORDS = ("payment thank you", "credit card payment", "card payment", "autopay", "ach payment", "loan payment", "mortgage", "transfer", "online payment", "bill payment")
+EXCLUDED_DETAILS = ("credit_card_payment", "loan_payment", "mortgage", "student_loan", "auto_payment", "personal_loan", "transfer", "withdrawal", "deposit", "investment", "brokerage", "retirement", "401k", "ira", "cd_deposit", "treasury")
+EXCLUDED_WORDS = ("payment thank you", "credit card payment", "card payment", "autopay", "ach payment", "loan payment", "mortgage", "transfer", "online payment", "bill payment", "cd deposit", "brokerage deposit", "401k contribution", "ira contribution", "investment purchase")
+#: Days between payments that make a cohort a candidate, and how far the mean gap and the amounts may be off.
+COHORT_DAYS, COHORT_SLACK, COHORT_SPREAD = (7, 14, 15, 30, 31, 60, 90, 180, 365), 5, 10
 LEAST_ROWS = {"DAILY": 35, "WEEKLY": 6, "BI_WEEKLY": 4, "MONTHLY": 4, "QUARTERLY": 3, "SEMI_ANNUAL": 2, "ANNUAL": 2}
 
 
@@ -32,18 +37,35 @@ def monthly_cost(amount: str = "amount", factors: tuple = (30.4375, 30.4375 / 7,
     return F.round((F.col(amount).cast("double") * _by_frequency(f, 1.0)).cast("decimal(19,6)"), 2).cast("decimal(19,2)")
 
 
+def _cents(amount: str) -> Column:
+    return (F.abs(amount) * 100).cast("bigint")
+
+
 def candidates(tx: DataFrame) -> DataFrame:
-    """Expenses that may belong to a subscription, by category or by words."""
-    primary, detailed = F.lower(F.coalesce("category_primary", F.lit(""))), F.lower(F.coalesce("category_detailed", F.lit("")))
-    text = F.lower(F.concat_ws(" ", "merchant_name", "description"))
-    excluded = primary.isin(*EXCLUDED_CATEGORIES) | primary.contains("transfer") | primary.contains("loan_payment") | text.rlike("|".join(EXCLUDED_WORDS))
-    wanted = primary.isin(*CANDIDATE_CATEGORIES) | detailed.isin(*CANDIDATE_CATEGORIES) | text.rlike("|".join(CANDIDATE_WORDS))
-    return tx.where((F.col("amount") < 0) & F.col("merchant_name").isNotNull() & ~excluded & wanted)
+    """Expenses that may be subscriptions: by category or description, or in a cohort of one name and whole amount with a steady rhythm.
+
+    A cohort has three rows or more, a mean gap within COHORT_SLACK days of one of COHORT_DAYS, and amounts within a tenth of their mean.
+    """
+    low = {c: F.lower(F.coalesce(c, F.lit(""))) for c in ("category_primary", "category_detailed", "description", "merchant_name")}
+    primary, detailed = low["category_primary"], low["category_detailed"]
+    text = F.concat(low["merchant_name"], F.lit(" "), low["description"])
+    excluded = primary.isin(*EXCLUDED_CATEGORIES) | primary.contains("transfer") | primary.contains("loan_payment") | detailed.rlike("|".join(EXCLUDED_DETAILS)) | text.rlike("|".join(EXCLUDED_WORDS))
+    wanted = primary.isin(*CANDIDATE_CATEGORIES) | detailed.rlike("|".join(CANDIDATE_DETAILS)) | low["description"].rlike("|".join(CANDIDATE_WORDS))
+    rows = tx.where((F.col("amount") < 0) & ~excluded).withColumns({"wanted": wanted, "cents": _cents("amount"), "pattern": pattern_key(F.col("merchant_name"), F.col("description"))})
+    rows = rows.withColumn("whole", F.floor((F.col("cents") + 50) / 100))
+    g = rows.where("pattern IS NOT NULL").groupBy("user_id", "pattern", "whole").agg(F.count("*").alias("n"), F.datediff(F.max("transaction_date"), F.min("transaction_date")).alias("days"), F.sum("cents").alias("s"), F.min("cents").alias("low"), F.max("cents").alias("high"))
+    steps = F.col("n") - 1
+    rhythm = F.exists(F.array(*[F.lit(c) for c in COHORT_DAYS]), lambda c: F.abs(F.col("days") - c * steps) <= COHORT_SLACK * steps)
+    even = (COHORT_SPREAD * (F.col("high") * F.col("n") - F.col("s")) <= F.col("s")) & (COHORT_SPREAD * (F.col("s") - F.col("low") * F.col("n")) <= F.col("s"))
+    cohorts = g.where((F.col("n") >= 3) & (F.col("s") >= F.col("n")) & rhythm & even).select(F.col("user_id").alias("c_user"), F.col("pattern").alias("c_pattern"), F.col("whole").alias("c_whole"))
+    same = (F.col("user_id") == F.col("c_user")) & (F.col("pattern") == F.col("c_pattern")) & (F.col("whole") == F.col("c_whole"))
+    return rows.join(cohorts, same, "left").where(F.col("wanted") | F.col("c_user").isNotNull()).select(*tx.columns)
 
 
 def detect(tx: DataFrame) -> DataFrame:
-    """Groups of one merchant and exact amount with a regular frequency and enough rows."""
-    rows = candidates(tx).withColumn("merchant", merchant_key(F.col("merchant_name"))).withColumn("price", F.abs("amount").cast("decimal(19,2)"))
+    """Groups of one merchant (else description) and exact amount with a regular frequency and enough rows."""
+    named = F.when(F.trim(F.coalesce("merchant_name", F.lit(""))) != "", merchant_key(F.col("merchant_name"))).when(F.trim(F.coalesce("description", F.lit(""))) != "", merchant_key(F.col("description"))).otherwise("unknown")
+    rows = candidates(tx).withColumn("merchant", named).withColumn("price", F.abs("amount").cast("decimal(19,2)"))
     g = gaps(rows, "user_id", "merchant", "price").groupBy("user_id", "merchant", "price").agg(F.count("*").alias("n"), F.median("gap").alias("gap"), F.min("transaction_date").alias("first_date"), F.max("transaction_date").alias("last_date"))
     g = g.where("n >= 2").withColumn("frequency", frequency(F.col("gap"))).where("frequency IS NOT NULL")
     return g.where(F.col("n") >= _by_frequency(LEAST_ROWS, 99)).withColumn("next_date", next_payment(F.col("last_date"), F.col("frequency")))
@@ -114,10 +136,6 @@ def cancellations(subscriptions: DataFrame, tx: DataFrame, as_of: str) -> DataFr
 EXPECTED_DAYS = {"MONTHLY": 30, "QUARTERLY": 90, "SEMI_ANNUAL": 180, "ANNUAL": 365}
 
 
-def _cents(amount: str) -> Column:
-    return (F.abs(amount) * 100).cast("bigint")
-
-
 def health(subscriptions: DataFrame, tx: DataFrame, as_of: str) -> DataFrame:
     """100 less penalties: no payment for more than twice the expected days 30, for 1.5 times 15, no payment known 20; the last of its
     payments (same name, amount within 5 %) more than 10 % from the first 10; another active subscription of the merchant 20."""

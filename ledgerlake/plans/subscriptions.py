@@ -18,10 +18,15 @@ def _next(d: str) -> str:
     return f"CAST(CASE frequency WHEN 'DAILY' THEN {d} + 1 WHEN 'WEEKLY' THEN {d} + 7 WHEN 'BI_WEEKLY' THEN {d} + 14 WHEN 'MONTHLY' THEN {d} + to_months(1) WHEN 'QUARTERLY' THEN {d} + to_months(3) WHEN 'SEMI_ANNUAL' THEN {d} + to_months(6) ELSE {d} + to_months(12) END AS DATE)"
 
 
-_DETECT = f"""cand AS (SELECT *, {_KEY.format('merchant_name')} AS merchant, -amount AS price, lower(concat_ws(' ', merchant_name, description)) AS txt, lower(coalesce(category_primary, '')) AS p, lower(coalesce(category_detailed, '')) AS dt FROM tx WHERE amount < 0 AND merchant_name IS NOT NULL),
-ok AS (SELECT * FROM cand WHERE p NOT IN ('loan_payments', 'transfer_in', 'transfer_out', 'transfer', 'bank_fees', 'investment', 'investments', 'income') AND NOT contains(p, 'transfer') AND NOT contains(p, 'loan_payment')
-  AND NOT regexp_matches(txt, 'payment thank you|credit card payment|card payment|autopay|ach payment|loan payment|mortgage|transfer|online payment|bill payment')
-  AND (p IN ('subscriptions', 'streaming', 'software', 'membership', 'cloud_storage', 'tech', 'entertainment', 'health', 'insurance', 'education') OR dt IN ('subscriptions', 'streaming', 'software', 'membership', 'cloud_storage', 'tech', 'entertainment', 'health', 'insurance', 'education') OR regexp_matches(txt, 'subscription|membership|recurring|monthly|annual|yearly'))),
+_DETECT = f"""cand AS (SELECT *, CASE WHEN trim(coalesce(merchant_name, '')) <> '' THEN {_KEY.format('merchant_name')} WHEN trim(coalesce(description, '')) <> '' THEN {_KEY.format('description')} ELSE 'unknown' END AS merchant, -amount AS price, CAST(-amount * 100 AS BIGINT) AS c, lower(coalesce(merchant_name, '')) || ' ' || lower(coalesce(description, '')) AS txt, lower(coalesce(description, '')) AS de, lower(coalesce(category_primary, '')) AS p, lower(coalesce(category_detailed, '')) AS dt,
+  CASE WHEN trim(coalesce(merchant_name, '')) <> '' THEN lower(trim(merchant_name)) WHEN trim(coalesce(description, '')) <> '' THEN substring(trim(regexp_replace(regexp_replace(lower(trim(description)), '\\b\\d+\\b', '', 'g'), '\\s+', ' ', 'g')), 1, 30) END AS pat FROM tx WHERE amount < 0),
+inn AS (SELECT *, (c + 50) // 100 AS whole, p IN ('subscriptions', 'streaming', 'software', 'membership', 'cloud_storage', 'tech', 'entertainment', 'health', 'insurance', 'education') OR regexp_matches(dt, 'subscription|membership|recurring|streaming|software|cloud') OR regexp_matches(de, 'subscription|membership|recurring|monthly|annual|yearly') AS wanted FROM cand
+  WHERE p NOT IN ('loan_payments', 'transfer_in', 'transfer_out', 'transfer', 'bank_fees', 'investment', 'investments', 'income') AND NOT contains(p, 'transfer') AND NOT contains(p, 'loan_payment')
+  AND NOT regexp_matches(dt, 'credit_card_payment|loan_payment|mortgage|student_loan|auto_payment|personal_loan|transfer|withdrawal|deposit|investment|brokerage|retirement|401k|ira|cd_deposit|treasury')
+  AND NOT regexp_matches(txt, 'payment thank you|credit card payment|card payment|autopay|ach payment|loan payment|mortgage|transfer|online payment|bill payment|cd deposit|brokerage deposit|401k contribution|ira contribution|investment purchase')),
+coh AS (SELECT user_id, pat, whole FROM (SELECT user_id, pat, whole, count(*) AS n, max(transaction_date) - min(transaction_date) AS days, sum(c) AS s, min(c) AS lo, max(c) AS hi FROM inn WHERE pat IS NOT NULL GROUP BY 1, 2, 3)
+  WHERE n >= 3 AND s >= n AND len(list_filter([7, 14, 15, 30, 31, 60, 90, 180, 365], lambda k: abs(days - k * (n - 1)) <= 5 * (n - 1))) > 0 AND 10 * (hi * n - s) <= s AND 10 * (s - lo * n) <= s),
+ok AS (SELECT * FROM inn WHERE wanted OR EXISTS (SELECT 1 FROM coh WHERE coh.user_id = inn.user_id AND coh.pat = inn.pat AND coh.whole = inn.whole)),
 gp AS (SELECT *, transaction_date - lag(transaction_date) OVER (PARTITION BY user_id, merchant, price ORDER BY transaction_date, transaction_id) AS gap FROM ok),
 gr AS (SELECT user_id, merchant, price, count(*) AS n, median(gap) AS gap, min(transaction_date) AS first_date, max(transaction_date) AS last_date FROM gp GROUP BY 1, 2, 3 HAVING count(*) >= 2),
 fr AS (SELECT *, CASE WHEN gap BETWEEN 0.5 AND 2.5 THEN 'DAILY' WHEN gap BETWEEN 6 AND 8 THEN 'WEEKLY' WHEN gap BETWEEN 13 AND 15 THEN 'BI_WEEKLY' WHEN gap BETWEEN 25 AND 35 THEN 'MONTHLY' WHEN gap BETWEEN 85 AND 95 THEN 'QUARTERLY' WHEN gap BETWEEN 175 AND 185 THEN 'SEMI_ANNUAL' WHEN gap BETWEEN 360 AND 370 THEN 'ANNUAL' END AS frequency FROM gr),
