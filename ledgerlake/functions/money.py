@@ -45,3 +45,8 @@ def ceil_to(c: Column, step: int) -> Column:
 def round_up_part(c: Column) -> Column:
     """What is missing from |c| to the next whole unit."""
     return (F.ceil(F.abs(c)) - F.abs(c)).cast(MONEY)
+
+
+def nearest_rank(c: str, share: float) -> Column:
+    """An aggregate: the value at place ceil(share * n) in ascending order."""
+    return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {c})")
