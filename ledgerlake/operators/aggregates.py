@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.dates import day, week_spine
+from ledgerlake.functions.dates import cycle_end, cycle_start, day, week_spine
 from ledgerlake.functions.filters import between, effective_category, income_or_savings, not_deleted
 from ledgerlake.functions.money import cents_median, money, ratio, round_up_part, total, total_if
 from ledgerlake.functions.text import merchant_key
+from ledgerlake.operators.budgets import budget_rows
 
 
 def spending_summary(tx: DataFrame, start: str, end: str) -> DataFrame:
@@ -190,9 +191,22 @@ def category_density(subscriptions: DataFrame) -> DataFrame:
     return subscriptions.where("active").groupBy("user_id", "category").agg(F.count("*").alias("n"), total(monthly).alias("monthly"))
 
 
-def weekly_digest(tx: DataFrame, as_of: str) -> DataFrame:
-    week = tx.where(not_deleted() & between("transaction_date", F.date_add(day(as_of), -7), as_of))
-    return week.groupBy("user_id").agg(total_if(F.col("amount") < 0, F.abs("amount")).alias("spent"), total_if(F.col("amount") > 0, F.col("amount")).alias("income"))
+def weekly_digest(tx: DataFrame, budgets: DataFrame, goals: DataFrame, as_of: str) -> DataFrame:
+    """What a user spent and got in the last week, how many budgets are above the part of their limit that the elapsed days of the cycle
+    allow (four places), and how many open goals are more than a quarter full."""
+    at = day(as_of)
+    week = tx.where(not_deleted() & between("transaction_date", F.date_add(at, -7), as_of))
+    flows = week.groupBy("user_id").agg(total_if(F.col("amount") < 0, F.abs("amount")).alias("spent"), total_if(F.col("amount") > 0, F.col("amount")).alias("income"))
+    start, end = cycle_start(F.col("period"), at), cycle_end(F.col("period"), at)
+    rows = budget_rows(budgets, tx, start, F.least(end, at), within=(F.date_add(at, -31), at)).withColumn("days", F.datediff(end, "cycle_start") + 1)
+    cents = lambda c: (F.col(c) * 100).cast("bigint")
+    spend = rows.groupBy("budget_id", "user_id", "cycle_start", "days", cents("monthly_limit").alias("limit_cents")).agg(F.coalesce(F.sum(F.when(F.col("amount") < 0, -cents("amount"))), F.lit(0)).alias("spend_cents"))
+    spend = spend.withColumn("gone", F.greatest(F.lit(1), F.least(F.col("days"), F.datediff(at, "cycle_start") + 1))).withColumn("share", F.expr("(20000 * gone + days) div (2 * days)"))
+    over = spend.groupBy("user_id").agg(F.count_if(F.col("spend_cents") * 10000 > F.col("limit_cents") * F.col("share")).alias("over_budget"))
+    on_track = goals.where(~F.coalesce("completed", F.lit(False)) & (4 * F.col("current_amount") > F.col("target_amount"))).groupBy("user_id").agg(F.count("*").alias("goals_on_track"))
+    zero = F.lit(0).cast("decimal(19,2)")
+    j = flows.join(over, "user_id", "full").join(on_track, "user_id", "full")
+    return j.select("user_id", F.coalesce("spent", zero).alias("spent"), F.coalesce("income", zero).alias("income"), F.coalesce("over_budget", F.lit(0)).alias("over_budget"), F.coalesce("goals_on_track", F.lit(0)).alias("goals_on_track"))
 
 
 def financial_health(tx: DataFrame, accounts: DataFrame, as_of: str) -> DataFrame:

@@ -156,9 +156,22 @@ def _(subscriptions):
     return A.category_density(subscriptions)
 
 
-@register("a23_weekly_digest", "user_id l, spent m, income m", "tx", "SELECT user_id, coalesce(sum(abs(amount)) FILTER (amount < 0), 0) AS spent, coalesce(sum(amount) FILTER (amount > 0), 0) AS income FROM tx WHERE NOT deleted AND transaction_date BETWEEN DATE '2001-08-01' - 7 AND DATE '2001-08-01' GROUP BY user_id")
-def _(tx):
-    return A.weekly_digest(tx, AS_OF)
+_CYCLE = {
+    "begins": "CASE lower(period) WHEN 'weekly' THEN CAST(date_trunc('week', DATE '2001-08-01') AS DATE) WHEN 'biweekly' THEN DATE '2024-01-01' + CAST(trunc((DATE '2001-08-01' - DATE '2024-01-01') / 14.0) AS INT) * 14 ELSE DATE '2001-08-01' END",
+    "ends": "CASE lower(period) WHEN 'weekly' THEN CAST(date_trunc('week', DATE '2001-08-01') AS DATE) + 6 WHEN 'biweekly' THEN DATE '2024-01-01' + CAST(trunc((DATE '2001-08-01' - DATE '2024-01-01') / 14.0) AS INT) * 14 + 13 ELSE DATE '2001-08-31' END",
+}
+
+
+@register("a23_weekly_digest", "user_id l, spent m, income m, over_budget l, goals_on_track l", "tx budgets goals", f"""
+WITH w AS (SELECT user_id, coalesce(sum(abs(amount)) FILTER (amount < 0), 0) AS spent, coalesce(sum(amount) FILTER (amount > 0), 0) AS income FROM tx WHERE NOT deleted AND transaction_date BETWEEN DATE '2001-08-01' - 7 AND DATE '2001-08-01' GROUP BY user_id),
+b AS (SELECT *, {_CYCLE["begins"]} AS begins, {_CYCLE["ends"]} AS ends FROM budgets),
+s AS (SELECT budget_id, b.user_id, any_value(monthly_limit) AS lim, any_value(ends - begins + 1) AS days, any_value(greatest(1, least(ends - begins + 1, DATE '2001-08-01' - begins + 1))) AS gone, coalesce(sum(-amount) FILTER (amount < 0), 0) AS spend
+  FROM b LEFT JOIN tx t ON t.user_id = b.user_id AND NOT t.deleted AND t.transaction_date BETWEEN begins AND least(ends, DATE '2001-08-01') AND (t.category_primary = b.category OR t.category_detailed = b.category) AND NOT coalesce(t.pending, FALSE)
+    AND (trim(coalesce(t.currency_code, '')) = '' OR trim(coalesce(b.currency_code, '')) = '' OR lower(trim(t.currency_code)) = lower(trim(b.currency_code))) GROUP BY 1, 2),
+o AS (SELECT user_id, count(*) FILTER (spend * 10000 > lim * ((20000 * gone + days) // (2 * days))) AS over_budget FROM s GROUP BY 1), g AS (SELECT user_id, count(*) AS goals_on_track FROM goals WHERE NOT completed AND current_amount * 4 > target_amount GROUP BY 1)
+SELECT user_id, coalesce(spent, 0) AS spent, coalesce(income, 0) AS income, coalesce(over_budget, 0) AS over_budget, coalesce(goals_on_track, 0) AS goals_on_track FROM w FULL JOIN o USING (user_id) FULL JOIN g USING (user_id)""")
+def _(tx, budgets, goals):
+    return A.weekly_digest(tx, budgets, goals, AS_OF)
 
 
 @register("a25_financial_health", "user_id l, income m, expense m, savings_rate m, debt_to_income m, emergency_progress m", "tx accounts", """
