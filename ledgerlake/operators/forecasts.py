@@ -102,6 +102,27 @@ def goal_projection(goals: DataFrame, tx: DataFrame, as_of: str) -> DataFrame:
     return j.select("goal_id", "user_id", "monthly", "missing", "months_needed", "months_left", status.alias("status"))
 
 
+def projection_bands(goals: DataFrame, tx: DataFrame, as_of: str, months: int = 3) -> DataFrame:
+    """Months to a goal at the exponentially weighted monthly rate (p50) and at a deviation less (p90), for goals with contributions in two
+    months or more; and whether that rate is above or below the mean over the months since the first contribution (30 days each)."""
+    at = day(as_of)
+    rows = tx.where((F.col("amount") > 0) & F.col("goal_id").isNotNull() & (F.col("transaction_date") > F.add_months(at, -months)) & (F.col("transaction_date") <= at))
+    by_month = rows.groupBy("user_id", "goal_id", F.trunc("transaction_date", "month").alias("month")).agg(F.sum("amount").alias("paid"), F.min("transaction_date").alias("first"))
+    sums = F.transform(F.array_sort(F.collect_list(F.struct("month", "paid"))), lambda m: m["paid"].cast("double"))
+    g = by_month.groupBy("user_id", "goal_id").agg(sums.alias("v"), F.sum("paid").alias("total"), F.min("first").alias("first")).where(F.size("v") >= 2)
+    span = F.greatest(F.lit(1), F.least(F.lit(months), F.floor((F.datediff(at, "first") + 1 + 29) / 30)))
+    ema = F.aggregate(F.slice("v", F.lit(2), F.size("v") - 1), F.col("v")[0], lambda e, x: 0.5 * x + 0.5 * e)
+    g = g.withColumns({"ema": ema, "mean": F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v"), "average": F.round(F.col("total") / span, 2).cast("double")})
+    sigma = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / (F.size("v") - 1))
+    j = g.withColumn("slow", F.greatest(F.lit(1.0), F.col("ema") - sigma)).join(goals.where(F.col("target_amount") > F.col("current_amount")), ["user_id", "goal_id"])
+    missing = (F.col("target_amount") - F.col("current_amount")).cast("double")
+    p50 = F.greatest(F.lit(1), F.ceil(missing / F.col("ema")))
+    j = j.withColumns({"p50_months": p50, "p90_months": F.greatest(p50, F.ceil(missing / F.col("slow")))})
+    near = (F.col("average") <= 0) | (F.abs(F.col("ema") - F.col("average")) / F.greatest(F.lit(1.0), F.col("average")) < 0.10)
+    trend = F.when(near, "STEADY").when(F.col("ema") > F.col("average"), "ACCELERATING").otherwise("DECELERATING")
+    return j.where("ema > 0").select("goal_id", "user_id", F.round("ema", 2).alias("ema"), "p50_months", "p90_months", trend.alias("trend"))
+
+
 MILESTONES = (25, 50, 75, 100)
 
 

@@ -118,3 +118,14 @@ b AS (SELECT user_id, 'EMERGENCY_FUND' AS goal_type, CAST(expense * 6 AS DECIMAL
 SELECT user_id, goal_type, round(target, 2) AS target FROM b WHERE NOT EXISTS (SELECT 1 FROM goals g WHERE g.user_id = b.user_id AND g.goal_type = b.goal_type)""")
 def _(tx, accounts, goals):
     return P.recommendations(tx, accounts, goals, AS_OF)
+
+
+@register("g01_projection_bands", "goal_id s, user_id l, ema f, p50_months l, p90_months l, trend s", "goals tx", f"""
+WITH r AS (SELECT user_id, goal_id, date_trunc('month', transaction_date) AS month, sum(amount) AS paid, min(transaction_date) AS first FROM tx WHERE amount > 0 AND goal_id IS NOT NULL AND transaction_date > CAST({_D} - to_months(36) AS DATE) AND transaction_date <= {_D} GROUP BY 1, 2, 3),
+g AS (SELECT user_id, goal_id, list(CAST(paid AS DOUBLE) ORDER BY month) AS v, sum(paid) AS total, greatest(1, least(36, ({_D} - min(first) + 30) // 30)) AS span FROM r GROUP BY 1, 2 HAVING count(*) >= 2),
+e AS (SELECT *, list_reduce(v, lambda a, x: 0.5::DOUBLE * x + 0.5::DOUBLE * a) AS ema, list_reduce(list_prepend(0::DOUBLE, v), lambda a, x: a + x) / len(v) AS mean, CAST(round(CAST(total AS DECIMAL(19,2)) / span, 2) AS DOUBLE) AS average FROM g),
+f AS (SELECT *, greatest(1::DOUBLE, ema - sqrt(list_reduce(list_prepend(0::DOUBLE, list_transform(v, lambda x: (x - mean) * (x - mean))), lambda a, x: a + x) / (len(v) - 1))) AS slow FROM e),
+j AS (SELECT goal_id, user_id, ema, average, greatest(1, CAST(ceil(CAST(target_amount - current_amount AS DOUBLE) / ema) AS BIGINT)) AS p50_months, CAST(ceil(CAST(target_amount - current_amount AS DOUBLE) / slow) AS BIGINT) AS p90 FROM f JOIN goals USING (user_id, goal_id) WHERE target_amount > current_amount AND ema > 0)
+SELECT goal_id, user_id, round(ema, 2) AS ema, p50_months, greatest(p50_months, p90) AS p90_months, CASE WHEN average <= 0 OR abs(ema - average) / greatest(1::DOUBLE, average) < 0.10 THEN 'STEADY' WHEN ema > average THEN 'ACCELERATING' ELSE 'DECELERATING' END AS trend FROM j""")
+def _(goals, tx):
+    return P.projection_bands(goals, tx, AS_OF, months=36)
