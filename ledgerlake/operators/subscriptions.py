@@ -53,13 +53,13 @@ def candidates(tx: DataFrame) -> DataFrame:
     wanted = primary.isin(*CANDIDATE_CATEGORIES) | detailed.rlike("|".join(CANDIDATE_DETAILS)) | low["description"].rlike("|".join(CANDIDATE_WORDS))
     rows = tx.where((F.col("amount") < 0) & ~excluded).withColumns({"wanted": wanted, "cents": _cents("amount"), "pattern": pattern_key(F.col("merchant_name"), F.col("description"))})
     rows = rows.withColumn("whole", F.floor((F.col("cents") + 50) / 100))
-    g = rows.where("pattern IS NOT NULL").groupBy("user_id", "pattern", "whole").agg(F.count("*").alias("n"), F.datediff(F.max("transaction_date"), F.min("transaction_date")).alias("days"), F.sum("cents").alias("s"), F.min("cents").alias("low"), F.max("cents").alias("high"))
-    steps = F.col("n") - 1
+    cohort = Window.partitionBy("user_id", "pattern", "whole")
+    n, total_cents, steps = F.count("*").over(cohort), F.sum("cents").over(cohort), F.col("n") - 1
+    rows = rows.withColumns({"n": n, "s": total_cents, "low": F.min("cents").over(cohort), "high": F.max("cents").over(cohort), "days": F.datediff(F.max("transaction_date").over(cohort), F.min("transaction_date").over(cohort))})
     rhythm = F.exists(F.array(*[F.lit(c) for c in COHORT_DAYS]), lambda c: F.abs(F.col("days") - c * steps) <= COHORT_SLACK * steps)
     even = (COHORT_SPREAD * (F.col("high") * F.col("n") - F.col("s")) <= F.col("s")) & (COHORT_SPREAD * (F.col("s") - F.col("low") * F.col("n")) <= F.col("s"))
-    cohorts = g.where((F.col("n") >= 3) & (F.col("s") >= F.col("n")) & rhythm & even).select(F.col("user_id").alias("c_user"), F.col("pattern").alias("c_pattern"), F.col("whole").alias("c_whole"))
-    same = (F.col("user_id") == F.col("c_user")) & (F.col("pattern") == F.col("c_pattern")) & (F.col("whole") == F.col("c_whole"))
-    return rows.join(cohorts, same, "left").where(F.col("wanted") | F.col("c_user").isNotNull()).select(*tx.columns)
+    steady = F.col("pattern").isNotNull() & (F.col("n") >= 3) & (F.col("s") >= F.col("n")) & rhythm & even
+    return rows.where(F.col("wanted") | F.coalesce(steady, F.lit(False))).select(*tx.columns)
 
 
 def detect(tx: DataFrame) -> DataFrame:
