@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import chat, decontaminate, language, mixing, neardup, pii, quality, secret_scan, token_trees, tokenfile
+from ledgerlake.llm import chat, decontaminate, language, mixing, neardup, periodic, pii, quality, secret_scan, token_trees, tokenfile
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_language_id": language.op8_language_id,
         "op9_mixing": mixing.op9_mixing,
         "op10_secret_scans": secret_scan.op10_secret_scans,
+        "op11_periodic_runs": periodic.op11_periodic_runs,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict:
         "op4_decontamination": decontaminate.OP4_SQL,
         "op7_chat_formatting": chat.OP7_SQL,
         "op9_mixing": mixing.OP9_SQL,
+        "op11_periodic_runs": periodic.OP11_SQL,
     }
