@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import chat, decontaminate, language, mixing, neardup, periodic, pii, quality, secret_scan, token_trees, tokenfile
+from ledgerlake.llm import chat, decontaminate, language, linededup, mixing, neardup, periodic, pii, quality, secret_scan, token_trees, tokenfile
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_mixing": mixing.op9_mixing,
         "op10_secret_scans": secret_scan.op10_secret_scans,
         "op11_periodic_runs": periodic.op11_periodic_runs,
+        "op12_line_dedup": linededup.op12_line_dedup,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict:
         "op7_chat_formatting": chat.OP7_SQL,
         "op9_mixing": mixing.OP9_SQL,
         "op11_periodic_runs": periodic.OP11_SQL,
+        "op12_line_dedup": linededup.OP12_SQL,
     }
