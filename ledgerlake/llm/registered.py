@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import chat, decontaminate, language, linededup, mixing, neardup, periodic, pii, quality, secret_scan, token_trees, tokenfile
+from ledgerlake.llm import chat, decontaminate, language, linededup, mixing, neardup, periodic, pii, quality, ranked, secret_scan, token_trees, tokenfile
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_secret_scans": secret_scan.op10_secret_scans,
         "op11_periodic_runs": periodic.op11_periodic_runs,
         "op12_line_dedup": linededup.op12_line_dedup,
+        "op13_ranked_search": ranked.op13_ranked_search,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict:
         "op9_mixing": mixing.OP9_SQL,
         "op11_periodic_runs": periodic.OP11_SQL,
         "op12_line_dedup": linededup.OP12_SQL,
+        "op13_ranked_search": ranked.OP13_SQL,
     }
