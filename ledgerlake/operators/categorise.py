@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.money import total
+from ledgerlake.operators.steps import best_rules
 
 #: Curated rules as data: (keyword, category, priority, source level). Levels: 1 user, 2 curated, 3 fallback.
 RULES = [
@@ -33,21 +34,13 @@ def rules_frame(spark: SparkSession, rules: list = RULES) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id int, keyword string, rule_category string, priority int, source_level int")
 
 
-#: Rules up to this number are broadcast (some hundred bytes each).
-BROADCAST_RULES = 200_000
-
-
 def match_rules(tx: DataFrame, rules: DataFrame) -> DataFrame:
     """transaction_id -> category of the best rule: lowest source level, then longest keyword, then priority, then rule.
 
-    Texts repeat much more than rules do, so distinct texts are matched; the rules are a small table of fixed size.
+    Texts repeat much more than rules do, so distinct texts are matched, each in one pass over all keywords.
     """
     text = F.lower(F.concat_ws(" ", "merchant_name", "description"))
-    texts = tx.select(text.alias("text")).distinct()
-    few = F.broadcast(rules) if rules.count() <= BROADCAST_RULES else rules
-    hits = texts.join(few, F.expr("contains(text, keyword)"))
-    best = F.min_by("rule_category", F.struct("source_level", -F.length("keyword"), -F.col("priority"), "rule_id"))
-    found = hits.groupBy("text").agg(best.alias("rule_category"))
+    found = best_rules(tx.select(text.alias("text")).distinct(), rules)
     return tx.select("transaction_id", text.alias("text")).join(found, "text").select("transaction_id", "rule_category")
 
 
