@@ -44,12 +44,12 @@ def match_rules(tx: DataFrame, rules: DataFrame) -> DataFrame:
     return tx.select("transaction_id", text.alias("text")).join(found, "text").select("transaction_id", "rule_category")
 
 
-def cascade(tx: DataFrame, corrections: DataFrame, rules: DataFrame, codes: DataFrame | None = None, merchants: DataFrame | None = None, taxonomy: dict | None = None, nearest: DataFrame | None = None, learned: DataFrame | None = None) -> DataFrame:
+def cascade(tx: DataFrame, corrections: DataFrame, rules: DataFrame, codes: DataFrame | None = None, merchants: DataFrame | None = None, taxonomy: dict | None = None, nearest: DataFrame | None = None, learned: DataFrame | None = None, fuzzy: DataFrame | None = None) -> DataFrame:
     """The category of the first layer that knows, with the layer and its confidence.
 
     In order: the user's correction of the merchant (1.0), merchant codes, the issuer's label (.92), the merchant directory, the feed's
-    taxonomy (.90), curated rules (.80), the nearest labelled embedding, the learned model (.75), the importer's category (.60), other
-    (.10). codes, merchants and nearest are (transaction_id, category, confidence), learned (transaction_id, predicted), each with
+    taxonomy (.90), curated rules (.80), the nearest labelled embedding, the nearest known name (.75), the learned model (.75), the importer's
+    category (.60), other (.10). codes, merchants, nearest and fuzzy are (transaction_id, category, confidence), learned (transaction_id, predicted), each with
     one row a transaction at most; taxonomy maps the importer's own primary categories. Layers that are not given are passed over.
     """
     own = corrections.select(F.col("user_id"), F.lower("merchant_name").alias("m"), F.col("category").alias("own"))
@@ -64,7 +64,7 @@ def cascade(tx: DataFrame, corrections: DataFrame, rules: DataFrame, codes: Data
         j = j.join(frame.select("transaction_id", F.struct("category", F.lit(name).alias("layer"), F.col("confidence").cast("double").alias("confidence")).alias(name)), "transaction_id", "left")
         return F.col(name)
 
-    by_code, by_merchant, by_vector = found(codes, "MCC"), found(merchants, "MERCHANT_DB"), found(nearest, "EMBEDDING")
+    by_code, by_merchant, by_vector, by_name = found(codes, "MCC"), found(merchants, "MERCHANT_DB"), found(nearest, "EMBEDDING"), found(fuzzy, "ML_FUZZY")
     by_model = found(None if learned is None else learned.select("transaction_id", F.col("predicted").alias("category"), F.lit(0.75).alias("confidence")), "ML")
     by_feed = F.create_map(*[F.lit(x) for kv in (taxonomy or {"": ""}).items() for x in kv])[F.coalesce("importer_category_primary", F.lit("\0"))] if "importer_category_primary" in tx.columns else F.lit(None).cast("string")
     issuer = labels[F.coalesce(F.lower("category_detailed"), F.lit(""))]
@@ -76,6 +76,7 @@ def cascade(tx: DataFrame, corrections: DataFrame, rules: DataFrame, codes: Data
         layer(by_feed, "TAXONOMY", F.lit(0.90)),
         layer(F.col("rule_category"), "RULE", F.lit(0.80)),
         by_vector,
+        by_name,
         by_model,
         layer(F.col("category_primary"), "IMPORT", F.lit(0.60)),
         layer(F.lit("other"), "DEFAULT", F.lit(0.10)),
