@@ -9,7 +9,8 @@ from ledgerlake.functions.cleaning import pattern_key
 from ledgerlake.functions.dates import UNUSED_DAYS, day, next_payment, roll_forward
 from ledgerlake.functions.filters import between, not_deleted
 from ledgerlake.functions.money import cents_median, money, total
-from ledgerlake.functions.text import lengths_fit, levenshtein_similarity, merchant_key
+from ledgerlake.functions.text import lengths_fit, levenshtein_similarity, merchant_key, normalized_merchant
+from ledgerlake.operators.clusters import alike, cut, heads
 from ledgerlake.operators.recurrence import frequency, gaps
 
 #: What makes a charge a candidate, what rules it out, and the rows that each frequency needs.
@@ -53,22 +54,72 @@ def candidates(tx: DataFrame) -> DataFrame:
     wanted = primary.isin(*CANDIDATE_CATEGORIES) | detailed.rlike("|".join(CANDIDATE_DETAILS)) | low["description"].rlike("|".join(CANDIDATE_WORDS))
     rows = tx.where((F.col("amount") < 0) & ~excluded).withColumns({"wanted": wanted, "cents": _cents("amount"), "pattern": pattern_key(F.col("merchant_name"), F.col("description"))})
     rows = rows.withColumn("whole", F.floor((F.col("cents") + 50) / 100))
-    cohort = Window.partitionBy("user_id", "pattern", "whole")
-    n, total_cents, steps = F.count("*").over(cohort), F.sum("cents").over(cohort), F.col("n") - 1
-    rows = rows.withColumns({"n": n, "s": total_cents, "low": F.min("cents").over(cohort), "high": F.max("cents").over(cohort), "days": F.datediff(F.max("transaction_date").over(cohort), F.min("transaction_date").over(cohort))})
+    # Sums before the shuffle; the few steady cohorts come back to the rows.
+    cohorts = rows.where("pattern IS NOT NULL").groupBy("user_id", "pattern", "whole").agg(F.count("*").alias("n"), F.sum("cents").alias("s"), F.min("cents").alias("low"), F.max("cents").alias("high"), F.datediff(F.max("transaction_date"), F.min("transaction_date")).alias("days"))
+    steps = F.col("n") - 1
     rhythm = F.exists(F.array(*[F.lit(c) for c in COHORT_DAYS]), lambda c: F.abs(F.col("days") - c * steps) <= COHORT_SLACK * steps)
     even = (COHORT_SPREAD * (F.col("high") * F.col("n") - F.col("s")) <= F.col("s")) & (COHORT_SPREAD * (F.col("s") - F.col("low") * F.col("n")) <= F.col("s"))
-    steady = F.col("pattern").isNotNull() & (F.col("n") >= 3) & (F.col("s") >= F.col("n")) & rhythm & even
-    return rows.where(F.col("wanted") | F.coalesce(steady, F.lit(False))).select(*tx.columns)
+    steady = cohorts.where((F.col("n") >= 3) & (F.col("s") >= F.col("n")) & rhythm & even).select("user_id", "pattern", "whole")
+    both = rows.join(steady.withColumn("steady", F.lit(True)), ["user_id", "pattern", "whole"], "left")
+    return both.where(F.col("wanted") | F.coalesce("steady", F.lit(False))).select(*tx.columns)
+
+
+#: Days of a month that a subscription is often charged on; from this share of the rows on they make it monthly.
+CHARGE_DAY_SHARE, LEAST_DATES = 0.7, 3
+#: From this share of the rows on dates are regular: one weekday; days of a month or months of a year near one of them.
+REGULAR_SHARE, NEAR_DAYS, NEAR_MONTHS = 0.8, 2, 1
+
+
+def date_counts() -> list[Column]:
+    """Aggregates over transaction_date: rows by weekday, day of month and month, and by the usual charge days (first, middle, last)."""
+    date, dom = F.col("transaction_date"), F.dayofmonth("transaction_date")
+    counted = lambda values, of: F.array(*[F.count_if(of == v) for v in values])
+    first, middle = dom <= 3, dom.between(14, 16)
+    last = dom >= F.dayofmonth(F.last_day(date)) - 2
+    return [
+        counted(range(1, 8), F.dayofweek(date)).alias("weekdays"),
+        counted(range(1, 32), dom).alias("days"),
+        counted(range(1, 13), F.month(date)).alias("months"),
+        F.greatest(F.count_if(first), F.count_if(middle), F.count_if(last & ~first & ~middle)).alias("charge_days"),
+    ]
+
+
+def full_frequency() -> Column:
+    """By the median gap; where that is none, monthly if the rows fall on one of the usual charge days."""
+    usual = (F.col("n") >= LEAST_DATES) & (F.col("charge_days") >= CHARGE_DAY_SHARE * F.col("n"))
+    return F.coalesce(frequency(F.col("gap")), F.when(usual, "MONTHLY"))
+
+
+def regular_dates() -> Column:
+    """Whether the dates keep to an anchor: weekly ones to a weekday, monthly ones to days near one day, yearly ones to months near one month."""
+
+    def most_near(counts: str, size: int, near) -> Column:
+        around = lambda anchor: F.aggregate(F.transform(F.col(counts), lambda n, i: F.when(near(i, anchor), n).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)
+        anchors = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.get(F.col(counts), i) > 0)
+        return F.array_max(F.transform(anchors, around))
+
+    by_day = most_near("days", 31, lambda i, a: F.abs(i - a) <= NEAR_DAYS)
+    by_month = most_near("months", 12, lambda i, a: (F.abs(i - a) <= NEAR_MONTHS) | (F.abs(i - a) >= 12 - NEAR_MONTHS))
+    most = F.when(F.col("frequency").isin("WEEKLY", "BI_WEEKLY"), F.array_max("weekdays")).when(F.col("frequency") == "ANNUAL", by_month).otherwise(by_day)
+    return (F.col("frequency") == "DAILY") | (most >= REGULAR_SHARE * F.col("n"))
 
 
 def detect(tx: DataFrame) -> DataFrame:
-    """Groups of one merchant (else description) and exact amount with a regular frequency and enough rows."""
-    named = F.when(F.trim(F.coalesce("merchant_name", F.lit(""))) != "", merchant_key(F.col("merchant_name"))).when(F.trim(F.coalesce("description", F.lit(""))) != "", merchant_key(F.col("description"))).otherwise("unknown")
-    rows = candidates(tx).withColumn("merchant", named).withColumn("price", F.abs("amount").cast("decimal(19,2)"))
-    g = gaps(rows, "user_id", "merchant", "price").groupBy("user_id", "merchant", "price").agg(F.count("*").alias("n"), F.median("gap").alias("gap"), F.min("transaction_date").alias("first_date"), F.max("transaction_date").alias("last_date"))
-    g = g.where("n >= 2").withColumn("frequency", frequency(F.col("gap"))).where("frequency IS NOT NULL")
-    return g.where(F.col("n") >= _by_frequency(LEAST_ROWS, 99)).withColumn("next_date", next_payment(F.col("last_date"), F.col("frequency")))
+    """Groups of one exact amount at one merchant, alike merchants of a user taken together, with a frequency, enough rows and regular dates.
+
+    Rows without a merchant group by their description and stay apart from merchants. A group is told under the merchant of its first row.
+    """
+    named, described = F.trim(F.coalesce("merchant_name", F.lit(""))) != "", F.trim(F.coalesce("description", F.lit(""))) != ""
+    label = F.when(named, merchant_key(F.col("merchant_name"))).when(described, merchant_key(F.col("description"))).otherwise("unknown")
+    rows = cut(candidates(tx).select("user_id", "transaction_id", "transaction_date", "merchant_name", "description", "amount"))
+    rows = rows.withColumn("name", F.when(named, normalized_merchant(F.col("merchant_name")))).withColumn("label", label).withColumn("price", F.abs("amount").cast("decimal(19,2)"))
+    merged = heads(alike(rows.where(named).select("user_id", F.col("name").alias("merchant")).distinct())).withColumnRenamed("merchant", "name")
+    own = F.when(named, F.concat(F.lit("m:"), F.coalesce("cluster", "name"))).otherwise(F.concat(F.lit("d:"), F.when(described, normalized_merchant(F.col("description"))).otherwise("UNKNOWN")))
+    rows = rows.join(merged, ["user_id", "name"], "left").withColumn("group", own)
+    g = gaps(rows, "user_id", "group", "price").groupBy("user_id", "group", "price").agg(F.min_by("label", F.struct("transaction_date", "transaction_id")).alias("merchant"), F.count("*").alias("n"), F.median("gap").alias("gap"), F.min("transaction_date").alias("first_date"), F.max("transaction_date").alias("last_date"), *date_counts())
+    g = g.where("n >= 2").withColumn("frequency", full_frequency()).where("frequency IS NOT NULL")
+    g = g.where((F.col("n") >= _by_frequency(LEAST_ROWS, 99)) & regular_dates())
+    return g.withColumn("next_date", next_payment(F.col("last_date"), F.col("frequency"))).select("user_id", "merchant", "price", "n", "gap", "first_date", "last_date", "frequency", "next_date")
 
 
 def consolidate(found: DataFrame) -> DataFrame:

