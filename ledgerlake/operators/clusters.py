@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.cleaning import clean_merchant, fuzzy_score
 from ledgerlake.functions.text import normalized_merchant
+from ledgerlake.sources.keyed import shared_folder
 
 #: The blended score from which names are alike whose brand words don't show it.
 LEAST = 0.90
@@ -22,13 +23,9 @@ LEAST = 0.90
 
 def cut(df: DataFrame) -> DataFrame:
     """df in the shared folder for checkpoints, without its lineage."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.conf.get("spark.master", "").startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(folder or "file:///tmp/checkpoints/ledgerlake")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

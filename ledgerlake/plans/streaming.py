@@ -1,8 +1,11 @@
 """Registered queries of the event stream, in their batch forms."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerlake.registry import register
+from ledgerlake.sources.keyed import KeyedTable, adopted, settled, shared_folder
 from ledgerlake.streaming import activity as S
 
 
@@ -54,3 +57,39 @@ def _(spark, sf_dir):
     action = F.when(kind == "purchase", "create").when(kind == "error", "DELETE").when(kind == "signup", "UPDATE").otherwise("READ")
     rows = _events(spark, sf_dir).select("event_id", "user_id", "ts", kind.alias("kind"), resource.alias("resource"), action.alias("action"))
     return S.behaviour_risk(rows, F.lit("2024-01-30 12:00:00").cast("timestamp"))
+
+
+@register("t08_keyed_merge", "user_id l, event_id l, value f", sql="""
+WITH w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type = 'error' DESC, event_id DESC) AS r FROM events) SELECT user_id, event_id, value FROM w WHERE r = 1 AND event_type <> 'error'""")
+def _(spark, sf_dir):
+    """Users' latest events, errors as deletions, merged in three batches of which each holds early and late rows."""
+    rows = _events(spark, sf_dir).select("user_id", "ts", "event_id", "value", (F.col("event_type") == "error").alias("deleted"))
+    table = KeyedTable(spark, f"{shared_folder(spark)}/keyed-{uuid.uuid4().hex}", "user_id", "ts", buckets=8)
+    for batch in range(3):
+        table.merge(rows.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == batch))
+    return table.read()
+
+
+_FEED = "nullif(CASE WHEN import_source = 'PLAID' THEN plaid_transaction_id END, '')"
+
+
+@register("t08_settled", "transaction_id s, user_id l, goal_id s", "tx", f"""
+WITH r AS (SELECT transaction_id, user_id, goal_id, pending, CASE WHEN NOT pending AND try_cast(transaction_id AS BIGINT) % 20 BETWEEN 1 AND 4 THEN CAST(try_cast(transaction_id AS BIGINT) - try_cast(transaction_id AS BIGINT) % 20 AS VARCHAR) END AS link FROM tx),
+pe AS (SELECT * FROM r WHERE pending), go AS (SELECT DISTINCT p.transaction_id FROM pe p JOIN r ON NOT r.pending AND r.link = p.transaction_id)
+SELECT r.transaction_id, r.user_id, coalesce(r.goal_id, p.goal_id) AS goal_id FROM r LEFT JOIN pe p ON NOT r.pending AND r.link = p.transaction_id WHERE r.transaction_id NOT IN (SELECT transaction_id FROM go)""")
+def _(tx):
+    number = F.expr("try_cast(transaction_id AS BIGINT)")
+    link = F.when(~F.col("pending") & (number % 20).between(1, 4), (number - number % 20).cast("string"))
+    return settled(tx.select("transaction_id", "user_id", "goal_id", "pending", link.alias("pending_transaction_id")), own=("goal_id",))
+
+
+@register("t08_adopted", "transaction_id s, plaid_transaction_id s", "tx", f"""
+WITH r AS (SELECT transaction_id, user_id, account_id, floor(amount / 500) AS amount, date_trunc('month', transaction_date) AS d, 'x' AS description, {_FEED} AS feed FROM tx),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, account_id, amount, d, description, feed IS NOT NULL ORDER BY transaction_id) AS k FROM r),
+m AS (SELECT a.transaction_id, b.transaction_id AS taken, coalesce(b.feed, a.feed) AS feed FROM n a LEFT JOIN n b ON b.feed IS NOT NULL AND a.user_id = b.user_id AND a.account_id = b.account_id AND a.amount = b.amount AND a.d = b.d AND a.k = b.k WHERE a.feed IS NULL)
+SELECT transaction_id, feed AS plaid_transaction_id FROM m UNION ALL SELECT transaction_id, feed FROM n WHERE feed IS NOT NULL AND transaction_id NOT IN (SELECT taken FROM m WHERE taken IS NOT NULL)""")
+def _(tx):
+    """Rows of a month and amounts of 500 count as equal here, so that the given tables hold pairs."""
+    feed = F.when((F.col("import_source") == "PLAID") & (F.col("plaid_transaction_id") != ""), F.col("plaid_transaction_id"))
+    rows = tx.select("transaction_id", "user_id", "account_id", F.floor(F.col("amount") / 500).alias("amount"), F.date_trunc("month", "transaction_date").alias("transaction_date"), F.lit("x").alias("description"), feed.alias("plaid_transaction_id"))
+    return adopted(rows)

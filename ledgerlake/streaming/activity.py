@@ -131,16 +131,12 @@ def token_bucket_stream(events: DataFrame, capacity: int = 5, per_second: float
     return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(step, "user_id bigint, event_id bigint, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_stream(events: DataFrame, table: str, checkpoint: str, key: str = "event_id"):
-    """Each micro-batch replaces rows of the same key: re-delivered rows update in place. Versions of the table lie side by side."""
+def upsert_stream(events: DataFrame, table: str, checkpoint: str, key: str = "event_id", time: str = "ts", buckets: int = 64):
+    """Each micro-batch is merged into a sources.keyed.KeyedTable: the newest row of a key by event time counts, whatever order rows come in."""
+    from ledgerlake.sources.keyed import KeyedTable
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        latest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), "ts").alias("r")).select("r.*")
-        if batch_id:
-            old = spark.read.parquet(f"{table}/v{batch_id - 1}")
-            latest = old.join(latest.select(key), key, "left_anti").unionByName(latest)
-        latest.write.mode("overwrite").parquet(f"{table}/v{batch_id}")
+        KeyedTable(batch.sparkSession, table, key, time, buckets=buckets).merge(batch)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

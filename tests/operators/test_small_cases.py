@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import jaro_winkler
 from ledgerlake.operators import aggregates, anomalies, budgets, imports, overview, recurrence, subscriptions
+from ledgerlake.sources.keyed import KeyedTable
 from ledgerlake.sources import tables
 from ledgerlake.streaming import activity
 
@@ -195,5 +196,5 @@ def test_streams_equal_batches(spark, folder, tmp_path, op):
 def test_upserts_replace_rows(spark, folder, tmp_path):
     stream = activity.read_stream(spark, folder, 1).withColumn("event_id", F.col("event_id") % 25)
     activity.upsert_stream(stream, str(tmp_path / "table"), str(tmp_path / "cp")).awaitTermination(120)
-    rows = spark.read.parquet(str(tmp_path / "table" / "v2")).collect()
+    rows = KeyedTable(spark, str(tmp_path / "table"), "event_id", "ts").read().collect()
     assert {r.event_id: r.value for r in rows} == {i % 25: float(i) for i in range(60)}
