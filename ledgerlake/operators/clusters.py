@@ -10,6 +10,8 @@ Defined results: null and blank names are left out; repeated names count once; a
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +24,18 @@ LEAST = 0.90
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df in the shared folder for checkpoints, without its lineage."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """df written in the shared folder and read back: it is computed once, and later plans begin there."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that cut() wrote and that no result needs any more."""
+    for df in frames:
+        for file in df.inputFiles()[:1]:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def brand_words(name: Column) -> Column:
@@ -41,7 +50,7 @@ def _brand_key(word: Column) -> Column:
 
 
 def alike(names: DataFrame) -> DataFrame:
-    """user_id, head, merchant: pairs of names(user_id, merchant), head < merchant, that are alike, each once.
+    """user_id, head, merchant: pairs of names(user_id, merchant), head < merchant, that are alike, each once. Written.
 
     Alike: two brand words in common, or one where either name has no other; or a blended score of LEAST, which implies a shared word.
     """
@@ -54,16 +63,18 @@ def alike(names: DataFrame) -> DataFrame:
     pairs = left.join(entries, ["user_id", "word"]).where(F.col("head") < F.col("merchant")).select("user_id", "head", "merchant", "head_keys", "keys").distinct()
     common = F.size(F.filter("head_keys", lambda k: F.array_contains("keys", k)))
     by_brand = (common >= 2) | (common >= 1) & ((F.size("head_keys") <= 1) | (F.size("keys") <= 1))
-    decided = pairs.withColumn("by_brand", by_brand)
+    decided = cut(pairs.select("user_id", "head", "merchant", by_brand.alias("by_brand")))
+    sure, open_pairs = (decided.where(c).select("user_id", "head", "merchant") for c in ("by_brand", "NOT by_brand"))
+    if open_pairs.isEmpty():
+        return sure
     a, b = clean_merchant(F.col("head")), clean_merchant(F.col("merchant"))
-    rest = decided.where(~F.col("by_brand")).select("head", "merchant").distinct().where(F.greatest(fuzzy_score(a, b), fuzzy_score(b, a)) >= LEAST)
-    scored = decided.where(~F.col("by_brand")).join(rest, ["head", "merchant"], "left_semi")
-    return decided.where("by_brand").unionByName(scored).select("user_id", "head", "merchant")
+    close = open_pairs.select("head", "merchant").distinct().where(F.greatest(fuzzy_score(a, b), fuzzy_score(b, a)) >= LEAST)
+    return cut(sure.unionByName(open_pairs.join(close, ["head", "merchant"], "left_semi").select("user_id", "head", "merchant")))
 
 
 def heads(pairs: DataFrame) -> DataFrame:
     """user_id, merchant, cluster of the taken names of pairs(user_id, head, merchant): the least head that a name is alike to."""
-    every = state = cut(pairs)  # of a round: pairs that are left, and heads found so far, which have no merchant
+    every = state = pairs  # read several times; of a round: pairs that are left, and heads found so far, which have no merchant
     while not (left := state.where("merchant IS NOT NULL")).isEmpty():
         lesser = left.select("user_id", F.col("merchant").alias("head")).distinct()
         first = left.select("user_id", "head").distinct().join(lesser, ["user_id", "head"], "left_anti")
@@ -73,7 +84,9 @@ def heads(pairs: DataFrame) -> DataFrame:
         still = rest.select("user_id", "head").union(rest.select("user_id", "merchant"))
         free = lesser.join(gone.unionByName(still), ["user_id", "head"], "left_anti")
         found = state.where("merchant IS NULL").select("user_id", "head").unionByName(first).unionByName(free)
-        state = cut(rest.select("user_id", "head", "merchant").unionByName(found.withColumn("merchant", F.lit(None).cast("string"))))
+        before, state = state, cut(rest.select("user_id", "head", "merchant").unionByName(found.withColumn("merchant", F.lit(None).cast("string"))))
+        if before is not every:
+            discard(before)
     found = state.select("user_id", "head").distinct()
     mine = every.join(found, ["user_id", "head"], "left_semi").join(found.withColumnRenamed("head", "merchant"), ["user_id", "merchant"], "left_anti")
     return mine.groupBy("user_id", "merchant").agg(F.min("head").alias("cluster"))

@@ -42,26 +42,35 @@ def _cents(amount: str) -> Column:
     return (F.abs(amount) * 100).cast("bigint")
 
 
+def _has_any(text: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | text.contains(w)
+    return out
+
+
 def candidates(tx: DataFrame) -> DataFrame:
-    """Expenses that may be subscriptions: by category or description, or in a cohort of one name and whole amount with a steady rhythm.
+    """The columns that detect() needs of expenses that may be subscriptions: by category or description, or in a cohort of one name and whole amount with a steady rhythm.
 
     A cohort has three rows or more, a mean gap within COHORT_SLACK days of one of COHORT_DAYS, and amounts within a tenth of their mean.
     """
-    low = {c: F.lower(F.coalesce(c, F.lit(""))) for c in ("category_primary", "category_detailed", "description", "merchant_name")}
-    primary, detailed = low["category_primary"], low["category_detailed"]
-    text = F.concat(low["merchant_name"], F.lit(" "), low["description"])
-    excluded = primary.isin(*EXCLUDED_CATEGORIES) | primary.contains("transfer") | primary.contains("loan_payment") | detailed.rlike("|".join(EXCLUDED_DETAILS)) | text.rlike("|".join(EXCLUDED_WORDS))
-    wanted = primary.isin(*CANDIDATE_CATEGORIES) | detailed.rlike("|".join(CANDIDATE_DETAILS)) | low["description"].rlike("|".join(CANDIDATE_WORDS))
-    rows = tx.where((F.col("amount") < 0) & ~excluded).withColumns({"wanted": wanted, "cents": _cents("amount"), "pattern": pattern_key(F.col("merchant_name"), F.col("description"))})
-    rows = rows.withColumn("whole", F.floor((F.col("cents") + 50) / 100))
+    kept = ["user_id", "transaction_id", "transaction_date", "merchant_name", "description", "amount"]
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    # Columns of their own and no filter: the texts are built and searched once a row.
+    texts = tx.where("amount < 0").select(*kept, low("category_primary").alias("p"), low("category_detailed").alias("d"), low("description").alias("t"), F.concat(low("merchant_name"), F.lit(" "), low("description")).alias("both"))
+    primary, detailed, described, both = (F.col(c) for c in ("p", "d", "t", "both"))
+    excluded = primary.isin(*EXCLUDED_CATEGORIES) | primary.contains("transfer") | primary.contains("loan_payment") | _has_any(detailed, EXCLUDED_DETAILS) | _has_any(both, EXCLUDED_WORDS)
+    wanted = primary.isin(*CANDIDATE_CATEGORIES) | _has_any(detailed, CANDIDATE_DETAILS) | _has_any(described, CANDIDATE_WORDS)
+    told = texts.select(*kept, excluded.alias("excluded"), wanted.alias("wanted"), _cents("amount").alias("cents"), pattern_key(F.col("merchant_name"), F.col("description")).alias("pattern"))
+    rows = cut(told).where("NOT excluded").withColumn("whole", F.floor((F.col("cents") + 50) / 100))
     # Sums before the shuffle; the few steady cohorts come back to the rows.
     cohorts = rows.where("pattern IS NOT NULL").groupBy("user_id", "pattern", "whole").agg(F.count("*").alias("n"), F.sum("cents").alias("s"), F.min("cents").alias("low"), F.max("cents").alias("high"), F.datediff(F.max("transaction_date"), F.min("transaction_date")).alias("days"))
     steps = F.col("n") - 1
     rhythm = F.exists(F.array(*[F.lit(c) for c in COHORT_DAYS]), lambda c: F.abs(F.col("days") - c * steps) <= COHORT_SLACK * steps)
     even = (COHORT_SPREAD * (F.col("high") * F.col("n") - F.col("s")) <= F.col("s")) & (COHORT_SPREAD * (F.col("s") - F.col("low") * F.col("n")) <= F.col("s"))
     steady = cohorts.where((F.col("n") >= 3) & (F.col("s") >= F.col("n")) & rhythm & even).select("user_id", "pattern", "whole")
-    both = rows.join(steady.withColumn("steady", F.lit(True)), ["user_id", "pattern", "whole"], "left")
-    return both.where(F.col("wanted") | F.coalesce("steady", F.lit(False))).select(*tx.columns)
+    told = rows.join(steady.withColumn("steady", F.lit(True)), ["user_id", "pattern", "whole"], "left")
+    return told.where(F.col("wanted") | F.coalesce("steady", F.lit(False))).select(kept)
 
 
 #: Days of a month that a subscription is often charged on; from this share of the rows on they make it monthly.
@@ -111,8 +120,7 @@ def detect(tx: DataFrame) -> DataFrame:
     """
     named, described = F.trim(F.coalesce("merchant_name", F.lit(""))) != "", F.trim(F.coalesce("description", F.lit(""))) != ""
     label = F.when(named, merchant_key(F.col("merchant_name"))).when(described, merchant_key(F.col("description"))).otherwise("unknown")
-    rows = cut(candidates(tx).select("user_id", "transaction_id", "transaction_date", "merchant_name", "description", "amount"))
-    rows = rows.withColumn("name", F.when(named, normalized_merchant(F.col("merchant_name")))).withColumn("label", label).withColumn("price", F.abs("amount").cast("decimal(19,2)"))
+    rows = cut(candidates(tx)).withColumn("name", F.when(named, normalized_merchant(F.col("merchant_name")))).withColumn("label", label).withColumn("price", F.abs("amount").cast("decimal(19,2)"))
     merged = heads(alike(rows.where(named).select("user_id", F.col("name").alias("merchant")).distinct())).withColumnRenamed("merchant", "name")
     own = F.when(named, F.concat(F.lit("m:"), F.coalesce("cluster", "name"))).otherwise(F.concat(F.lit("d:"), F.when(described, normalized_merchant(F.col("description"))).otherwise("UNKNOWN")))
     rows = rows.join(merged, ["user_id", "name"], "left").withColumn("group", own)
