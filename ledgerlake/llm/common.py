@@ -29,8 +29,43 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths made inside each open scratch(), innermost last.
+_scopes: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+class scratch:  # noqa: N801
+    """with scratch(spark) as made: on leaving, all that new_path() and save() made inside is deleted, but for what made.keep() hands on."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.mine = spark, []
+
+    def __enter__(self) -> scratch:
+        _scopes.append(self.mine)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A table that save() wrote inside: it belongs to the surrounding scratch(), or to the caller, from now on."""
+        self.mine.remove(df.saved_at)
+        if len(_scopes) > 1:
+            _scopes[-2].append(df.saved_at)
+        return df
+
+    def __exit__(self, *failure) -> None:
+        _scopes.remove(self.mine)
+        for path in self.mine:
+            delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def save(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -38,7 +73,9 @@ def save(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataF
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.saved_at = path
+    return written
 
 
 #: Written tables of short rows (some tens of bytes) are broadcast up to so many rows; beyond, both sides are shuffled.
@@ -53,11 +90,7 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables that save() wrote and that nothing needs any more."""
     for df in frames:
-        for file in df.inputFiles()[:1]:
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            while "=" in jpath.getName():
-                jpath = jpath.getParent()
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        delete(spark, df.saved_at)
 
 
 #: Rows of a batch between Spark and Python: texts are long, and a worker holds a batch of them several times over.

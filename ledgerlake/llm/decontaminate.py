@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import bound_batches, bounded, give_back, save, table, utf8
+from ledgerlake.llm.common import bound_batches, bounded, give_back, save, scratch, table, utf8
 
 WINDOW = 13
 BLOCK_WORDS = 1 << 19
@@ -271,7 +271,8 @@ def is_contaminated(per: int = PER):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The rows of docs that are clean, with exactly their own columns."""
-    bad = save(hits(docs, benchmark).where(is_contaminated()).select(F.col("doc_id").alias("bad"), F.col("mark").alias("bad_mark")).distinct(), "contaminated")
+    with scratch(docs.sparkSession) as made:
+        bad = made.keep(save(hits(docs, benchmark).where(is_contaminated()).select(F.col("doc_id").alias("bad"), F.col("mark").alias("bad_mark")).distinct(), "contaminated"))
     bad = bounded(bad, broadcast_rows)  # 16 bytes a row; beyond it both sides are shuffled
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.crc32(F.coalesce(utf8(), F.lit(b""))).alias("mark"))
     same = F.col("id").eqNullSafe(F.col("bad")) & (F.col("mark") == F.col("bad_mark"))

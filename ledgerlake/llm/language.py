@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import bounded, discard, map_batches, save, table, utf8
+from ledgerlake.llm.common import bounded, discard, map_batches, save, scratch, table, utf8
 
 BUCKETS = 1 << 14
 #: Labelled rows of a language that fitting may use at most.
@@ -115,7 +115,8 @@ def sampled_features(rows: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """The fitted machines: {'langs': [...], (class, class): weights}. Classes are families, and languages of one family."""
-    rows = save(sampled_features(training_rows(docs, sample)), "language-sample")
+    with scratch(docs.sparkSession) as made:
+        rows = made.keep(save(sampled_features(training_rows(docs, sample)), "language-sample"))
     langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
     fams = sorted({family(x) for x in langs})
     pairs = [("family", a, b) for a, b in combinations(fams, 2)] + [("lang", a, b) for f in fams for a, b in combinations([x for x in langs if family(x) == f], 2)]

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import BLANKS, bounded, discard, save, table
+from ledgerlake.llm.common import BLANKS, bounded, save, scratch, table
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -136,15 +136,16 @@ def _times(drawn: DataFrame, written_cuts: DataFrame) -> DataFrame:
 def mix_report(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs(doc_id, text, source)."""
     drawn = save(_drawn(docs, seed), "mix-drawn")
-    found = _times(drawn, save(cuts(drawn, **how), "mix-cuts"))
+    with scratch(docs.sparkSession) as made:
+        cut = made.keep(save(cuts(drawn, **how), "mix-cuts"))
+    found = _times(drawn, cut)
     return found.select("doc_id", "size", "cut.source_size", "cut.target", (F.col("times") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """The rows of docs as often as the mix takes them, with exactly their own columns."""
-    slim = save(_drawn(docs, seed), "mix-drawn")
-    cut = save(cuts(slim, **how), "mix-cuts")
-    discard(docs.sparkSession, slim)
+    with scratch(docs.sparkSession) as made:
+        cut = made.keep(save(cuts(save(_drawn(docs, seed), "mix-drawn"), **how), "mix-cuts"))
     found = _times(_drawn(docs, seed, F.struct("*").alias("row")), cut)
     return found.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select("row.*")
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import bounded, discard, give_back, map_batches, save, table, utf8
+from ledgerlake.llm.common import bounded, discard, give_back, map_batches, save, scratch, table, utf8
 from ledgerlake.llm.components import components
 from ledgerlake.llm.words import groups, hashes, mix, places, runs
 
@@ -49,7 +49,7 @@ LONG_HASHES, MOST_BITS, CLEAR_BITS = 2048, 332, 174
 FIRST_WORDS, FIRST_BITS = 4, 64
 #: Classes of a tile: a task compares at most TILE classes of other components with SLICE classes of a bucket at once.
 TILE, SLICE = 512, 2048
-#: Shingles of a tile's and of a slice's full sets (8 bytes each; a longer set stands alone).
+#: Shingles of a tile's and of a slice's full sets (8 bytes each) on average, as classes are dealt by hash; one set may be longer.
 SET_TILE, SET_SLICE = 1 << 19, 1 << 20
 #: Shingles whose hash minima are taken together.
 RUN = 1 << 15
@@ -160,27 +160,26 @@ def confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     Sets are made again from the texts of the documents concerned, and each u's set goes to its v's.
     """
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = _of_classes(docs, ends, classes, lambda found: [s.tobytes() for s in found], "set")
-    few = bounded(pairs)
-    left = sets.join(few.select(F.col("u").alias("node"), F.col("v").alias("other")), "node").select(F.col("other").alias("v"), F.col("node").alias("u"), F.col("set").alias("a"))
-    targets = save(pairs.select(F.col("v").alias("node")).distinct(), "pair-targets")
-    right = sets.join(bounded(targets), "node").select(F.col("node").alias("v"), F.col("set").alias("b"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                both = np.sort(np.concatenate([a, b]))
-                common = np.count_nonzero(both[1:] == both[:-1])
-                keep.append(100 * common >= PERCENT * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-        give_back()
-
-    out = save(left.join(right, "v").select("u", "v", "a", "b").mapInArrow(compare, "u bigint, v bigint").distinct(), "confirmed")
-    discard(docs.sparkSession, targets)
-    return out
+    with scratch(docs.sparkSession) as made:
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        sets = _of_classes(docs, ends, classes, lambda found: [s.tobytes() for s in found], "set")
+        few = bounded(pairs)
+        left = sets.join(few.select(F.col("u").alias("node"), F.col("v").alias("other")), "node").select(F.col("other").alias("v"), F.col("node").alias("u"), F.col("set").alias("a"))
+        targets = save(pairs.select(F.col("v").alias("node")).distinct(), "pair-targets")
+        right = sets.join(bounded(targets), "node").select(F.col("node").alias("v"), F.col("set").alias("b"))
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                    a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                    both = np.sort(np.concatenate([a, b]))
+                    common = np.count_nonzero(both[1:] == both[:-1])
+                    keep.append(100 * common >= PERCENT * (len(both) - common))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            give_back()
+
+        return made.keep(save(left.join(right, "v").select("u", "v", "a", "b").mapInArrow(compare, "u bigint, v bigint").distinct(), "confirmed"))
 
 
 def _sizes_fit(a, b):
@@ -300,8 +299,9 @@ def _mixed(multi: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _long_signatures(docs: DataFrame, classes: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
     """node, bands, long of the classes in the mixed buckets."""
-    long = _of_classes(docs, rows.select("node").distinct(), classes, long_bits, "long")
-    return save(long.join(reps.select("node", "bands"), "node").dropDuplicates(["node"]), "long-signatures")
+    with scratch(docs.sparkSession) as made:
+        long = _of_classes(docs, rows.select("node").distinct(), classes, long_bits, "long")
+        return made.keep(save(long.join(reps.select("node", "bands"), "node").dropDuplicates(["node"]), "long-signatures"))
 
 
 def _tiles(rows: DataFrame, both: DataFrame) -> DataFrame:
@@ -325,44 +325,43 @@ def _named(rows: DataFrame, both: DataFrame) -> DataFrame:
 
 def _rest(docs: DataFrame, classes: DataFrame, rows: DataFrame, both: DataFrame) -> DataFrame:
     """u, v: confirmed links between the components that are still apart; written."""
-    met = save(_tiles(rows, both).groupBy("key", "tile", "part").applyInArrow(_met, "key bigint, node bigint").distinct(), "met")
-    sets = save(_of_classes(docs, met.select("node").distinct(), classes, lambda found: [s.tobytes() for s in found], "set").dropDuplicates(["node"]), "met-sets")
-    few = rows.drop("tiles", "slices").join(met, ["key", "node"], "left_semi")
-    minor = F.col("component") != F.col("main")
-    size = few.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.when(minor, F.col("n"))) / SET_TILE)).cast("int").alias("tiles"), F.ceil(F.sum("n") / SET_SLICE).cast("int").alias("slices"))
-    size = save(size, "met-sizes")
-    found = _tiles(few.join(bounded(size), "key"), both).join(sets, "node").groupBy("key", "tile", "part").applyInArrow(_exact_links, "u bigint, v bigint")
-    out = save(found.distinct(), "rest-links")
-    discard(docs.sparkSession, met, sets, size)
-    return out
+    with scratch(docs.sparkSession) as made:
+        met = save(_tiles(rows, both).groupBy("key", "tile", "part").applyInArrow(_met, "key bigint, node bigint").distinct(), "met")
+        sets = save(_of_classes(docs, met.select("node").distinct(), classes, lambda found: [s.tobytes() for s in found], "set").dropDuplicates(["node"]), "met-sets")
+        few = rows.drop("tiles", "slices").join(met, ["key", "node"], "left_semi")
+        minor = F.col("component") != F.col("main")
+        size = few.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.when(minor, F.col("n"))) / SET_TILE)).cast("int").alias("tiles"), F.ceil(F.sum("n") / SET_SLICE).cast("int").alias("slices"))
+        size = save(size, "met-sizes")
+        found = _tiles(few.join(bounded(size), "key"), both).join(sets, "node").groupBy("key", "tile", "part").applyInArrow(_exact_links, "u bigint, v bigint")
+        return made.keep(save(found.distinct(), "rest-links"))
 
 
 def links(docs: DataFrame, sigs: DataFrame, classes: DataFrame) -> DataFrame:
     """node, component over classes, from confirmed links."""
     spark = docs.sparkSession
-    reps = sigs.join(classes, "class").where(F.col("doc_id") == F.col("rep")).select("node", "n", "bands").dropDuplicates(["node"])
-    reps = save(reps, "class-signatures")
-    entries = reps.select(F.posexplode("bands").alias("band", "key"), "node", "n")
-    shared = entries.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("k")).where("k > 1").select("key", "hub")
-    multi = save(entries.join(shared, "key"), "buckets")
-    stars = multi.where(F.col("node") != F.col("hub.node")).where(_sizes_fit(F.col("n"), F.col("hub.n")))
-    stars = save(stars.select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct(), "stars")
-    confirmed = confirm(docs, stars, classes)
-    labels = save(components(confirmed), "components")
-    rows = _mixed(multi.select("key", "band", "node", "n"), labels)
-    both = _long_signatures(docs, classes, rows, reps)
-    discard(spark, multi, stars, reps)
-    named = _named(rows, both)
-    if not named.isEmpty():
-        confirmed = save(confirmed.unionByName(confirm(docs, named, classes)), "confirmed")
+    with scratch(spark) as made:
+        reps = sigs.join(classes, "class").where(F.col("doc_id") == F.col("rep")).select("node", "n", "bands").dropDuplicates(["node"])
+        reps = save(reps, "class-signatures")
+        entries = reps.select(F.posexplode("bands").alias("band", "key"), "node", "n")
+        shared = entries.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("k")).where("k > 1").select("key", "hub")
+        multi = save(entries.join(shared, "key"), "buckets")
+        stars = multi.where(F.col("node") != F.col("hub.node")).where(_sizes_fit(F.col("n"), F.col("hub.n")))
+        stars = save(stars.select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct(), "stars")
+        confirmed = confirm(docs, stars, classes)
         labels = save(components(confirmed), "components")
-        before, rows = rows, _mixed(rows.select("key", "band", "node", "n"), labels)
-        discard(spark, before)
-    rest = _rest(docs, classes, rows, both)
-    if not rest.isEmpty():
-        labels = save(components(confirmed.unionByName(rest)), "components")
-    discard(spark, named, rest, rows, both, confirmed)
-    return labels
+        rows = _mixed(multi.select("key", "band", "node", "n"), labels)
+        both = _long_signatures(docs, classes, rows, reps)
+        discard(spark, multi, stars, reps)
+        named = _named(rows, both)
+        if not named.isEmpty():
+            confirmed = save(confirmed.unionByName(confirm(docs, named, classes)), "confirmed")
+            labels = save(components(confirmed), "components")
+            before, rows = rows, _mixed(rows.select("key", "band", "node", "n"), labels)
+            discard(spark, before)
+        rest = _rest(docs, classes, rows, both)
+        if not rest.isEmpty():
+            labels = save(components(confirmed.unionByName(rest)), "components")
+        return made.keep(labels)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -388,12 +387,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates (that of the least doc_id), with exactly the columns of docs."""
-    found = save(near_duplicates(docs), "near-duplicates")
-    dropped = save(found.where("NOT kept").select(F.col("doc_id").alias("of")).distinct(), "dropped")
+    with scratch(docs.sparkSession) as made:
+        found = save(near_duplicates(docs), "near-duplicates")
+        dropped = made.keep(save(found.where("NOT kept").select(F.col("doc_id").alias("of")).distinct(), "dropped"))
+        again = made.keep(save(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("of")), "repeated"))
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("words"))
     kept = packed.join(bounded(dropped), F.col("id") == F.col("of"), "left_anti")
-    again = save(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("of")), "repeated")
-    discard(docs.sparkSession, found)
     if again.isEmpty():
         return kept.select("row.*")
     one = Window.partitionBy("id").orderBy(F.length("words").desc(), "words")

@@ -25,7 +25,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import bounded, discard, map_batches, save, table, utf8
+from ledgerlake.llm.common import bounded, map_batches, save, scratch, table, utf8
 from ledgerlake.llm.spans import count_kind, in_code_points, joined, value_hash
 
 #: The base kinds, in the order of the contract.
@@ -183,26 +183,26 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def confident_patterns(scanned: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: float = SUPPORT, decay: float = DECAY) -> DataFrame:
     """pattern, kind, confidence of the patterns that act, after so many rounds over the pattern-instance graph (fewer if one changes nothing)."""
-    mentions = scanned.select(F.explode("mentions").alias("m")).select("m.*")
-    edges = mentions.select(F.explode("patterns").alias("pattern"), "value", "kind", "barred").groupBy("pattern", "value").agg(F.min("kind").alias("seed"), F.max("barred").alias("barred"))
-    edges = save(edges, "pii-edges")
-    size = save(edges.groupBy("pattern").agg(F.count("*").alias("n_instances")).where(F.col("n_instances") >= support), "pii-patterns")
-    seeds = save(mentions.where("kind IS NOT NULL").groupBy("value").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0)), "pii-seeds")
-    scores, acting, before = seeds, None, None
-    best = Window.partitionBy("pattern").orderBy(F.desc("confidence"), "kind")
-    for k in range(rounds):
-        weights = edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"))
-        rated = weights.where(F.col("mass") >= support).join(size, "pattern").withColumn("confidence", F.col("mass") / F.col("n_instances"))
-        acting = save(rated.where(F.col("confidence") >= confidence).withColumn("r", F.row_number().over(best)).where("r = 1").select("pattern", "kind", "confidence"), f"pii-acting-{k}")
-        now = tuple(acting.agg(F.count("*"), F.round(F.sum("confidence"), 6)).first())
-        if now == before or not now[0] or k + 1 == rounds:
-            break
-        before = now
-        marked = edges.where("seed IS NULL AND NOT barred").join(bounded(acting), "pattern").groupBy("value").agg(F.max(F.struct("confidence", "kind")).alias("b"))
-        new = marked.join(seeds.select("value"), "value", "left_anti").select("value", F.col("b.kind").alias("kind"), (F.lit(decay) * F.col("b.confidence")).alias("score"))
-        scores = save(seeds.unionByName(new), f"pii-scores-{k}")
-    discard(scanned.sparkSession, edges, size, seeds)
-    return acting
+    with scratch(scanned.sparkSession) as made:
+        mentions = scanned.select(F.explode("mentions").alias("m")).select("m.*")
+        edges = mentions.select(F.explode("patterns").alias("pattern"), "value", "kind", "barred").groupBy("pattern", "value").agg(F.min("kind").alias("seed"), F.max("barred").alias("barred"))
+        edges = save(edges, "pii-edges")
+        size = save(edges.groupBy("pattern").agg(F.count("*").alias("n_instances")).where(F.col("n_instances") >= support), "pii-patterns")
+        seeds = save(mentions.where("kind IS NOT NULL").groupBy("value").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0)), "pii-seeds")
+        scores, acting, before = seeds, None, None
+        best = Window.partitionBy("pattern").orderBy(F.desc("confidence"), "kind")
+        for k in range(rounds):
+            weights = edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"))
+            rated = weights.where(F.col("mass") >= support).join(size, "pattern").withColumn("confidence", F.col("mass") / F.col("n_instances"))
+            acting = save(rated.where(F.col("confidence") >= confidence).withColumn("r", F.row_number().over(best)).where("r = 1").select("pattern", "kind", "confidence"), f"pii-acting-{k}")
+            now = tuple(acting.agg(F.count("*"), F.round(F.sum("confidence"), 6)).first())
+            if now == before or not now[0] or k + 1 == rounds:
+                break
+            before = now
+            marked = edges.where("seed IS NULL AND NOT barred").join(bounded(acting), "pattern").groupBy("value").agg(F.max(F.struct("confidence", "kind")).alias("b"))
+            new = marked.join(seeds.select("value"), "value", "left_anti").select("value", F.col("b.kind").alias("kind"), (F.lit(decay) * F.col("b.confidence")).alias("score"))
+            scores = save(seeds.unionByName(new), f"pii-scores-{k}")
+        return made.keep(acting)
 
 
 def identifiers(docs: DataFrame, **how) -> DataFrame:

@@ -87,3 +87,19 @@ def test_stages_keep_columns_and_take_nulls(spark, tables):
         assert out.columns == docs.columns
         out.collect()
         assert stage(spark, docs.limit(0), source).collect() == []
+
+
+def test_a_run_leaves_its_result_only(spark, tmp_path, monkeypatch):
+    import os
+
+    import corpus_pipeline
+    from ledgerlake.llm import common
+
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 400}" for k in range(80)), "en", "s", 1) for i in range(12)] + [(20, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "nothing of it")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    shared = tmp_path / "shared"
+    monkeypatch.setattr(common, "shared_dir", lambda session: f"file://{shared}")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() > 0
+    assert [d.split("-")[:3] for d in sorted(os.listdir(shared))] == [["stage", "token", "files"]]
