@@ -12,7 +12,7 @@ from ledgerlake.llm import common, decontaminate, mixing, neardup, quality, toke
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the policy go."""
+    """Documents that fail the policy go; nulls, empty and very long texts, ties and repeated rows as in llm.quality, and so on below."""
     return quality.filter_documents(docs)
 
 
@@ -49,7 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage has made, and its input, are deleted once its result is written."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.save(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with common.scratch(spark) as made:
+            docs = made.keep(common.save(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-")))
+        if before is not None:
+            common.discard(spark, before)
+        before = docs
     return docs
