@@ -49,6 +49,9 @@ SELECT c_custkey * 10 + k AS account_id, CAST(floor(c_custkey / 75) AS BIGINT) A
        CAST(CASE WHEN k = 1 AND c_custkey % 5 = 0 THEN 95 ELSE 0 END AS DECIMAL(19,2)) AS annual_fee,
        CASE WHEN k = 1 THEN {add_days:DATE '2001-08-01', CAST(c_custkey % 60 AS INT)} ELSE NULL END AS annual_fee_due, c_custkey % 29 <> 0 AS active
 FROM {customer} CROSS JOIN (VALUES (0), (1), (2)) AS kinds(k)""",
+    "balances": """
+SELECT c_custkey * 10 + kind AS account_id, {add_days:DATE '2001-05-01', CAST(reading * 30 + c_custkey % 3 AS INT)} AS snapshot_date, CAST(c_acctbal + reading * (c_custkey % 13) * 0.25 AS DECIMAL(19,2)) AS balance
+FROM {customer} CROSS JOIN (VALUES (0), (1), (2)) AS kinds(kind) CROSS JOIN (VALUES (0), (1), (2), (3)) AS readings(reading) WHERE c_custkey % 4 < 3""",
     "budgets": """
 SELECT 'b' || CAST(c_custkey AS STRING) AS budget_id, CAST(floor(c_custkey / 75) AS BIGINT) AS user_id,
        CASE c_custkey % 6 WHEN 0 THEN 'groceries' WHEN 1 THEN 'dining' WHEN 2 THEN 'shopping' WHEN 3 THEN 'utilities' WHEN 4 THEN 'travel' ELSE 'salary' END AS category,

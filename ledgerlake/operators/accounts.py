@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.dates import day
@@ -49,14 +49,26 @@ def high_interest(tx: DataFrame, accounts: DataFrame) -> DataFrame:
     return charged.unionByName(cards).unionByName(loans)
 
 
-def balance_drift(accounts: DataFrame, tx: DataFrame, as_of: str, days: int = 365) -> DataFrame:
-    """The change of an account's balance that its transactions don't explain: the balance stands for the change since it was nil."""
-    rows = tx.where(not_deleted() & between("transaction_date", F.date_add(day(as_of), -days), as_of)).groupBy("account_id").agg(total(F.col("amount")).alias("moved"))
-    liability = F.col("account_type").isin("creditCard", "mortgage", "autoLoan", "personalLoan", "studentLoan")
-    joined = accounts.join(rows, "account_id").withColumn("explained", F.when(liability, -F.col("moved")).otherwise(F.col("moved")))
-    drift = (F.col("balance") - F.col("explained")).cast("decimal(19,2)")
-    level = F.when(F.abs("drift") >= 10, "WARN").when(F.abs("drift") >= 1, "INFO")
-    return joined.withColumn("drift", drift).withColumn("level", level).where("level IS NOT NULL").select("account_id", "user_id", "explained", "drift", "level")
+def balance_drift(balances: DataFrame, accounts: DataFrame, tx: DataFrame) -> DataFrame:
+    """The change between two readings of an account's balance, one after the other, that its transactions of these days don't explain.
+
+    balances: account_id, snapshot_date, balance. Both days count. Of liabilities the sum counts negated. The transactions of a day are summed
+    before they meet the readings; one running sum an account then gives every reading the sum up to it. The first reading has nothing before it
+    and no row; days with several readings count with their largest; rows without a balance, an account or a day are left out.
+    """
+    readings = balances.where("account_id IS NOT NULL AND snapshot_date IS NOT NULL AND balance IS NOT NULL").groupBy("account_id", "snapshot_date").agg(F.max("balance").alias("balance"))
+    days = tx.where(not_deleted() & F.col("account_id").isNotNull()).groupBy("account_id", F.col("transaction_date").alias("snapshot_date")).agg(total(F.col("amount")).alias("moved"))
+    line = Window.partitionBy("account_id").orderBy("snapshot_date")
+    both = readings.join(days, ["account_id", "snapshot_date"], "full").withColumn("moved", F.coalesce("moved", F.lit(0)).cast("decimal(19,2)"))
+    upto = both.withColumn("upto", F.sum("moved").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("balance IS NOT NULL")
+    before = lambda c: F.lag(c).over(line)
+    pairs = upto.select("account_id", "snapshot_date", before("snapshot_date").alias("since"), (F.col("balance") - before("balance")).alias("change"), (F.col("upto") - before("upto") + before("moved")).alias("moved"))
+    kind = F.lower(F.coalesce("account_type", F.lit("")))
+    liability = kind.contains("credit") | kind.contains("loan") | kind.contains("mortgage")
+    joined = pairs.where("since IS NOT NULL").join(accounts.select("account_id", "user_id", "account_type"), "account_id")
+    explained = F.when(liability, -F.col("moved")).otherwise(F.col("moved")).cast("decimal(19,2)")
+    told = joined.withColumn("explained", explained).withColumn("drift", (F.col("change") - F.col("explained")).cast("decimal(19,2)"))
+    return told.select("account_id", "user_id", "since", "snapshot_date", "change", "explained", "drift", F.when(F.abs("drift") >= 10, "WARN").when(F.abs("drift") >= 1, "INFO").alias("level"))
 
 
 def daily_read(accounts: DataFrame, tx: DataFrame, as_of: str) -> DataFrame:

@@ -26,12 +26,13 @@ def _(tx, accounts):
     return C.high_interest(tx, accounts)
 
 
-@register("x12_balance_drift", "account_id l, user_id l, explained m, drift m, level s", "accounts tx", f"""
-WITH m AS (SELECT account_id, sum(amount) AS moved FROM tx WHERE NOT deleted AND transaction_date BETWEEN {_D} - 365 AND {_D} GROUP BY 1),
-j AS (SELECT account_id, user_id, balance, CASE WHEN account_type IN ('creditCard', 'mortgage', 'autoLoan', 'personalLoan') THEN -moved ELSE moved END AS explained FROM accounts JOIN m USING (account_id))
-SELECT account_id, user_id, explained, balance - explained AS drift, CASE WHEN abs(balance - explained) >= 10 THEN 'WARN' ELSE 'INFO' END AS level FROM j WHERE abs(balance - explained) >= 1""")
-def _(accounts, tx):
-    return C.balance_drift(accounts, tx, AS_OF)
+@register("x12_balance_drift", "account_id l, user_id l, since d, snapshot_date d, change m, explained m, drift m, level s", "balances accounts tx", """
+WITH p AS (SELECT account_id, snapshot_date, lag(snapshot_date) OVER w AS since, balance - lag(balance) OVER w AS change FROM balances WINDOW w AS (PARTITION BY account_id ORDER BY snapshot_date)),
+j AS (SELECT p.account_id, user_id, account_type, since, snapshot_date, change, (SELECT coalesce(sum(amount), 0) FROM tx WHERE NOT deleted AND tx.account_id = p.account_id AND transaction_date BETWEEN since AND snapshot_date) AS moved FROM p JOIN accounts a ON a.account_id = p.account_id WHERE since IS NOT NULL),
+e AS (SELECT *, CASE WHEN regexp_matches(lower(account_type), 'credit|loan|mortgage') THEN -moved ELSE moved END AS explained FROM j)
+SELECT account_id, user_id, since, snapshot_date, change, explained, change - explained AS drift, CASE WHEN abs(change - explained) >= 10 THEN 'WARN' WHEN abs(change - explained) >= 1 THEN 'INFO' END AS level FROM e""")
+def _(balances, accounts, tx):
+    return C.balance_drift(balances, accounts, tx)
 
 
 @register("x15_daily_read", "user_id l, used m, liquid m, outflow m, state s", "accounts tx", f"""

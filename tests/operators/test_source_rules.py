@@ -148,3 +148,17 @@ def test_fuzzy_names_equal_all_pairs(spark):
         if scores and max(scores) >= 0.85:
             wanted[a] = round(max(scores), 6)
     assert got == wanted and len(wanted) > 50
+
+
+def test_balance_drift_between_readings(spark):
+    import datetime as dt
+    from decimal import Decimal as D
+
+    from ledgerlake.operators import accounts as A
+
+    d = lambda n: dt.date(2024, 1, n)
+    balances = spark.createDataFrame([(1, d(1), D(100)), (1, d(10), D(70)), (1, d(20), D(90)), (1, d(20), D(80)), (2, d(1), D(50)), (2, d(10), D("80.50")), (3, d(1), D(5)), (1, None, D(1)), (1, d(5), None)], "account_id bigint, snapshot_date date, balance decimal(19,2)")
+    accounts = spark.createDataFrame([(1, 7, "checking"), (2, 7, "creditCard"), (3, 7, None)], "account_id bigint, user_id bigint, account_type string")
+    tx = spark.createDataFrame([(1, D(-10), d(1), False), (1, D(-20), d(10), False), (1, D(5), d(15), False), (1, D(99), d(5), True), (2, D(-30), d(3), False), (1, D(1000), d(25), False), (None, D(1), d(2), False)], "account_id bigint, amount decimal(19,2), transaction_date date, deleted boolean")
+    got = sorted((r.account_id, r.since.day, r.snapshot_date.day, float(r.change), float(r.explained), float(r.drift), r.level) for r in A.balance_drift(balances, accounts, tx).collect())
+    assert got == [(1, 1, 10, -30.0, -30.0, 0.0, None), (1, 10, 20, 20.0, -15.0, 35.0, "WARN"), (2, 1, 10, 30.5, 30.0, 0.5, None)]
