@@ -9,8 +9,8 @@ an array fold, and the blocks are concatenated:
 back exactly the text. Loss spans cover the assistant texts in the formatted string, nothing else.
 
 Defined results: null texts are empty, null roles are empty roles, null turns sort first; equal turns are ordered by role, then
-text; repeated rows are turns of their own; rows with a null conv_id form one conversation; an empty table gives no rows; other
-columns of the input are not read.
+text; repeated rows are turns of their own; rows with a null conv_id form one conversation; an empty table gives no rows; very long texts are
+formatted whole, a conversation is one row; other columns of the input are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Families are given for the languages named below; any other language is a family
 
 Defined results: a null text, or one without a letter, is `und` with score 0; rows without a language teach nothing; with no
 labelled rows everything is `und`; with one language it is predicted with score 1; a null doc_id is not held out and teaches
-nothing; repeated rows are predicted each. Only doc_id, text and lang are read, lang for fitting alone.
+nothing; repeated rows are predicted each; very long texts count with all their features; ties of votes go to the larger
+margin, then by name. Only doc_id, text and lang are read, lang for fitting alone.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ repeated in a third of all rows is in no task as a whole.
 
 Defined results: a null text has size 0; null is a source of its own, after all others; documents of size 0 are taken
 in complete epochs only (0 words); which of several equal rows get the epoch more is all the same; a source without words has
-target 0; an empty table gives no rows. Columns beside doc_id, text and source are kept by mix(), and may have any names. Tables with
+target 0; an empty table gives no rows; very long texts are measured whole, and none is cut. Columns beside doc_id, text and source are kept by mix(), and may have any names. Tables with
 a row a source (some tens of bytes) are held by one task: tens of millions of sources are beyond this design.
 """
 

@@ -19,7 +19,8 @@ Nodes are classes: the least doc_id of a class, or a number from 2^62 on where a
 below). Rows are found again by doc_id. Defined results: a null or empty text has an empty set, is linked with nothing and is
 kept; a row without a doc_id is linked with nothing, has no component and is kept; texts under one doc_id are one document (their
 classes are linked); repeated rows are each returned by near_duplicates() and one of them is kept by deduplicate(); ties do not
-occur, as the least doc_id decides; an empty table gives no rows. Only doc_id and text are read; deduplicate() keeps all columns,
+occur, as the least doc_id decides; an empty table gives no rows; very long texts have all their shingles in their set, of which a
+task holds a few at a time. Only doc_id and text are read; deduplicate() keeps all columns,
 whatever their names.
 """
 

@@ -15,7 +15,7 @@ number with too few or too many digits) is barred: it counts against its pattern
 
 Defined results: a null or empty text has no spans; an instance or pattern counts once however many rows repeat it, so hot
 values and word pairs are combined before the shuffle; ties between kinds go to the first by name; an empty table gives no
-rows. Mentions over LONGEST bytes that are no seeds are none. Only doc_id and text are read, whatever other columns are called.
+rows. Mentions over LONGEST bytes that are no seeds are none; very long texts are scanned whole, one at a time. Only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations

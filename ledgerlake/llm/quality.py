@@ -5,7 +5,8 @@ A policy is a named, versioned bit mask: applying another version, or asking wha
 is bit arithmetic over the ledger and never looks at a text again.
 
 Defined results: a null or empty text has no words, measures 0 throughout and fails `few_words`. Repeated rows get a
-ledger row each. An empty table gives an empty ledger, and ablations with zeros. Other columns of the input, whatever
+ledger row each. An empty table gives an empty ledger, and ablations with zeros. Very long texts are measured whole, one at a time; no
+result depends on an order, so no ties occur. Other columns of the input, whatever
 their names, are left aside by ledger() and kept by filter_documents().
 """
 

@@ -10,7 +10,8 @@ repository holds are joined with their mentions again, broadcast as long as they
 third of all documents costs no more than another.
 
 Defined results: a null or empty text has no candidates; repeated rows count once an owner; a null owner or repository
-is one of its own; an empty table gives no rows. Only the named columns are read.
+is one of its own; an empty table gives no rows; very long texts are scanned whole, one at a
+time; spans are told by start, then kind, so no ties occur. Only the named columns are read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ holds those of frequent pre-tokens.
 
 Defined results: a null or empty text has 0 tokens; edits are applied in order, each to the text that the former left; starts
 and ends beyond the text are cut to it, null replacements are empty; a document without edits keeps its tree; repeated rows are
-counted each; edits of unknown documents are dropped; an empty table gives no rows. Only the named columns are read.
+counted each; edits of unknown documents are dropped; an empty table gives no rows; very long texts get
+deeper trees, of one document at a time; edits at one place keep their order, so no ties occur. Only the named columns are read.
 """
 
 from __future__ import annotations

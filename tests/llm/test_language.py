@@ -99,3 +99,12 @@ def test_a_family_gets_no_more_rows_than_a_language(spark):
     assert rows.count() == 150
     model = L.fit(docs, sample=30)
     assert {k[0] for k in model["machines"]} == {"family", "lang"}
+
+
+def test_very_long_text_is_predicted_whole(spark):
+    """Two million words of one language after a first part in another."""
+    words = {"de": "der die und nicht wasser über straße", "en": "the and with water street over not"}
+    docs = spark.createDataFrame([(i, " ".join([words[lang]] * 5), lang) for i, lang in enumerate(["de", "en"] * 20)], "doc_id long, text string, lang string")
+    long = (words["de"] + " ") * 50 + (words["en"] + " ") * 280_000
+    got = L.predict(spark.createDataFrame([(1, long), (2, None)], "doc_id long, text string"), L.fit(docs))
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "en", 2: "und"}
