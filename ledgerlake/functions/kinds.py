@@ -22,8 +22,6 @@ TYPES = [
     ("membership", ("lyft pink", "uber one"), None, ()),
 ]
 SUBSCRIPTION_CATEGORIES = ("subscriptions", "streaming", "software", "membership", "cloud_storage", "tech", "entertainment", "health", "insurance", "education")
-LOAN_PARTS = ("mortgage", "loan", "auto finance", "car payment", "student loan", "credit card")
-LOAN_CATEGORIES = ("loans", "mortgage", "payment")
 
 
 def _text() -> Column:

@@ -158,11 +158,21 @@ def contribution_insights(tx: DataFrame) -> DataFrame:
     return by_source.groupBy("user_id", "goal_id").agg(total(F.col("part")).alias("total"), F.sum("k").alias("n"), F.max("top").alias("largest"), first.alias("top_source")).withColumn("average", money(F.col("total") / F.col("n")))
 
 
+def linked_balances(goals: DataFrame, accounts: DataFrame) -> DataFrame:
+    """user_id, goal_id, balance: the sum of the positive balances of a goal's linked accounts (an array, each account once)."""
+    each = goals.select("user_id", "goal_id", F.explode(F.array_distinct("linked_account_ids")).alias("account_id"))
+    return each.join(accounts.where("balance > 0").select("account_id", "balance"), "account_id").groupBy("user_id", "goal_id").agg(total(F.col("balance")).alias("balance"))
+
+
 def goal_progress(goals: DataFrame, tx: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Positive goal rows plus the linked account's positive balance, at most the target; and the percent, at most 100."""
+    """Positive goal rows plus the positive balances of the linked account (linked_account_id), or accounts (linked_account_ids, an array), at
+    most the target; and the percent, at most 100."""
     paid = tx.where((F.col("amount") > 0) & F.col("goal_id").isNotNull()).groupBy("user_id", "goal_id").agg(total(F.col("amount")).alias("paid"))
-    linked = accounts.where("balance > 0").select(F.col("account_id").alias("linked_account_id"), "balance")
-    joined = goals.join(paid, ["user_id", "goal_id"], "left").join(linked, "linked_account_id", "left")
+    joined = goals.join(paid, ["user_id", "goal_id"], "left")
+    if "linked_account_ids" in goals.columns:
+        joined = joined.join(linked_balances(goals, accounts), ["user_id", "goal_id"], "left")
+    else:
+        joined = joined.join(accounts.where("balance > 0").select(F.col("account_id").alias("linked_account_id"), "balance"), "linked_account_id", "left")
     sums = F.coalesce("paid", F.lit(0)) + F.coalesce("balance", F.lit(0))
     current = F.least(sums, F.col("target_amount")).cast("decimal(19,2)")
     percent = F.least(F.round(ratio(F.col("progress"), F.col("target_amount")) * 100, 0), F.lit(100)).cast("int")

@@ -49,8 +49,9 @@ def _score() -> Column:
     return F.when(equal & recurring, RECURRING_SCORE).otherwise(F.least(F.lit(1.0), amount * 0.3 + date.otherwise(0.0) * 0.2 + text + name))
 
 
-def duplicates(new: DataFrame, known: DataFrame, least: float = 0.90) -> DataFrame:
-    """new_id, known_id, kind, score: EXACT (same day, amount up to its sign, and description), SAME_ID, or SIMILAR from `least` on.
+def matches(new: DataFrame, known: DataFrame, least: float = 0.90, of_feed_id: int | None = None) -> DataFrame:
+    """new_id, place, known_id, kind, score of all matches, a new row's best first: EXACT (same day, amount up to its sign, and description),
+    SAME_ID, or SIMILAR from `least` on. of_feed_id: only so many known rows of one feed id, the least ids.
 
     Candidates are a user's known rows from AROUND days before the first to AROUND days after the last new row. Rows of one feed id
     are joined on it at any distance; others on the user and buckets of days, as far as the score can still be `least`. A new row that
@@ -66,8 +67,9 @@ def duplicates(new: DataFrame, known: DataFrame, least: float = 0.90) -> DataFra
     near = n.withColumn("bucket", F.explode(F.sequence(bucket("n_date", -(reach or 0)), bucket("n_date", reach or 0))))
     near = near.join(k.withColumn("k_bucket", bucket("k_date")), (F.col("user_id") == F.col("k_user")) & (F.col("bucket") == F.col("k_bucket")))
     near = near if reach is None else near.where(F.abs(F.datediff("n_date", "k_date")) <= reach)
-    # The least known id is returned: of each feed id the two least do, as one may be the new row itself.
-    of_feed = k.where("k_feed IS NOT NULL").withColumn("r", F.dense_rank().over(Window.partitionBy("k_user", "k_feed").orderBy("known_id"))).where("r <= 2").drop("r")
+    of_feed = k.where("k_feed IS NOT NULL")
+    if of_feed_id:
+        of_feed = of_feed.withColumn("r", F.dense_rank().over(Window.partitionBy("k_user", "k_feed").orderBy("known_id"))).where(F.col("r") <= of_feed_id).drop("r")
     fed = n.join(of_feed, (F.col("user_id") == F.col("k_user")) & (F.col("n_feed") == F.col("k_feed")))
     pairs = near.drop("bucket", "k_bucket").unionByName(fed).where("new_id <> known_id")
     exact = (F.col("n_date") == F.col("k_date")) & (F.abs("n_amount") == F.abs("k_amount")) & (F.col("n_text") == F.col("k_text"))
@@ -75,7 +77,13 @@ def duplicates(new: DataFrame, known: DataFrame, least: float = 0.90) -> DataFra
     kind = F.when(exact, "EXACT").when(same_id, "SAME_ID").when(F.col("score") >= least, "SIMILAR")
     found = pairs.withColumn("score", F.when(exact | same_id, 1.0).otherwise(_score())).withColumn("kind", kind).where("kind IS NOT NULL").withColumn("score", F.round("score", 4))
     best = Window.partitionBy("new_id").orderBy(F.desc("score"), "kind", "known_id")
-    return found.withColumn("place", F.row_number().over(best)).where("place = 1").select("new_id", "known_id", "kind", "score")
+    once = found if of_feed_id else found.dropDuplicates(["new_id", "known_id"])
+    return once.withColumn("place", F.row_number().over(best)).select("new_id", "place", "known_id", "kind", "score")
+
+
+def duplicates(new: DataFrame, known: DataFrame, least: float = 0.90) -> DataFrame:
+    """new_id, known_id, kind, score: the best of matches(). Of one feed id the two least known ids do, as one may be the new row itself."""
+    return matches(new, known, least, 2).where("place = 1").drop("place")
 
 
 def import_rows(new: DataFrame, known: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Registered queries of operators.aggregates."""
 
+from pyspark.sql import functions as F
+
 from ledgerlake.adapter import AS_OF
 from ledgerlake.operators import aggregates as A
 from ledgerlake.registry import register
@@ -137,6 +139,16 @@ def _(goals, tx, accounts):
     return A.goal_progress(goals, tx, accounts)
 
 
+@register("j04_linked_accounts", "user_id l, goal_id s, target_amount m, progress m, percent l", "goals tx accounts", """
+WITH p AS (SELECT user_id, goal_id, sum(amount) AS paid FROM tx WHERE amount > 0 AND goal_id IS NOT NULL GROUP BY 1, 2),
+l AS (SELECT goal_id, sum(balance) AS balance FROM (SELECT goal_id, unnest([linked_account_id, linked_account_id + 2]) AS account_id FROM goals) JOIN accounts USING (account_id) WHERE balance > 0 GROUP BY 1),
+j AS (SELECT g.user_id, g.goal_id, target_amount, CAST(least(coalesce(paid, 0) + coalesce(balance, 0), target_amount) AS DECIMAL(19,2)) AS progress FROM goals g LEFT JOIN p ON p.user_id = g.user_id AND p.goal_id = g.goal_id LEFT JOIN l ON l.goal_id = g.goal_id)
+SELECT *, least(round(CAST(round(progress / target_amount, 4) AS DECIMAL(19,4)) * 100, 0), 100) AS percent FROM j""")
+def _(goals, tx, accounts):
+    linked = F.array("linked_account_id", F.col("linked_account_id") + 2, "linked_account_id")
+    return A.goal_progress(goals.withColumn("linked_account_ids", linked).drop("linked_account_id"), tx, accounts)
+
+
 @register("a22_round_up_total", "user_id l, total m, n l", "tx", "SELECT user_id, sum(abs(amount)) AS total, count(*) AS n FROM tx WHERE NOT deleted AND round_up_source_transaction_id IS NOT NULL AND transaction_date BETWEEN DATE '2001-08-01' - 300 AND DATE '2001-08-01' GROUP BY user_id")
 def _(tx):
     return A.round_up_total(tx, AS_OF, days=300)

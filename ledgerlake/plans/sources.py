@@ -70,8 +70,7 @@ _TEXT = "regexp_replace(trim(lower(coalesce(description, ''))), '\\s+', ' ', 'g'
 _LIKE = "CASE WHEN {0} = {1} THEN 1::DOUBLE WHEN {0} = '' OR {1} = '' THEN 0::DOUBLE ELSE 1 - levenshtein({0}, {1}) / CAST(greatest(length({0}), length({1})) AS DOUBLE) END"
 
 
-@register("x13_duplicates", "new_id s, known_id s, kind s, score f", "tx", f"""
-WITH b AS (SELECT *, {_TEXT} AS txt, trim(lower(coalesce(merchant_name, ''))) AS nm FROM tx), w AS (SELECT user_id, min(transaction_date) - 35 AS lo, max(transaction_date) + 35 AS hi FROM b WHERE import_source = 'CSV' GROUP BY 1),
+_FOUND = f"""WITH b AS (SELECT *, {_TEXT} AS txt, trim(lower(coalesce(merchant_name, ''))) AS nm FROM tx), w AS (SELECT user_id, min(transaction_date) - 35 AS lo, max(transaction_date) + 35 AS hi FROM b WHERE import_source = 'CSV' GROUP BY 1),
 p AS (SELECT n.transaction_id AS new_id, k.transaction_id AS known_id, n.amount AS na, k.amount AS ka, n.txt AS nt, k.txt AS kt, n.nm AS nn, k.nm AS kn, abs(n.transaction_date - k.transaction_date) AS days, coalesce(n.plaid_transaction_id = k.plaid_transaction_id, FALSE) AS same_id
   FROM b n JOIN b k ON n.user_id = k.user_id AND n.transaction_id <> k.transaction_id JOIN w ON w.user_id = k.user_id AND k.transaction_date BETWEEN lo AND hi WHERE n.import_source = 'CSV' AND coalesce(k.import_source, '') <> 'CSV'),
 q AS (SELECT *, days = 0 AND abs(na) = abs(ka) AND nt = kt AS exact, abs(na) = abs(ka) AND nt = kt AND (days BETWEEN 1 AND 60 OR days BETWEEN 88 AND 93 OR days BETWEEN 180 AND 186 OR days BETWEEN 365 AND 366) AS recurring, abs(CAST(round(CAST(na + ka AS DOUBLE) / 2, 2) AS DECIMAL(19,2))) AS mean FROM p WHERE same_id OR days <= 30),
@@ -80,8 +79,15 @@ s AS (SELECT *, {_LIKE.format('nt', 'kt')} AS ts, CASE WHEN nn <> '' AND kn <> '
   CASE WHEN (na >= 0) <> (ka >= 0) THEN 0.3::DOUBLE WHEN mean = 0 THEN CASE WHEN na = ka THEN 1::DOUBLE ELSE 0::DOUBLE END WHEN off < 0.001 THEN 1::DOUBLE WHEN off < 0.005 THEN 0.9::DOUBLE WHEN off < 0.01 THEN 0.7::DOUBLE WHEN off < 0.05 THEN 0.5::DOUBLE ELSE greatest(0::DOUBLE, 1 - off) END AS am,
   CASE WHEN days = 0 THEN 1::DOUBLE WHEN days <= 1 THEN 0.9::DOUBLE WHEN days <= 3 THEN 0.8::DOUBLE WHEN days <= 7 THEN 0.5::DOUBLE WHEN days <= 30 THEN 0.3::DOUBLE ELSE 0::DOUBLE END AS dt FROM o),
 r AS (SELECT *, CASE WHEN exact OR same_id THEN 1::DOUBLE WHEN recurring THEN 0.3::DOUBLE ELSE least(1::DOUBLE, am * 0.3::DOUBLE + dt * 0.2::DOUBLE + CASE WHEN ts >= 0.95 THEN ts * 0.3::DOUBLE WHEN ts >= 0.5 THEN ts * 0.05::DOUBLE ELSE ts * 0.01::DOUBLE END + ns) END AS sc FROM s),
-f AS (SELECT new_id, known_id, CASE WHEN exact THEN 'EXACT' WHEN same_id THEN 'SAME_ID' WHEN sc >= 0.85 THEN 'SIMILAR' END AS kind, round(sc, 4) AS score FROM r)
-SELECT * FROM f WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY score DESC, kind, known_id) = 1""")
+f AS (SELECT new_id, known_id, CASE WHEN exact THEN 'EXACT' WHEN same_id THEN 'SAME_ID' WHEN sc >= 0.85 THEN 'SIMILAR' END AS kind, round(sc, 4) AS score FROM r)"""
+
+
+@register("o07_ranked_matches", "new_id s, place l, known_id s, kind s, score f", "tx", f"{_FOUND} SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY score DESC, kind, known_id) AS place FROM f WHERE kind IS NOT NULL")
+def _(tx):
+    return I.matches(tx.where("import_source = 'CSV'"), tx.where("coalesce(import_source, '') <> 'CSV'"), least=0.85)
+
+
+@register("x13_duplicates", "new_id s, known_id s, kind s, score f", "tx", f"{_FOUND} SELECT * FROM f WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY score DESC, kind, known_id) = 1")
 def _(tx):
     return I.duplicates(tx.where("import_source = 'CSV'"), tx.where("coalesce(import_source, '') <> 'CSV'"), least=0.85)
 

@@ -75,10 +75,10 @@ def append_new(rows: DataFrame, path: str, key: str = "transaction_id") -> None:
     rows.dropDuplicates([key]).join(known, key, "left_anti").write.mode("append").parquet(path)
 
 
-def archive(tx: DataFrame, path: str, as_of: str, days: int = 365) -> None:
-    """Rows older than a year as compressed JSON, a folder a year."""
+def archive(tx: DataFrame, path: str, as_of: str, days: int = 365, files: int = 16) -> None:
+    """Rows older than a year as compressed JSON, a folder a year of at most `files` files, each written by a task of its own."""
     old = tx.where(F.col("transaction_date") < F.date_add(day(as_of), -days))
-    old.withColumn("year", F.year("transaction_date")).repartition("year").write.partitionBy("year").option("compression", "gzip").mode("overwrite").json(path)
+    old.withColumn("year", F.year("transaction_date")).repartition("year", F.pmod(F.xxhash64("transaction_id"), F.lit(files))).write.partitionBy("year").option("compression", "gzip").mode("overwrite").json(path)
 
 
 def write_report(rows: DataFrame, path: str, kind: str = "csv") -> None:

@@ -74,3 +74,19 @@ def test_rows_of_a_feed_are_taken_for_rows_without_feed_id(spark):
     df = spark.createDataFrame(rows, "transaction_id string, user_id int, account_id int, amount int, transaction_date string, description string, plaid_transaction_id string")
     got = {r.transaction_id: r.plaid_transaction_id for r in keyed.adopted(df).collect()}
     assert got == {"m1": "x", "m2": "", "f2": "y", "n": None, "f3": "z"}
+
+
+def test_an_archive_has_several_files_a_year(spark, tmp_path):
+    import datetime as dt
+
+    from ledgerlake.sources import tables
+
+    tx = spark.createDataFrame([(str(i), dt.date(2020 + i % 2, 1, 5)) for i in range(200)] + [("new", dt.date(2023, 12, 1))], "transaction_id string, transaction_date date")
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would be merged
+    try:
+        tables.archive(tx, str(tmp_path / "a"), "2024-01-01", files=4)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    written = [f for d, _, fs in os.walk(tmp_path / "a") for f in fs if f.endswith(".json.gz")]
+    assert spark.read.json(str(tmp_path / "a")).count() == 200 and 2 < len(written) <= 8
