@@ -54,7 +54,7 @@ _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8
 #: Pieces remembered in a task (twice as many at most), and the longest piece that is.
 _MEMO, _LONGEST = 100_000, 64
 #: Bytes of text whose words are told apart at once.
-_GROUP = 1 << 22
+_GROUP = 1 << 21
 
 #: The normalizer and the pre-tokenizer under which words can be encoded apart from each other.
 _SEPARABLE = {
@@ -141,7 +141,9 @@ class Encoder:
         first, last = np.empty(len(begins) + int(split.sum()), np.int64), np.empty(len(begins) + int(split.sum()), np.int64)
         first[at], last[at] = begins, np.where(split, stems, ends)
         first[at[split] + 1], last[at[split] + 1] = stems[split], ends[split]
-        yield from self._pieces(low, first, last, np.concatenate([at, [len(first)]])[np.concatenate([[0], np.cumsum(counts)])])
+        of_text = np.concatenate([at, [len(first)]])[np.concatenate([[0], np.cumsum(counts)])]
+        del begins, ends, counts, wide, upper, special, marks, as_it_is, stems, split, at, data  # while the ids go out, only they are held
+        yield from self._pieces(low, first, last, of_text)
 
     def _pieces(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, of_text: np.ndarray) -> Iterator[bytes]:
         """Ids of the texts whose pieces are of_text[i] to of_text[i + 1]."""
@@ -153,14 +155,17 @@ class Encoder:
             pairs["h"], pairs["check"] = h, check
             _, one, which = np.unique(pairs, return_index=True, return_inverse=True)
         raw, memo = data.tobytes(), self.memo
+        del h, check
         ids = [memo[raw[a:b]] for a, b in zip(first[one].tolist(), last[one].tolist(), strict=True)]
+        del raw, one
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
         begins = np.cumsum(sizes) - sizes
         flat = np.frombuffer(b"".join(ids), "<u4")
         n = sizes[which]
         stops = np.cumsum(n)
         total = int(stops[-1]) if len(stops) else 0
-        out = flat[np.repeat(begins[which] - (stops - n), n) + np.arange(total)] if total else flat
+        place = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+        out = flat[np.repeat((begins[which] - (stops - n)).astype(place), n) + np.arange(total, dtype=place)] if total else flat
         bounds = np.concatenate([[0], stops])[of_text]
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             yield out[a:b].tobytes()
