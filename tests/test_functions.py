@@ -1,5 +1,6 @@
 from decimal import Decimal as D
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,12 @@ def test_workbooks(spark, tmp_path):
         z.writestr("xl/worksheets/sheet1.xml", sheet)
     rows = files.read_any(spark, str(tmp_path / "b.xlsx")).collect()
     assert [(r.sheet, r.row_no, r["cells"]) for r in rows] == [("sheet1", 1, ["Date", "", "2.5"]), ("sheet1", 3, ["", "in"])]
+
+
+def test_jaro_winkler_rounds_transpositions_down(spark):
+    """Three characters in another order are one transposition, as DuckDB counts them."""
+    pairs = [("abcdef", "bcadef"), ("old plate brand#15 standard", "old ring brand#12 standard"), ("cold gear", "gold race"), ("hot ring brand#24 small", "hot bolt brand#12 small")]
+    rows = ", ".join(f"('{a}', '{b}')" for a, b in pairs)
+    want = [r[0] for r in duckdb.sql(f"SELECT jaro_winkler_similarity(a, b) FROM (VALUES {rows}) AS t(a, b)").fetchall()]
+    assert [text.jaro_winkler(a, b) for a, b in pairs] == pytest.approx(want, abs=1e-12)
+    assert text.jaro_winkler("abcdef", "bcadef") == pytest.approx((1 + 1 + 5 / 6) / 3)
