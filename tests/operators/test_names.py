@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlake.functions import text
 from ledgerlake.functions.cleaning import fuzzy_score
 from ledgerlake.operators import names
 
@@ -43,3 +44,13 @@ def test_a_frequent_word_makes_no_pairs_by_itself(spark):
     with pytest.raises(ValueError, match="above"):
         names.candidates(left, right, 0.6)
     assert names.near_names(left.limit(0), right).collect() == [] and names.near_names(left, right.limit(0)).collect() == []
+
+
+def test_pairs_that_share_frequent_words_are_scored_in_all_tasks(spark):
+    """Many short pairs: the tasks that score them are as many as given, not as their bytes ask for; texts are compared in blocks."""
+    rng = random.Random(5)
+    rows = spark.createDataFrame([(" ".join(rng.choices(["red", "old", "ring", "bolt", "brand#1", "brand#12"], k=3)),) for _ in range(200)], "name string")
+    pairs = names.candidates(rows.distinct(), rows.distinct().withColumnRenamed("name", "known"), 0.75)
+    assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    a, b = (["".join(rng.choices("abcé ", k=rng.choice([0, 1, 3, 9, 200]))) for _ in range(400)] for _ in range(2))
+    assert text.jaro_winkler_all(a, b).tolist() == [text.jaro_winkler(x, y) for x, y in zip(a, b)]
