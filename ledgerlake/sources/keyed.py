@@ -135,8 +135,10 @@ def settled(rows: DataFrame, link: str = "pending_transaction_id", own: tuple[st
     stay = rows.join(named.join(pending.select("transaction_id"), "transaction_id", "left_semi"), "transaction_id", "left_anti").select(rows.columns)
     if not own:
         return stay
-    before = pending.select(F.col("transaction_id").alias("_pending"), *[F.col(c).alias(f"_{c}") for c in own])
-    joined = stay.join(before, posted & (F.col(link) == F.col("_pending")), "left")
+    # Most rows have no link: under a null key they would all meet in one task, so each has a key of its own that no pending row has.
+    key = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    before = pending.select(key("l", "transaction_id").alias("_pending"), *[F.col(c).alias(f"_{c}") for c in own])
+    joined = stay.withColumn("_link", F.when(posted, key("l", link)).otherwise(key("n", "transaction_id"))).join(before, F.col("_link") == F.col("_pending"), "left")
     return joined.select(*[F.coalesce(c, f"_{c}").alias(c) if c in own else F.col(c) for c in rows.columns])
 
 

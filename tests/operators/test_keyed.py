@@ -90,3 +90,18 @@ def test_an_archive_has_several_files_a_year(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
     written = [f for d, _, fs in os.walk(tmp_path / "a") for f in fs if f.endswith(".json.gz")]
     assert spark.read.json(str(tmp_path / "a")).count() == 200 and 2 < len(written) <= 8
+
+
+def test_rows_without_a_link_are_dealt_over_all_tasks(spark):
+    """Rows that name no pending row stay in the tasks of their own ids; under one null key they would meet in a single task."""
+    rows = spark.range(2000).selectExpr("CAST(id AS STRING) AS transaction_id", "id % 10 = 0 AS pending", "IF(id % 10 = 1, CAST(id - 1 AS STRING), NULL) AS pending_transaction_id", "IF(id % 10 = 0, 'kept', NULL) AS note")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        parts = [p for p in keyed.settled(rows, own=("note",)).rdd.glom().collect() if p]
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+    assert sum(map(len, parts)) == 1800 and max(map(len, parts)) < 900
+    assert sorted(int(r.transaction_id) for p in parts for r in p if r.note) == list(range(1, 2000, 10))
