@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.text import levenshtein_similarity
+from ledgerlake.functions.text import lengths_fit, levenshtein_similarity
 
 
 #: Days around a user's new rows in which known rows are looked at.
@@ -26,27 +26,46 @@ def _reach(least: float) -> int | None:
     return None if needed <= 1e-9 else max(days, default=0)
 
 
+def _days() -> Column:
+    return F.abs(F.datediff("n_date", "k_date"))
+
+
+def _date_score() -> Column:
+    date = F.when(F.lit(False), 0.0)
+    for most, score in DATE_SCORES:
+        date = date.when(_days() <= most, score)
+    return date.otherwise(0.0)
+
+
+def _may_reach(least: float) -> Column:
+    """Whether a pair can score `least`, by amounts (as doubles, n_value and k_value), days and lengths of texts alone; some that can't pass.
+
+    Texts add 0.3 at most, of which all but 0.05 only from a likeness of 0.95 on, and names 0.2. Amounts that are `off` apart score 1 - off at most, or 1 below
+    the first share; the mean is rounded to cents and the share to four places.
+    """
+    off = F.abs(F.col("n_value") - F.col("k_value")) / (F.abs(F.col("n_value") + F.col("k_value")) / 2 + 0.0051) - 0.00006
+    amount = F.when((F.col("n_value") >= 0) != (F.col("k_value") >= 0), 0.3).when(off < AMOUNT_SCORES[0][0], 1.0).otherwise(F.greatest(F.lit(0.5), 1 - off))
+    texts = lengths_fit(F.col("n_text"), F.col("k_text"), 0.95) if least > 0.75 else F.lit(True)
+    return (amount * 0.3 + _date_score() * 0.2 + 0.5 >= least - 1e-9) & texts
+
+
 def _score() -> Column:
     """The similarity of a new row (n_*) and a known one (k_*)."""
-    days = F.abs(F.datediff("n_date", "k_date"))
     equal = (F.abs("n_amount") == F.abs("k_amount")) & (F.col("n_text") == F.col("k_text"))
     recurring = F.lit(False)
     for first, last in RECURRING_DAYS:
-        recurring = recurring | days.between(first, last)
+        recurring = recurring | _days().between(first, last)
     mean = F.abs(F.round((F.col("n_amount") + F.col("k_amount")).cast("decimal(20,2)") / 2, 2))
     off = F.round(F.abs(F.col("n_amount") - F.col("k_amount")).cast("decimal(20,2)") / F.when(mean != 0, mean), 4).cast("double")
     amount = F.when((F.col("n_amount") >= 0) != (F.col("k_amount") >= 0), 0.3).when(mean == 0, (F.col("n_amount") == F.col("k_amount")).cast("double"))
     for share, score in AMOUNT_SCORES:
         amount = amount.when(off < share, score)
     amount = amount.otherwise(F.greatest(F.lit(0.0), 1 - off))
-    date = F.when(F.lit(False), 0.0)
-    for most, score in DATE_SCORES:
-        date = date.when(days <= most, score)
     text = levenshtein_similarity(F.col("n_text"), F.col("k_text"))
     text = F.when(text >= 0.95, text * 0.3).when(text >= 0.5, text * 0.05).otherwise(text * 0.01)
     named = (F.col("n_name") != "") & (F.col("k_name") != "")
     name = F.when(named, levenshtein_similarity(F.col("n_name"), F.col("k_name")) * 0.2).otherwise(0.0)
-    return F.when(equal & recurring, RECURRING_SCORE).otherwise(F.least(F.lit(1.0), amount * 0.3 + date.otherwise(0.0) * 0.2 + text + name))
+    return F.when(equal & recurring, RECURRING_SCORE).otherwise(F.least(F.lit(1.0), amount * 0.3 + _date_score() * 0.2 + text + name))
 
 
 def matches(new: DataFrame, known: DataFrame, least: float = 0.90, of_feed_id: int | None = None) -> DataFrame:
@@ -60,8 +79,8 @@ def matches(new: DataFrame, known: DataFrame, least: float = 0.90, of_feed_id: i
     reach = _reach(least)
     bucket = lambda day, by=0: F.lit(0) if reach is None else F.floor((F.unix_date(F.col(day)) + by) / (reach + 1))
     text, name = F.regexp_replace(F.trim(F.lower(F.coalesce("description", F.lit("")))), r"\s+", " "), F.trim(F.lower(F.coalesce("merchant_name", F.lit(""))))
-    n = new.select("user_id", F.col("transaction_id").alias("new_id"), F.col("amount").alias("n_amount"), F.col("transaction_date").alias("n_date"), text.alias("n_text"), name.alias("n_name"), F.col("plaid_transaction_id").alias("n_feed"))
-    k = known.select(F.col("user_id").alias("k_user"), F.col("transaction_id").alias("known_id"), F.col("amount").alias("k_amount"), F.col("transaction_date").alias("k_date"), text.alias("k_text"), name.alias("k_name"), F.col("plaid_transaction_id").alias("k_feed"))
+    n = new.select("user_id", F.col("transaction_id").alias("new_id"), F.col("amount").alias("n_amount"), F.col("amount").cast("double").alias("n_value"), F.col("transaction_date").alias("n_date"), text.alias("n_text"), name.alias("n_name"), F.col("plaid_transaction_id").alias("n_feed"))
+    k = known.select(F.col("user_id").alias("k_user"), F.col("transaction_id").alias("known_id"), F.col("amount").alias("k_amount"), F.col("amount").cast("double").alias("k_value"), F.col("transaction_date").alias("k_date"), text.alias("k_text"), name.alias("k_name"), F.col("plaid_transaction_id").alias("k_feed"))
     span = n.groupBy(F.col("user_id").alias("k_user")).agg(F.date_add(F.min("n_date"), -AROUND).alias("first"), F.date_add(F.max("n_date"), AROUND).alias("last"))
     k = k.join(span, "k_user").where(F.col("k_date").between(F.col("first"), F.col("last"))).drop("first", "last")
     near = n.withColumn("bucket", F.explode(F.sequence(bucket("n_date", -(reach or 0)), bucket("n_date", reach or 0))))
@@ -75,7 +94,8 @@ def matches(new: DataFrame, known: DataFrame, least: float = 0.90, of_feed_id: i
     exact = (F.col("n_date") == F.col("k_date")) & (F.abs("n_amount") == F.abs("k_amount")) & (F.col("n_text") == F.col("k_text"))
     same_id = F.coalesce(F.col("n_feed") == F.col("k_feed"), F.lit(False))
     kind = F.when(exact, "EXACT").when(same_id, "SAME_ID").when(F.col("score") >= least, "SIMILAR")
-    found = pairs.withColumn("score", F.when(exact | same_id, 1.0).otherwise(_score())).withColumn("kind", kind).where("kind IS NOT NULL").withColumn("score", F.round("score", 4))
+    # Distances of texts are asked of the few pairs that can still reach the score.
+    found = pairs.where(exact | same_id | _may_reach(least)).withColumn("score", F.when(exact | same_id, 1.0).otherwise(_score())).withColumn("kind", kind).where("kind IS NOT NULL").withColumn("score", F.round("score", 4))
     best = Window.partitionBy("new_id").orderBy(F.desc("score"), "kind", "known_id")
     once = found if of_feed_id else found.dropDuplicates(["new_id", "known_id"])
     return once.withColumn("place", F.row_number().over(best)).select("new_id", "place", "known_id", "kind", "score")

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 from decimal import Decimal as D
 
 import pytest
@@ -198,3 +199,15 @@ def test_upserts_replace_rows(spark, folder, tmp_path):
     activity.upsert_stream(stream, str(tmp_path / "table"), str(tmp_path / "cp")).awaitTermination(120)
     rows = KeyedTable(spark, str(tmp_path / "table"), "event_id", "ts").read().collect()
     assert {r.event_id: r.value for r in rows} == {i % 25: float(i) for i in range(60)}
+
+
+@pytest.mark.parametrize("least", [0.8, 0.85, 0.9])
+def test_pairs_that_can_reach_the_score_are_kept_before_texts_are_compared(spark, least):
+    rng = random.Random(11)
+    amount = lambda: rng.choice(["0.00", "0.01", "-0.02", "10.00", "10.01", "10.05", "10.50", "-10.00", "1999.99", "2000.00", "2010.00", "2099.00"])
+    text = lambda: rng.choice(["pos merchant number one of all", "pos merchant number one of al1", "pos merchant", ""])
+    rows = [(amount(), amount(), f"2024-01-{rng.randint(1, 31):02}", f"2024-01-{rng.randint(1, 31):02}", text(), text(), rng.choice(["", "shop"]), rng.choice(["", "shop"])) for _ in range(5000)]
+    pairs = spark.createDataFrame(rows, "na string, ka string, nd string, kd string, n_text string, k_text string, n_name string, k_name string")
+    pairs = pairs.selectExpr("CAST(na AS DECIMAL(19,2)) AS n_amount", "CAST(ka AS DECIMAL(19,2)) AS k_amount", "CAST(na AS DOUBLE) AS n_value", "CAST(ka AS DOUBLE) AS k_value", "CAST(nd AS DATE) AS n_date", "CAST(kd AS DATE) AS k_date", "n_text", "k_text", "n_name", "k_name")
+    told = pairs.select((imports._score() >= least).alias("scores"), imports._may_reach(least).alias("may")).collect()
+    assert any(r.scores for r in told) and all(r.may for r in told if r.scores) and sum(r.may for r in told) < 0.7 * len(told)
