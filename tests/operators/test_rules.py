@@ -33,3 +33,30 @@ def test_nearest_reference_leaves_a_vector_itself_out(spark):
     got = {r.vec_id: r.nearest for r in categorise.nearest_reference(v, v.where("vec_id < 3")).collect()}
     assert got == {1: 2, 2: 1}
     assert categorise.nearest_reference(v, v.limit(0)).collect() == []
+
+
+def model_rows(spark):
+    columns = "transaction_id string, merchant_name string, description string, category_primary string, amount decimal(19,2), import_source string"
+    return spark.createDataFrame([("1", "Shop", "green tea green", "a", D("5"), "CSV"), ("2", None, "the tea\tof", "b", D("-60"), None), ("3", "SHOP", None, "b", None, "CSV"), ("4", None, "", None, D("70"), "PDF"), ("5", "New", "unseen ü", None, D("300"), "PDF")], columns)
+
+
+def test_predictions_by_columns_and_by_rows(spark, monkeypatch):
+    tx = model_rows(spark)
+    model = categorise.learn_frequencies(tx)
+    assert {(r.feature, r.category_primary): r.p for r in model.collect()} == {("m:shop", "a"): 0.5, ("m:shop", "b"): 0.5, ("k:green", "a"): 1, ("k:tea", "a"): 0.5, ("k:tea", "b"): 0.5, ("a:tiny", "a"): 1, ("a:medium", "b"): 1, ("a:huge", "b"): 1, ("s:CSV", "a"): 0.5, ("s:CSV", "b"): 0.5, ("s:none", "b"): 1}
+    # 1: .4/2 + .3 + .3/2 + .3 + .15 + .15/2; 2: .3/2 + .15 + .15; 3: .4/2 + .15 + .15/2; 4: .15 by the amount alone; 5 has no known feature.
+    want = {"1": ("a", 1.175), "2": ("b", 0.45), "3": ("b", 0.425), "4": ("b", 0.15)}
+    predicted = lambda t, m: {r.transaction_id: (r.predicted, r.score) for r in categorise.score_frequencies(t, m).collect()}
+    ties = spark.createDataFrame([("m:shop", "z", 0.5), ("m:shop", "B", 0.5), ("m:shop", "b", 0.5)], "feature string, category_primary string, p double")
+    for rows in (100, 2):
+        monkeypatch.setattr(categorise, "MODEL_ROWS", rows)
+        assert predicted(tx, model) == want
+        assert predicted(tx, ties) == {"1": ("B", 0.2), "3": ("B", 0.2)}
+        assert predicted(tx.unionAll(tx), model) == {i: (c, 2 * x) for i, (c, x) in want.items()}  # a repeated transaction counts as one with all features
+        assert predicted(tx, model.limit(0)) == predicted(tx.limit(0), model) == {}
+
+
+def test_transactions_are_not_joined_with_a_row_a_category(spark):
+    tx = model_rows(spark)
+    plan = categorise.score_frequencies(tx, categorise.learn_frequencies(tx))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(transaction_id" in plan
