@@ -5,9 +5,9 @@ record starts at a line of the template's start pattern; a running sum of starts
 text or tell its foreign amount, until a closing line, a section or a page. Sections set the sign of the records below them. Dates without a year take
 that of the statement's closing day, or the one before where their month is later in the year.
 
-Two shuffles by document; a document is one sorted run of lines, never a list. Defined results: null and empty lines close nothing and add nothing; a date
-that is none, or an amount that is none, makes no record; a statement without closing day keeps the dates that have a year of their own; very long lines are read
-whole; repeated documents must differ in doc_id.
+Lines are read and shuffled once, by document; a document is one sorted run of lines, never a list. Defined results: null and empty lines close nothing and add
+nothing; a date that is none, or an amount that is none, makes no record; a statement without closing day keeps the dates that have a year of their own; very
+long lines are read whole; repeated documents must differ in doc_id.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import re
 import tomllib
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerlake.sources.files import parse_amount
@@ -54,23 +54,30 @@ def _by_template(templates: list[dict], make) -> Column:
     return out
 
 
+def _in_order() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("line_no")
+
+
 def _with_template(lines: DataFrame, templates: list[dict]) -> DataFrame:
     """Lines with the number of their document's template and the day on which it closes."""
+    # Ordered, as the windows over the lines' records are, so that lines are sorted once.
+    whole = _in_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = F.lit(None).cast("int")
     for i, t in reversed(list(enumerate(templates))):
         first = F.when(F.col("line").rlike(t["marker"]), i).otherwise(first)
-    closing = [F.max(F.try_to_date(F.when(F.col("line").rlike(t["period"]), F.regexp_extract("line", t["period"], 1)), t.get("period_date", t["date"]))) if "period" in t else F.max(F.lit(None).cast("date")) for t in templates]
-    told = lines.groupBy("doc_id").agg(F.min(first).alias("template"), F.array(*closing).alias("closings")).where("template IS NOT NULL")
-    return lines.join(told.select("doc_id", "template", F.get("closings", F.col("template")).alias("closes")), "doc_id")
+    days = [F.try_to_date(F.when(F.col("line").rlike(t["period"]), F.regexp_extract("line", t["period"], 1)), t.get("period_date", t["date"])) if "period" in t else F.lit(None).cast("date") for t in templates]
+    marked = lines.where("doc_id IS NOT NULL").select("*", first.alias("template"), *[d.alias(f"day{i}") for i, d in enumerate(days)])
+    told = marked.select("doc_id", "line_no", "line", F.min("template").over(whole).alias("template"), *[F.max(f"day{i}").over(whole).alias(f"day{i}") for i in range(len(days))])
+    return told.where("template IS NOT NULL").select("doc_id", "line_no", "line", "template", _by_template(templates, lambda t: F.col(f"day{templates.index(t)}")).alias("closes"))
 
 
-def _dated(form: str, text: Column, closes: Column) -> Column:
+def _dated(form: str, closes: Column) -> Column:
+    """The column `day` as a date."""
     if "y" in form:
-        return F.try_to_date(text, form)
-    this = F.try_to_date(F.concat_ws(" ", text, F.year(closes).cast("string")), f"{form} yyyy")
-    last = F.try_to_date(F.concat_ws(" ", text, (F.year(closes) - 1).cast("string")), f"{form} yyyy")
+        return F.try_to_date("day", form)
+    this, last = (F.try_to_date(F.concat_ws(" ", "day", year.cast("string")), f"{form} yyyy") for year in (F.year(closes), F.year(closes) - 1))
     # The 29th of February is a date in one of the two years only.
-    return F.when(closes.isNull(), F.lit(None).cast("date")).when(this.isNull() | (F.month(this) > F.month(closes)), last).otherwise(this)
+    return F.when(closes.isNotNull() & F.col("day").isNotNull(), F.when(this.isNull() | (F.month(this) > F.month(closes)), last).otherwise(this))
 
 
 def statement_records(lines: DataFrame, templates: list[dict] | None = None) -> DataFrame:
@@ -90,34 +97,34 @@ def statement_records(lines: DataFrame, templates: list[dict] | None = None) ->
             out = F.when(F.col("line").rlike(s["line"]), s["sign"]).otherwise(out)
         return out
 
-    def amount(t: dict) -> Column:
-        printed = F.trim(_group(t["start"], "amount"))
-        mark = t.get("credit")
-        if not mark:
-            return parse_amount(printed)
-        credited = printed.endswith(mark)
-        return F.when(credited, -parse_amount(F.replace(printed, F.lit(mark), F.lit("")))).otherwise(parse_amount(printed))
+    def credited(t: dict) -> Column:
+        return F.col("printed").endswith(t["credit"]) if t.get("credit") else F.lit(False)
 
+    order = _in_order()
     starts = of(lambda t: is_a(t, "start"))
     marked = known.select("doc_id", "line_no", "line", "template", "closes", starts.alias("starts"), of(section).alias("section"), of(lambda t: is_a(t, "end")).alias("ends"), of(lambda t: is_a(t, "foreign")).alias("foreign"), of(lambda t: is_a(t, "more")).alias("more"))
-    order = Window.partitionBy("doc_id").orderBy("line_no")
     # A closing line or a section opens a part without a start, to which nothing is added.
     opens = F.col("starts") | F.col("ends") | F.col("section").isNotNull()
     placed = marked.withColumn("record", F.sum(opens.cast("int")).over(order)).withColumn("signed", F.last("section", ignorenulls=True).over(order))
     useful = placed.where(F.col("starts") | F.col("foreign") | F.col("more"))
-    first = lambda c, when: F.max(F.when(when, c))
-    is_start, is_foreign = F.col("starts"), ~F.col("starts") & F.col("foreign")
-    is_more = ~F.col("starts") & ~F.col("foreign") & F.col("more")
-    words = F.when(is_start, text("text")).when(is_more, of(lambda t: F.trim(_group(t.get("more", ""), "text"))))
-    base = of(lambda t: F.lit(t.get("sign", 1)))
-    foreign = F.struct("line_no", of(lambda t: _group(t.get("foreign", ""), "currency")).alias("currency"), of(lambda t: parse_amount(_group(t.get("foreign", ""), "amount"))).alias("amount"), of(lambda t: _group(t.get("foreign", ""), "rate")).alias("rate"))
-    records = useful.groupBy("doc_id", "record").agg(
-        first(F.col("line_no"), is_start).alias("line_no"),
+    is_foreign, is_more = ~F.col("starts") & F.col("foreign"), ~F.col("starts") & ~F.col("foreign") & F.col("more")
+    foreign = lambda name: F.when(is_foreign, of(lambda t: _group(t.get("foreign", ""), name)))
+    words = F.when(F.col("starts"), text("text")).when(is_more, of(lambda t: F.trim(_group(t.get("more", ""), "text"))))
+    # Cut out first, then read while grouping: what is used several times is a column, so that it is computed once, in stages small enough to be compiled.
+    sign = F.when(F.col("starts"), F.coalesce("signed", of(lambda t: F.lit(t.get("sign", 1)))))
+    cut = useful.select("doc_id", "record", "line_no", "template", "closes", "starts", sign.alias("sign"), words.alias("words"),
+        F.when(F.col("starts"), of(lambda t: _group(t["start"], "date"))).alias("day"), F.when(F.col("starts"), text("amount")).alias("printed"),
+        F.when(is_foreign, F.struct("line_no", foreign("currency").alias("currency"), foreign("amount").alias("amount"), foreign("rate").alias("rate"))).alias("foreign"))
+    cut = cut.withColumn("credited", of(credited))
+    plain = F.when(F.col("credited"), of(lambda t: F.replace("printed", F.lit(t.get("credit", "")), F.lit("")))).otherwise(F.col("printed"))
+    cut = cut.withColumn("plain", plain).withColumn("sign", F.when(F.col("credited"), -F.col("sign")).otherwise(F.col("sign")))
+    records = cut.groupBy("doc_id", "record").agg(
+        F.max(F.when(F.col("starts"), F.col("line_no"))).alias("line_no"),
         F.max(of(lambda t: F.lit(t["issuer"]))).alias("issuer"),
-        first(of(lambda t: _dated(t["date"], _group(t["start"], "date"), F.col("closes"))), is_start).alias("transaction_date"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(words.isNotNull(), F.struct("line_no", words.alias("words"))))), lambda w: w["words"]), " ").alias("description"),
-        first(of(amount) * F.coalesce("signed", base), is_start).cast("decimal(19,2)").alias("amount"),
-        F.min(F.when(is_foreign, foreign)).alias("foreign"),
+        F.max(of(lambda t: _dated(t["date"], F.col("closes")))).alias("transaction_date"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("words").isNotNull(), F.struct("line_no", "words")))), lambda w: w["words"]), " ").alias("description"),
+        F.max(parse_amount(F.col("plain")) * F.col("sign")).cast("decimal(19,2)").alias("amount"),
+        F.min("foreign").alias("foreign"),
     )
     kept = records.where("line_no IS NOT NULL AND transaction_date IS NOT NULL AND amount IS NOT NULL")
-    return kept.select("doc_id", "line_no", "issuer", "transaction_date", "description", "amount", F.nullif("foreign.currency", F.lit("")).alias("foreign_currency"), F.col("foreign.amount").alias("foreign_amount"), F.expr("try_cast(foreign.rate AS double)").alias("rate"))
+    return kept.select("doc_id", "line_no", "issuer", "transaction_date", "description", "amount", F.nullif("foreign.currency", F.lit("")).alias("foreign_currency"), parse_amount(F.col("foreign.amount")).alias("foreign_amount"), F.expr("try_cast(foreign.rate AS double)").alias("rate"))

@@ -72,3 +72,17 @@ def test_templates_are_checked(tmp_path):
     with pytest.raises(ValueError, match="not a template"):
         templates.read_templates(str(path))
     assert templates.groups(r"(a)\((?<b>[(]x)(?:c)(?<d>e(f))") == {"b": 2, "d": 3}
+
+
+def test_lines_are_read_and_shuffled_once(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    spark.createDataFrame([("h", 0, HARBOUR.split("\n")[0])], "doc_id string, line_no int, line string").write.parquet(path)
+    plan = templates.statement_records(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == plan.count("Exchange") == plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_statement_queries_read_orders_once(spark):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["s17_statement_records"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2
