@@ -60,3 +60,10 @@ def test_transactions_are_not_joined_with_a_row_a_category(spark):
     tx = model_rows(spark)
     plan = categorise.score_frequencies(tx, categorise.learn_frequencies(tx))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(transaction_id" in plan
+
+
+def test_the_full_cascade_joins_no_features_by_shuffle(spark):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["c12_full_cascade"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [feature" in plan and "hashpartitioning(feature" not in plan
